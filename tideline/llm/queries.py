@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import exact_dedup, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.SQL,
+    "op3_exact_dedup": exact_dedup.SQL,
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash_dedup, substring_dedup
+from . import exact_dedup, mixing, packing, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_source_mixing": mixing.op4_source_mixing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.SQL,

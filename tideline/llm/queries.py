@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash_dedup, substring_dedup
+from . import exact_dedup, mixing, packing, quality, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality": quality.op8_quality,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {

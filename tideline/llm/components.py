@@ -9,10 +9,15 @@ a skewed join, which Spark splits.  Each round is written to the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import partitions, stash
+
+#: Rows of (group, size) that may be broadcast.
+MOST_BROADCAST = 10_000
 
 
 def _signature(edges: DataFrame):
@@ -48,10 +53,66 @@ def cells(rows: DataFrame, group: list[str], spread: str, most: int) -> DataFram
     own, wherever it runs.  Adds chunk, i and j (i <= j): the cell compares chunk i
     with chunk j.  No row or pair is dropped.
     """
-    sizes = rows.groupBy(*group).count().where(F.col("count") > most)
-    c = F.coalesce(F.ceil(F.col("count") / most), F.lit(1))
-    out = rows.join(sizes, group, "left").withColumn("chunk", F.pmod(F.xxhash64(spread), c))
+    sizes = stash(rows.groupBy(*group).count().where(F.col("count") > most), "large-groups")
+    n = sizes.count()
+    if n:  # few large groups are sent to every task, many are joined by key
+        large = F.broadcast(sizes) if n <= MOST_BROADCAST else sizes
+        out = rows.join(large, group, "left")
+    else:
+        out = rows.withColumn("count", F.lit(None).cast("long"))
+    c = F.coalesce(F.ceil(F.col("count") / most), F.lit(1).cast("long"))
+    out = out.withColumn("chunk", F.pmod(F.xxhash64(spread), c))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
     return out.select(
         *rows.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index reachable from each of n nodes by links a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            jump = label[label]
+            if (jump == label).all():
+                break
+            label = jump
+        if (before == label).all():
+            break
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    return label
+
+
+def per_cells(rows: DataFrame, group: list[str], spread: str, most: int, run, schema: str) -> DataFrame:
+    """``run(table, cell)`` over stretches of whole cells: ``cell`` numbers the rows'
+    cells from 0, in order.  Cells of one group can lie in different tasks."""
+    keys = [*group, "i", "j"]
+    dealt = cells(rows, group, spread, most)
+    dealt = dealt.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, spread)
+
+    def number(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in keys:
+            v = t[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    def over(batches):
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([held, pa.table(batch)]) if held is not None else pa.table(batch)
+            if held.num_rows:
+                cell = number(held)
+                whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+                if whole > most:
+                    yield from run(held.slice(0, whole).combine_chunks(), cell[:whole]).to_batches()
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from run(held.combine_chunks(), number(held)).to_batches()
+
+    return dealt.mapInArrow(over, schema)

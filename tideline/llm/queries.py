@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, simhash_dedup, substring_dedup, toxicity
+from . import embedding_dedup, exact_dedup, mixing, packing, quality, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op5_embedding_dedup": embedding_dedup.SQL,
 }

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import cells, connected
+from .components import connected, forest, per_cells
 
 SHINGLE, RADIUS, SEED, TREE = 4, 4, 42, 4096
 
@@ -128,26 +128,6 @@ def search(fp, roots, keys, children, queries, query_root, radius):
             node = children[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(q))]
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index reachable from each of n nodes by links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while True:
-            jump = label[label]
-            if (jump == label).all():
-                break
-            label = jump
-        if (before == label).all():
-            break
-        differ = label[a] != label[b]
-        a, b = a[differ], b[differ]
-    return label
-
-
 def _spanning(cell, fp, chunk, i, j, radius):
     """Links (fingerprint, local root) of a batch of whole cells."""
     member, asks = chunk == j, chunk == i
@@ -172,7 +152,6 @@ def _spanning(cell, fp, chunk, i, j, radius):
 def near_links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """``nodes``: distinct longs fp.  Links (a, b) that connect all fingerprints within
     ``radius`` bits of each other."""
-    spark = nodes.sparkSession
     n, keep = nodes.count(), 1
     while n >> (64 * keep // (radius + keep)) > tree // 4 and keep < 4:
         keep += 1
@@ -187,41 +166,13 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Data
             F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(signed)])
         ).alias("s"),
     ).select("fp", "s.t", "s.v")
-    group = ["t", "v", "i", "j"]
-    dealt = (
-        cells(shards, ["t", "v"], "fp", tree)
-        .repartition(C.partitions(spark), *group)
-        .sortWithinPartitions(*group, "fp")
-    )
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.concat_tables([held, pa.table(batch)]) if held is not None else pa.table(batch)
-            if held.num_rows:
-                cell, n = dense(held)
-                whole = int(np.searchsorted(cell, n - 1))  # the last cell may go on
-                if whole > tree:
-                    yield links(held.slice(0, whole))
-                    held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield links(held)
-
-    def dense(t):
-        cols = [t[c].to_numpy() for c in group]
-        new = np.zeros(len(cols[0]), bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        cell = np.cumsum(new)
-        return cell, int(cell[-1]) + 1
-
-    def links(t):
-        cell, _ = dense(t)
+    def links(t, cell):
         fp = t["fp"].to_numpy().view(np.uint64)
         a, b = _spanning(cell, fp, t["chunk"].to_numpy(), t["i"].to_numpy(), t["j"].to_numpy(), radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return per_cells(shards, ["t", "v"], "fp", tree, links, "a long, b long")
 
 
 def near_duplicates(

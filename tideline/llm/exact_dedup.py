@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on disk.  Changes are logged rather than whole files copied, and no space
+#: is reserved ahead: each partition's store is small.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Files of arrivals that one micro-batch takes.
 FILES_PER_BATCH = 64
 
@@ -54,8 +59,9 @@ def absorb(arrivals_path: str, schema, spark: SparkSession, files_per_batch: int
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/changes/epoch={epoch}")
 
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         run = (
             state.writeStream.outputMode("update")
@@ -66,10 +72,11 @@ def absorb(arrivals_path: str, schema, spark: SparkSession, files_per_batch: int
         )
         run.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     # both values only ever grow, so the latest change of a digest is the largest
     return (
         spark.read.parquet(f"{root}/changes")

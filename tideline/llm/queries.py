@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, mixing, packing, quality, simhash_dedup, substring_dedup, toxicity
+from . import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {

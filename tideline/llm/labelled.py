@@ -40,18 +40,16 @@ def fit(sample: DataFrame, train) -> bytes:
     return bytes(got[0]["model"]) if got else train([], np.zeros(0, np.int64))
 
 
-def score_all(docs: DataFrame, model: bytes, score, id_col: str, text_col: str) -> DataFrame:
-    """(id, score): ``score(model, texts) -> array``, the model (of fixed size) broadcast."""
+def score_all(docs: DataFrame, model: bytes, score, text_col: str, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` and score: ``score(model, texts) -> array``, the model (of
+    fixed size) broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = list(dict.fromkeys([*carry, text_col]))
 
     def run(batches):
         for batch in batches:
-            found = score(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.clip(found, 0.0, 1.0), pa.float64())], names=["id", "score"]
-            )
+            found = np.clip(score(shared.value, batch.column(text_col)), 0.0, 1.0)
+            yield batch.select(carry).append_column("_score", pa.array(found, pa.float64()))
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed(
-        "id", id_col
-    )
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*given).mapInArrow(run, f"{fields}, _score double")

@@ -94,16 +94,20 @@ def mix(
     block: int = BLOCK,
     id_col: str = "doc_id",
     source_col: str = "source",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, source, block (within the source), slot and
-    place (within the slot).  Ordering by slot and place is the mixture.
+    """One row per row of ``docs``: id and source (or the columns ``carry``), _block
+    (within the source), _slot and _place (within the slot).  Ordering by slot and place
+    is the mixture.
 
     ``weights`` maps sources to target weights; a source it does not name, or every
     source if it is None, weighs its number of documents to the power ``temper``.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"))
+    carry = carry or [id_col, source_col]
+    row = F.struct(*[F.col(c) for c in carry]).alias("row")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), row)
     sizes = rows.groupBy("key", "source").count().orderBy("key").limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group the small ones first")
@@ -139,13 +143,15 @@ def mix(
         + F.element_at("slots", (F.pmod(step, F.size("slots")) + 1).cast("int"))
     )
     return timed.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "block",
-        slot.cast(T.LongType()).alias("slot"),
-        F.pmod("rank", F.lit(block)).alias("place"),
+        *[F.col("row")[c].alias(c) for c in carry],
+        F.col("block").alias("_block"),
+        slot.cast(T.LongType()).alias("_slot"),
+        F.pmod("rank", F.lit(block)).alias("_place"),
     )
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(C.table(spark, sf_dir, "documents"))
+    found = mix(C.table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place")
+    )

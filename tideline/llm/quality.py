@@ -119,15 +119,18 @@ def score(model: bytes, texts) -> np.ndarray:
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE, carry: list[str] | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score."""
+    """One row per row of ``docs``: its id, or the columns ``carry``, and _score."""
     rows = labelled.training_rows(docs, labels, label, id_col, text_col, FOLDS, OUT, sample)
-    model = labelled.fit(rows, train)
-    found = labelled.score_all(docs, model, score, id_col, text_col)
-    return found.select(id_col, labelled.held_out(id_col, FOLDS, OUT).alias("held_out"), "score")
+    return labelled.score_all(docs, labelled.fit(rows, train), score, text_col, carry or [id_col])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
-    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return found.select(
+        "doc_id",
+        labelled.held_out("doc_id", FOLDS, OUT).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.7).cast("int").alias("predicted"),
+    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup, toxicity
+from . import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filters": url_filter.op1_url_filters,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
+    "op1_url_filters": url_filter.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_embedding_dedup": embedding_dedup.SQL,

@@ -23,10 +23,14 @@ def training_rows(docs, labels, label: str, id_col: str, text_col: str, folds: i
         .agg(F.max(label).cast("int").alias("y"))
         .where(~held_out("id", folds, out))
     )
+    # the sample is chosen by id; only its own texts are then read into it
+    there = docs.select(F.col(id_col).alias("id")).distinct().join(known, "id")
+    parts = [there.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = rows.join(known, "id")
-    parts = [both.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(most) for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("y", "text")
+    both = rows.join(F.broadcast(chosen), "id")  # at most 2 * most rows are broadcast
+    # ids that repeat in docs could exceed the bound
+    return both.orderBy(F.xxhash64("id"), "id", "text").limit(2 * most).select("y", "text")
 
 
 def fit(sample: DataFrame, train) -> bytes:

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators on sample, class, boundary and label tables."""

@@ -1,10 +1,766 @@
-"""Every registered query with its SQL twin."""
+"""Every registered query with its SQL twin.
+
+A query returns doubles rounded to six places (and -0.0 as 0.0), as its twin does, so
+that the two engines' last bits don't matter.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import boundaries as B
+from ..operators import classify as K
+from ..operators import features as X
+from ..operators import matching as M
+from ..operators import statistics as T
+from ..operators.config import DEFAULT, THRESHOLD_SETS
+from . import fixture, twins
+from .twins import W, frame, r
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+KEY = "transect_id"
+
+
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(f"`{c}`", digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def out(prefix: str, body: str, plain: str, doubles: str = "") -> str:
+    """``plain`` columns as they are and ``doubles`` rounded, from ``body``."""
+    cols = [c for c in [plain, *[r(c) for c in doubles.split()]] if c]
+    return f"{prefix}SELECT {', '.join(cols)} FROM ({body})"
+
+
+# ------------------------------------------------------------------ shared tables
+
+
+def points(s, d, irregular=False):
+    return fixture.spectral_points(s, d, irregular)
+
+
+def feats(s, d, irregular=False):
+    return X.compute_features(points(s, d, irregular))
+
+
+def classes(s, d):
+    return K.smooth_classes(K.classify(feats(s, d)))
+
+
+def manual(s, d):
+    return M.manual_boundaries(fixture.manual_zones(s, d))
+
+
+def unmerged(s, d):
+    """Filtered boundaries without the merging of near ones, which SQL can't follow."""
+    c = classes(s, d)
+    return B.quality_filter(B.add_class_info(B.detect(c), c), c)
+
+
+def matches(s, d):
+    return M.match_transitions(unmerged(s, d), manual(s, d))
+
+
+def labelled(s, d):
+    return M.points_in_zones(feats(s, d), fixture.manual_zones(s, d))
+
+
+# ------------------------------------------------------------- features, windows
+
+NUMBERS = " ".join(c for c in X.FEATURES if not c.startswith("has_"))
+
+
+@query("features", out(twins.featured(), "SELECT * FROM feat", "transect_id, distance, has_oscillations, has_rgb_foam_peak", NUMBERS))
+def _(s, d):
+    return feats(s, d).select(KEY, "distance", *X.FEATURES)
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["features"](spark, sf_dir)
+
+
+@query("features_irregular", out(twins.featured(irregular=True), "SELECT * FROM feat", "transect_id, has_oscillations, has_rgb_foam_peak", "distance " + NUMBERS))
+def _(s, d):
+    return feats(s, d, True).select(KEY, "distance", *X.FEATURES)
+
+
+_SUMMARY = "ndvi ndwi brightness nir_ratio nir_d1 nir_d1_smooth variability slope curvature local_range".split()
+
+
+@query(
+    "feature_summary",
+    out(twins.featured(), " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS lo, max({c}) AS hi FROM feat" for c in _SUMMARY), "feature", "mean std lo hi"),
+)
+def _(s, d):
+    return X.feature_summary(feats(s, d)).withColumnsRenamed({"min": "lo", "max": "hi"})
+
+
+_PAIR_SQL = {
+    "red_blue_ratio": "red / (blue + 1e-10)", "red_nir_ratio": "red / (nir + 1e-10)", "green_blue_ratio": "green / (blue + 1e-10)",
+    "green_nir_ratio": "green / (nir + 1e-10)", "blue_nir_ratio": "blue / (nir + 1e-10)", "red_green_ratio": "red / (green + 1e-10)",
+    "blue_red_ratio": "blue / (red + 1e-10)", "nd_rg": "(red - green) / (red + green + 1e-10)", "nd_rb": "(red - blue) / (red + blue + 1e-10)",
+    "nd_gb": "(green - blue) / (green + blue + 1e-10)",
+}
+
+
+@query(
+    "band_indices",
+    out(
+        twins.base(),
+        "SELECT *, CASE WHEN nir + red > 0 THEN (nir - red) / (nir + red) ELSE 0 END AS ndvi, CASE WHEN green + nir > 0 THEN (green - nir) / (green + nir) ELSE 0 END AS ndwi, "
+        "CASE WHEN red + green + blue + nir > 0 THEN nir / ((red + green + blue + nir) / 4) ELSE 0 END AS nir_ratio4, "
+        + ", ".join(f"{v} AS {k}" for k, v in _PAIR_SQL.items()) + " FROM points",
+        "transect_id, distance",
+        "ndvi ndwi nir_ratio4 " + " ".join(_PAIR_SQL),
+    ),
+)
+def _(s, d):
+    return points(s, d).select(KEY, "distance", *[v.alias(k) for k, v in (X.guarded_indices() | X.pair_columns()).items()])
+
+
+_SIZES = (3, 5, 7, 9, 11)
+
+
+def _rolling_sql() -> str:
+    cols = []
+    for z in _SIZES:
+        fr = frame(-(z // 2), z // 2)
+        for name, f in (("mean", "avg(x)"), ("std", "stddev_samp(x)"), ("min", "min(x)"), ("max", "max(x)")):
+            cols.append(f"CASE WHEN count(*) OVER {fr} = {z} THEN {f} OVER {fr} END AS {name}_{z}")
+        cols.append(f"CASE WHEN count(*) OVER {fr} = {z} THEN max(x) OVER {fr} - min(x) OVER {fr} END AS range_{z}")
+    return f"SELECT transect_id, distance, {', '.join(cols)} FROM (SELECT *, nir::DOUBLE AS x FROM points)"
+
+
+@query("rolling_features", out(twins.base(), _rolling_sql(), "transect_id, distance", " ".join(f"{k}_{z}" for z in _SIZES for k in ("mean", "std", "min", "max", "range"))))
+def _(s, d):
+    return T.rolling_features(points(s, d), "nir", _SIZES)
+
+
+def _sg(x: str, w: str = W) -> str:
+    def at(k):
+        return x if k == 0 else f"{'lag' if k < 0 else 'lead'}({x}, {abs(k)}) OVER ({w})"
+
+    def add(terms):
+        return "(" + " + ".join(f"{c} * {at(k)}" for k, c in terms) + ") / 35"
+
+    ends = {0: (31, 9, -3, -5, 3), 1: (9, 13, 12, 6, -5)}
+    cases = " ".join(
+        f"WHEN i = {p} THEN {add([(k - p, c) for k, c in enumerate(e)])} WHEN i = n - 1 - {p} THEN {add([(p - k, c) for k, c in enumerate(e)])}" for p, e in ends.items()
+    )
+    return f"CASE WHEN n < 5 THEN NULL {cases} ELSE {add([(-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3)])} END"
+
+
+@query(
+    "smoothed_derivatives",
+    out(
+        twins.base(twins.indexed("points", "ix"), f"sg AS (SELECT *, {_sg('nir::DOUBLE')} AS smooth FROM ix)", f"sg1 AS (SELECT *, {twins.grad('smooth')} AS d1 FROM sg)"),
+        f"SELECT *, {twins.grad('d1')} AS d2 FROM sg1", "transect_id, distance", "smooth d1 d2",
+    ),
+)
+def _(s, d):
+    return T.smoothed_derivatives(points(s, d))
+
+
+@query(
+    "multiscale_derivative",
+    out(twins.featured(f"ms AS (SELECT *, {', '.join(f'{twins.uniform('nir_d1', z)} AS w{z}' for z in (1, 3, 5, 7, 9))} FROM feat WHERE transect_id = 0)"),
+        " UNION ALL ".join(f"SELECT distance, 'w{z}' AS size, w{z} AS value FROM ms" for z in (1, 3, 5, 7, 9)), "distance, size", "value"),
+)
+def _(s, d):
+    return T.multiscale_derivative(feats(s, d), 0)
+
+
+@query(
+    "sustained_and_consensus",
+    out(twins.detected(), "SELECT transect_id, distance, hold, bands, vr AS variance_ratio FROM near", "transect_id, distance, hold, bands", "variance_ratio"),
+)
+def _(s, d):
+    f, w = feats(s, d), B.S.series(KEY)
+    v = F.avg("variability")
+    ratio = F.when((F.col("i") >= 5) & (F.col("i") < F.col("n") - 5), v.over(w.rowsBetween(0, 4)) / (v.over(w.rowsBetween(-5, -1)) + 1e-6)).otherwise(0.0)
+    return f.select(KEY, "distance", F.coalesce(B.sustained("nir_d1_w5", -8.0, w), F.lit(False)).alias("hold"), B.consensus(-8.0)[0].alias("bands"), ratio.alias("variance_ratio"))
+
+
+# ---------------------------------------------------------------------- classes
+
+
+@query("classified_points", out(twins.classed(), "SELECT transect_id, distance, raw_class AS predicted_class, class_confidence AS confidence FROM coded", "transect_id, distance, predicted_class", "confidence"))
+def _(s, d):
+    return K.classify(feats(s, d)).select(KEY, "distance", "predicted_class", "confidence")
+
+
+@query("smoothed_classes", twins.classed() + "SELECT transect_id, distance, predicted_class FROM smooth")
+def _(s, d):
+    return classes(s, d).select(KEY, "distance", "predicted_class")
+
+
+_SEGMENTS = """SELECT transect_id, CAST(run AS BIGINT) AS run, any_value(predicted_class) AS predicted_class, min(distance) AS "start", max(distance) AS "end",
+  count(*) AS points, avg(distance) AS centroid, max(distance) - min(distance) AS span FROM runs GROUP BY transect_id, run"""
+
+
+@query("segments", out(twins.classed(twins.RUNS_SQL), _SEGMENTS, 'transect_id, run, predicted_class, "start", "end", points', "centroid span"))
+def _(s, d):
+    return K.segments(classes(s, d))
+
+
+@query("class_distribution", twins.classed() + "SELECT transect_id, predicted_class, count(*) AS points FROM smooth GROUP BY GROUPING SETS ((transect_id, predicted_class), (predicted_class))")
+def _(s, d):
+    return K.class_distribution(classes(s, d))
+
+
+@query("monotonic_relaxed")
+def _(s, d):
+    return K.monotonic_relaxed(classes(s, d)).select(KEY, "distance", "predicted_class")
+
+
+@query("monotonic_strict")
+def _(s, d):
+    return K.monotonic_strict(classes(s, d)).select(KEY, "distance", "predicted_class")
+
+
+@query("short_segment_merge")
+def _(s, d):
+    return K.merge_short_segments(classes(s, d)).select(KEY, "distance", "predicted_class")
+
+
+@query(
+    "zone_vote",
+    twins.detected(
+        """flagged AS (SELECT s.*, f.i IS NOT NULL AS flag FROM smooth s LEFT JOIN (SELECT DISTINCT transect_id, i FROM final) f ON f.transect_id = s.transect_id AND f.i = s.i)""",
+        f"zoned AS (SELECT *, sum(flag::INT) OVER ({W} ROWS UNBOUNDED PRECEDING) AS zone FROM flagged)",
+        "votes AS (SELECT transect_id, zone, predicted_class, count(*) AS votes, min(distance) AS met FROM zoned WHERE predicted_class <> 'UNKNOWN' GROUP BY ALL)",
+        "winner AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transect_id, zone ORDER BY votes DESC, met) AS rn FROM votes) WHERE rn = 1)",
+    )
+    + "SELECT z.transect_id, z.distance, coalesce(w.predicted_class, z.predicted_class) AS predicted_class FROM zoned z LEFT JOIN winner w USING (transect_id, zone)",
+)
+def _(s, d):
+    c = classes(s, d)
+    flagged = B.with_transition_flag(c, B.quality_filter(B.add_class_info(B.detect(c), c), c))
+    return K.vote_by_zone(flagged, "transition_flag").select(KEY, "distance", "predicted_class")
+
+
+@query(
+    "sequence_violations",
+    twins.classed(
+        f"""sided AS (SELECT *, lag(predicted_class) OVER ({W}) AS before, lead(predicted_class) OVER ({W}) AS after FROM smooth)""",
+        """judged AS (SELECT *, coalesce(before <> 'UNKNOWN' AND predicted_class <> 'UNKNOWN' AND before <> predicted_class AND NOT (
+  least(before, predicted_class) || '|' || greatest(before, predicted_class) IN ('DRY_BEACH|VEG_DUNES', 'BEACH_WET|DRY_BEACH', 'BEACH_WET|WATER', 'BEACH_WET|WAVE_CRESTS', 'WATER|WAVE_CRESTS')), false) AS jump,
+  coalesce(before <> predicted_class AND after <> predicted_class, false) AS alone FROM sided)""",
+    )
+    + "SELECT transect_id, distance, before, predicted_class, after, jump, alone FROM judged WHERE jump OR alone",
+)
+def _(s, d):
+    return K.sequence_violations(classes(s, d))
+
+
+@query("clear_context", twins.classed() + f"SELECT transect_id, distance, len(list_distinct(list(predicted_class) OVER {frame(-3, 3)})) <= 2 AS clear FROM smooth")
+def _(s, d):
+    return K.context_is_clear(classes(s, d)).select(KEY, "distance", "clear")
+
+
+# ------------------------------------------------------------------- boundaries
+
+_DET = 'transect_id, i AS "index", distance, detection_method'
+
+
+@query("vegetation_inflection", out(twins.detected(), "SELECT * FROM veg", _DET, "confidence magnitude"))
+def _(s, d):
+    return B.vegetation_inflection(classes(s, d)).select(KEY, "index", "distance", "detection_method", "confidence", "magnitude")
+
+
+@query("surf_foam", out(twins.detected(), "SELECT * FROM surf", _DET, "confidence magnitude"))
+def _(s, d):
+    return B.surf_foam(classes(s, d)).select(KEY, "index", "distance", "detection_method", "confidence", "magnitude")
+
+
+_SCORED = "SELECT *, ndrop AS nir_drop, bb AS brightness_before, nb AS nir_before, vr AS variance_ratio, bands AS bands_agreeing, nir_d1_w5 AS magnitude, hold AS sustained FROM "
+_SCORES = "confidence magnitude nir_drop brightness_before nir_before variance_ratio"
+
+
+@query("dry_wet_strict", out(twins.detected(), _SCORED + "strict", 'transect_id, i AS "index", distance, bands_agreeing, sustained', _SCORES))
+def _(s, d):
+    return B.dry_wet_strict(B.drop_candidates(classes(s, d))).select(KEY, "index", "distance", "bands_agreeing", "sustained", *_SCORES.split())
+
+
+@query("dry_wet_relaxed", out(twins.detected(), _SCORED + "relaxed", 'transect_id, i AS "index", distance, bands_agreeing, sustained', _SCORES))
+def _(s, d):
+    return B.dry_wet_relaxed(B.drop_candidates(classes(s, d))).select(KEY, "index", "distance", "bands_agreeing", "sustained", *_SCORES.split())
+
+
+@query("best_dry_wet", out(twins.detected(), "SELECT * FROM best", _DET + ", detection_mode", "confidence magnitude"))
+def _(s, d):
+    c = B.drop_candidates(classes(s, d))
+    return B.best_dry_wet(B.dry_wet_strict(c), B.dry_wet_relaxed(c)).select(KEY, "index", "distance", "detection_method", "detection_mode", "confidence", "magnitude")
+
+
+@query("boundaries_unmerged", out(twins.detected(), "SELECT * FROM final", _DET + ", detection_mode, from_class, to_class, boundary_type", "confidence magnitude"))
+def _(s, d):
+    return unmerged(s, d).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
+
+
+@query("boundaries")
+def _(s, d):
+    return B.find_transitions(classes(s, d)).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
+
+
+@query("boundaries_merged_by_method")
+def _(s, d):
+    return B.merge_by_method(unmerged(s, d)).select(KEY, "index", "distance", "detection_method", "confidence")
+
+
+@query(
+    "boundary_kinds",
+    twins.detected()
+    + """SELECT detection_method, boundary_type, count(*) AS n, count(*) FILTER (shore) AS shore, count(*) FILTER (water) AS water, count(*) FILTER (veg) AS vegetation
+FROM (SELECT *, boundary_type IN ('DRY_BEACH->BEACH_WET', 'BEACH_WET->DRY_BEACH') OR detection_method IN ('derivative_magnitude', 'derivative_magnitude_relaxed') AS shore,
+  boundary_type IN ('BEACH_WET->WATER', 'WATER->BEACH_WET', 'BEACH_WET->WAVE_CRESTS', 'WAVE_CRESTS->BEACH_WET') AS water,
+  boundary_type IN ('VEG_DUNES->DRY_BEACH', 'DRY_BEACH->VEG_DUNES', 'VEG_DUNES->BEACH_WET', 'BEACH_WET->VEG_DUNES') AS veg FROM final) GROUP BY ALL""",
+)
+def _(s, d):
+    kinds = [F.coalesce(F.sum(v.cast("long")), F.lit(0)).alias(k) for k, v in B.boundary_kinds().items()]
+    return unmerged(s, d).groupBy("detection_method", "boundary_type").agg(F.count(F.lit(1)).alias("n"), *kinds)
+
+
+@query(
+    "per_point_export",
+    out(
+        twins.detected(), """SELECT s.transect_id, s.distance, red, green, blue, nir, predicted_class, class_confidence AS confidence, f.i IS NOT NULL AS transition_flag
+FROM smooth s LEFT JOIN (SELECT DISTINCT transect_id, i FROM final) f ON f.transect_id = s.transect_id AND f.i = s.i""",
+        "transect_id, distance, red, green, blue, nir, predicted_class, transition_flag", "confidence",
+    ),
+)
+def _(s, d):
+    c = classes(s, d)
+    flagged = B.with_transition_flag(c, B.quality_filter(B.add_class_info(B.detect(c), c), c))
+    return flagged.select(KEY, "distance", *X.BANDS, "predicted_class", "confidence", "transition_flag")
+
+
+@query(
+    "processing_stats",
+    out(
+        twins.detected(),
+        """SELECT *, points / transects AS points_per_transect, transitions / transects AS transitions_per_transect FROM
+(SELECT count(DISTINCT transect_id) AS transects, count(*) AS points FROM smooth),
+(SELECT count(*) AS transitions, avg(confidence) AS conf_mean, stddev_pop(confidence) AS conf_std, min(confidence) AS conf_min, max(confidence) AS conf_max FROM final)""",
+        "transects, points, transitions", "conf_mean conf_std conf_min conf_max points_per_transect transitions_per_transect",
+    ),
+)
+def _(s, d):
+    return T.processing_stats(classes(s, d), unmerged(s, d))
+
+
+# --------------------------------------------------------------- labels, matches
+
+
+@query("manual_boundaries", twins.chain(fixture.ZONES_SQL, twins.MANUAL_SQL) + "SELECT transect_id, position, manual_type, seq FROM manual")
+def _(s, d):
+    return manual(s, d)
+
+
+@query("first_dry_wet", twins.chain(fixture.ZONES_SQL, twins.MANUAL_SQL) + "SELECT transect_id, min(position) AS position FROM manual WHERE manual_type = 'BEACH_DRY_to_BEACH_WET' GROUP BY 1")
+def _(s, d):
+    return M.first_dry_wet(fixture.manual_zones(s, d))
+
+
+_MATCH = "transect_id, detected_position, label, manual_position, manual_type, detected_type"
+
+
+@query("match_transitions", out(twins.matched(), "SELECT * FROM matches", _MATCH, "distance_error confidence"))
+def _(s, d):
+    return matches(s, d)
+
+
+_METRICS_SQL = """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (
+SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM (
+SELECT count(*) FILTER (label = 'TP') AS tp, count(*) FILTER (label = 'FP') AS fp, count(*) FILTER (label = 'FN') AS fn,
+avg(distance_error) AS mae, sqrt(avg(distance_error * distance_error)) AS rmse FROM matches))"""
+
+
+@query("match_metrics", out(twins.matched(), _METRICS_SQL, "tp, fp, fn", "mae rmse precision recall f1"))
+def _(s, d):
+    return M.metrics(matches(s, d))
+
+
+_VERDICT_SQL = """
+bestd AS (SELECT transect_id, distance AS detected_location, confidence FROM (SELECT *, row_number() OVER (PARTITION BY transect_id ORDER BY confidence DESC, distance) AS rn FROM final) WHERE rn = 1),
+truth AS (SELECT transect_id, min(position) AS position FROM manual WHERE manual_type = 'BEACH_DRY_to_BEACH_WET' GROUP BY 1),
+verdicts AS (
+  SELECT transect_id, position AS manual_location, detected_location, abs(detected_location - position) AS error_m, confidence,
+    CASE WHEN detected_location IS NULL THEN 'FALSE_NEGATIVE' WHEN abs(detected_location - position) <= 5 THEN 'CORRECT'
+         WHEN abs(detected_location - position) <= 10 THEN 'LOCALIZATION_ERROR' ELSE 'FALSE_POSITIVE' END AS result
+  FROM truth LEFT JOIN bestd USING (transect_id)
+)"""
+
+
+def verdicts(s, d):
+    return M.categories(unmerged(s, d), M.first_dry_wet(fixture.manual_zones(s, d)))
+
+
+@query("match_categories", out(twins.detected(fixture.ZONES_SQL, twins.MANUAL_SQL, _VERDICT_SQL), "SELECT * FROM verdicts", "transect_id, manual_location, detected_location, result", "error_m confidence"))
+def _(s, d):
+    return verdicts(s, d)
+
+
+@query(
+    "category_metrics",
+    out(
+        twins.detected(fixture.ZONES_SQL, twins.MANUAL_SQL, _VERDICT_SQL),
+        """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (SELECT *,
+CASE WHEN correct + near + false_pos > 0 THEN correct / (correct + near + false_pos) ELSE 0 END AS precision,
+CASE WHEN correct + false_neg > 0 THEN correct / (correct + false_neg) ELSE 0 END AS recall FROM (
+SELECT count(*) FILTER (result = 'CORRECT') AS correct, count(*) FILTER (result = 'LOCALIZATION_ERROR') AS near, count(*) FILTER (result = 'FALSE_NEGATIVE') AS false_neg,
+count(*) FILTER (result = 'FALSE_POSITIVE') AS false_pos, count(*) AS total, avg(error_m) AS avg_error FROM verdicts))""",
+        "correct, near, false_neg, false_pos, total", "avg_error precision recall f1",
+    ),
+)
+def _(s, d):
+    return M.category_metrics(verdicts(s, d))
+
+
+@query(
+    "shell_line_metrics",
+    out(
+        twins.detected(fixture.ZONES_SQL, twins.MANUAL_SQL, _VERDICT_SQL),
+        """SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN total > 0 THEN (tp + loc) / total ELSE 0 END AS recall FROM (
+SELECT count(*) FILTER (result = 'CORRECT') AS tp, count(*) FILTER (result = 'LOCALIZATION_ERROR') AS loc, count(*) FILTER (result = 'FALSE_POSITIVE') AS fp, count(*) AS total,
+avg(error_m) AS mean_error, median(error_m) AS median_error, stddev_pop(error_m) AS std_error, max(error_m) AS max_error FROM verdicts)""",
+        "tp, loc, fp, total", "mean_error median_error std_error max_error precision recall",
+    ),
+)
+def _(s, d):
+    return M.shell_line_metrics(verdicts(s, d))
+
+
+@query("detected_flags", twins.matched() + """SELECT transect_id, position, manual_type, seq, EXISTS (SELECT 1 FROM matches x WHERE x.label = 'TP' AND x.transect_id = m.transect_id AND abs(x.detected_position - m.position) < 10) AS detected FROM manual m""")
+def _(s, d):
+    return M.detected_flags(manual(s, d), matches(s, d))
+
+
+@query("threshold_sweep")
+def _(s, d):
+    return M.sweep(feats(s, d), manual(s, d))
+
+
+@query("threshold_optimum")
+def _(s, d):
+    return M.optimum(M.sweep(feats(s, d), manual(s, d)))
+
+
+@query("threshold_sets")
+def _(s, d):
+    c, out_ = classes(s, d), None
+    for name, changes in THRESHOLD_SETS.items():
+        config = DEFAULT.but(**changes)
+        found = B.quality_filter(B.add_class_info(B.detect(c, config), c), c, config)
+        v = M.category_metrics(M.categories(found, M.first_dry_wet(fixture.manual_zones(s, d)))).withColumn("threshold_set", F.lit(name))
+        out_ = v if out_ is None else out_.unionByName(v)
+    return out_
+
+
+@query(
+    "confusion_matrix",
+    twins.matched("tps AS (SELECT manual_type, detected_type FROM matches WHERE label = 'TP')", "lab AS (SELECT manual_type AS l FROM tps UNION SELECT detected_type FROM tps WHERE detected_type IS NOT NULL)")
+    + "SELECT a.l AS manual_type, b.l AS detected_type, (SELECT count(*) FROM tps WHERE tps.manual_type = a.l AND tps.detected_type = b.l) AS n FROM lab a, lab b",
+)
+def _(s, d):
+    return M.confusion(matches(s, d))
+
+
+@query(
+    "error_distribution",
+    out(
+        twins.matched(), """SELECT avg(e) AS mae, sqrt(avg(e * e)) AS rmse, median(e) AS median, stddev_pop(e) AS std, avg(e) > 1 AS biased,
+100 * avg((e <= 5)::INT::DOUBLE) AS pct_5, 100 * avg((e <= 10)::INT::DOUBLE) AS pct_10 FROM (SELECT distance_error AS e FROM matches WHERE label = 'TP')""", "biased", "mae rmse median std pct_5 pct_10",
+    ),
+)
+def _(s, d):
+    return M.error_distribution(matches(s, d))
+
+
+@query("error_ecdf", out(twins.matched(), "SELECT DISTINCT distance_error, cume_dist() OVER (ORDER BY distance_error) AS share FROM matches WHERE label = 'TP'", "", "distance_error share"))
+def _(s, d):
+    return M.error_ecdf(matches(s, d))
+
+
+# -------------------------------------------------------------------- statistics
+
+_IN_ZONE = """
+labelled AS (SELECT * FROM (
+  SELECT p.*, z.zone_order, z.zone_class, row_number() OVER (PARTITION BY p.transect_id, p.distance ORDER BY z.zone_order) AS rn
+  FROM feat p JOIN zones z ON z.transect_id = p.transect_id AND p.distance BETWEEN z.zstart AND z.zend) WHERE rn = 1)"""
+_CF = T.CLASS_FEATURES
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT zone_class AS class, '{c}' AS feature, {c}::DOUBLE AS value FROM labelled" for c in _CF) + ")"
+
+
+@query("points_in_zones", twins.featured(fixture.ZONES_SQL, _IN_ZONE) + "SELECT transect_id, distance, zone_order, zone_class FROM labelled")
+def _(s, d):
+    return labelled(s, d).select(KEY, "distance", "zone_order", "zone_class")
+
+
+@query(
+    "class_statistics",
+    out(twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG), "SELECT feature, class, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS lo, max(value) AS hi, count(*) AS n FROM long GROUP BY ALL", "feature, class, n", "mean std lo hi"),
+)
+def _(s, d):
+    return T.class_statistics(labelled(s, d)).withColumnsRenamed({"min": "lo", "max": "hi"})
+
+
+def _disc_sql() -> str:
+    pick = ", ".join(f"max(CASE WHEN class = '{c}' THEN {x} END) AS {x}_{c}" for c in ("VEGETATED_DUNES", "BEACH_DRY", "BEACH_WET", "WATER") for x in ("n", "m", "v"))
+    effects = ", ".join(
+        f"abs((m_{a} - m_{b}) / sqrt(((n_{a} - 1) * v_{a} + (n_{b} - 1) * v_{b}) / (n_{a} + n_{b} - 2))) AS {name}_effect" for name, a, b in T.PAIRS
+    )
+    return f"""SELECT *, (dry_wet_effect + wet_water_effect + veg_dry_effect) / 3 AS overall_discriminability FROM (
+SELECT feature, (ssb / (k - 1)) / (ssw / (total - k)) AS f_statistic, {effects} FROM (
+SELECT feature, sum(n * (m - g) * (m - g)) AS ssb, sum((n - 1) * v) AS ssw, sum(n) AS total, count(*) AS k, {pick} FROM (
+SELECT *, sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS g FROM (
+SELECT feature, class, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM long WHERE value IS NOT NULL GROUP BY ALL)) GROUP BY feature))"""
+
+
+@query("discriminability", out(twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG), _disc_sql(), "feature", "f_statistic dry_wet_effect wet_water_effect veg_dry_effect overall_discriminability"))
+def _(s, d):
+    return T.discriminability(labelled(s, d)).drop("p_value", "rank")
+
+
+@query("discriminability_ranked")
+def _(s, d):
+    return T.discriminability(labelled(s, d)).select("feature", "p_value", "rank")
+
+
+@query(
+    "separability",
+    out(
+        twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG),
+        "SELECT feature, (max(mean) - min(mean)) / avg(std) AS separability FROM (SELECT feature, class, avg(value) AS mean, stddev_samp(value) AS std FROM long GROUP BY ALL) GROUP BY feature ORDER BY separability DESC, feature LIMIT 15",
+        "feature", "separability",
+    ),
+)
+def _(s, d):
+    return T.separability(labelled(s, d))
+
+
+_CORR = "red green blue nir brightness ndvi ndwi nir_ratio variability curvature".split()
+
+
+@query(
+    "correlation_matrix",
+    out(twins.featured(), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}::DOUBLE, {b}::DOUBLE) AS r FROM feat" for k, a in enumerate(_CORR) for b in _CORR[k:]), "a, b", "r"),
+)
+def _(s, d):
+    return T.correlation_matrix(feats(s, d), _CORR)
+
+
+@query(
+    "five_numbers",
+    out(
+        twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG),
+        "SELECT feature, class, min(value) AS lo, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS hi, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM long GROUP BY ALL",
+        "feature, class, n", "lo q1 median q3 hi mean std",
+    ),
+)
+def _(s, d):
+    return T.five_numbers(labelled(s, d), _CF).withColumnsRenamed({"min": "lo", "max": "hi"})
+
+
+_LEVELS = {"nir_ratio": 0.8, "brightness": 195.0, "variability": 10.0, "ndwi": 0.25}
+
+
+@query(
+    "threshold_coverage",
+    out(
+        twins.featured(),
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, {x}::DOUBLE AS level, {', '.join(f'quantile_cont({c}, {p / 100}) AS p{p}' for p in (5, 25, 50, 75, 95))}, 100 * avg(({c} >= {x})::INT::DOUBLE) AS pct_covered FROM feat" for c, x in _LEVELS.items()
+        ),
+        "feature, level", "p5 p25 p50 p75 p95 pct_covered",
+    ),
+)
+def _(s, d):
+    return T.threshold_coverage(feats(s, d), _LEVELS)
+
+
+def _slice(table: str, name: str, inset: float = 0) -> str:
+    on = f"p.distance >= z.zstart + {inset} AND p.distance < z.zend - {inset}" if inset else "p.distance BETWEEN z.zstart AND z.zend"
+    return f"{name} AS (SELECT p.*, z.zone_order, z.zone_class, z.zstart, z.zend FROM {table} p JOIN zones z ON z.transect_id = p.transect_id AND {on})"
+
+
+_ZD = "PARTITION BY transect_id, zone_order ORDER BY distance"
+
+
+@query(
+    "zone_derivatives",
+    out(
+        twins.featured(
+            fixture.ZONES_SQL, _slice("feat", "sl0"),
+            f"sl AS (SELECT *, nir_d1_smooth < -3 AS below FROM sl0)", f"sl1 AS (SELECT *, (below <> lag(below) OVER ({_ZD}))::INT AS ch FROM sl)",
+            f"sl2 AS (SELECT *, sum(coalesce(ch, 0)) OVER ({_ZD} ROWS UNBOUNDED PRECEDING) AS run FROM sl1)",
+            "lr AS (SELECT transect_id, zone_order, count(*) AS sustained_drops FROM (SELECT transect_id, zone_order, run, count(*) AS c FROM sl2 WHERE below GROUP BY ALL) WHERE c >= 3 GROUP BY ALL)",
+            """zs AS (SELECT transect_id, zone_order, zone_class, zstart, zend, count(*) AS num_points, avg(red_d1) AS red_d1_mean, avg(green_d1) AS green_d1_mean, avg(blue_d1) AS blue_d1_mean, avg(nir_d1) AS nir_d1_mean,
+  stddev_samp(nir_d1) AS nir_d1_std, min(nir_d1) AS nir_d1_min, max(nir_d1) AS nir_d1_max, count(*) FILTER (below) AS threshold_crossings, stddev_samp(nir) / avg(nir) AS nir_cv,
+  stddev_samp(brightness) / avg(brightness) AS brightness_cv, regr_slope(nir, distance) AS nir_slope, regr_r2(nir, distance) AS nir_r_squared, regr_slope(brightness, distance) AS brightness_slope FROM sl GROUP BY ALL)""",
+        ),
+        """SELECT zs.*, coalesce(sustained_drops, 0) AS sustained_drops, zend - zstart AS span, threshold_crossings / num_points AS crossing_rate,
+  greatest(red_d1_mean, green_d1_mean, blue_d1_mean, nir_d1_mean) < 0 OR least(red_d1_mean, green_d1_mean, blue_d1_mean, nir_d1_mean) > 0 AS derivative_alignment
+FROM zs LEFT JOIN lr USING (transect_id, zone_order) WHERE num_points >= 3""",
+        "transect_id, zone_order, zone_class, num_points, threshold_crossings, sustained_drops, derivative_alignment",
+        "red_d1_mean green_d1_mean blue_d1_mean nir_d1_mean nir_d1_std nir_d1_min nir_d1_max nir_cv brightness_cv nir_slope nir_r_squared brightness_slope span crossing_rate",
+    ),
+)
+def _(s, d):
+    return T.zone_derivatives(feats(s, d), fixture.manual_zones(s, d)).drop("zone_start", "zone_end")
+
+
+@query("zone_hypotheses")
+def _(s, d):
+    return T.hypotheses(T.zone_derivatives(feats(s, d), fixture.manual_zones(s, d)))
+
+
+@query("dominant_frequency")
+def _(s, d):
+    return T.dominant_frequency(points(s, d), fixture.manual_zones(s, d))
+
+
+@query(
+    "snr_by_zone",
+    out(
+        twins.base(fixture.ZONES_SQL, _slice("points", "sl"), "bl AS (" + " UNION ALL ".join(f"SELECT transect_id, zone_order, zone_class, '{b}' AS band, {b}::DOUBLE AS v FROM sl" for b in X.BANDS) + ")"),
+        "SELECT transect_id, zone_order, zone_class, band, CASE WHEN stddev_pop(v) > 0 THEN 20 * log10(avg(v) / stddev_pop(v)) ELSE 'infinity'::DOUBLE END AS snr_db FROM bl GROUP BY ALL HAVING count(*) >= 5",
+        "transect_id, zone_order, zone_class, band", "snr_db",
+    ),
+)
+def _(s, d):
+    return T.snr(points(s, d), fixture.manual_zones(s, d))
+
+
+_SECTION = twins.base(
+    fixture.ZONES_SQL, _slice("points", "sl0", 5), "sl AS (SELECT *, (red::DOUBLE + green + blue + nir) / 4 AS brightness FROM sl0)",
+    "bl AS (" + " UNION ALL ".join(f"SELECT transect_id, zone_order, zone_class, '{b}' AS band, {b}::DOUBLE AS v FROM sl" for b in (*X.BANDS, "brightness")) + ")",
+    "mo AS (SELECT transect_id, zone_order, band, avg(v) AS m FROM bl GROUP BY ALL)",
+    """prof AS (SELECT bl.transect_id, bl.zone_order, zone_class, bl.band, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS lo, max(v) AS hi, median(v) AS median,
+  quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, avg((v - m) ** 3) / nullif(avg((v - m) ** 2), 0) ** 1.5 AS sk, avg((v - m) ** 4) / nullif(avg((v - m) ** 2), 0) ** 2 - 3 AS ku
+  FROM bl JOIN mo USING (transect_id, zone_order, band) GROUP BY ALL)""",
+)
+
+
+def profiles(s, d):
+    return T.section_profiles(points(s, d), fixture.manual_zones(s, d))
+
+
+@query(
+    "section_profiles",
+    out(
+        _SECTION, "SELECT *, q75 - q25 AS iqr, hi - lo AS range, CASE WHEN mean <> 0 THEN std / mean END AS cv, CASE WHEN n > 3 AND std > 0 THEN sk END AS skewness, CASE WHEN n > 3 AND std > 0 THEN ku END AS kurtosis FROM prof",
+        "transect_id, zone_order, zone_class, band, n", "mean std lo hi median q25 q75 iqr range cv skewness kurtosis",
+    ),
+)
+def _(s, d):
+    return profiles(s, d).withColumnsRenamed({"min": "lo", "max": "hi"})
+
+
+@query(
+    "profile_summary",
+    out(
+        _SECTION, "SELECT zone_class, band, avg(mean) AS mean_of_means, stddev_samp(mean) AS std_of_means, min(mean) AS min_mean, max(mean) AS max_mean, median(mean) AS median_mean, count(*) AS n_sections FROM prof GROUP BY ALL",
+        "zone_class, band, n_sections", "mean_of_means std_of_means min_mean max_mean median_mean",
+    ),
+)
+def _(s, d):
+    return T.profile_summary(profiles(s, d))
+
+
+@query(
+    "section_correlations",
+    out(
+        _SECTION, "SELECT transect_id, zone_order, zone_class, count(*) AS n, " + ", ".join(f"corr({a}::DOUBLE, {b}::DOUBLE) AS corr_{a}_{b}" for a, b in (("red", "green"), ("red", "nir"), ("green", "blue"), ("blue", "nir")))
+        + " FROM sl GROUP BY ALL HAVING count(*) > 3", "transect_id, zone_order, zone_class, n", "corr_red_green corr_red_nir corr_green_blue corr_blue_nir",
+    ),
+)
+def _(s, d):
+    return T.section_correlations(points(s, d), fixture.manual_zones(s, d))
+
+
+_AROUND = """around AS (SELECT f.*, m.seq, m.manual_type, m.position, f.distance - m.position AS off FROM feat f JOIN manual m ON m.transect_id = f.transect_id AND abs(f.distance - m.position) <= 10)"""
+
+
+@query(
+    "boundary_profile",
+    out(
+        twins.featured(fixture.ZONES_SQL, twins.MANUAL_SQL, _AROUND, "bl AS (" + " UNION ALL ".join(f"SELECT manual_type, off, '{b}' AS band, {b}::DOUBLE AS v FROM around" for b in X.BANDS) + ")"),
+        'SELECT manual_type, off AS "offset", band, avg(v) AS mean, stddev_samp(v) AS std, count(v) AS n FROM bl GROUP BY ALL', 'manual_type, "offset", band, n', "mean std",
+    ),
+)
+def _(s, d):
+    return T.boundary_profile(points(s, d), manual(s, d))
+
+
+_BC = [f"{b}_{x}" for b in X.BANDS for x in ("before", "after")]
+
+
+@query(
+    "boundary_changes",
+    out(
+        twins.featured(fixture.ZONES_SQL, twins.MANUAL_SQL, _AROUND),
+        "SELECT *, " + ", ".join(f"{b}_after - {b}_before AS {b}_change, CASE WHEN {b}_before <> 0 THEN 100 * ({b}_after - {b}_before) / {b}_before END AS {b}_change_pct" for b in X.BANDS)
+        + " FROM (SELECT transect_id, seq, manual_type, " + ", ".join(f"avg({b}) FILTER (off < 0) AS {b}_before, avg({b}) FILTER (off >= 0) AS {b}_after" for b in X.BANDS)
+        + ", avg(nir_d1) AS nir_d1_mean, max(abs(nir_d1)) AS nir_d1_max_abs, max(abs(nir_d2_w5)) AS nir_d2_max_abs, count(*) AS n FROM around GROUP BY ALL)",
+        "transect_id, seq, manual_type, n", " ".join(_BC + [f"{b}_change{x}" for b in X.BANDS for x in ("", "_pct")]) + " nir_d1_mean nir_d1_max_abs nir_d2_max_abs",
+    ),
+)
+def _(s, d):
+    return T.boundary_changes(feats(s, d), manual(s, d))
+
+
+@query("transition_characteristics")
+def _(s, d):
+    return T.transition_characteristics(feats(s, d), manual(s, d))
+
+
+@query("transition_summary")
+def _(s, d):
+    return T.transition_summary(T.transition_characteristics(feats(s, d), manual(s, d)), ["nir_drop", "nir_d1_min", "width", "asymmetry", "band_synchrony", "variability_ratio", "longest_run"])
+
+
+@query("multiscale_profiles")
+def _(s, d):
+    return T.multiscale_profiles(points(s, d), M.detected_flags(manual(s, d), matches(s, d)))
+
+
+@query("smoothing_methods")
+def _(s, d):
+    return T.smoothing_methods(points(s, d), manual(s, d))
+
+
+_WIN = """win0 AS (SELECT f.*, m.label, m.detected_position AS centre FROM feat f JOIN matches m ON m.transect_id = f.transect_id AND m.detected_position IS NOT NULL AND abs(f.distance - m.detected_position) <= 5),
+win AS (SELECT transect_id, centre, label, """ + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in ("nir_d1_smooth", "nir", "brightness", "ndvi", "ndwi")) + """,
+  min(nir_d1_smooth) AS nir_d1_min, max(variability) AS variability_max, avg(variability) AS variability_mean, arg_min(nir, distance) - arg_max(nir, distance) AS nir_drop FROM win0 GROUP BY ALL)"""
+
+
+@query("window_features", out(twins.matched(_WIN), "SELECT * FROM win", "transect_id, centre, label", " ".join(T.WINDOW_FEATURES)))
+def _(s, d):
+    return T.window_features(feats(s, d), matches(s, d))
 
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(10)
+@query(
+    "tp_fp_comparison",
+    out(
+        twins.matched(_WIN, "wl AS (" + " UNION ALL ".join(f"SELECT label, '{c}' AS feature, {c}::DOUBLE AS value FROM win" for c in T.WINDOW_FEATURES) + ")"),
+        """SELECT *, tp_mean - fp_mean AS difference, coalesce(CASE WHEN n1 > 0 AND n2 > 0 AND sqrt(((n1 - 1) * tp_std * tp_std + (n2 - 1) * fp_std * fp_std) / (n1 + n2 - 2)) > 0
+  THEN abs((tp_mean - fp_mean) / sqrt(((n1 - 1) * tp_std * tp_std + (n2 - 1) * fp_std * fp_std) / (n1 + n2 - 2))) ELSE 0 END, 0) AS effect_size FROM (
+SELECT feature, avg(value) FILTER (label = 'TP') AS tp_mean, stddev_samp(value) FILTER (label = 'TP') AS tp_std, avg(value) FILTER (label = 'FP') AS fp_mean, stddev_samp(value) FILTER (label = 'FP') AS fp_std,
+  count(value) FILTER (label = 'TP') AS n1, count(value) FILTER (label = 'FP') AS n2 FROM wl GROUP BY feature) WHERE n2 > 0""",
+        "feature", "tp_mean tp_std fp_mean fp_std difference effect_size",
+    ),
+)
+def _(s, d):
+    return T.compare_tp_fp(T.window_features(feats(s, d), matches(s, d)), T.WINDOW_FEATURES)

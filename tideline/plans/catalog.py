@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..operators import boundaries as B
 from ..operators import classify as K
 from ..operators import features as X
+from ..operators import geometry as G
 from ..operators import matching as M
 from ..operators import statistics as T
 from ..operators.config import DEFAULT, THRESHOLD_SETS
+from ..sources import writers
 from . import fixture, twins
 from .twins import W, frame, r
 
@@ -64,7 +66,7 @@ def manual(s, d):
 
 def unmerged(s, d):
     """Filtered boundaries without the merging of near ones, which SQL can't follow."""
-    c = classes(s, d)
+    c = classes(s, d).persist()  # four detectors and the class lookup read it
     return B.quality_filter(B.add_class_info(B.detect(c), c), c)
 
 
@@ -311,7 +313,7 @@ def _(s, d):
 
 @query("boundaries")
 def _(s, d):
-    return B.find_transitions(classes(s, d)).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
+    return B.find_transitions(classes(s, d).persist()).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
 
 
 @query("boundaries_merged_by_method")
@@ -459,7 +461,7 @@ def _(s, d):
 
 @query("threshold_sets")
 def _(s, d):
-    c, out_ = classes(s, d), None
+    c, out_ = classes(s, d).persist(), None
     for name, changes in THRESHOLD_SETS.items():
         config = DEFAULT.but(**changes)
         found = B.quality_filter(B.add_class_info(B.detect(c, config), c), c, config)
@@ -764,3 +766,91 @@ SELECT feature, avg(value) FILTER (label = 'TP') AS tp_mean, stddev_samp(value)
 )
 def _(s, d):
     return T.compare_tp_fp(T.window_features(feats(s, d), matches(s, d)), T.WINDOW_FEATURES)
+
+
+# ---------------------------------------------------------------- lines and tiles
+
+_LINES = twins.chain(fixture.LINES_SQL)
+
+
+@query("line_directions", _LINES + "SELECT transect_id, CASE WHEN transect_id % 3 = 0 THEN 'west_to_east' ELSE 'east_to_west' END AS direction FROM ids")
+def _(s, d):
+    return G.directions(fixture.lines(s, d))
+
+
+@query("line_points", out(_LINES, "SELECT * FROM dense", "transect_id", "distance x y"))
+def _(s, d):
+    return G.densify(fixture.lines(s, d))
+
+
+@query(
+    "tile_overlap",
+    _LINES
+    + """SELECT DISTINCT transect_id, raster_id, raster_id AS priority FROM seg, tile
+WHERE greatest(0, least((l - x0) / nullif(x1 - x0, 0), (r - x0) / nullif(x1 - x0, 0)), least((b - y0) / nullif(y1 - y0, 0), (t - y0) / nullif(y1 - y0, 0)))
+   <= least(1, greatest((l - x0) / nullif(x1 - x0, 0), (r - x0) / nullif(x1 - x0, 0)), greatest((b - y0) / nullif(y1 - y0, 0), (t - y0) / nullif(y1 - y0, 0)))
+  AND (x1 <> x0 OR x0 BETWEEN l AND r) AND (y1 <> y0 OR y0 BETWEEN b AND t)""",
+)
+def _(s, d):
+    return G.overlapping_tiles(fixture.lines(s, d), fixture.tiles(s, d), 100.0)
+
+
+@query(
+    "line_samples",
+    out(
+        twins.chain(
+            fixture.LINES_SQL,
+            """px AS (SELECT transect_id, distance, raster_id, floor(t - y)::BIGINT * 7 + floor(x - l)::BIGINT * 3 + raster_id AS v FROM dense JOIN tile ON x BETWEEN l AND r AND y BETWEEN b AND t
+  WHERE floor(t - y) BETWEEN 0 AND 100 AND floor(x - l) BETWEEN 0 AND 49)""",
+            "good AS (SELECT *, row_number() OVER (PARTITION BY transect_id, distance ORDER BY raster_id) AS rn FROM px WHERE v % 251 <> 0 AND v * 2 % 251 <> 0 AND v * 3 % 251 <> 0 AND v * 5 % 251 <> 0)",
+        ),
+        "SELECT transect_id, distance, (v % 251)::INT AS red, (v * 2 % 251)::INT AS green, (v * 3 % 251)::INT AS blue, (v * 5 % 251)::INT AS nir FROM good WHERE rn = 1",
+        "transect_id, red, green, blue, nir", "distance",
+    ),
+)
+def _(s, d):
+    return G.sample_transects(fixture.lines(s, d), fixture.tiles(s, d), fixture.pixels(s, d), "west_to_east").drop("x", "y")
+
+
+@query(
+    "evenly_spaced",
+    _LINES + "SELECT transect_id FROM (SELECT transect_id, row_number() OVER (ORDER BY transect_id) - 1 AS p, count(*) OVER () AS n FROM ids) WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda j: (j * (n - 1)) // 4), p)",
+)
+def _(s, d):
+    return G.evenly_spaced(fixture.lines(s, d))
+
+
+@query("random_transects")
+def _(s, d):
+    return G.random_transects(fixture.lines(s, d), 10, 321197).select(KEY)
+
+
+# ------------------------------------------------------------------- plot tables
+
+
+@query("class_spans", out(twins.classed(twins.RUNS_SQL), _SEGMENTS, 'transect_id, "start", "end", predicted_class', "centroid"))
+def _(s, d):
+    return writers.class_spans(K.segments(classes(s, d)))
+
+
+@query(
+    "band_range",
+    out(
+        twins.base("v AS (" + " UNION ALL ".join(f"SELECT transect_id, {b}::DOUBLE AS v FROM points" for b in X.BANDS) + ")"),
+        "SELECT transect_id, quantile_cont(v, 0.01) - 20 AS low, quantile_cont(v, 0.99) + 20 AS high FROM v GROUP BY 1", "transect_id", "low high",
+    ),
+)
+def _(s, d):
+    return writers.band_range(points(s, d))
+
+
+@query(
+    "run_summary",
+    twins.detected()
+    + """SELECT transect_id, map_from_entries(list({'k': predicted_class, 'v': n} ORDER BY predicted_class))::VARCHAR AS classes, CAST(sum(n) AS BIGINT) AS points, any_value(lo) AS "start", any_value(hi) AS "end", coalesce(any_value(tr), 0) AS transitions
+FROM (SELECT transect_id, predicted_class, count(*) AS n FROM smooth GROUP BY ALL) JOIN ends USING (transect_id) LEFT JOIN (SELECT transect_id, count(*) AS tr FROM final GROUP BY 1) USING (transect_id) GROUP BY transect_id""",
+)
+def _(s, d):
+    c = writers.summary(classes(s, d), unmerged(s, d))
+    entries = F.transform(F.array_sort(F.map_entries("classes")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return c.withColumn("classes", F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")))

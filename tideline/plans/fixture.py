@@ -98,3 +98,51 @@ zone_base AS (
     UNION ALL SELECT transect_id, last, 3, e3 + b, last, 'WATER' FROM zone_edges
   ) WHERE least(hi, last) > least(lo, last)
 )"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each transect: straight for every third, else with a bend and running west."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(f"event_id div {LENGTH}").alias("transect_id")).distinct()
+    y = F.col("transect_id") * 10.0
+
+    def points(*xy):
+        return F.array(*[F.struct(F.lit(float(x)).alias("x"), (y + float(dy)).alias("y")) for x, dy in xy])
+
+    straight, bent = points((0, 0), (30, 40)), points((40, 0), (10, 40), (10, 45.5))
+    return t.select("transect_id", F.when(F.col("transect_id") % 3 == 0, straight).otherwise(bent).alias("points"))
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 50 x 100 m over the lines, one above the other and overlapping by a row."""
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.expr(f"max(event_id div {LENGTH}) div 10 + 1").alias("m"))
+    k = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("raster_id"))
+    return k.select(
+        "raster_id", F.col("raster_id").alias("priority"), F.lit(0.0).alias("left"), (F.col("raster_id") * 100 + 100.0).alias("top"), F.lit(1.0).alias("res"),
+        F.lit(50).alias("width"), F.lit(101).alias("height"), F.lit(0).alias("nodata"),
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tiles(spark, sf_dir).select("raster_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("row"))
+    p = p.select("raster_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("col"))
+    v = F.col("row") * 7 + F.col("col") * 3 + F.col("raster_id")
+    return p.select("raster_id", "row", "col", *[((v * m) % 251).cast("int").alias(b) for b, m in (("red", 1), ("green", 2), ("blue", 3), ("nir", 5))])
+
+
+LINES_SQL = f"""
+ids AS (SELECT DISTINCT event_id // {LENGTH} AS transect_id FROM events),
+vertex AS (
+  SELECT transect_id, k, x, transect_id * 10.0::DOUBLE + dy AS y FROM ids JOIN (VALUES (0, 0, 0.0, 0.0), (0, 1, 30.0, 40.0), (1, 0, 40.0, 0.0), (1, 1, 10.0, 40.0), (1, 2, 10.0, 45.5)) v(kind, k, x, dy)
+  ON v.kind = (transect_id % 3 <> 0)::INT
+), seg0 AS (
+  SELECT transect_id, k AS seg, x::DOUBLE AS x0, y::DOUBLE AS y0, lead(x::DOUBLE) OVER (PARTITION BY transect_id ORDER BY k) AS x1, lead(y::DOUBLE) OVER (PARTITION BY transect_id ORDER BY k) AS y1 FROM vertex
+), seg1 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length FROM seg0 WHERE x1 IS NOT NULL),
+seg AS (SELECT *, sum(length) OVER (PARTITION BY transect_id ORDER BY seg) AS stop, sum(length) OVER (PARTITION BY transect_id) AS total, seg = max(seg) OVER (PARTITION BY transect_id) AS is_last FROM seg1),
+dist AS (
+  SELECT *, unnest(range(ceil(stop - length)::BIGINT, ceil(stop)::BIGINT))::DOUBLE AS distance FROM seg UNION ALL SELECT *, total FROM seg WHERE is_last
+), dense AS (
+  SELECT transect_id, distance, x0 + (distance - (stop - length)) / length * (x1 - x0) AS x, y0 + (distance - (stop - length)) / length * (y1 - y0) AS y FROM dist
+), tile AS (
+  SELECT raster_id, 0.0 AS l, raster_id * 100 + 100.0 AS t, 50.0 AS r, raster_id * 100 - 1.0 AS b
+  FROM (SELECT unnest(range(0, (SELECT max(event_id // {LENGTH}) // 10 + 2 FROM events))) AS raster_id)
+)"""

@@ -29,12 +29,12 @@ def indexed(df: DataFrame, w: WindowSpec) -> DataFrame:
 
 def gradient(f, w: WindowSpec, d="distance") -> Column:
     """Second-order central differences on uneven spacing, one-sided at the ends; null
-    for a series of one point."""
+    for a series of one point and where two distances are equal."""
     f, d = F.col(f) if isinstance(f, str) else f, F.col(d) if isinstance(d, str) else d
     fm, fp, dm, dp = F.lag(f).over(w), F.lead(f).over(w), F.lag(d).over(w), F.lead(d).over(w)
     h0, h1 = d - dm, dp - d
-    inner = (h0 * h0 * fp + (h1 * h1 - h0 * h0) * f - h1 * h1 * fm) / (h0 * h1 * (h0 + h1))
-    return F.when(dm.isNull(), (fp - f) / h1).when(dp.isNull(), (f - fm) / h0).otherwise(inner)
+    inner = F.try_divide(h0 * h0 * fp + (h1 * h1 - h0 * h0) * f - h1 * h1 * fm, h0 * h1 * (h0 + h1))
+    return F.when(dm.isNull(), F.try_divide(fp - f, h1)).when(dp.isNull(), F.try_divide(f - fm, h0)).otherwise(inner)
 
 
 def gradient_by_index(f, w: WindowSpec) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import series as S
@@ -35,7 +36,7 @@ def class_statistics(labelled: DataFrame, features: list[str] = CLASS_FEATURES,
 
 
 def cohens_d(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> Column:
-    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2))
     return F.when((n1 > 0) & (n2 > 0) & (pooled > 0), (m1 - m2) / pooled).otherwise(0.0)
 
 
@@ -69,7 +70,7 @@ def _beta_tail(f: float, d1: float, d2: float) -> float:
     return 1 - p if flip else p
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([np.nan if not np.isfinite(x) else _beta_tail(x, a, b) for x, a, b in zip(f, d1, d2)])
 
@@ -98,7 +99,7 @@ def discriminability(labelled: DataFrame, features: list[str] = CLASS_FEATURES,
         sums.append(F.abs(d).alias(f"{name}_effect"))
     out = s.groupBy("feature").agg(*sums)
     d1, d2 = F.col("k") - 1, F.col("total") - F.col("k")
-    out = out.withColumn("f_statistic", (F.col("ssb") / d1) / (F.col("ssw") / d2))
+    out = out.withColumn("f_statistic", F.try_divide(F.try_divide(F.col("ssb"), d1), F.try_divide(F.col("ssw"), d2)))
     out = out.withColumn("p_value", f_tail("f_statistic", d1.cast("double"), d2.cast("double")))
     mean = sum((F.col(f"{n}_effect") for n, _, _ in PAIRS), F.lit(0.0)) / 3
     out = out.withColumn("overall_discriminability", mean)
@@ -157,7 +158,7 @@ def zone_derivatives(features: DataFrame, zones: DataFrame, threshold: float = -
         F.count(F.lit(1)).alias("num_points"), *means.values(),
         F.stddev_samp("nir_d1").alias("nir_d1_std"), F.min("nir_d1").alias("nir_d1_min"), F.max("nir_d1").alias("nir_d1_max"),
         count_if(F.col("_below")).alias("threshold_crossings"),
-        (F.stddev_samp(nir) / F.avg(nir)).alias("nir_cv"), (F.stddev_samp(b) / F.avg(b)).alias("brightness_cv"),
+        F.try_divide(F.stddev_samp(nir), F.avg(nir)).alias("nir_cv"), F.try_divide(F.stddev_samp(b), F.avg(b)).alias("brightness_cv"),
         F.regr_slope(nir, F.col("distance")).alias("nir_slope"), F.regr_r2(nir, F.col("distance")).alias("nir_r_squared"),
         F.regr_slope(b, F.col("distance")).alias("brightness_slope"),
     ).where("num_points >= 3")
@@ -226,10 +227,16 @@ def section_profiles(points: DataFrame, zones: DataFrame, inset: float = 5.0) ->
     ).drop("_skew", "_kurt")
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows that have both; null where one of them doesn't vary."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def section_correlations(points: DataFrame, zones: DataFrame, inset: float = 5.0) -> DataFrame:
     rows = zone_slices(points, zones, inset)
     pairs = (("red", "green"), ("red", "nir"), ("green", "blue"), ("blue", "nir"))
-    out = rows.groupBy(KEY, "zone_order", "zone_class").agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs])
+    out = rows.groupBy(KEY, "zone_order", "zone_class").agg(F.count(F.lit(1)).alias("n"), *[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"corr_{a}_{b}") for a, b in pairs])
     return out.where("n > 3")
 
 
@@ -245,14 +252,14 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
 def separability(labelled: DataFrame, features: list[str] = CLASS_FEATURES, top: int = 15) -> DataFrame:
     """Spread of the class means over the mean class std, the largest first (a top-k report)."""
     s = class_statistics(labelled, features)
-    out = s.groupBy("feature").agg(((F.max("mean") - F.min("mean")) / F.avg("std")).alias("separability"))
+    out = s.groupBy("feature").agg(F.try_divide(F.max("mean") - F.min("mean"), F.avg("std")).alias("separability"))
     return out.orderBy(F.desc("separability"), "feature").limit(top)
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlations of all pairs, in one aggregation."""
     pairs = [(a, b) for k, a in enumerate(features) for b in features[k:]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    one = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
     return one.select(F.explode(cells).alias("x")).select("x.*")
 
@@ -318,7 +325,7 @@ def transition_characteristics(features: DataFrame, manual: DataFrame, half: flo
         F.avg(F.when(before, F.col("nir"))).alias("nir_before"), F.avg(F.when(after, F.col("nir"))).alias("nir_after"),
         F.min("d_nir").alias("nir_d1_min"), *place.values(), F.max(F.abs("d2")).alias("nir_d2_max_abs"),
         F.min_by("d_nir", F.struct(F.abs("offset"), "distance")).alias("nir_d1_at_boundary"),
-        (F.avg(F.when(after, F.col("variability"))) / F.avg(F.when(before, F.col("variability")))).alias("variability_ratio"),
+        F.try_divide(F.avg(F.when(after, F.col("variability"))), F.avg(F.when(before, F.col("variability")))).alias("variability_ratio"),
         F.min_by("i", F.struct("d_nir", "distance")).alias("p"), F.max("n").alias("n"),
     )
     drop = F.col("nir_before") - F.col("nir_after")
@@ -432,4 +439,4 @@ def processing_stats(classed: DataFrame, found: DataFrame) -> DataFrame:
     """Totals and per-transect averages of points and boundaries, and their confidence."""
     p = classed.agg(F.countDistinct(KEY).alias("transects"), F.count(F.lit(1)).alias("points"))
     t = found.agg(F.count(F.lit(1)).alias("transitions"), F.avg("confidence").alias("conf_mean"), F.stddev_pop("confidence").alias("conf_std"), F.min("confidence").alias("conf_min"), F.max("confidence").alias("conf_max"))
-    return p.join(t).withColumns({"points_per_transect": F.col("points") / F.col("transects"), "transitions_per_transect": F.col("transitions") / F.col("transects")})
+    return p.join(t).withColumns({"points_per_transect": F.try_divide("points", "transects"), "transitions_per_transect": F.try_divide("transitions", "transects")})

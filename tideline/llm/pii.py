@@ -38,7 +38,8 @@ ADD, ROUNDS = 0.9, 8
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    # shorter groups of digits fail the rule anyway
+    "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What may be personal data beyond the base rules.
@@ -52,7 +53,7 @@ WIDE = {
 NEEDS = {
     "email": ("@", r"[\[({]at[\])}]"),
     "ip": (r"[0-9]\.[0-9]", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-    "card": ("[0-9][ -]?[0-9]", "[0-9]{4}[ -.][0-9]{4}[ -.]"),
+    "card": ("[0-9](?:[ -]?[0-9]){15}", "[0-9]{4}[ -.][0-9]{4}[ -.]"),
     "phone": (r"\+[0-9]", "[0-9]{3}[ .-][0-9]{4}"),
 }
 #: Gazetteers and context words: fixed values.
@@ -67,12 +68,15 @@ WORDS_BEFORE = {
 OTHER_BEFORE = r"(?i)(?:isbn|issn|doi|order|invoice|version|serial|sku|part|build|ticket|ref|item)[^\n]{0,12}$"
 
 
+SPAN, STRETCH = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>", 256
+
+
 def find(text: Column, pattern: str, need: str) -> Column:
     """Leftmost non-overlapping matches as structs start, end, hit, before, after: the
     pieces between matches and the matches themselves alternate, so lengths add up to offsets."""
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>")
+    none = F.array().cast(SPAN)
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["piece"])
@@ -89,10 +93,26 @@ def find(text: Column, pattern: str, need: str) -> Column:
     pairs = F.arrays_zip(
         F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"), F.slice(pieces, F.lit(2), F.size(hits)).alias("next")
     )
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
-    # transform() first, so that pieces and hits are worked out once
-    named = F.transform(pairs, lambda p: F.struct(p["piece"].alias("piece"), p["hit"].alias("hit"), p["next"].alias("next")))
-    return F.when(text.rlike(need), F.aggregate(named, first, step, lambda s: s["found"])).otherwise(none)
+
+    def all_of(v: Column) -> Column:
+        """Appends in stretches of ``STRETCH`` and joins those, so that a text with very many
+        matches costs little more than its length."""
+
+        def stretch(state: Column, first: Column) -> Column:
+            begin = F.struct(state["at"].alias("at"), none.alias("found"))
+            part = F.aggregate(F.slice(v, first, F.lit(STRETCH)), begin, step)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(state["parts"], F.array(p["found"])).alias("parts")))
+
+        empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+        parts = F.aggregate(F.sequence(F.lit(1), F.size(v), F.lit(STRETCH)), empty, stretch, lambda s: F.flatten(s["parts"]))
+        return F.when(F.size(v) > 0, parts).otherwise(none)
+
+    return F.when(text.rlike(need), let(pairs, all_of)).otherwise(none)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def digits(hit: Column) -> Column:

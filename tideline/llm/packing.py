@@ -104,7 +104,9 @@ class Stream:
             return None
         tokens = np.concatenate(self.parts)
         begins, ends = np.concatenate(self.begins), np.concatenate(self.ends)
-        cuts, penalty = with_hard_cuts(np.concatenate(self.cuts), np.concatenate(self.penalties))
+        cuts, penalty = with_hard_cuts(
+                np.concatenate(self.cuts), np.concatenate(self.penalties), min(HARD_STEP, max(1, self.capacity // 2))
+            )
         chosen = best_cuts(cuts, penalty, self.capacity, closed)
         if closed:
             at, rest = chosen[-2], int(chosen[-1] - chosen[-2])
@@ -189,6 +191,8 @@ def pack(
                     yield from stream.flush(False).to_batches()
         if (last := stream.flush(True)) is not None:
             yield from last.to_batches()
+        del stream, last
+        pa.default_memory_pool().release_unused()
 
     kind = rows.schema["id"].dataType.simpleString()
     return dealt.mapInArrow(

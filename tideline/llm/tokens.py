@@ -16,7 +16,7 @@ import numpy as np
 
 from . import common as C
 
-MOST_WORDS, MOST_PIECES = 1_500_000, 400_000
+MOST_WORDS = 1_000_000
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _OPEN: dict[str, "WordTokenizer"] = {}
 
@@ -57,9 +57,9 @@ class WordTokenizer:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.pieces: dict[str, bytes] = {}
 
-    def _encode_pieces(self, new: list[str]) -> None:
+    def _encode_pieces(self, new: list[str]) -> dict[str, bytes]:
+        have: dict[str, bytes] = {}
         for k in range(0, len(new), 500):
             part = new[k : k + 500]
             ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -67,22 +67,20 @@ class WordTokenizer:
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 a = 0
                 for piece, b in zip(part, cuts.tolist()):
-                    self.pieces[piece] = ids[a:b].tobytes()
+                    have[piece] = ids[a:b].tobytes()
                     a = b
             else:  # not one word end a piece: take them one by one
                 for piece in part:
-                    self.pieces[piece] = self._slow(piece)
+                    have[piece] = self._slow(piece)
+        return have
 
     def _slow(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
         plain = [PLAIN.fullmatch(w) is not None and "<|" not in w for w in words]
         cut = [self.split(w.lower()) if ok else None for w, ok in zip(words, plain)]
-        have = self.pieces
-        self._encode_pieces([p for p in {p for c in cut if c for p in c} if p not in have])
+        have = self._encode_pieces(list({p for c in cut if c for p in c}))
         return [
             self._slow(w) if c is None else have[c[0]] if len(c) == 1 else b"".join([have[p] for p in c])
             for w, c in zip(words, cut)

@@ -69,12 +69,17 @@ def train(texts: list[str], y: np.ndarray) -> bytes:
     return model.tobytes()
 
 
+def _text(value) -> str | None:
+    """One text at a time, so that a batch is never held twice."""
+    return value.as_py()
+
+
 def score(model: bytes, texts) -> np.ndarray:
     m = np.frombuffer(model, np.float32)
     bias, w = float(m[0]), m[1:]
     seen = np.zeros(len(w), np.int32)
     out = np.full(len(texts), bias)
-    for k, t in enumerate(texts.to_pylist()):
+    for k, t in enumerate(map(_text, texts)):
         if t:
             f = features(t)
             seen[f] = np.arange(len(f), dtype=np.int32)  # the last of each repeated bucket counts

@@ -109,3 +109,17 @@ def savitzky_golay(f, w: WindowSpec) -> Column:
             F.col("i") == F.col("n") - 1 - p, sum((at(p - k) * x for k, x in enumerate(c)), F.lit(0.0)) / 35
         )
     return out.otherwise(inner)
+
+
+def running_total(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one by ``key`` (distinct), without
+    sorting the table in one task: ranges of the key are summed each for itself, and only
+    one sum a range is added up."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id()).withColumn("_v", value)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_pid").agg(F.sum("_v").alias("_s"))
+    starts = sums.select("_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))  # n rows at most
+    within = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumn("_t", F.sum("_v").over(within)).join(F.broadcast(starts), "_pid")
+    return out.withColumn(name, F.col("_t") + F.col("_start")).drop("_pid", "_v", "_t", "_start")

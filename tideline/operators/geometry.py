@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import series as S
+
 KEY = "transect_id"
 
 
@@ -120,18 +122,18 @@ def random_transects(lines: DataFrame, k: int, seed: int) -> DataFrame:
     """``k`` lines at sorted random positions among the ids: the same ones for one seed."""
     n = lines.count()
     chosen = sorted(random.Random(seed).sample(range(n), min(k, n)))
-    # one row a line; only positions are drawn on the driver
-    ranked = lines.withColumn("_p", F.row_number().over(Window.orderBy(KEY)) - 1)
-    picks = lines.sparkSession.createDataFrame([(c,) for c in chosen], "_p int")
+    ranked = S.running_total(lines, KEY, F.lit(1), "_p")
+    picks = lines.sparkSession.createDataFrame([(c + 1,) for c in chosen], "_p long")
     return ranked.join(F.broadcast(picks), "_p").drop("_p")  # at most k rows
 
 
 def evenly_spaced(results: DataFrame, k: int = 5) -> DataFrame:
     """At most ``k`` transects at even positions, both ends among them."""
     ids = results.select(KEY).distinct()
-    ranked = ids.withColumn("_p", F.row_number().over(Window.orderBy(KEY)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("_n") - 1) / max(k - 1, 1)))
-    return ranked.where((F.col("_n") <= k) | F.array_contains(step, F.col("_p").cast("long"))).select(KEY)
+    n = ids.count()
+    at = sorted({j * (n - 1) // max(k - 1, 1) + 1 for j in range(k)}) if n > k else None
+    ranked = S.running_total(ids, KEY, F.lit(1), "_p")
+    return (ranked.where(F.col("_p").isin(at)) if at else ranked).select(KEY)
 
 
 def to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column, Column]:

@@ -239,5 +239,6 @@ def error_distribution(matches: DataFrame) -> DataFrame:
 def error_ecdf(matches: DataFrame) -> DataFrame:
     """Distinct errors with the share of TPs at most as large; sums by value first."""
     counts = matches.where("label = 'TP'").groupBy("distance_error").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("distance_error").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("distance_error", (F.sum("n").over(upto) / F.sum("n").over(Window.orderBy("distance_error").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("share"))
+    total = matches.where("label = 'TP'").agg(F.count(F.lit(1)).alias("_n"))
+    upto = S.running_total(counts, "distance_error", F.col("n"), "_upto")
+    return upto.join(F.broadcast(total)).select("distance_error", (F.col("_upto") / F.col("_n")).alias("share"))  # one row

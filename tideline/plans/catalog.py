@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
 from ..operators import boundaries as B
 from ..operators import classify as K
 from ..operators import features as X
@@ -66,12 +67,12 @@ def manual(s, d):
 
 def unmerged(s, d):
     """Filtered boundaries without the merging of near ones, which SQL can't follow."""
-    c = classes(s, d).persist()  # four detectors and the class lookup read it
-    return B.quality_filter(B.add_class_info(B.detect(c), c), c)
+    c = settle(classes(s, d), "classes")  # four detectors and the class lookup read it
+    return settle(B.quality_filter(B.add_class_info(B.detect(c), c), c), "boundaries")
 
 
 def matches(s, d):
-    return M.match_transitions(unmerged(s, d), manual(s, d))
+    return settle(M.match_transitions(unmerged(s, d), manual(s, d)), "matches")
 
 
 def labelled(s, d):
@@ -247,7 +248,7 @@ def _(s, d):
     + "SELECT z.transect_id, z.distance, coalesce(w.predicted_class, z.predicted_class) AS predicted_class FROM zoned z LEFT JOIN winner w USING (transect_id, zone)",
 )
 def _(s, d):
-    c = classes(s, d)
+    c = settle(classes(s, d), "classes")
     flagged = B.with_transition_flag(c, B.quality_filter(B.add_class_info(B.detect(c), c), c))
     return K.vote_by_zone(flagged, "transition_flag").select(KEY, "distance", "predicted_class")
 
@@ -303,6 +304,7 @@ def _(s, d):
 @query("best_dry_wet", out(twins.detected(), "SELECT * FROM best", _DET + ", detection_mode", "confidence magnitude"))
 def _(s, d):
     c = B.drop_candidates(classes(s, d))
+    c = settle(c, "candidates")
     return B.best_dry_wet(B.dry_wet_strict(c), B.dry_wet_relaxed(c)).select(KEY, "index", "distance", "detection_method", "detection_mode", "confidence", "magnitude")
 
 
@@ -313,7 +315,7 @@ def _(s, d):
 
 @query("boundaries")
 def _(s, d):
-    return B.find_transitions(classes(s, d).persist()).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
+    return B.find_transitions(settle(classes(s, d), "classes")).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
 
 
 @query("boundaries_merged_by_method")
@@ -343,7 +345,7 @@ FROM smooth s LEFT JOIN (SELECT DISTINCT transect_id, i FROM final) f ON f.trans
     ),
 )
 def _(s, d):
-    c = classes(s, d)
+    c = settle(classes(s, d), "classes")
     flagged = B.with_transition_flag(c, B.quality_filter(B.add_class_info(B.detect(c), c), c))
     return flagged.select(KEY, "distance", *X.BANDS, "predicted_class", "confidence", "transition_flag")
 
@@ -461,7 +463,7 @@ def _(s, d):
 
 @query("threshold_sets")
 def _(s, d):
-    c, out_ = classes(s, d).persist(), None
+    c, out_ = settle(classes(s, d), "classes"), None
     for name, changes in THRESHOLD_SETS.items():
         config = DEFAULT.but(**changes)
         found = B.quality_filter(B.add_class_info(B.detect(c, config), c), c, config)
@@ -620,7 +622,7 @@ FROM zs LEFT JOIN lr USING (transect_id, zone_order) WHERE num_points >= 3""",
     ),
 )
 def _(s, d):
-    return T.zone_derivatives(feats(s, d), fixture.manual_zones(s, d)).drop("zone_start", "zone_end")
+    return T.zone_derivatives(settle(feats(s, d), "features"), fixture.manual_zones(s, d)).drop("zone_start", "zone_end")
 
 
 @query("zone_hypotheses")
@@ -725,12 +727,12 @@ def _(s, d):
 
 @query("transition_characteristics")
 def _(s, d):
-    return T.transition_characteristics(feats(s, d), manual(s, d))
+    return T.transition_characteristics(settle(feats(s, d), "features"), manual(s, d))
 
 
 @query("transition_summary")
 def _(s, d):
-    return T.transition_summary(T.transition_characteristics(feats(s, d), manual(s, d)), ["nir_drop", "nir_d1_min", "width", "asymmetry", "band_synchrony", "variability_ratio", "longest_run"])
+    return T.transition_summary(T.transition_characteristics(settle(feats(s, d), "features"), manual(s, d)), ["nir_drop", "nir_d1_min", "width", "asymmetry", "band_synchrony", "variability_ratio", "longest_run"])
 
 
 @query("multiscale_profiles")

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
 from ..operators import boundaries as B
 from ..operators import classify as K
 from ..operators import features as X
@@ -39,8 +40,8 @@ def analyze_all_transects(spark: SparkSession, rasters: str, transects: str, out
     """Tiles and lines to classified samples and boundaries, written under ``output``."""
     meta = readers.check_rasters(readers.raster_meta(spark, rasters))
     samples = G.sample_transects(readers.transects_geojson(spark, transects), meta, readers.raster_pixels(spark, rasters, meta))
-    classed = classify_samples(samples, config).persist()
-    found = B.find_transitions(classed, config).persist()
+    classed = settle(classify_samples(samples, config), "classes")
+    found = settle(B.find_transitions(classed, config), "boundaries")
     writers.points_csv(B.with_transition_flag(classed, found), f"{output}/points")
     kept = B.filter_by_type(found, boundary_types)
     kept.drop("band_magnitudes").write.mode("overwrite").parquet(f"{output}/boundaries")
@@ -58,12 +59,12 @@ def training_samples(spark: SparkSession, rasters: str, transects: str, output:
 
 def run_all_validations(samples: DataFrame, zones: DataFrame, output: str, tolerance: float = 5.0, kind: str | None = None, config: Config = DEFAULT) -> dict[str, DataFrame]:
     """Match detections to labels and write every validation table and a report."""
-    classed = classify_samples(samples, config).persist()
+    classed = settle(classify_samples(samples, config), "classes")
     found, manual = B.find_transitions(classed, config), M.manual_boundaries(zones)
     if kind:
         manual = manual.where(F.col("manual_type").isin(*MANUAL_TYPES[kind]))
         found = found.where(F.col("boundary_type").isin(*DETECTED_TYPES[kind]))
-    matches = M.match_transitions(found, manual, tolerance).persist()
+    matches = settle(M.match_transitions(settle(found, "boundaries"), manual, tolerance), "matches")
     labelled = M.points_in_zones(classed, zones)
     tables = {
         "transition_matches": matches,

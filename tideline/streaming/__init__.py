@@ -1,0 +1 @@
+"""Reserved: the signal side is batch work; the streaming operator is in tideline/llm/exact_dedup.py."""

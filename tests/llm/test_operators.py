@@ -163,6 +163,60 @@ def test_one_period_is_pfair():
             assert (np.abs(done - np.arange(1, 201) * n / 200) < 1).all()
 
 
+def mixed_blocks(got):
+    """Sources by slot, after checking that each slot holds one block of one source."""
+    by = got.groupby("_slot").agg(lo=("source", "min"), hi=("source", "max"), b=("_block", "nunique"))
+    assert (by["lo"] == by["hi"]).all() and (by["b"] == 1).all() and by.index.tolist() == list(range(len(by)))
+    return by["lo"].tolist()
+
+
+def worst_deviation(order, weights):
+    """Largest distance of any source from its true share, after any slot of the whole schedule."""
+    blocks = {s: order.count(s) for s in set(order)}
+    ends = sorted(blocks, key=lambda s: blocks[s] / weights[s])
+    at_v, at_t = [0.0], [0.0]
+    for s in ends:
+        v = blocks[s] / weights[s]
+        at_v.append(v)
+        at_t.append(sum(min(weights[x] * v, blocks[x]) for x in blocks))
+    v = np.interp(np.arange(1, len(order) + 1), at_t, at_v)
+    done = {s: np.cumsum([x == s for x in order]) for s in blocks}
+    return max(np.abs(done[s] - np.minimum(weights[s] * v, blocks[s])).max() for s in blocks)
+
+
+@pytest.mark.parametrize("span", [64, mixing.SPAN])
+def test_mixing_follows_the_true_weights(spark, span):
+    weights = {"a": 0.2, "b": 0.4999, "c": 0.25, "d": 0.05, "e": 0.0001}
+    sizes = {"a": 2400, "b": 5200, "c": 3000, "d": 900, "e": 20}
+    rows = [(k, s) for k, s in enumerate(itertools.chain.from_iterable([s] * n for s, n in sizes.items()))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=2, span=span).toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(rows)))
+    assert worst_deviation(mixed_blocks(got), weights) < 1
+
+
+def test_mixing_hot_source_beside_many(spark):
+    sizes = {"hot": 4000} | {f"s{k:02}": 100 + 7 * k for k in range(19)}
+    rows = [(k, s) for k, s in enumerate(itertools.chain.from_iterable([s] * n for s, n in sizes.items()))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=2).toPandas()
+    assert worst_deviation(mixed_blocks(got), {s: n**0.5 for s, n in sizes.items()}) < 1
+
+
+def test_mixing_zero_weight_goes_last(spark):
+    rows = [(k, "ab"[k % 2]) for k in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 0.0, "b": 1.0}, block=4).toPandas()
+    assert mixed_blocks(got) == ["b"] * 25 + ["a"] * 25
+
+
+def test_ranges_of_slots_give_one_run(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(i, int(n), float(w)) for i, (n, w) in enumerate(zip(rng.integers(1, 300, 9), rng.uniform(0.001, 1, 9)))]
+    windows = mixing.block_windows(spark.createDataFrame(sizes, "sid long, blocks long, w double"))
+    sent, left = mixing.earliest_first(windows.toPandas(), 0, sum(n for _, n, _ in sizes))
+    got = sorted(tuple(r) for r in mixing.schedule(windows, 9, span=1).select("slot", "sid", "k").collect())
+    assert left == [] and got == [(t, i, k) for t, (_, i, k) in enumerate(sent)]
+    assert all(t < due for t, (due, _, _) in enumerate(sent))
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
     one = mixing.mix(spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, source string"))

@@ -1,19 +1,26 @@
 """Mixing sources to target weights as a Pfair schedule of document blocks.
 
 A source's documents, in an order shuffled by a hash of their id, form blocks of
-``block`` documents.  Time runs in slots of one block.  With weight w, the source's
-block k (from 1) is released at floor((k-1)/w) and due at ceil(k/w); in each slot the
-released block with the earliest deadline goes out.  Then at every moment each source
-is less than one block away from its share.  Weights are integers over ``ticks``, so
-the schedule repeats with that period and only one period is ever computed: a table of
-``ticks`` slots, at most as often as there are sources.
-
-No document is dropped or repeated: when a source has run out, the others' weights are
-scaled up and a new schedule begins at that slot, again with less than a block of
-deviation from the new shares.
-
-The driver sees one row a source.  Ranks inside a source come from counts over
-(source, hash bucket), so a source with a third of all rows is many small windows.
+``block`` documents.  Time runs in slots of one block.  In the ideal mixture every source
+is served at its weight's share at all times; when one has run out, the others' shares are
+scaled up.  By virtual time v source i has got min(w_i v, blocks_i), so its block k ends
+at v = k / w_i, in slot time T(v) = the sum of that over all sources: blocks of sources
+that ended before, plus v times the weight of the rest (two running sums over the table
+of block ends, sorted by v).  Block k is released at floor(T((k-1)/w)) and due at
+ceil(T(k/w)), and in each slot the released block with the earliest deadline goes out.
+Then at every moment of the whole schedule each source is less than one block away from
+its ideal share.  Sources of weight 0 or less follow after all others, in equal shares.
+
+The earliest-deadline rule is run by ranges of slots: each range for itself, then the
+blocks that wait at each range's start (at most one a source) from the sets so found, then
+each range again with those.  If X waits when a range of L slots starts, and D is what the
+range alone would send (an idle slot counts as the latest deadline of all), it sends the L
+earliest of D and X and hands on the rest, so the middle step is one merge a range.  The
+result is that of one run over all slots.
+
+No document is dropped or repeated.  Ranks inside a source come from counts over (source,
+hash bucket), so a source with a third of all rows is many small windows, and each bucket
+takes the slots of its own blocks along: rows are shuffled once.
 
 Null sources form a source of their own; null ids are ordinary values; rows that
 repeat an id are separate documents (their order is arbitrary if all else is equal).
@@ -23,8 +30,10 @@ An empty table gives an empty result.  Text is not read.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain, groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +44,14 @@ from . import common as C
 BLOCK = 16
 MOST_SOURCES = 2000
 ROWS_PER_BUCKET = 250_000
+SPAN = 8192  # slots of a range, at least
+EPS = 1e-6  # slots; more than the rounding errors of T, and windows only get narrower by it
+IDLE = (1 << 62, -1, -1)
 
 
 def in_ticks(weights: list[float], ticks: int) -> list[int]:
-    """Integer weights of at least 1 that sum to ``ticks`` (largest remainders)."""
+    """Integer weights of at least 1 that sum to ``ticks`` (largest remainders).  The
+    schedule itself takes the true weights; this is for comparison in the tests."""
     total = sum(weights)
     exact = [w * (ticks - len(weights)) / total for w in weights]
     out = [1 + int(x) for x in exact]
@@ -67,24 +80,92 @@ def one_period(ticks_each: list[int]) -> list[list[int]]:
     return slots
 
 
-def phases(blocks: list[int], weights: list[float]) -> list[tuple]:
-    """(source, first block, end block, first slot, period, slots of one period): a row
-    for every source and stretch between two exhaustions."""
-    left, used, base, out = list(blocks), [0] * len(blocks), 0, []
-    while live := [i for i, n in enumerate(left) if n]:
-        ticks = max(512, 16 * len(live))
-        slots = one_period(in_ticks([weights[i] for i in live], ticks))
-        length = min(
-            (left[i] - 1) // len(s) * ticks + s[(left[i] - 1) % len(s)] + 1 for i, s in zip(live, slots)
-        )
-        for i, s in zip(live, slots):
-            n = length // ticks * len(s) + bisect_left(s, length % ticks)
-            if n:
-                out.append((i, used[i], used[i] + n, base, ticks, s))
-            used[i] += n
-            left[i] -= n
-        base += length
-    return out
+def block_windows(sizes: DataFrame) -> DataFrame:
+    """(sid, k, rel, due) of every block, from (sid, blocks, w)."""
+    n = C.partitions(sizes.sparkSession)
+    step = F.lit(4096).cast("long")
+    late = F.col("w") <= 0
+    cut = sizes.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), "blocks", step))).repartition(n, "sid", "a")
+    ends = cut.withColumn("k", F.explode(F.sequence("a", F.least(F.col("a") + step - 1, F.col("blocks")))))
+    ends = ends.withColumns({"late": late, "w": F.when(late, 1.0).otherwise(F.col("w")), "last": F.col("k") == F.col("blocks")})
+    ends = ends.withColumn("v", F.col("k") / F.col("w")).repartitionByRange(n, "late", "v", "sid", "k")
+    parts = C.stash(
+        ends.select(
+            "sid", "k", "late", "v", F.spark_partition_id().alias("pid"), F.when(F.col("last"), F.col("blocks")).otherwise(0).alias("b"),
+            *[F.when(F.col("last") & (F.col("late") == x), F.col("w")).otherwise(0.0).alias(c) for c, x in (("w0", False), ("w1", True))],
+        ),
+        "block-ends",
+    )
+    order = ["late", "v", "sid", "k"]
+    down = Window.orderBy(F.desc("pid")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("b", "w0", "w1")])  # n rows at most
+    starts = sums.select("pid", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_s") for c, w in (("b", up), ("w0", down), ("w1", down))])
+    before = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy("pid").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    run = parts.select(
+        "*", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b_r"), *[F.sum(c).over(onward).alias(f"{c}_r") for c in ("w0", "w1")]
+    ).join(F.broadcast(starts), "pid")
+    rest = F.when(F.col("late"), F.col("w1_s") + F.col("w1_r")).otherwise(F.col("w0_s") + F.col("w0_r"))
+    t = run.select("sid", "k", (F.col("b_s") + F.col("b_r") + F.col("v") * rest).alias("t"))
+    none = F.lit(None).cast("double")
+    both = F.array(
+        F.struct(F.col("k"), none.alias("rel"), F.col("t").alias("due")),
+        F.struct((F.col("k") + 1).alias("k"), F.col("t").alias("rel"), none.alias("due")),
+    )
+    sides = t.select("sid", F.explode(both).alias("x")).select("sid", "x.*")
+    return (
+        sides.groupBy("sid", "k").agg(F.max("rel").alias("rel"), F.max("due").alias("due"))
+        .where("rel is not null and due is not null")
+        .select("sid", "k", F.floor(F.col("rel") + EPS).alias("rel"), F.ceil(F.col("due") - EPS).alias("due"))
+    )
+
+
+def earliest_first(pdf: pd.DataFrame, start: int, stop: int) -> tuple[list[tuple], list[tuple]]:
+    """What goes out in slots start to stop, as (due, sid, k) or IDLE, and what waits then."""
+    pdf = pdf.sort_values("rel", kind="stable")
+    rel = pdf["rel"].tolist()
+    keys = list(zip(pdf["due"].tolist(), pdf["sid"].tolist(), pdf["k"].tolist()))
+    sent, ready, p = [], [], 0
+    for t in range(start, stop):
+        while p < len(rel) and rel[p] <= t:
+            heapq.heappush(ready, keys[p])
+            p += 1
+        sent.append(heapq.heappop(ready) if ready else IDLE)
+    return sent, ready
+
+
+def schedule(windows: DataFrame, sources: int, span: int = SPAN) -> DataFrame:
+    """(sid, k, slot) of every block: earliest deadline first, run by ranges of slots."""
+    n = max(span, 8 * sources)
+    blocks = C.stash(windows.withColumn("range", F.floor(F.col("rel") / n)), "blocks")
+
+    def alone(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sent, left = earliest_first(pdf, key[0] * n, (key[0] + 1) * n)
+        rows = [(key[0], True, *x) for x in heapq.nlargest(sources, sent)] + [(key[0], False, *x) for x in left]
+        return pd.DataFrame(rows, columns=["range", "sent", "due", "sid", "k"])
+
+    def hand_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple] = []
+        rows = chain.from_iterable(b.itertuples(index=False, name=None) for b in batches)
+        for r, group in groupby(rows, key=lambda x: x[0]):
+            if waiting:
+                yield pd.DataFrame([(r, r * n, *x) for x in waiting], columns=["range", "rel", "due", "sid", "k"])
+            sent, left = [], []
+            for x in group:
+                (sent if x[1] else left).append(x[2:])
+            kept = heapq.nlargest(len(waiting), waiting + sent)
+            waiting = left + [x for x in kept if x != IDLE]
+
+    def placed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        start = key[0] * n
+        sent, _ = earliest_first(pdf, start, start + n)
+        rows = [(x[1], x[2], start + t) for t, x in enumerate(sent) if x != IDLE]
+        return pd.DataFrame(rows, columns=["sid", "k", "slot"])
+
+    ends = blocks.groupBy("range").applyInPandas(alone, "range long, sent boolean, due long, sid long, k long")
+    waiting = ends.repartition(1).sortWithinPartitions("range").mapInPandas(hand_on, "range long, rel long, due long, sid long, k long")
+    return blocks.unionByName(waiting).groupBy("range").applyInPandas(placed, "sid long, k long, slot long")
 
 
 def mix(
@@ -95,6 +176,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     carry: list[str] | None = None,
+    span: int = SPAN,
 ) -> DataFrame:
     """One row per row of ``docs``: id and source (or the columns ``carry``), _block
     (within the source), _slot and _place (within the slot).  Ordering by slot and place
@@ -108,41 +190,48 @@ def mix(
     carry = carry or [id_col, source_col]
     row = F.struct(*[F.col(c) for c in carry]).alias("row")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), row)
-    sizes = rows.groupBy("key", "source").count().orderBy("key").limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group the small ones first")
-    given = weights or {}
-    plan = phases(
-        [-(-r["count"] // block) for r in sizes], [float(given.get(r["source"], r["count"] ** temper)) for r in sizes]
-    )
-    table = spark.createDataFrame(
-        [(sizes[i]["key"], a, b, base, period, s) for i, a, b, base, period, s in plan],
-        "key string, first long, end long, base long, period long, slots array<long>",
+    sizes = rows.groupBy("key", "source").count()
+    named = T.StructType([T.StructField("name", docs.schema[source_col].dataType), T.StructField("given", T.DoubleType())])
+    given = spark.createDataFrame([(k, float(w)) for k, w in (weights or {}).items()], named)
+    sizes = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").orderBy("key")
+    sizes = C.stash(
+        sizes.select(
+            "key", F.monotonically_increasing_id().alias("sid"), "count", F.ceil(F.col("count") / block).alias("blocks"),
+            F.coalesce("given", F.pow("count", F.lit(float(temper)))).alias("w"),
+        ),
+        "source-sizes",
     )
-    n = max(4 * C.partitions(spark), sum(r["count"] for r in sizes) // ROWS_PER_BUCKET + 1)
+    total, sources = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    if sources > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group the small ones first")
+    slots = schedule(block_windows(sizes), sources, span)
+    n = max(4 * C.partitions(spark), total // ROWS_PER_BUCKET + 1)
     rows = rows.withColumn("h", F.xxhash64("id")).withColumn("bucket", F.pmod("h", F.lit(n)))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("key", "bucket")
         .count()
-        .select("key", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+        .select("key", "bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    )
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("count") - 1) / block)
+    # the slots of a bucket's blocks: about ROWS_PER_BUCKET / block numbers
+    timed = (
+        starts.join(sizes.select("key", "sid"), "key")
+        .select("key", "bucket", "start", "sid", F.explode(F.sequence(first, last)).alias("block"))
+        .withColumn("k", F.col("block") + 1)
+        .join(slots, ["sid", "k"])
+        .groupBy("key", "bucket", "start")
+        .agg(F.min("block").alias("first"), F.array_sort(F.collect_list(F.struct("block", "slot")))["slot"].alias("slots"))
     )
     within = Window.partitionBy("key", "bucket").orderBy("h", "id")
     ranked = (
         rows.withColumn("r", F.row_number().over(within) - 1)
-        .join(starts, ["key", "bucket"])
+        .join(timed, ["key", "bucket"])
         .withColumn("rank", F.col("start") + F.col("r"))
         .withColumn("block", F.floor(F.col("rank") / block))
     )
-    # bounded by the number of sources squared, see MOST_SOURCES
-    timed = ranked.join(F.broadcast(table), "key").where("block >= first and block < end")
-    step = F.col("block") - F.col("first")
-    slot = (
-        F.col("base")
-        + F.floor(step / F.size("slots")) * F.col("period")
-        + F.element_at("slots", (F.pmod(step, F.size("slots")) + 1).cast("int"))
-    )
-    return timed.select(
+    slot = F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int"))
+    return ranked.select(
         *[F.col("row")[c].alias(c) for c in carry],
         F.col("block").alias("_block"),
         slot.cast(T.LongType()).alias("_slot"),

@@ -201,6 +201,14 @@ def test_mixing_hot_source_beside_many(spark):
     assert worst_deviation(mixed_blocks(got), {s: n**0.5 for s, n in sizes.items()}) < 1
 
 
+def test_mixing_many_sources(spark):
+    sizes = {f"site{k:04}": 1 + k % 7 + 300 * (k == 9) for k in range(2500)}
+    rows = [(k, s) for k, s in enumerate(itertools.chain.from_iterable([s] * n for s, n in sizes.items()))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=4).toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(rows)))
+    assert worst_deviation(mixed_blocks(got), {s: n**0.5 for s, n in sizes.items()}) < 1
+
+
 def test_mixing_zero_weight_goes_last(spark):
     rows = [(k, "ab"[k % 2]) for k in range(200)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 0.0, "b": 1.0}, block=4).toPandas()

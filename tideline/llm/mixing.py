@@ -24,7 +24,8 @@ takes the slots of its own blocks along: rows are shuffled once.
 
 Null sources form a source of their own; null ids are ordinary values; rows that
 repeat an id are separate documents (their order is arbitrary if all else is equal).
-An empty table gives an empty result.  Text is not read.
+An empty table gives an empty result.  Text is not read.  Sources are rows of a table
+joined by key, as many as there are; the driver sees two counts.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ from pyspark.sql.window import Window
 from . import common as C
 
 BLOCK = 16
-MOST_SOURCES = 2000
 ROWS_PER_BUCKET = 250_000
 SPAN = 8192  # slots of a range, at least
 EPS = 1e-6  # slots; more than the rounding errors of T, and windows only get narrower by it
@@ -202,8 +202,6 @@ def mix(
         "source-sizes",
     )
     total, sources = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    if sources > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group the small ones first")
     slots = schedule(block_windows(sizes), sources, span)
     n = max(4 * C.partitions(spark), total // ROWS_PER_BUCKET + 1)
     rows = rows.withColumn("h", F.xxhash64("id")).withColumn("bucket", F.pmod("h", F.lit(n)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.llm import common, exact_dedup, mixing, packing, simhash_dedup, toxicity
 
@@ -48,9 +49,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash_dedup.near_duplicates(docs)
-    dropped = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return without(docs, dropped, lambda d: docs["doc_id"] == d["_id"])
+    """One row of every class of near copies stays: the one with the smallest id."""
+    found = common.stash(simhash_dedup.classes(docs), "classes")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    again = common.stash(again, "repeated-ids")
+
+    def same(d: DataFrame):
+        return docs["doc_id"].eqNullSafe(d["_id"])
+
+    dropped = found.where(~first).select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return without(docs, dropped, same)
+    # an id alone doesn't say which row is meant: rows of repeated ids go by their fingerprint
+    single = without(docs, dropped.join(again, dropped["_id"].eqNullSafe(again["_id"]), "left_anti"), same)
+    single = single.join(again, single["doc_id"].eqNullSafe(again["_id"]), "left_anti")
+    best = found.where(first).groupBy("root").agg(F.min("fp").alias("best"))
+    kept = found.join(best, "root").where(first & (F.col("fp") == F.col("best"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    rows = docs.join(again, same(again), "left_semi").select(row.alias("_row"), "text")
+    names = {c: F.col("id")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)}
+    rows = simhash_dedup.fingerprints(rows, "_row", "text").select(*names.values(), F.col("fp").alias("_fp"))
+    rows = rows.join(kept.distinct(), rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_fp"] == kept["_fp"]), "left_semi")
+    one = Window.partitionBy("doc_id", "_fp").orderBy("text")
+    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return single.unionByName(rows.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

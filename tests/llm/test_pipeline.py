@@ -55,6 +55,21 @@ def test_each_stage(spark, stages):
     assert packed.groupby("sequence_id")["length"].sum().max() <= packing.CAPACITY
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """Rows are told apart by their text where an id is repeated."""
+    clean, other, third = (" ".join(f"{w}{k}" for k in range(60)) for w in ("clean", "other", "third"))
+    rows = [
+        (1, "base text " * 40), (2, clean), (2, "BASE text " * 40),  # a copy of 1 under the id of a clean row
+        (3, other), (3, other + " "),  # twice the smallest id in one class
+        (4, third), (4, " ".join(f"fourth{k}" for k in range(60))),  # one id, two classes
+        (5, "single " + "words here " * 30), (6, "SINGLE " + "words here " * 30), (None, third.upper()), (None, "null id one"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], lower(r["text"]).strip()) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    want = [rows[k] for k in (0, 1, 3, 5, 6, 7, 10)]
+    assert sorted(got, key=repr) == sorted(((i, lower(t).strip()) for i, t in want), key=repr)
+
+
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in stages[-1].collect()}

@@ -176,17 +176,25 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Data
     return per_cells(shards, ["t", "v"], "fp", tree, links, "a long, b long")
 
 
-def near_duplicates(
+def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """One row per row of ``docs``: id, fp (long), component_id (smallest id reachable)."""
+    """One row per row of ``docs``: id, fp (long), root (a fingerprint that names the class)
+    and component_id (smallest id of the class; several classes share it if ids repeat)."""
     prints = C.stash(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = C.stash(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = connected(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = named.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """One row per row of ``docs``: id, fp (long), component_id (smallest id reachable)."""
+    return classes(docs, id_col, text_col, width, radius).drop("root")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,46 @@ def test_substring_edges(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def thue_morse(first):
+    """A word of 4096 letters; the two of them share every polynomial hash modulo 2**64."""
+    w = first
+    while len(w) < 4096:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+def test_equal_hashes_of_different_words(spark):
+    """Windows are the same only if their words are."""
+    tail = " ".join(f"u{k}" for k in range(34))
+    one, two = thue_morse("a") + " " + tail, thue_morse("b") + " " + tail
+    got = substring_dedup.remove_repeats(docs(spark, [(1, one), (2, two)])).collect()
+    assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in got} == {(1, 0, one), (2, 0, two)}
+    rows = [(1, one), (2, two), (3, one), (4, f"x {two} y"), (5, "z " + tail)]
+    got = substring_dedup.remove_repeats(docs(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows, 35)
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    rows = [(None, LONG[:4000])] * 64
+    d, file, row = common.located(docs(spark, rows))
+    assert d.select(F.xxhash64(file, row)).distinct().count() == 64
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()} == {len(LONG[:4000].split())}
+
+
+def test_window_hashes_modulo_a_prime():
+    rng = np.random.default_rng(0)
+    v, prime, base = rng.integers(0, 2**64, 9000, dtype=np.uint64), 2**61 - 1, common.BASES[1] % (2**61 - 1)
+    for width in (1, 2, 3, 35, 64):
+        got = common.window_hashes(v, width, base)
+        assert len(got) == 9000 - width + 1
+        for i in (0, 1, 8191, 8192, len(got) - 1):
+            h = 0
+            for x in v[i : i + width].tolist():
+                h = (h * base + x) % prime
+            assert h == got[i]
+    assert len(common.window_hashes(v[:5], 6, base)) == 0
+
+
 # ---------------------------------------------------------------------- exact
 
 
@@ -481,6 +521,18 @@ def test_packing_round_trip(spark):
     check_packing(spark, docs(spark, rows), rows, capacity=64, stretch=500)
 
 
+def test_ids_of_words_with_equal_hashes(spark):
+    rows = [(1, f"{thue_morse('a')} plain"), (2, f"{thue_morse('b')} plain"), (3, thue_morse("a")), (4, f"plain {thue_morse('b')} {thue_morse('a')}")]
+    check_packing(spark, docs(spark, rows).coalesce(1), rows)
+    check_packing(spark, docs(spark, rows).repartition(4), rows)
+
+
+def test_repeated_ids_are_packed_by_several_tasks(spark, tmp_path):
+    docs(spark, [(None, f"w{k} " * 40) for k in range(400)]).repartition(4).write.parquet(str(tmp_path / "d"))
+    got = packing.pack(spark.read.parquet(str(tmp_path / "d")))
+    assert got.selectExpr("sequence_id >> 32 AS task").distinct().count() == 4 and got.count() >= 400
+
+
 def test_packing_pads_little_and_keeps_order(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
     got = packing.pack(df).toPandas()

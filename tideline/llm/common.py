@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (single-machine tests) a temporary one is made.
+    Only a session on one machine (``local[...]``) may do without: a temporary one is made.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-tideline-")
@@ -44,6 +48,35 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns that tell its rows apart, and their names: the file a
+    row was read from and its number there.  They are the same each time ``docs`` is read,
+    also by a task that runs again.  What was not read from Parquet files is written first."""
+    file, row = unused("_file", docs.columns), unused("_row", docs.columns)
+    try:
+        found = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        found.schema  # refused if there is no such metadata
+        return found, file, row
+    except AnalysisException:
+        numbered = docs.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))
+        return stash(numbered, "located"), file, row
+
+
+def release() -> None:
+    """Hand memory that numpy and Arrow no longer use back to the system at a task's end:
+    workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -144,5 +177,65 @@ def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (prefix[ends] - prefix[starts]) * inverse[starts]
 
 
+PRIME = np.uint64((1 << 61) - 1)
+_LOW32, _LOW29, _B32, _B29, _B61 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1), np.uint64(32), np.uint64(29), np.uint64(61)
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """a * b modulo the prime 2**61 - 1, both below it, by halves of 32 bits."""
+    b = np.uint64(b) if isinstance(b, int) else b
+    ah, al, bh, bl = a >> _B32, a & _LOW32, b >> _B32, b & _LOW32
+    middle, low = ah * bl + al * bh, al * bl
+    x = (ah * bh << np.uint64(3)) + (middle >> _B29) + ((middle & _LOW29) << _B32) + (low & PRIME) + (low >> _B61)
+    x = (x & PRIME) + (x >> _B61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Rabin-Karp: the polynomial hash modulo 2**61 - 1 of every ``width`` values in a row.
+    The hashes of 1, 2, 4 ... values are joined as the bits of ``width`` say."""
+    step = 1 << 13
+    if len(values) > step + width:  # stretches that stay in the processor's cache
+        return np.concatenate([window_hashes(values[a : a + step + width - 1], width, base) for a in range(0, len(values) - width + 1, step)])
+    prime = int(PRIME)
+    base %= prime
+    part = values % PRIME
+    size, out, done = 1, None, 0
+    while True:
+        if width & size:
+            if out is None:
+                out = part
+            else:  # ``done`` values, then ``size`` more
+                n = max(0, len(values) - done - size + 1)
+                out = times(out[:n], pow(base, size, prime)) + part[done : done + n]
+                out = np.where(out >= PRIME, out - PRIME, out)
+            done += size
+        if 2 * size > width:
+            return out[: max(0, len(values) - width + 1)]
+        n = max(0, len(part) - size)
+        part = times(part[:n], pow(base, size, prime)) + part[size : size + n]
+        part = np.where(part >= PRIME, part - PRIME, part)
+        size *= 2
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins (and the end)."""
+    to = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    out = np.full(to[-1], 0x20, np.uint8)
+    inside = np.ones(to[-1], bool)
+    inside[to[1:] - 1] = False
+    mark = np.zeros(len(data) + 1, np.int64)
+    mark[starts] += 1
+    np.subtract.at(mark, ends, 1)
+    out[inside] = data[np.cumsum(mark[:-1]) > 0]
+    return out.tobytes(), to
+
+
+def same_words(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> bool:
+    """Are all the words a[start:start+size] and b[start:start+size] the same bytes?"""
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return bool((a[np.repeat(a_starts, sizes) + step] == b[np.repeat(b_starts, sizes) + step]).all())
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     return mix(hash_ranges(data, starts, ends, base) + (ends - starts).astype(np.uint64) * np.uint64(base))

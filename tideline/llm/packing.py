@@ -12,6 +12,9 @@ constant time.  The stream goes through in stretches of ``STRETCH`` tokens; what
 behind a stretch's best last cut is carried on, so memory does not grow with the
 partition.  A partition's last window is cut into powers of two, which need no padding.
 
+Rows that tie in ``order`` (equal or null ids) are told apart by where they were read, so
+they spread over partitions like any others.
+
 Null text counts as empty: such a document is its end token alone.  Documents of any
 length are split over windows; repeated rows are packed each for itself; a null id is
 carried along.  An empty table gives no rows.  Other columns are not read.
@@ -153,13 +156,14 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    by = [F.col(c) for c in order or [id_col]]
+    n = max(C.partitions(spark), C.text_bytes(docs, text_col) // SHARD_BYTES + 1)
+    docs, file, row = C.located(docs)
+    by = [*(F.col(c) for c in order or [id_col]), F.xxhash64(file, row)]
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(f"by{k}") for k, c in enumerate(by)]
     )
     keys = [f"by{k}" for k in range(len(by))]
-    n = max(C.partitions(spark), C.text_bytes(docs, text_col) // SHARD_BYTES + 1)
-    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text").select("id", "text")
+    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("id", "text")
 
     def run(batches):
         stream, words = Stream(capacity), word_tokenizer(tokenizer)
@@ -192,7 +196,7 @@ def pack(
         if (last := stream.flush(True)) is not None:
             yield from last.to_batches()
         del stream, last
-        pa.default_memory_pool().release_unused()
+        C.release()
 
     kind = rows.schema["id"].dataType.simpleString()
     return dealt.mapInArrow(

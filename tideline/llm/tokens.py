@@ -2,9 +2,11 @@
 
 With a vocabulary that marks word ends and drops white space, the ids of a text are the
 ids of its words one after the other.  So a chunk's words are found by hash in a table
-of words seen by this worker (two independent 64-bit hashes must agree), and only new
-ones are split and encoded, a few hundred to a call.  Words with characters outside
-ASCII and Latin letters go through the whole tokenizer.  The table is emptied when full.
+of words seen by this worker, and only new ones are split and encoded, a few hundred to a
+call.  The table keeps the words' bytes: each word found is compared with them, and where
+any differs, all words of the chunk are encoded without the table.  Words with characters
+outside ASCII and Latin letters go through the whole tokenizer.  The table is emptied when
+full.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 
 from . import common as C
 
-MOST_WORDS = 1_000_000
+MOST_WORDS, MOST_BYTES = 500_000, 16 << 20
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _OPEN: dict[str, "WordTokenizer"] = {}
 
@@ -54,9 +56,10 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.keys = np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.spelt, self.spell, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _encode_pieces(self, new: list[str]) -> dict[str, bytes]:
         have: dict[str, bytes] = {}
@@ -90,26 +93,30 @@ class WordTokenizer:
         """Ids of all words one after the other, and how many each word has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        key = C.hash_words(data, starts, ends, C.BASES[0])
-        unique, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        check = C.hash_words(data, starts, ends, C.BASES[1])
-        if (check[at][inverse] != check).any():  # two words under one hash: leave the table out
-            got = self.encode_words([bytes(data[a:b]).decode() for a, b in zip(starts, ends)])
-            return np.frombuffer(b"".join(got), np.uint32), np.array([len(x) // 4 for x in got])
-        check = check[at]
-        if len(self.keys) > MOST_WORDS:
+        unique, at, inverse = np.unique(C.hash_words(data, starts, ends, C.BASES[0]), return_index=True, return_inverse=True)
+        length = ends - starts
+        one_each = (length == length[at][inverse]).all() and C.same_words(data, starts, data, starts[at][inverse], length)
+        if len(self.keys) > MOST_WORDS or len(self.letters) > MOST_BYTES:
             self.clear()
         place = np.searchsorted(self.keys, unique)
         near = np.minimum(place, max(len(self.keys) - 1, 0))
-        known = (self.keys[near] == unique) & (self.checks[near] == check) if len(self.keys) else np.zeros(len(unique), bool)
+        known = self.keys[near] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        old, here = near[known], at[known]
+        as_known = (self.spell[old] == length[here]).all() and C.same_words(self.letters, self.spelt[old], data, starts[here], length[here])
+        if not (one_each and as_known):  # two words under one hash: leave the table out
+            whole = data.tobytes()
+            got = self.encode_words([whole[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+            return np.frombuffer(b"".join(got), np.uint32), np.array([len(x) // 4 for x in got])
         new = np.flatnonzero(~known)
         if len(new):
             whole = data.tobytes()
-            got = self.encode_words([whole[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            size = np.fromiter((len(x) // 4 for x in got), np.int64, len(got))
-            begin = len(self.flat) + np.cumsum(size) - size
+            words = [whole[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
+            got = self.encode_words([w.decode() for w in words])
+            size, spell = np.fromiter((len(x) // 4 for x in got), np.int64, len(got)), length[at[new]]
+            begin, spelt = len(self.flat) + np.cumsum(size) - size, len(self.letters) + np.cumsum(spell) - spell
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), np.uint32)])
-            for name, value in (("keys", unique[new]), ("checks", check[new]), ("begin", begin), ("size", size)):
+            self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(words), np.uint8)])
+            for name, value in (("keys", unique[new]), ("begin", begin), ("size", size), ("spelt", spelt), ("spell", spell)):
                 setattr(self, name, np.insert(getattr(self, name), place[new], value))
             place = np.searchsorted(self.keys, unique)
         begin, size = self.begin[place][inverse], self.size[place][inverse]

@@ -56,18 +56,29 @@ def unused(name: str, columns) -> str:
     return name
 
 
+def from_files(docs: DataFrame) -> DataFrame:
+    """``docs`` as it is if it was read from Parquet files, else written and read again."""
+    try:
+        docs.select("_metadata.row_index").schema
+        return docs
+    except AnalysisException:
+        return stash(docs, "docs")
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns that tell its rows apart, and their names: the file a
     row was read from and its number there.  They are the same each time ``docs`` is read,
-    also by a task that runs again.  What was not read from Parquet files is written first."""
+    also by a task that runs again.  What was not read from Parquet files is written first;
+    write what a join or explode has made out of files yourself."""
     file, row = unused("_file", docs.columns), unused("_row", docs.columns)
     try:
-        found = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        found = from_files(docs).select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
         found.schema  # refused if there is no such metadata
         return found, file, row
     except AnalysisException:
-        numbered = docs.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))
-        return stash(numbered, "located"), file, row
+        pass
+    # a column of ``docs`` itself is called _metadata: its files are read in one order
+    return docs.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row)), file, row
 
 
 def release() -> None:

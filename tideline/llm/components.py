@@ -16,8 +16,30 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stash
 
-#: Rows of (group, size) that may be broadcast.
+#: Rows of (group, size) that may be broadcast.  Fewer groups than this can each hold more
+#: than one in MOST_BROADCAST of all rows, whatever the table.
 MOST_BROADCAST = 10_000
+#: A group of up to so many rows is never heavy.
+LIGHT = 256
+
+
+def heavy_keys(sizes: DataFrame, weight: str) -> DataFrame:
+    """Of a table of keys with their numbers of rows, those with more than one in
+    MOST_BROADCAST of all rows: fewer than MOST_BROADCAST."""
+    total = sizes.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
+    return sizes.where(F.col(weight) > max(LIGHT, total // MOST_BROADCAST))
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the one row of ``table`` for their key; ``weight`` is the number of rows
+    with a key.  Heavy keys are broadcast, so their rows stay where they are; the rest is
+    joined by key."""
+    heavy = stash(heavy_keys(table, weight), "heavy")
+    if heavy.isEmpty():
+        return rows.join(table, key)
+    named = F.broadcast(heavy.select(key))
+    light = rows.join(named, key, "left_anti").join(table.join(named, key, "left_anti"), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
 
 
 def _signature(edges: DataFrame):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected, forest, per_cells
+from .components import connected, forest, join_heavy, per_cells
 
 SHINGLE, RADIUS, SEED, TREE = 4, 4, 42, 4096
 
@@ -74,17 +74,17 @@ def simhash(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, carry: list[str], text_col: str, width: int = SHINGLE) -> DataFrame:
+    """The columns ``carry`` and fp: the 64 bits as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fp = simhash(batch.column("text"), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], names=["id", "fp"])
-        pa.default_memory_pool().release_unused()
+            fp = simhash(batch.column(text_col), width).view(np.int64)
+            yield batch.select(carry).append_column("fp", pa.array(fp))
+        C.release()
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*carry, text_col).mapInArrow(run, f"{fields}, fp long")
 
 
 # ------------------------------------------------------------------- BK-trees
@@ -179,22 +179,30 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Data
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """One row per row of ``docs``: id, fp (long), root (a fingerprint that names the class)
-    and component_id (smallest id of the class; several classes share it if ids repeat)."""
-    prints = C.stash(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = C.stash(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    """One row per row of ``docs``: id, fp (long), component_id (the smallest id reachable),
+    kept and locator (as ``common.located`` gives it).  One row of each class is kept: the one
+    with the smallest id, null last, and of those the first by fingerprint and locator."""
+    docs, file, row = C.located(docs)
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.struct(F.col(file).alias("file"), F.col(row).alias("row")).alias("locator"), F.col(text_col).alias("text")
+    )
+    prints = C.stash(fingerprints(rows, ["id", "locator"], "text", width), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "locator")).alias("least")
+    nodes = C.stash(prints.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")), "nodes")
     roots = connected(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(ids, "root").select("fp", "root", "component_id")
-    return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    named = C.stash(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    heads = named.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("prints"))
+    found = C.stash(join_heavy(named.select("fp", "n", "root"), heads, "root", "prints").select("fp", "n", "head"), "heads")
+    return join_heavy(prints, found, "fp", "n").select(
+        F.col("id").alias(id_col), "fp", F.col("head.id").alias("component_id"), (F.col("locator") == F.col("head.locator")).alias("kept"), "locator"
+    )
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
     """One row per row of ``docs``: id, fp (long), component_id (smallest id reachable)."""
-    return classes(docs, id_col, text_col, width, radius).drop("root")
+    return classes(docs, id_col, text_col, width, radius).drop("kept", "locator")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

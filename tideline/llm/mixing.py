@@ -20,7 +20,8 @@ result is that of one run over all slots.
 
 No document is dropped or repeated.  Ranks inside a source come from counts over (source,
 hash bucket), so a source with a third of all rows is many small windows, and each bucket
-takes the slots of its own blocks along: rows are shuffled once.
+takes the slots of its own blocks along: rows are shuffled once.  An id that very many
+rows repeat is dealt to all buckets by where its rows were read.
 
 Null sources form a source of their own; null ids are ordinary values; rows that
 repeat an id are separate documents (their order is arbitrary if all else is equal).
@@ -41,6 +42,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common as C
+from .components import heavy_keys
 
 BLOCK = 16
 ROWS_PER_BUCKET = 250_000
@@ -49,37 +51,6 @@ EPS = 1e-6  # slots; more than the rounding errors of T, and windows only get na
 IDLE = (1 << 62, -1, -1)
 
 
-def in_ticks(weights: list[float], ticks: int) -> list[int]:
-    """Integer weights of at least 1 that sum to ``ticks`` (largest remainders).  The
-    schedule itself takes the true weights; this is for comparison in the tests."""
-    total = sum(weights)
-    exact = [w * (ticks - len(weights)) / total for w in weights]
-    out = [1 + int(x) for x in exact]
-    by_rest = sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in by_rest[: ticks - sum(out)]:
-        out[i] += 1
-    return out
-
-
-def one_period(ticks_each: list[int]) -> list[list[int]]:
-    """Earliest deadline first over one period: for each source the slots of its blocks."""
-    period = sum(ticks_each)
-    slots: list[list[int]] = [[] for _ in ticks_each]
-    waiting = [(0, i) for i in range(len(ticks_each))]  # (release, source)
-    ready: list[tuple[int, int]] = []  # (deadline, source)
-    heapq.heapify(waiting)
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, i = heapq.heappop(waiting)
-            k = len(slots[i]) + 1
-            heapq.heappush(ready, (-(-k * period // ticks_each[i]), i))
-        _, i = heapq.heappop(ready)
-        slots[i].append(t)
-        if len(slots[i]) < ticks_each[i]:
-            heapq.heappush(waiting, (len(slots[i]) * period // ticks_each[i], i))
-    return slots
-
-
 def block_windows(sizes: DataFrame) -> DataFrame:
     """(sid, k, rel, due) of every block, from (sid, blocks, w)."""
     n = C.partitions(sizes.sparkSession)
@@ -180,7 +151,7 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``docs``: id and source (or the columns ``carry``), _block
     (within the source), _slot and _place (within the slot).  Ordering by slot and place
-    is the mixture.
+    is the mixture.  Where ``carry`` has such a name, an underscore is put behind it.
 
     ``weights`` maps sources to target weights; a source it does not name, or every
     source if it is None, weighs its number of documents to the power ``temper``.
@@ -188,8 +159,12 @@ def mix(
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     carry = carry or [id_col, source_col]
+    _block, _slot, _place = (C.unused(x, carry) for x in ("_block", "_slot", "_place"))
+    docs, file, number = C.located(docs)
     row = F.struct(*[F.col(c) for c in carry]).alias("row")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), row)
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), F.xxhash64(file, number).alias("read_at"), row
+    )
     sizes = rows.groupBy("key", "source").count()
     named = T.StructType([T.StructField("name", docs.schema[source_col].dataType), T.StructField("given", T.DoubleType())])
     given = spark.createDataFrame([(k, float(w)) for k, w in (weights or {}).items()], named)
@@ -204,7 +179,12 @@ def mix(
     total, sources = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     slots = schedule(block_windows(sizes), sources, span)
     n = max(4 * C.partitions(spark), total // ROWS_PER_BUCKET + 1)
-    rows = rows.withColumn("h", F.xxhash64("id")).withColumn("bucket", F.pmod("h", F.lit(n)))
+    often = C.stash(heavy_keys(rows.groupBy(F.xxhash64("id").alias("h")).count(), "count").select("h"), "repeated-ids")
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    if not often.isEmpty():  # few, by the meaning of heavy
+        rows = rows.join(F.broadcast(often.select("h", F.lit(True).alias("often"))), "h", "left")
+        rows = rows.withColumn("h", F.when(F.col("often"), F.xxhash64("h", "read_at")).otherwise(F.col("h"))).drop("often")
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(n)))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("key", "bucket")
@@ -221,7 +201,7 @@ def mix(
         .groupBy("key", "bucket", "start")
         .agg(F.min("block").alias("first"), F.array_sort(F.collect_list(F.struct("block", "slot")))["slot"].alias("slots"))
     )
-    within = Window.partitionBy("key", "bucket").orderBy("h", "id")
+    within = Window.partitionBy("key", "bucket").orderBy("h", "id", "read_at")
     ranked = (
         rows.withColumn("r", F.row_number().over(within) - 1)
         .join(timed, ["key", "bucket"])
@@ -231,9 +211,9 @@ def mix(
     slot = F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int"))
     return ranked.select(
         *[F.col("row")[c].alias(c) for c in carry],
-        F.col("block").alias("_block"),
-        slot.cast(T.LongType()).alias("_slot"),
-        F.pmod("rank", F.lit(block)).alias("_place"),
+        F.col("block").alias(_block),
+        slot.cast(T.LongType()).alias(_slot),
+        F.pmod("rank", F.lit(block)).alias(_place),
     )
 
 

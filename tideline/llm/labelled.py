@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 
 def held_out(id_col: str, folds: int, out: int) -> Column:
     """crc32 of the id as text modulo ``folds`` is ``out``; a null id is never held out."""
@@ -45,16 +47,17 @@ def fit(sample: DataFrame, train) -> bytes:
 
 
 def score_all(docs: DataFrame, model: bytes, score, text_col: str, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` and score: ``score(model, texts) -> array``, the model (of
-    fixed size) broadcast."""
+    """The columns ``carry`` and _score (with underscores behind it if that is one of them):
+    ``score(model, texts) -> array``, the model (of fixed size) broadcast."""
+    name = C.unused("_score", carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = list(dict.fromkeys([*carry, text_col]))
 
     def run(batches):
         for batch in batches:
             found = np.clip(score(shared.value, batch.column(text_col)), 0.0, 1.0)
-            yield batch.select(carry).append_column("_score", pa.array(found, pa.float64()))
-        pa.default_memory_pool().release_unused()
+            yield batch.select(carry).append_column(name, pa.array(found, pa.float64()))
+        C.release()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*given).mapInArrow(run, f"{fields}, _score double")
+    return docs.select(*given).mapInArrow(run, f"{fields}, `{name}` double")

@@ -70,6 +70,31 @@ def test_near_copies_of_repeated_ids(spark):
     assert sorted(got, key=repr) == sorted(((i, lower(t).strip()) for i, t in want), key=repr)
 
 
+def test_copies_of_null_and_repeated_ids(spark):
+    """An id that occurs with two texts loses only the row that is a copy."""
+    plain, far = "base text " * 40, " ".join(f"far{k}" for k in range(60))
+    rows = [(None, plain), (None, plain + " "), (None, far), (5, plain.upper()), (5, "own " + far.replace("far", "own")), (6, far), (6, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([rows[3], rows[4], rows[6]], key=repr)
+    got = [tuple(r) for r in corpus_pipeline.drop_exact_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([rows[1], rows[3], rows[4], rows[6]], key=repr)
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_score", "_slot", "_place", "_block", "_file", "_row", "_t", "_digest", "_id", "fp", "locator", "kept", "digest", "_metadata"]
+    rows = [(k, f"text number {k} of some", "s", *[f"{c}{k}" for c in names]) for k in range(12)]
+    rows += [(50, rows[0][1].upper(), *rows[0][2:])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in names]]))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = sorted(tuple(r) for r in out.collect())
+        assert set(got) <= set(rows) and len(got) == len(set(got)), name
+        assert len(got) == {"exact_dedup": 12, "source_mixing": 13}.get(name, len(got)), name
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= 13
+
+
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in stages[-1].collect()}

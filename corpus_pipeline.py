@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of
-documents.  The mixing stage decides an order: its rows are written in that order, and
-packing follows it by the files' names and row numbers.
+documents, whatever further columns the table has and however they are named.  Rows are
+told apart by where they were read (``common.located``), never by doc_id, which may be
+null or repeat.  The mixing stage decides an order: its rows are written in that order,
+and packing follows it by the files' names and row numbers.
+
+Every stage takes an empty table and gives an empty one.  What the others do with nulls,
+ties and repeated rows stands at each.
 """
 
 from __future__ import annotations
@@ -11,82 +16,62 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tideline.llm import common, exact_dedup, mixing, packing, simhash_dedup, toxicity
 
-#: A list of identifiers up to this long is sent to every task; a longer one is joined by key.
+#: Locators of up to so many rows are sent to every task; more are joined by key.
 MOST_SENT = 200_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, same) -> DataFrame:
-    """``docs`` without the rows that match ``dropped`` (a narrow table)."""
-    dropped = common.stash(dropped, "dropped")
+def kept_rows(docs: DataFrame, verdicts) -> DataFrame:
+    """``docs`` without the rows that ``verdicts(docs)``, with locator and kept, drops."""
+    docs = common.from_files(docs)
+    located, file, row = common.located(docs)
+    dropped = common.stash(verdicts(docs).where(~F.col("kept")).select("locator.*"), "dropped")
     n = dropped.count()
     if not n:
         return docs
-    return docs.join(F.broadcast(dropped) if n <= MOST_SENT else dropped, same(dropped), "left_anti")
+    same = (located[file] == dropped["file"]) & (located[row] == dropped["row"])
+    return located.join(F.broadcast(dropped) if n <= MOST_SENT else dropped, same, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored under 0.5 stay.  Null and empty texts have the model's bias as score,
+    repeated rows and ties equal scores, so they stay or go together."""
     labels = common.table(spark, sf_dir, "labels")
-    scored = toxicity.toxicity(docs, labels, carry=docs.columns)
-    return scored.where("_score < 0.5").drop("_score")
+    score = common.unused("_score", docs.columns)
+    return toxicity.toxicity(docs, labels, carry=docs.columns).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = common.stash(exact_dedup.dedup(docs), "verdicts")
-    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    digest = exact_dedup.sha256(exact_dedup.normal(docs["text"]))
-    kept = without(
-        docs, dropped, lambda d: docs["doc_id"].eqNullSafe(d["_id"]) & (digest == d["_digest"])
-    )
-    # the same id and text delivered twice: one row of them stays
-    again = verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    if not again.isEmpty():
-        kept = kept.withColumn("_t", exact_dedup.normal(F.col("text"))).dropDuplicates(["doc_id", "_t"]).drop("_t")
-    return kept
+    """Of equal texts (null as empty) the row with the largest doc_id stays, a null id being
+    the smallest; of rows that repeat the id too, the last one read."""
+    return kept_rows(docs, exact_dedup.dedup)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every class of near copies stays: the one with the smallest id."""
-    found = common.stash(simhash_dedup.classes(docs), "classes")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    again = common.stash(again, "repeated-ids")
-
-    def same(d: DataFrame):
-        return docs["doc_id"].eqNullSafe(d["_id"])
-
-    dropped = found.where(~first).select(F.col("doc_id").alias("_id"))
-    if again.isEmpty():
-        return without(docs, dropped, same)
-    # an id alone doesn't say which row is meant: rows of repeated ids go by their fingerprint
-    single = without(docs, dropped.join(again, dropped["_id"].eqNullSafe(again["_id"]), "left_anti"), same)
-    single = single.join(again, single["doc_id"].eqNullSafe(again["_id"]), "left_anti")
-    best = found.where(first).groupBy("root").agg(F.min("fp").alias("best"))
-    kept = found.join(best, "root").where(first & (F.col("fp") == F.col("best"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
-    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    rows = docs.join(again, same(again), "left_semi").select(row.alias("_row"), "text")
-    names = {c: F.col("id")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)}
-    rows = simhash_dedup.fingerprints(rows, "_row", "text").select(*names.values(), F.col("fp").alias("_fp"))
-    rows = rows.join(kept.distinct(), rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_fp"] == kept["_fp"]), "left_semi")
-    one = Window.partitionBy("doc_id", "_fp").orderBy("text")
-    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return single.unionByName(rows.select(*docs.columns))
+    """Of every class of near copies the row with the smallest doc_id stays, a null id being
+    the largest; of rows that repeat the id, the first by fingerprint and place.  Null and
+    empty texts are near each other."""
+    return kept_rows(docs, simhash_dedup.classes)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, carry=docs.columns)
-    return mixed.orderBy("_slot", "_place").select(*docs.columns)
+    """All rows, in the order of their slots.  A null source is a source of its own; rows that
+    repeat an id are rows like any others."""
+    slot, place = (common.unused(c, docs.columns) for c in ("_slot", "_place"))
+    return mixing.mix(docs, carry=docs.columns).orderBy(slot, place).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in the order in which they were written.  A null or empty text is
+    its end token alone."""
+    rows = docs.select("doc_id", "text")
     try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         placed.schema
     except AnalysisException:  # not read from files: there is no written order
-        return packing.pack(docs)
+        return packing.pack(rows)
     return packing.pack(placed, order=["_file", "_row"])
 
 

@@ -4,6 +4,7 @@ import math
 import os
 import sys
 import tempfile
+from decimal import Decimal
 
 import pytest
 
@@ -34,6 +35,8 @@ def spark():
 
 
 def plain(value):
+    if isinstance(value, Decimal):
+        value = float(value)
     if isinstance(value, float):
         return None if math.isnan(value) else float(f"{value:.9g}") + 0.0
     if isinstance(value, (list, tuple)):

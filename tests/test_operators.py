@@ -60,7 +60,7 @@ def detections(spark, rows):
 
 def test_merge_follows_the_anchor(spark):
     # interleaved methods: the middle one is skipped and the last met twice
-    rows = [(10, 10, "derivative_magnitude", 0.7), (11, 11, "inflection", 0.8), (12, 12, "derivative_magnitude", 0.9)]
+    rows = [(10, 10, "derivative_magnitude", 0.7), (11, 11, "inflection_point", 0.8), (12, 12, "derivative_magnitude", 0.9)]
     got = B.merge_nearby(detections(spark, rows)).select("distance").collect()
     assert sorted(r[0] for r in got) == [12.0, 12.0]
     clean = B.merge_by_method(detections(spark, rows)).select("distance").collect()
@@ -88,13 +88,13 @@ def test_best_dry_wet(spark, strict, relaxed, want):
 
 
 def test_unknown_filter_keeps_nothing(spark):
-    d = detections(spark, [(1, 1, "inflection", 0.9)]).withColumns({"from_class": F.lit(D), "to_class": F.lit(W)})
+    d = detections(spark, [(1, 1, "inflection_point", 0.9)]).withColumns({"from_class": F.lit(D), "to_class": F.lit(W)})
     assert B.filter_by_type(d, "shore_only").count() == 1
     assert B.filter_by_type(d, "nonsense").count() == 0
 
 
 def test_matching_counts(spark):
-    det = detections(spark, [(10, 10, "inflection", 0.8), (14, 14, "inflection", 0.9), (50, 50, "inflection", 0.9)]).withColumn("boundary_type", F.lit("A->B"))
+    det = detections(spark, [(10, 10, "inflection_point", 0.8), (14, 14, "inflection_point", 0.9), (50, 50, "inflection_point", 0.9)]).withColumn("boundary_type", F.lit("A->B"))
     man = spark.createDataFrame([(1, 12.0, "A_to_B", 1), (1, 90.0, "B_to_C", 2), (2, 5.0, "A_to_B", 1)], "transect_id long, position double, manual_type string, seq int")
     m = M.match_transitions(det, man, 5.0)
     assert {r["label"]: r["count"] for r in m.groupBy("label").count().collect()} == {"TP": 2, "FP": 1, "FN": 2}
@@ -156,3 +156,67 @@ def test_equal_distances_give_no_gradient(spark):
     s = spark.createDataFrame([(1, float(d), 9 * k, 9, 9, 9 + k) for k, d in enumerate([0, 1, 1, 2, 3])], "transect_id long, distance double, red int, green int, blue int, nir int")
     got = X.compute_features(s).orderBy("distance", "nir").collect()
     assert got[0]["nir_d1"] is not None and got[1]["nir_d1"] is None
+
+
+# ------------------------------------------------ brute force, repeated distances
+
+
+def brute_relaxed(labels):
+    seen, top, out = set(), -1, []
+    for c in labels:
+        if c == "UNKNOWN" or c in seen:
+            out.append("UNKNOWN")
+        elif K.ORDER[c] < top:
+            out.append(["VEG_DUNES", "DRY_BEACH", "BEACH_WET", "WATER"][top])
+        else:
+            seen.add(c)
+            top = K.ORDER[c]
+            out.append(c)
+    return out
+
+
+def brute_strict(labels, distances, least):
+    edge = [k for k in range(len(labels)) if k == 0 or labels[k] != labels[k - 1]] + [len(labels)]
+    seen, top, out = set(), -1, ["UNKNOWN"] * len(labels)
+    for a, b in zip(edge[:-1], edge[1:]):
+        c = labels[a]
+        if c != "UNKNOWN" and distances[b - 1] - distances[a] >= least and c not in seen and K.ORDER[c] >= top:
+            seen.add(c)
+            top = K.ORDER[c]
+            out[a:b] = [c] * (b - a)
+    return out
+
+
+def test_monotonic_brute_force(spark):
+    import random
+
+    rng, names, rows = random.Random(3), list(K.CLASSES), []
+    for t in range(60):
+        n = rng.choice([1, 2, 3, 6, 7, 25])
+        labels = [names[rng.randrange(6)] for _ in range(n)]
+        labels = [labels[k // rng.choice([1, 3])] for k in range(n)]
+        rows += [(t, float(k), c) for k, c in enumerate(labels)]
+    df = spark.createDataFrame(rows, "transect_id long, distance double, predicted_class string")
+    relaxed, strict = (
+        {(r[0], r[1]): r[2] for r in f(df).collect()} for f in (K.monotonic_relaxed, K.monotonic_strict)
+    )
+    for t in range(60):
+        d, c = [r[1] for r in rows if r[0] == t], [r[2] for r in rows if r[0] == t]
+        assert [relaxed[t, x] for x in d] == brute_relaxed(c)
+        assert [strict[t, x] for x in d] == brute_strict(c, d, 2.5)
+
+
+def test_repeated_distances_keep_their_rows(spark):
+    rows = [(1, 0.0, "DRY_BEACH", 1), (1, 1.0, "BEACH_WET", 2), (1, 1.0, "BEACH_WET", 3), (1, 2.0, "WATER", 4)]
+    df = spark.createDataFrame(rows, "transect_id long, distance double, predicted_class string, red int")
+    zones = spark.createDataFrame([(1, 0, 0.0, 1.0, "A"), (1, 1, 1.0, 5.0, "B")], "transect_id long, zone_order int, start double, end double, zone_class string")
+    for f in (K.monotonic_relaxed, K.monotonic_strict, lambda x: M.points_in_zones(x, zones)):
+        assert sorted(r["red"] for r in f(df).collect()) == [1, 2, 3, 4]
+    assert [r["zone_class"] for r in M.points_in_zones(df, zones).orderBy("red").collect()] == ["A", "A", "A", "B"]
+
+
+def test_falling_distances_are_set_aside(spark):
+    rows = [(1, 5.0, 0), (1, 4.0, 1), (2, 4.0, 2), (2, 4.0, 3), (2, 5.0, 4)]
+    df = spark.createDataFrame([(t, d, o, 1, 2, 3, 4) for t, d, o in rows], "transect_id long, distance double, ord long, red int, green int, blue int, nir int")
+    sound, bad = X.valid_samples(df)
+    assert {r["transect_id"] for r in sound.collect()} == {2} and [r["n_falling"] for r in bad.collect()] == [1]

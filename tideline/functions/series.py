@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .tables import settle
+
 EPS = 1e-10
 
 
@@ -117,6 +119,7 @@ def running_total(df: DataFrame, key: str, value: Column, name: str) -> DataFram
     one sum a range is added up."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id()).withColumn("_v", value)
+    parts = settle(parts, "ranges")  # both uses see the same ranges
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy("_pid").agg(F.sum("_v").alias("_s"))
     starts = sums.select("_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))  # n rows at most

@@ -51,7 +51,7 @@ def vegetation_inflection(f: DataFrame) -> DataFrame:
     ).withColumn("_cc", F.abs(F.col("_a") - F.col("_b")))
     size = F.least("n", F.col("i") + 10) - F.greatest(F.lit(0), F.col("i") - 10)
     rows = rows.where((F.col("_a") * F.col("_b") < 0) & (F.col("_cc") > 1.0) & (size >= 10) & (F.col("_m1") > F.col("_m2") + 20))
-    return _record(rows, "inflection", confidence=F.least(0.65 + F.col("_cc") / 10, F.lit(0.85)), magnitude=F.col("_cc"))
+    return _record(rows, "inflection_point", confidence=F.least(0.65 + F.col("_cc") / 10, F.lit(0.85)), magnitude=F.col("_cc"))
 
 
 def surf_foam(f: DataFrame, require_nir_drop: bool = True) -> DataFrame:
@@ -59,7 +59,7 @@ def surf_foam(f: DataFrame, require_nir_drop: bool = True) -> DataFrame:
     falling = F.coalesce(F.col("rg_ratio_d1_smooth") < -0.01, F.lit(False))
     base = F.lit(0.82) if require_nir_drop else F.when(drop, 0.80).otherwise(0.70)
     rows = f.where(F.col("has_rgb_foam_peak") & drop if require_nir_drop else F.col("has_rgb_foam_peak"))
-    return _record(rows, "foam_peak", confidence=F.least(base + _add(falling, 0.03), F.lit(0.90)), magnitude=F.col("nir_d1_w7"))
+    return _record(rows, "rgb_foam_peak", confidence=F.least(base + _add(falling, 0.03), F.lit(0.90)), magnitude=F.col("nir_d1_w7"))
 
 
 def consensus(threshold: float) -> tuple[Column, Column]:
@@ -180,7 +180,7 @@ def merge_nearby(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
             k += len(group)
         return t.iloc[keep]
 
-    rank = F.when(F.col("detection_method") == "inflection", 0).when(F.col("detection_method") == "foam_peak", 1).otherwise(2)
+    rank = F.when(F.col("detection_method") == "inflection_point", 0).when(F.col("detection_method") == "rgb_foam_peak", 1).otherwise(2)
     ranked = found.withColumn("_rank", rank)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
     return ranked.groupBy(KEY).applyInPandas(scan, fields).drop("_rank")

@@ -90,61 +90,51 @@ def segments(classed: DataFrame, key: str = "transect_id") -> DataFrame:
     )
 
 
-def monotonic_relaxed(classed: DataFrame, key: str = "transect_id") -> DataFrame:
-    """Each class once, in shore order, as a scan: the classes of a transect are folded in
-    the JVM with what was seen and the furthest order.  A class seen before becomes
-    UNKNOWN; one that would go back is renamed to the class of the furthest order."""
-    first_of = ["VEG_DUNES", "DRY_BEACH", "BEACH_WET", "WATER"]
-    order = F.create_map(*[x for k, v in ORDER.items() for x in (F.lit(k), F.lit(v))])
-    names = F.array(*[F.lit(c) for c in first_of])
-
-    def step(state: Column, c: Column) -> Column:
-        seen, top = state["seen"], state["top"]
-        place = F.element_at(order, c)
-        skip = (c == "UNKNOWN") | F.array_contains(seen, c)
-        back = ~skip & (place < top)
-        label = F.when(skip, F.lit("UNKNOWN")).when(back, F.element_at(names, top + 1)).otherwise(c)
-        takes = ~skip & ~back
-        return F.struct(
-            F.when(takes, F.concat(seen, F.array(c))).otherwise(seen).alias("seen"),
-            F.when(takes, place).otherwise(top).alias("top"),
-            F.concat(state["out"], F.array(label)).alias("out"),
-        )
+def _no_higher_before(first: dict[str, Column], c: str) -> Column:
+    """No class of higher order comes before class ``c`` does for the first time."""
+    out = F.lit(True)
+    for other, at in first.items():
+        if ORDER[other] > ORDER[c]:
+            out = out & F.coalesce(at > first[c], F.lit(True))
+    return out
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("seen"), F.lit(-1).alias("top"), F.array().cast("array<string>").alias("out")
-    )
-    points = (
-        classed.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("distance", "predicted_class"))).alias("p"))
-        .withColumn("labels", F.aggregate(F.transform("p", lambda x: x["predicted_class"]), start, step, lambda s: s["out"]))
-        .select(key, F.explode(F.arrays_zip(F.transform("p", lambda x: x["distance"]).alias("distance"), F.col("labels").alias("label"))).alias("z"))
-        .select(key, "z.distance", F.col("z.label").alias("_label"))
+
+def monotonic_relaxed(classed: DataFrame, key: str = "transect_id") -> DataFrame:
+    """Each class once, in shore order.  A class is taken where it comes first, unless one
+    further out came before; its later points become UNKNOWN.  A class that is never taken
+    is renamed to the class of the furthest order so far.  Rows keep their number, also
+    where distances repeat."""
+    w, names = S.series(key), F.array(*[F.lit(c) for c in ("VEG_DUNES", "DRY_BEACH", "BEACH_WET", "WATER")])
+    given, rows = classed.columns, S.indexed(classed, w)
+    c, place = F.col("predicted_class"), F.lit(None).cast("int")
+    for name, order in ORDER.items():
+        place = F.when(c == name, order).otherwise(place)
+    rows = rows.withColumns(
+        {"_top": F.max(place).over(w.rowsBetween(Window.unboundedPreceding, -1))}
+        | {f"_{x}": F.min(F.when(c == x, F.col("i"))).over(S.whole(w)) for x in ORDER}
     )
-    return classed.join(points, [key, "distance"]).withColumn("predicted_class", F.col("_label")).drop("_label")
+    first = {x: F.col(f"_{x}") for x in ORDER}
+    label = F.lit("UNKNOWN")
+    for x in ORDER:
+        taken = F.when(F.col("i") == first[x], x).otherwise("UNKNOWN")
+        label = F.when(c == x, F.when(_no_higher_before(first, x), taken).otherwise(F.element_at(names, F.col("_top") + 1))).otherwise(label)
+    return rows.withColumn("predicted_class", label).select(*given)
 
 
 def monotonic_strict(classed: DataFrame, config: Config = DEFAULT, key: str = "transect_id") -> DataFrame:
     """Only zones of at least ``min_span``, each class once and never going back: a zone is
     kept if no zone of its class and none of higher order was kept before; the rest is
     UNKNOWN.  Labels are written out in full."""
-    runs = with_runs(classed, key)
-
-    def scan(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable")
-        seen, top, keep = set(), -1, {}
-        for r, z in t.groupby("run", sort=True):
-            c = z["predicted_class"].iloc[0]
-            if c == "UNKNOWN" or z["distance"].iloc[-1] - z["distance"].iloc[0] < config.min_span:
-                continue
-            if c not in seen and ORDER[c] >= top:
-                seen.add(c)
-                top = ORDER[c]
-                keep[r] = c
-        return t.assign(predicted_class=[keep.get(r, "UNKNOWN") for r in t["run"]])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
-    return runs.groupBy(key).applyInPandas(scan, fields).drop("run")
+    w, c = S.series(key), F.col("predicted_class")
+    zone = Window.partitionBy(key, "run")
+    runs = with_runs(classed, key).withColumn("_span", F.max("distance").over(zone) - F.min("distance").over(zone))
+    long = (c != "UNKNOWN") & (F.col("_span") >= config.min_span)
+    runs = runs.withColumns({f"_{x}": F.min(F.when(long & (c == x), F.col("run"))).over(S.whole(w)) for x in ORDER})
+    first = {x: F.col(f"_{x}") for x in ORDER}
+    label = F.lit("UNKNOWN")
+    for x in ORDER:
+        label = F.when((c == x) & (F.col("run") == first[x]) & _no_higher_before(first, x), x).otherwise(label)
+    return runs.withColumn("predicted_class", label).select(*classed.columns)
 
 
 def merge_short_segments(classed: DataFrame, config: Config = DEFAULT, rounds: int = 10, key: str = "transect_id") -> DataFrame:

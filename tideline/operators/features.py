@@ -8,7 +8,7 @@ batches of whole transects.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,25 +100,34 @@ def window_features(df: DataFrame, key: str = "transect_id") -> DataFrame:
     return df.drop("c1", *[f"u{s}" for s in SCALES])
 
 
+PEAKS = ("has_oscillations", "has_rgb_foam_peak")
+
+
 def peak_features(df: DataFrame, config: Config = DEFAULT, key: str = "transect_id") -> DataFrame:
-    """Adds has_oscillations and has_rgb_foam_peak; a transect is one Arrow group."""
+    """Adds has_oscillations and has_rgb_foam_peak; a transect is one Arrow group, of which
+    three columns are looked at and the others handed through."""
 
-    def mark(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable")
-        osc, foam = np.zeros(len(t), bool), np.zeros(len(t), bool)
+    def mark(t: pa.Table) -> pa.Table:
+        t = t.sort_by("distance")
+        osc, foam = np.zeros(t.num_rows, bool), np.zeros(t.num_rows, bool)
         for p in find_peaks(t["brightness"].to_numpy(), config.oscillation_prominence):
             osc[max(0, p - 3) : p + 3] = True
         foam[find_peaks(t["rgb7"].to_numpy(), config.foam_prominence, config.foam_width)] = True
-        return t.assign(has_oscillations=osc, has_rgb_foam_peak=foam)
+        return t.append_column(PEAKS[0], pa.array(osc)).append_column(PEAKS[1], pa.array(foam))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(key).applyInPandas(mark, f"{fields}, has_oscillations boolean, has_rgb_foam_peak boolean")
+    return df.groupBy(key).applyInArrow(mark, f"{fields}, {PEAKS[0]} boolean, {PEAKS[1]} boolean")
 
 
-def compute_features(samples: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The 31 features beside the input columns (and i, n)."""
-    df = peak_features(window_features(samples), config)
-    return df.select(*samples.columns, *[c for c in ("i", "n") if c not in samples.columns], *FEATURES)
+def compute_features(samples: DataFrame, config: Config = DEFAULT, peaks: bool = True) -> DataFrame:
+    """The 31 features beside the input columns (and i, n).  Without ``peaks`` the two of
+    them are left out, and nothing leaves the JVM."""
+    df = window_features(samples)
+    names = FEATURES if peaks else [c for c in FEATURES if c not in PEAKS]
+    kept = [*samples.columns, *[c for c in ("i", "n") if c not in samples.columns]]
+    if peaks:
+        df = peak_features(df.select(*kept, "rgb7", *[c for c in FEATURES if c not in PEAKS]), config)
+    return df.select(*kept, *names)
 
 
 def feature_summary(features: DataFrame) -> DataFrame:
@@ -130,10 +139,11 @@ def feature_summary(features: DataFrame) -> DataFrame:
     )
 
 
-def valid_samples(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def valid_samples(samples: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(samples of sound transects, violations): a transect with a null, a negative value or
-    a falling distance is set aside with the counts of each."""
-    w = S.series("transect_id", "ord") if "ord" in samples.columns else None
+    a distance that falls in the order given is set aside with the counts of each.  Readers
+    and samplers number their rows in ``ord``; without that column distances can't fall."""
+    w = S.series("transect_id", order) if order in samples.columns else None
     null = F.lit(False)
     negative = F.lit(False)
     for c in (*BANDS, "distance"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import series as S
+from ..functions.tables import settle
 from .config import CLASS_ALIAS
 
 KEY = "transect_id"
@@ -135,11 +136,12 @@ def shell_line_metrics(verdicts: DataFrame) -> DataFrame:
 
 def points_in_zones(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Samples with the zone they lie in, both ends included; on a shared edge the first
-    zone wins.  A transect has few zones, so the join on it stays narrow."""
-    z = zones.select(KEY, "zone_order", F.col("start").alias("zone_start"), F.col("end").alias("zone_end"), "zone_class")
-    hit = points.join(z, KEY).where("distance between zone_start and zone_end")
-    first = Window.partitionBy(KEY, "distance").orderBy("zone_order")
-    return hit.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    zone wins.  A transect's few zones come as one array, so every sample stays one row,
+    whatever its distance."""
+    z = F.struct("zone_order", F.col("start").alias("zone_start"), F.col("end").alias("zone_end"), "zone_class")
+    of = zones.groupBy(KEY).agg(F.array_sort(F.collect_list(z)).alias("_zones"))
+    first = F.filter("_zones", lambda x: F.col("distance").between(x["zone_start"], x["zone_end"]))
+    return points.join(of, KEY).withColumn("_z", F.get(first, F.lit(0))).where("_z is not null").select(*points.columns, "_z.*")
 
 
 def zone_slices(points: DataFrame, zones: DataFrame, inset: float = 0.0) -> DataFrame:
@@ -200,6 +202,7 @@ def sweep(features: DataFrame, manual: DataFrame, levels: list[float] | None = N
         return pd.DataFrame(out, columns=[KEY, "threshold", "distance"])
 
     found = rows.groupBy(KEY).applyInPandas(thin, f"{KEY} long, threshold double, distance double")
+    found = settle(found, "thinned")  # three branches read it
     pairs = near_pairs(found, manual.select(KEY, "seq", "position"), "distance", "position", tolerance)
     first = pairs.groupBy(KEY, "threshold", "distance").agg(F.min("seq").alias("seq"))
     hits = first.groupBy("threshold").agg(F.count(F.lit(1)).alias("tp"), F.countDistinct(KEY, "seq").alias("used"))

@@ -273,11 +273,12 @@ def five_numbers(labelled: DataFrame, features: list[str], by: str = "zone_class
 
 
 def threshold_coverage(df: DataFrame, levels: dict[str, float]) -> DataFrame:
-    """Per column: five percentiles and the share of rows at or above its level."""
+    """Per column: five percentiles and the share of rows at or above its level.  Values are
+    compared when rounded to nine places: a standard deviation's last bits say nothing."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.lit(float(x)).alias("level")) for c, x in levels.items()])
     v = F.col("s.value")
     return df.select(F.explode(cells).alias("s")).groupBy(F.col("s.feature").alias("feature"), F.col("s.level").alias("level")).agg(
-        *[F.percentile(v, p / 100).alias(f"p{p}") for p in (5, 25, 50, 75, 95)], (100 * F.avg((v >= F.col("s.level")).cast("double"))).alias("pct_covered")
+        *[F.percentile(v, p / 100).alias(f"p{p}") for p in (5, 25, 50, 75, 95)], (100 * F.avg((F.round(v, 9) >= F.col("s.level")).cast("double"))).alias("pct_covered")
     )
 
 

@@ -57,6 +57,11 @@ def feats(s, d, irregular=False):
     return X.compute_features(points(s, d, irregular))
 
 
+def nums(s, d):
+    """The features but the two peak flags: nothing leaves the JVM."""
+    return X.compute_features(points(s, d), peaks=False)
+
+
 def classes(s, d):
     return K.smooth_classes(K.classify(feats(s, d)))
 
@@ -76,7 +81,7 @@ def matches(s, d):
 
 
 def labelled(s, d):
-    return M.points_in_zones(feats(s, d), fixture.manual_zones(s, d))
+    return M.points_in_zones(nums(s, d), fixture.manual_zones(s, d))
 
 
 # ------------------------------------------------------------- features, windows
@@ -106,7 +111,7 @@ _SUMMARY = "ndvi ndwi brightness nir_ratio nir_d1 nir_d1_smooth variability slop
     out(twins.featured(), " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS lo, max({c}) AS hi FROM feat" for c in _SUMMARY), "feature", "mean std lo hi"),
 )
 def _(s, d):
-    return X.feature_summary(feats(s, d)).withColumnsRenamed({"min": "lo", "max": "hi"})
+    return X.feature_summary(nums(s, d)).withColumnsRenamed({"min": "lo", "max": "hi"})
 
 
 _PAIR_SQL = {
@@ -181,7 +186,7 @@ def _(s, d):
         " UNION ALL ".join(f"SELECT distance, 'w{z}' AS size, w{z} AS value FROM ms" for z in (1, 3, 5, 7, 9)), "distance, size", "value"),
 )
 def _(s, d):
-    return T.multiscale_derivative(feats(s, d), 0)
+    return T.multiscale_derivative(nums(s, d), 0)
 
 
 @query(
@@ -189,7 +194,7 @@ def _(s, d):
     out(twins.detected(), "SELECT transect_id, distance, hold, bands, vr AS variance_ratio FROM near", "transect_id, distance, hold, bands", "variance_ratio"),
 )
 def _(s, d):
-    f, w = feats(s, d), B.S.series(KEY)
+    f, w = nums(s, d), B.S.series(KEY)
     v = F.avg("variability")
     ratio = F.when((F.col("i") >= 5) & (F.col("i") < F.col("n") - 5), v.over(w.rowsBetween(0, 4)) / (v.over(w.rowsBetween(-5, -1)) + 1e-6)).otherwise(0.0)
     return f.select(KEY, "distance", F.coalesce(B.sustained("nir_d1_w5", -8.0, w), F.lit(False)).alias("hold"), B.consensus(-8.0)[0].alias("bands"), ratio.alias("variance_ratio"))
@@ -222,12 +227,30 @@ def _(s, d):
     return K.class_distribution(classes(s, d))
 
 
-@query("monotonic_relaxed")
+# the classes' order along the shore, and what came further out before a class's first point
+_SHORE = """
+shored AS (SELECT *, CASE predicted_class WHEN 'VEG_DUNES' THEN 0 WHEN 'DRY_BEACH' THEN 1 WHEN 'BEACH_WET' THEN 2 WHEN 'WATER' THEN 3 WHEN 'WAVE_CRESTS' THEN 3 END AS place FROM {source}),
+begins AS (SELECT transect_id, predicted_class, place, min({at}) AS b FROM shored WHERE place IS NOT NULL {among} GROUP BY ALL),
+taken AS (SELECT * FROM begins x WHERE NOT EXISTS (SELECT 1 FROM begins y WHERE y.transect_id = x.transect_id AND y.place > x.place AND y.b < x.b))"""
+
+
+@query(
+    "monotonic_relaxed",
+    twins.classed(_SHORE.format(source="smooth", at="i", among=""))
+    + f"""SELECT p.transect_id, p.distance, CASE WHEN p.place IS NULL THEN 'UNKNOWN' WHEN t.b IS NULL THEN ['VEG_DUNES', 'DRY_BEACH', 'BEACH_WET', 'WATER'][p.top + 1]
+  WHEN t.b = p.i THEN p.predicted_class ELSE 'UNKNOWN' END AS predicted_class
+FROM (SELECT *, max(place) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM shored) p LEFT JOIN taken t USING (transect_id, predicted_class)""",
+)
 def _(s, d):
     return K.monotonic_relaxed(classes(s, d)).select(KEY, "distance", "predicted_class")
 
 
-@query("monotonic_strict")
+@query(
+    "monotonic_strict",
+    twins.classed(twins.RUNS_SQL, "wide AS (SELECT *, max(distance) OVER z - min(distance) OVER z AS span FROM runs WINDOW z AS (PARTITION BY transect_id, run))", _SHORE.format(source="wide", at="run", among="AND span >= 2.5"))
+    + """SELECT p.transect_id, p.distance, coalesce(t.predicted_class, 'UNKNOWN') AS predicted_class
+FROM shored p LEFT JOIN taken t ON t.transect_id = p.transect_id AND t.predicted_class = p.predicted_class AND t.b = p.run""",
+)
 def _(s, d):
     return K.monotonic_strict(classes(s, d)).select(KEY, "distance", "predicted_class")
 
@@ -318,7 +341,19 @@ def _(s, d):
     return B.find_transitions(settle(classes(s, d), "classes")).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
 
 
-@query("boundaries_merged_by_method")
+@query(
+    "boundaries_merged_by_method",
+    twins.recursive(out(
+        twins.detected(
+            "seq AS (SELECT *, row_number() OVER (PARTITION BY transect_id, detection_method ORDER BY distance) AS k FROM final)",
+            """walk AS (SELECT transect_id, detection_method, k, distance AS anchor FROM seq WHERE k = 1 UNION ALL
+SELECT s.transect_id, s.detection_method, s.k, CASE WHEN s.distance - w.anchor < 5 THEN w.anchor ELSE s.distance END FROM walk w JOIN seq s
+ON s.transect_id = w.transect_id AND s.detection_method = w.detection_method AND s.k = w.k + 1)""",
+            "best_of AS (SELECT s.*, row_number() OVER (PARTITION BY transect_id, detection_method, anchor ORDER BY confidence DESC, distance) AS rn FROM seq s JOIN walk USING (transect_id, detection_method, k))",
+        ),
+        "SELECT * FROM best_of WHERE rn = 1", _DET, "confidence",
+    )),
+)
 def _(s, d):
     return B.merge_by_method(unmerged(s, d)).select(KEY, "index", "distance", "detection_method", "confidence")
 
@@ -416,15 +451,18 @@ def _(s, d):
     return verdicts(s, d)
 
 
+_RATED_SQL = """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (SELECT *,
+CASE WHEN correct + near + false_pos > 0 THEN correct / (correct + near + false_pos) ELSE 0 END AS precision,
+CASE WHEN correct + false_neg > 0 THEN correct / (correct + false_neg) ELSE 0 END AS recall FROM (
+SELECT count(*) FILTER (result = 'CORRECT') AS correct, count(*) FILTER (result = 'LOCALIZATION_ERROR') AS near, count(*) FILTER (result = 'FALSE_NEGATIVE') AS false_neg,
+count(*) FILTER (result = 'FALSE_POSITIVE') AS false_pos, count(*) AS total, avg(error_m) AS avg_error FROM verdicts))"""
+
+
 @query(
     "category_metrics",
     out(
         twins.detected(fixture.ZONES_SQL, twins.MANUAL_SQL, _VERDICT_SQL),
-        """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (SELECT *,
-CASE WHEN correct + near + false_pos > 0 THEN correct / (correct + near + false_pos) ELSE 0 END AS precision,
-CASE WHEN correct + false_neg > 0 THEN correct / (correct + false_neg) ELSE 0 END AS recall FROM (
-SELECT count(*) FILTER (result = 'CORRECT') AS correct, count(*) FILTER (result = 'LOCALIZATION_ERROR') AS near, count(*) FILTER (result = 'FALSE_NEGATIVE') AS false_neg,
-count(*) FILTER (result = 'FALSE_POSITIVE') AS false_pos, count(*) AS total, avg(error_m) AS avg_error FROM verdicts))""",
+        _RATED_SQL,
         "correct, near, false_neg, false_pos, total", "avg_error precision recall f1",
     ),
 )
@@ -451,17 +489,41 @@ def _(s, d):
     return M.detected_flags(manual(s, d), matches(s, d))
 
 
-@query("threshold_sweep")
+_SWEEP = twins.recursive(twins.featured(
+    fixture.ZONES_SQL, twins.MANUAL_SQL,
+    f"""low AS (SELECT transect_id, distance, nir_d1_smooth AS g FROM (SELECT *, NOT coalesce(nir_d1_smooth > lag(nir_d1_smooth) OVER ({W}), false)
+  AND NOT coalesce(nir_d1_smooth > lead(nir_d1_smooth) OVER ({W}), false) AS is_min FROM feat) WHERE is_min AND nir > 50)""",
+    "levels AS (SELECT -2.0::DOUBLE + -3.0::DOUBLE * k / 29 AS threshold FROM range(30) t(k))",
+    "seq AS (SELECT *, row_number() OVER (PARTITION BY transect_id, threshold ORDER BY distance) AS k FROM low JOIN levels ON g < threshold)",
+    """walk AS (SELECT transect_id, threshold, k, distance AS d, g, 1 AS grp FROM seq WHERE k = 1 UNION ALL
+SELECT s.transect_id, s.threshold, s.k, CASE WHEN s.distance - w.d >= 15 OR abs(s.g) > abs(w.g) THEN s.distance ELSE w.d END,
+  CASE WHEN s.distance - w.d >= 15 OR abs(s.g) > abs(w.g) THEN s.g ELSE w.g END, w.grp + (s.distance - w.d >= 15)::INT
+FROM walk w JOIN seq s ON s.transect_id = w.transect_id AND s.threshold = w.threshold AND s.k = w.k + 1)""",
+    "made AS (SELECT transect_id, threshold, grp, arg_max(d, k) AS p FROM walk GROUP BY ALL)",
+    "hit AS (SELECT m.transect_id, threshold, grp, min(seq) AS seq FROM made m JOIN manual x ON x.transect_id = m.transect_id AND abs(m.p - x.position) <= 10 GROUP BY ALL)",
+    """tally AS (SELECT threshold, (SELECT count(*) FROM hit h WHERE h.threshold = l.threshold) AS tp, (SELECT count(*) FROM made h WHERE h.threshold = l.threshold) AS num_detections,
+  (SELECT count(*) FROM manual) - (SELECT count(DISTINCT (transect_id, seq)) FROM hit h WHERE h.threshold = l.threshold) AS fn FROM levels l)""",
+    """rated AS (SELECT *, num_detections - tp AS fp, CASE WHEN num_detections > 0 THEN tp / num_detections ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM tally)""",
+    "swept AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1_score FROM rated)",
+))
+
+
+@query("threshold_sweep", out(_SWEEP, "SELECT * FROM swept", "tp, fp, fn, num_detections", "threshold precision recall f1_score"))
 def _(s, d):
-    return M.sweep(feats(s, d), manual(s, d))
+    return M.sweep(nums(s, d), manual(s, d))
 
 
-@query("threshold_optimum")
+@query("threshold_optimum", out(_SWEEP, "SELECT * FROM swept ORDER BY f1_score DESC, threshold DESC LIMIT 1", "tp, fp, fn, num_detections", "threshold precision recall f1_score"))
 def _(s, d):
-    return M.optimum(M.sweep(feats(s, d), manual(s, d)))
+    return M.optimum(M.sweep(nums(s, d), manual(s, d)))
+
 
+def _set_sql(name: str, soft_drop: float, soft_brightness: float, soft_nir: float) -> str:
+    body = out(twins.detected(fixture.ZONES_SQL, twins.MANUAL_SQL, _VERDICT_SQL, drop=soft_drop, bright=soft_brightness, bright_nir=soft_nir), _RATED_SQL, "correct, near, false_neg, false_pos, total", "avg_error precision recall f1")
+    return f"SELECT '{name}' AS threshold_set, * FROM ({body})"
 
-@query("threshold_sets")
+
+@query("threshold_sets", " UNION ALL ".join(_set_sql(k, **v) for k, v in THRESHOLD_SETS.items()))
 def _(s, d):
     c, out_ = settle(classes(s, d), "classes"), None
     for name, changes in THRESHOLD_SETS.items():
@@ -501,7 +563,7 @@ def _(s, d):
 
 _IN_ZONE = """
 labelled AS (SELECT * FROM (
-  SELECT p.*, z.zone_order, z.zone_class, row_number() OVER (PARTITION BY p.transect_id, p.distance ORDER BY z.zone_order) AS rn
+  SELECT p.*, z.zone_order, z.zone_class, row_number() OVER (PARTITION BY p.transect_id, p.i ORDER BY z.zone_order) AS rn
   FROM feat p JOIN zones z ON z.transect_id = p.transect_id AND p.distance BETWEEN z.zstart AND z.zend) WHERE rn = 1)"""
 _CF = T.CLASS_FEATURES
 _LONG = "long AS (" + " UNION ALL ".join(f"SELECT zone_class AS class, '{c}' AS feature, {c}::DOUBLE AS value FROM labelled" for c in _CF) + ")"
@@ -537,9 +599,17 @@ def _(s, d):
     return T.discriminability(labelled(s, d)).drop("p_value", "rank")
 
 
-@query("discriminability_ranked")
+@query(
+    "discriminability_ranked",
+    twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG) + f"SELECT feature, row_number() OVER (ORDER BY overall_discriminability DESC, feature)::INTEGER AS rank FROM ({_disc_sql()})",
+)
 def _(s, d):
-    return T.discriminability(labelled(s, d)).select("feature", "p_value", "rank")
+    return T.discriminability(labelled(s, d)).select("feature", "rank")
+
+
+@query("anova_p_values")
+def _(s, d):
+    return T.discriminability(labelled(s, d)).select("feature", "p_value")
 
 
 @query(
@@ -562,7 +632,7 @@ _CORR = "red green blue nir brightness ndvi ndwi nir_ratio variability curvature
     out(twins.featured(), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}::DOUBLE, {b}::DOUBLE) AS r FROM feat" for k, a in enumerate(_CORR) for b in _CORR[k:]), "a, b", "r"),
 )
 def _(s, d):
-    return T.correlation_matrix(feats(s, d), _CORR)
+    return T.correlation_matrix(nums(s, d), _CORR)
 
 
 @query(
@@ -585,13 +655,13 @@ _LEVELS = {"nir_ratio": 0.8, "brightness": 195.0, "variability": 10.0, "ndwi": 0
     out(
         twins.featured(),
         " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, {x}::DOUBLE AS level, {', '.join(f'quantile_cont({c}, {p / 100}) AS p{p}' for p in (5, 25, 50, 75, 95))}, 100 * avg(({c} >= {x})::INT::DOUBLE) AS pct_covered FROM feat" for c, x in _LEVELS.items()
+            f"SELECT '{c}' AS feature, {x}::DOUBLE AS level, {', '.join(f'quantile_cont({c}, {p / 100}) AS p{p}' for p in (5, 25, 50, 75, 95))}, 100 * avg((round({c}, 9) >= {x})::INT::DOUBLE) AS pct_covered FROM feat" for c, x in _LEVELS.items()
         ),
         "feature, level", "p5 p25 p50 p75 p95 pct_covered",
     ),
 )
 def _(s, d):
-    return T.threshold_coverage(feats(s, d), _LEVELS)
+    return T.threshold_coverage(nums(s, d), _LEVELS)
 
 
 def _slice(table: str, name: str, inset: float = 0) -> str:
@@ -602,32 +672,45 @@ def _slice(table: str, name: str, inset: float = 0) -> str:
 _ZD = "PARTITION BY transect_id, zone_order ORDER BY distance"
 
 
-@query(
-    "zone_derivatives",
-    out(
-        twins.featured(
-            fixture.ZONES_SQL, _slice("feat", "sl0"),
-            f"sl AS (SELECT *, nir_d1_smooth < -3 AS below FROM sl0)", f"sl1 AS (SELECT *, (below <> lag(below) OVER ({_ZD}))::INT AS ch FROM sl)",
-            f"sl2 AS (SELECT *, sum(coalesce(ch, 0)) OVER ({_ZD} ROWS UNBOUNDED PRECEDING) AS run FROM sl1)",
-            "lr AS (SELECT transect_id, zone_order, count(*) AS sustained_drops FROM (SELECT transect_id, zone_order, run, count(*) AS c FROM sl2 WHERE below GROUP BY ALL) WHERE c >= 3 GROUP BY ALL)",
-            """zs AS (SELECT transect_id, zone_order, zone_class, zstart, zend, count(*) AS num_points, avg(red_d1) AS red_d1_mean, avg(green_d1) AS green_d1_mean, avg(blue_d1) AS blue_d1_mean, avg(nir_d1) AS nir_d1_mean,
+_ZONE_STATS = twins.featured(
+    fixture.ZONES_SQL, _slice("feat", "sl0"),
+    f"sl AS (SELECT *, nir_d1_smooth < -3 AS below FROM sl0)", f"sl1 AS (SELECT *, (below <> lag(below) OVER ({_ZD}))::INT AS ch FROM sl)",
+    f"sl2 AS (SELECT *, sum(coalesce(ch, 0)) OVER ({_ZD} ROWS UNBOUNDED PRECEDING) AS run FROM sl1)",
+    "lr AS (SELECT transect_id, zone_order, count(*) AS sustained_drops FROM (SELECT transect_id, zone_order, run, count(*) AS c FROM sl2 WHERE below GROUP BY ALL) WHERE c >= 3 GROUP BY ALL)",
+    """zs AS (SELECT transect_id, zone_order, zone_class, zstart, zend, count(*) AS num_points, avg(red_d1) AS red_d1_mean, avg(green_d1) AS green_d1_mean, avg(blue_d1) AS blue_d1_mean, avg(nir_d1) AS nir_d1_mean,
   stddev_samp(nir_d1) AS nir_d1_std, min(nir_d1) AS nir_d1_min, max(nir_d1) AS nir_d1_max, count(*) FILTER (below) AS threshold_crossings, stddev_samp(nir) / avg(nir) AS nir_cv,
   stddev_samp(brightness) / avg(brightness) AS brightness_cv, regr_slope(nir, distance) AS nir_slope, regr_r2(nir, distance) AS nir_r_squared, regr_slope(brightness, distance) AS brightness_slope FROM sl GROUP BY ALL)""",
-        ),
-        """SELECT zs.*, coalesce(sustained_drops, 0) AS sustained_drops, zend - zstart AS span, threshold_crossings / num_points AS crossing_rate,
+)
+_ZONE_DERIVATIVES = """SELECT zs.*, coalesce(sustained_drops, 0) AS sustained_drops, zend - zstart AS span, threshold_crossings / num_points AS crossing_rate,
   greatest(red_d1_mean, green_d1_mean, blue_d1_mean, nir_d1_mean) < 0 OR least(red_d1_mean, green_d1_mean, blue_d1_mean, nir_d1_mean) > 0 AS derivative_alignment
-FROM zs LEFT JOIN lr USING (transect_id, zone_order) WHERE num_points >= 3""",
+FROM zs LEFT JOIN lr USING (transect_id, zone_order) WHERE num_points >= 3"""
+
+
+@query(
+    "zone_derivatives",
+    out(
+        _ZONE_STATS,
+        _ZONE_DERIVATIVES,
         "transect_id, zone_order, zone_class, num_points, threshold_crossings, sustained_drops, derivative_alignment",
         "red_d1_mean green_d1_mean blue_d1_mean nir_d1_mean nir_d1_std nir_d1_min nir_d1_max nir_cv brightness_cv nir_slope nir_r_squared brightness_slope span crossing_rate",
     ),
 )
 def _(s, d):
-    return T.zone_derivatives(settle(feats(s, d), "features"), fixture.manual_zones(s, d)).drop("zone_start", "zone_end")
+    return T.zone_derivatives(nums(s, d), fixture.manual_zones(s, d)).drop("zone_start", "zone_end")
 
 
-@query("zone_hypotheses")
+@query(
+    "zone_hypotheses",
+    out(
+        _ZONE_STATS,
+        f"""SELECT zone_class, avg(threshold_crossings) AS mean_crossings, avg(crossing_rate) AS mean_crossing_rate,
+  CASE WHEN sum(threshold_crossings) > 0 THEN sum(sustained_drops) / sum(threshold_crossings) ELSE 0 END AS sustained_ratio,
+  100 * avg(derivative_alignment::INT::DOUBLE) AS aligned_pct, avg(nir_cv) AS mean_nir_cv FROM ({_ZONE_DERIVATIVES}) GROUP BY zone_class""",
+        "zone_class", "mean_crossings mean_crossing_rate sustained_ratio aligned_pct mean_nir_cv",
+    ),
+)
 def _(s, d):
-    return T.hypotheses(T.zone_derivatives(feats(s, d), fixture.manual_zones(s, d)))
+    return T.hypotheses(T.zone_derivatives(nums(s, d), fixture.manual_zones(s, d)))
 
 
 @query("dominant_frequency")
@@ -722,20 +805,38 @@ _BC = [f"{b}_{x}" for b in X.BANDS for x in ("before", "after")]
     ),
 )
 def _(s, d):
-    return T.boundary_changes(feats(s, d), manual(s, d))
+    return T.boundary_changes(nums(s, d), manual(s, d))
 
 
 @query("transition_characteristics")
 def _(s, d):
-    return T.transition_characteristics(settle(feats(s, d), "features"), manual(s, d))
+    return T.transition_characteristics(settle(nums(s, d), "features"), manual(s, d))
 
 
 @query("transition_summary")
 def _(s, d):
-    return T.transition_summary(T.transition_characteristics(settle(feats(s, d), "features"), manual(s, d)), ["nir_drop", "nir_d1_min", "width", "asymmetry", "band_synchrony", "variability_ratio", "longest_run"])
+    return T.transition_summary(T.transition_characteristics(settle(nums(s, d), "features"), manual(s, d)), ["nir_drop", "nir_d1_min", "width", "asymmetry", "band_synchrony", "variability_ratio", "longest_run"])
+
 
+_MS = (1, 3, 5, 7, 9, 11)
+_MW = "PARTITION BY manual_type, detected ORDER BY off"
 
-@query("multiscale_profiles")
+
+@query(
+    "multiscale_profiles",
+    out(
+        twins.matched(
+            "flagged AS (SELECT *, EXISTS (SELECT 1 FROM matches x WHERE x.label = 'TP' AND x.transect_id = m.transect_id AND abs(x.detected_position - m.position) < 10) AS detected FROM manual m)",
+            "mp AS (SELECT manual_type, detected, p.distance - f.position AS off, avg(nir) AS m FROM points p JOIN flagged f ON f.transect_id = p.transect_id AND abs(p.distance - f.position) <= 15 GROUP BY ALL)",
+            f"mi AS (SELECT *, row_number() OVER ({_MW}) - 1 AS i, count(*) OVER (PARTITION BY manual_type, detected) AS n FROM mp)",
+            f"mu AS (SELECT *, {', '.join(f'{twins.uniform('m', z, _MW)} AS u{z}' for z in _MS)} FROM mi)",
+            f"mg AS (SELECT manual_type, detected, {', '.join(f'abs({twins.grad(f'u{z}', 'off', _MW)}) AS g{z}' for z in _MS)} FROM mu)",
+        ),
+        f"""SELECT *, CASE WHEN detected IS NOT NULL AND missed IS NOT NULL THEN CASE WHEN missed > 0 THEN detected / missed ELSE 'infinity'::DOUBLE END END AS ratio FROM (
+{' UNION ALL '.join(f'SELECT manual_type, {z} AS size, max(g{z}) FILTER (detected) AS detected, max(g{z}) FILTER (NOT detected) AS missed FROM mg GROUP BY manual_type' for z in _MS)})""",
+        "manual_type, size", "detected missed ratio",
+    ),
+)
 def _(s, d):
     return T.multiscale_profiles(points(s, d), M.detected_flags(manual(s, d), matches(s, d)))
 
@@ -752,7 +853,7 @@ win AS (SELECT transect_id, centre, label, """ + ", ".join(f"avg({c}) AS {c}_mea
 
 @query("window_features", out(twins.matched(_WIN), "SELECT * FROM win", "transect_id, centre, label", " ".join(T.WINDOW_FEATURES)))
 def _(s, d):
-    return T.window_features(feats(s, d), matches(s, d))
+    return T.window_features(nums(s, d), matches(s, d))
 
 
 @query(
@@ -767,7 +868,7 @@ SELECT feature, avg(value) FILTER (label = 'TP') AS tp_mean, stddev_samp(value)
     ),
 )
 def _(s, d):
-    return T.compare_tp_fp(T.window_features(feats(s, d), matches(s, d)), T.WINDOW_FEATURES)
+    return T.compare_tp_fp(T.window_features(nums(s, d), matches(s, d)), T.WINDOW_FEATURES)
 
 
 # ---------------------------------------------------------------- lines and tiles

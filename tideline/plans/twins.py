@@ -143,7 +143,7 @@ fresh AS (SELECT *, CASE WHEN predicted_class <> lag(predicted_class) OVER ({W})
 runs AS (SELECT *, sum(fresh) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM fresh)"""
 
 
-def _detect() -> str:
+def _detect(drop=39, bright=175, bright_nir=135) -> str:
     past, future = frame(-5, -1), frame(0, 4)
     nir = "nir::DOUBLE"
     return f"""
@@ -159,11 +159,11 @@ near AS (
     (nir_d1_smooth < -8)::INT + (red_d1_smooth < -8 * 0.85)::INT + (green_d1_smooth < -8 * 0.80)::INT + (blue_d1_smooth < -8 * 0.75)::INT AS bands
   FROM smooth
 ), veg AS (
-  SELECT transect_id, i, distance, 'inflection' AS detection_method, least(0.65 + abs(va - vb) / 10, 0.85) AS confidence, abs(va - vb) AS magnitude
+  SELECT transect_id, i, distance, 'inflection_point' AS detection_method, least(0.65 + abs(va - vb) / 10, 0.85) AS confidence, abs(va - vb) AS magnitude
   FROM near WHERE va * vb < 0 AND abs(va - vb) > 1.0 AND least(n, i + 10) - greatest(0, i - 10) >= 10 AND m1 > m2 + 20
 ), surf AS (
-  SELECT transect_id, i, distance, 'foam_peak' AS detection_method,
-         least(0.82 + CASE WHEN rg_ratio_d1_smooth < -0.01 THEN 0.03 ELSE 0 END, 0.90) AS confidence, nir_d1_w7 AS magnitude
+  SELECT transect_id, i, distance, 'rgb_foam_peak' AS detection_method,
+         least(0.82::DOUBLE + CASE WHEN rg_ratio_d1_smooth < -0.01 THEN 0.03 ELSE 0 END, 0.90) AS confidence, nir_d1_w7 AS magnitude
   FROM near WHERE has_rgb_foam_peak AND nir_d1_w7 < -2
 ), cand AS (SELECT *, abs(nir_d1_w5) AS g FROM near WHERE nir_d1_w5 < -8 AND nir > 50 AND is_min),
 strict0 AS (
@@ -171,8 +171,8 @@ strict0 AS (
     + CASE WHEN i >= 5 AND bb - brightness > 25 THEN 0.05 ELSE 0 END + CASE WHEN vr > 4 THEN 0.07 ELSE 0 END + CASE WHEN hold THEN 0.08 ELSE 0 END
     + CASE WHEN bands >= 3 THEN 0.08 ELSE 0 END + CASE WHEN red_green_ratio BETWEEN 0.95 AND 1.15 THEN 0.05 ELSE 0 END
     + CASE WHEN distance BETWEEN 40 AND 120 THEN 0.05 ELSE 0 END - CASE WHEN distance BETWEEN 40 AND 70 AND ndrop < 50 THEN 0.20 ELSE 0 END
-    - CASE WHEN ndrop < 39 THEN 0.15 * (39 - ndrop) / 39 ELSE 0 END - CASE WHEN bb > 0 AND bb < 175 THEN 0.10 * (175 - bb) / 175 ELSE 0 END
-    - CASE WHEN nb > 0 AND nb < 135 THEN 0.10 * (135 - nb) / 135 ELSE 0 END - CASE WHEN vr > 0 AND vr < 1.5 THEN 0.08 * (1.5 - vr) / 1.5 ELSE 0 END AS c0
+    - CASE WHEN ndrop < {drop} THEN 0.15 * ({drop} - ndrop) / {drop} ELSE 0 END - CASE WHEN bb > 0 AND bb < {bright} THEN 0.10 * ({bright} - bb) / {bright} ELSE 0 END
+    - CASE WHEN nb > 0 AND nb < {bright_nir} THEN 0.10 * ({bright_nir} - nb) / {bright_nir} ELSE 0 END - CASE WHEN vr > 0 AND vr < 1.5 THEN 0.08 * (1.5 - vr) / 1.5 ELSE 0 END AS c0
   FROM cand WHERE red_green_ratio BETWEEN 0.90 AND 1.20 AND NOT (distance BETWEEN 40 AND 70 AND vr < 1.0)
 ), strict AS (SELECT *, least(greatest(c0, 0.30), 0.95) AS confidence FROM strict0 WHERE least(greatest(c0, 0.30), 0.95) >= 0.60),
 relaxed0 AS (
@@ -196,7 +196,7 @@ pool0 AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY transect_id ORDER BY confidence DESC, distance) AS rn FROM pool)
   WHERE rn = 1 AND confidence >= CASE WHEN any_zone THEN 0.60 ELSE 0.50 END
 ), found AS (
-  SELECT *, NULL AS detection_mode FROM veg UNION ALL SELECT *, NULL FROM surf UNION ALL SELECT * FROM best
+  SELECT *, NULL::VARCHAR AS detection_mode FROM veg UNION ALL SELECT *, NULL::VARCHAR FROM surf UNION ALL SELECT * FROM best
 ), known AS (
   SELECT transect_id, i, n, last_value(k IGNORE NULLS) OVER {frame(-9, 0)} AS fc, first_value(k IGNORE NULLS) OVER {frame(1, 9)} AS tc
   FROM (SELECT *, nullif(predicted_class, 'UNKNOWN') AS k FROM smooth)
@@ -259,8 +259,12 @@ def classed(*more: str) -> str:
     return featured(CLASSES_SQL, *more)
 
 
-def detected(*more: str) -> str:
-    return classed(DETECT_SQL, *more)
+def detected(*more: str, **levels) -> str:
+    return classed(_detect(**levels) if levels else DETECT_SQL, *more)
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def matched(*more: str) -> str:

@@ -648,12 +648,26 @@ def test_link_graph_against_sql(spark, tmp_path):
     assert "good.org" not in {r[1] for r in got if r[4] == "block"}
 
 
-@pytest.mark.xfail(reason="open: distrust is shared among all in-links of a blocked host and stays under THRESHOLD", strict=True)
 def test_links_to_blocked_hosts_alone_block(spark):
     got = url_filter.judge(linked_pages(spark)).where("verdict = 'block'").select("host").distinct().collect()
     assert set(HOSTS[:4]) <= {r["host"] for r in got}
 
 
+def test_many_linkers_and_chains(spark):
+    """Thirty hosts that link to one blocked host alone are all blocked, half linkers not;
+    the scores are those of the converged equations."""
+    rows = [(0, "http://bad.net/", "")] + [(k, f"http://l{k}.io/", "<a href='http://bad.net/'>") for k in range(1, 31)]
+    rows += [(40 + k, f"http://half{k}.io/", "<a href='http://bad.net/'><a href='http://l1.com/'>") for k in range(5)]
+    rows += [(60, "http://far.io/", "<a href=http://half0.io>"), (61, "http://ring1.io/", "<a href=//ring2.io>"), (62, "http://ring2.io/", "<a href=//ring1.io>"), (63, "http://long.io/", "x" * 300_000 + "<a href=//bad.net>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.net", "long.io", *[f"l{k}.io" for k in range(1, 31)]}
+    judged = pages.selectExpr("substring_index(substring_index(url, '/', 3), '/', -1) AS host", "html", "CASE WHEN url LIKE '%.net/%' THEN 'block' END AS verdict")
+    rank = {r["host"]: r["distrust"] for r in url_filter.host_scores(judged).collect()}
+    assert rank["bad.net"] == pytest.approx(0.15) and rank["l3.io"] == pytest.approx(0.15 * 0.85) and rank["half0.io"] == pytest.approx(0.15 * 0.85 / 2)
+    assert rank["far.io"] == pytest.approx(0.15 * 0.85**2 / 2) and rank["ring1.io"] == 0
+
+
 def test_digest_columns_are_sha256(spark):
     found = substring_dedup.op2_substring_dedup(spark, "/root/testdata/sf0.001").where("n_removed = 0").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.col("doc_id") == found["doc_id"]).first()["text"]

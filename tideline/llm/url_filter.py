@@ -5,14 +5,19 @@ wins.  For pages without a rule, hosts are scored over the graph of links betwee
 (absolute href targets in the pages' html, summed by pair of hosts):
 
 * trust: personalised PageRank along links, restarted at hosts in the share of their
-  pages that an allow rule fits;
-* distrust: the same against the links, restarted at hosts in the share of their pages
-  that a block rule fits, so that pointing to blocked hosts counts against a host.
+  pages that an allow rule fits; a host hands its trust on in equal parts of its links;
+* distrust: the reverse, restarted at hosts in the share of their pages that a block rule
+  fits; a host takes on the distrust of the hosts it links to, each in the share of its own
+  links.  So what counts is how much of a host's linking goes to blocked hosts, not how
+  many others link there too.
 
 A host is blocked where distrust exceeds trust by more than ``THRESHOLD`` of a restart
-at full share; otherwise, and without any evidence, it is allowed.  Hosts are joined by
-key and contributions summed before each shuffle; every round goes to the shared folder.
-Links inside a host are left out.
+at full share: about 59 % of its links going to wholly blocked hosts that link no further,
+if nothing else is known.  Otherwise, and without any evidence, it is allowed.  Rounds go
+on until the scores' summed change over ``STEP`` rounds is under ``CHANGE`` of the sum of
+all restarts, or ``ROUNDS`` are done.  Hosts are joined by key and contributions summed
+before each shuffle; every ``STEP`` rounds go to the shared folder.  Links inside a host
+are left out.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed.
 Null html has no links.  Repeated rows are judged alike and count as pages.  Other
@@ -31,7 +36,8 @@ from .exact_dedup import LOWER, UPPER
 
 #: Fixed values of the query: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+ROUNDS, STEP, CHANGE = 45, 5, 1e-3
 LINK = r"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']?(?:https?:)?//([^/?#"' \t\r\n>]+)"""
 
 
@@ -70,37 +76,40 @@ def host_scores(judged: DataFrame, rounds: int = ROUNDS, damping: float = DAMPIN
     )
     pairs = C.stash(pairs, "host-links")
     out = pairs.groupBy("host").agg(F.sum("n").alias("n_out"))
-    into = pairs.groupBy("to").agg(F.sum("n").alias("n_in"))
-    edges = C.stash(
-        pairs.join(out, "host").join(into, "to").select(
-            "host", "to", (F.col("n") / F.col("n_out")).alias("p"), (F.col("n") / F.col("n_in")).alias("q")
-        ),
-        "host-edges",
-    )
+    edges = C.stash(pairs.join(out, "host").select("host", "to", (F.col("n") / F.col("n_out")).alias("p")), "host-edges")
     hosts = seeds.join(edges.select("host").union(edges.select("to")).distinct(), "host", "full").fillna(0.0)
     seeds = C.stash(hosts, "host-seeds")
     ranks = seeds.select("host", *[(F.col(f"s_{c}") * (1 - damping)).alias(c) for c in ("trust", "distrust")])
     if edges.isEmpty():
         return ranks
-    for _ in range(rounds):
-        ahead = edges.join(ranks.select("host", "trust"), "host").select(
-            F.col("to").alias("host"), (F.col("trust") * F.col("p")).alias("trust"), F.lit(0.0).alias("distrust")
-        )
-        back = edges.join(ranks.select(F.col("host").alias("to"), "distrust"), "to").select(
-            "host", F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("q")).alias("distrust")
-        )
-        given = ahead.unionByName(back).groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
-        ranks = C.stash(
-            seeds.join(given, "host", "left").select(
-                "host",
-                (F.col("s_trust") * (1 - damping) + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-                (F.col("s_distrust") * (1 - damping) + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-            ),
-            "host-ranks",
-        )
+    enough = CHANGE * ranks.agg(F.sum(F.col("trust") + F.col("distrust")).alias("s")).first()["s"]
+    for _ in range(0, rounds, STEP):
+        before, now = ranks, ranks
+        for _ in range(STEP):
+            now = one_round(seeds, edges, now, damping)
+        ranks = C.stash(now, "host-ranks")
+        was = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        change = ranks.join(was, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d"))).alias("s"))
+        if change.first()["s"] <= enough:
+            break
     return ranks
 
 
+def one_round(seeds: DataFrame, edges: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
+    ahead = edges.join(ranks.select("host", "trust"), "host").select(
+        F.col("to").alias("host"), (F.col("trust") * F.col("p")).alias("trust"), F.lit(0.0).alias("distrust")
+    )
+    back = edges.join(ranks.select(F.col("host").alias("to"), "distrust"), "to").select(
+        "host", F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("p")).alias("distrust")
+    )
+    given = ahead.unionByName(back).groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
+    return seeds.join(given, "host", "left").select(
+        "host",
+        (F.col("s_trust") * (1 - damping) + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
+        (F.col("s_distrust") * (1 - damping) + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
+    )
+
+
 def judge(
     pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -148,7 +157,7 @@ own AS (
   SELECT host, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') AS dst FROM judged WHERE host <> ''
 ), pair AS (SELECT host, dst, count(*) AS n FROM link WHERE host <> dst GROUP BY ALL),
 edge AS (
-  SELECT host, dst, n / sum(n) OVER (PARTITION BY host) AS p, n / sum(n) OVER (PARTITION BY dst) AS q FROM pair
+  SELECT host, dst, n / sum(n) OVER (PARTITION BY host) AS p FROM pair
 ), node AS (SELECT host FROM own UNION SELECT host FROM edge UNION SELECT dst FROM edge),
 seed AS (SELECT host, coalesce(s_t, 0) AS s_t, coalesce(s_d, 0) AS s_d FROM node LEFT JOIN own USING (host)),
 r0 AS (SELECT host, s_t * {1 - DAMPING!r} AS t, s_d * {1 - DAMPING!r} AS d FROM seed)"""
@@ -158,7 +167,7 @@ r{k + 1} AS MATERIALIZED (
   SELECT seed.host, s_t * {1 - DAMPING!r} + {DAMPING} * coalesce(f.t, 0) AS t, s_d * {1 - DAMPING!r} + {DAMPING} * coalesce(b.d, 0) AS d
   FROM seed
   LEFT JOIN (SELECT dst AS host, sum(t * p) AS t FROM edge JOIN r{k} USING (host) GROUP BY dst) f USING (host)
-  LEFT JOIN (SELECT edge.host, sum(d * q) AS d FROM edge JOIN r{k} ON r{k}.host = edge.dst GROUP BY edge.host) b USING (host)
+  LEFT JOIN (SELECT edge.host, sum(d * p) AS d FROM edge JOIN r{k} ON r{k}.host = edge.dst GROUP BY edge.host) b USING (host)
 )"""
     return sql + f"""
 SELECT page_id, host, path, rule,

@@ -527,9 +527,58 @@ def test_base_spans_brute_force(spark):
 
 
 def test_wider_spans_are_added(spark):
-    rows = [(1, "call (212) 555-1234 now"), (2, "write to john [at] mail [dot] com"), (3, "order 212-555-9876x"), (4, "see me@x.org")] + [(10 + k, "mail a@b.org or +49 30 1234567") for k in range(20)]
+    rows = [(1, "call (212) 555-1234 now"), (2, "write to john [at] mail [dot] com"), (3, "order 212-555-9876x"), (4, "see me@x.org"), (5, "serial 4785380592391138")]
+    rows += [(10 + k, "mail a@b.org or +49 30 1234567") for k in range(20)]
     got = {r["doc_id"]: r["a"] for r in pii.personal_data(docs(spark, rows)).select("doc_id", pii.written("all").alias("a")).collect()}
     assert got[1] == "phone:5:19" and got[2].startswith("email:9:") and got[4] == "email:4:12"
+    assert got[3] == "" and got[5] == ""
+
+
+def planted(rng, k):
+    """(what stands before, the span, its kind or None if it is not personal data)."""
+    pick, digit = (lambda *x: x[int(rng.integers(len(x)))]), lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    if k % 2:
+        return (
+            ("order ", f"{digit(3)}-{digit(3)}-{digit(4)}", None), ("serial ", next(d for d in iter(lambda: digit(16), 0) if not luhn(d)), None),
+            ("version ", f"{rng.integers(256, 999)}.{digit(1)}.{digit(1)}.1", None), ("part ", f"1{digit(2)}-{digit(3)}-{digit(4)}x", None),
+        )[k // 2 % 4]
+    name, host = pick("ann", "bob.k", "carl_7"), pick("post", "uni7")
+    return (
+        (pick("", "email "), f"{name} [at] {host} [dot] {pick('com', 'de')}", "email"), (pick("", "write to "), f"{name}(at){host}.org", "email"),
+        (pick("", "call "), f"({rng.integers(200, 999)}) {rng.integers(2, 9)}55-{digit(4)}", "phone"), (pick("", "client "), ":".join(["2001", "db8", *(f"{x:x}" for x in rng.integers(1, 65535, 6))]), "ip"),
+        (pick("", "amex "), next(d for d in iter(lambda: "37" + digit(13), 0) if luhn(d)), "card"),
+    )[k // 2 % 5]
+
+
+def test_planted_spans_and_reliabilities(spark):
+    """Precision and recall beyond the base rules, and what is estimated of the labelers
+    against how often they are right."""
+    rng, rows, true, false = np.random.default_rng(11), [], {}, set()
+    for k in range(300):
+        before, x, kind = planted(rng, k)
+        text = f"the sea lay calm {before}{x} while we walked"
+        at = text.index(x)
+        rows.append((k, text))
+        if kind:
+            true[k] = f"{kind}:{at}:{at + len(x)}"
+        else:
+            false.add(k)
+    rows += [(1000 + k, "mail a.b@c.org or dial +1 (743) 555-3824 today") for k in range(60)]
+    df = docs(spark, rows)
+    found = pii.personal_data(df).select("doc_id", pii.written("base").alias("b"), pii.written("all").alias("a")).collect()
+    got = {r["doc_id"]: set(r["a"].split(",")) - set(r["b"].split(",")) - {""} for r in found}
+    hit = sum(true[k] in got[k] for k in true)
+    wrong = sum(len(v - {true.get(k)}) for k, v in got.items())
+    assert hit >= 0.95 * len(true) and wrong <= 0.05 * hit
+    found = common.stash(pii.candidates(df, "doc_id", "text"), "candidates")
+    _, rates = pii.estimate(common.stash(pii.patterns(found), "patterns"))
+    each = found.select("id", F.explode(F.concat(*[F.col(f"{a}_{k}") for a in ("base", "fail", "wide") for k in pii.KINDS])).alias("c"))
+    each = each.select(F.col("id").isin(*false).alias("false"), *[F.col(f"c.{v}").alias(v) for v in pii.VOTES]).toPandas()
+    for v in ("v_gazetteer", "v_context", "v_edges"):
+        for side in (0, 1):
+            part = each[v][each["false"] == bool(side)]
+            for vote in (1, 0, -1):
+                assert rates[v][side][vote] == pytest.approx((part == vote).mean(), abs=0.15), (v, side, vote)
 
 
 # -------------------------------------------------------------------- packing

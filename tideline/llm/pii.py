@@ -1,20 +1,25 @@
 """Personal data by weak supervision; DataFrame functions only.
 
 Base rules find e-mail addresses, IP addresses, payment cards and phone numbers; these
-spans always stay.  Wider patterns propose further candidates (spelled-out addresses,
-national phone formats, long digit groups, IPv6).  Four labelers vote yes, no or nothing
-on each candidate, base ones included:
-
-* regex: it is a base span;
-* gazetteer: known top-level domains, calling codes or area forms, issuer digits, octets;
+spans always stay.  Candidates for more are matches of the base patterns that fail the
+rule's check, and wider patterns: spelled-out addresses, national and 00- phone formats,
+fifteen-digit and dotted cards, IPv6.  Four labelers vote yes, no or nothing on each
+candidate, base spans included:
+
+* regex: yes to a base span, no to a match that fails its check, nothing on other forms;
+* gazetteer: top-level domains, calling and area codes, issuer prefixes and check digits,
+  reserved address ranges;
 * context: words before it that announce the kind, or that announce something else;
 * edges: what touches it on both sides.
 
-Candidates are summed by kind, votes and features, at most a few thousand rows whatever
-the corpus.  Expectation-maximisation over that table estimates how reliable each
-labeler is; the posteriors then train the final span classifier, a naive Bayes over span
-features.  Candidates that it gives ``ADD`` or more, and that touch no span already
-taken, are added.
+Texts are read once.  Candidates go to the shared folder and are summed by kind, form
+and votes, at most a thousand rows whatever the corpus.  Expectation-maximisation
+over that table estimates the share of true candidates of each kind among usual and wide
+forms, and how often each labeler says yes, no or nothing to true and to false ones.  It
+starts from, and where votes are few stays near, ``BELIEF``; a failed check is never taken
+for something that often happens to true ones.  The posteriors then train the final span
+classifier, a naive Bayes over span features.  Candidates that it gives ``ADD`` or more,
+and that touch no span already taken, are added: wide forms first, then failed checks.
 
 Offsets are code points, end exclusive.  Null text counts as empty and has no spans.
 Text of any length is read whole.  Repeated rows get equal results; a null id is carried
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-ADD, ROUNDS = 0.9, 8
+ADD, ROUNDS = 0.7, 12
 
 #: The base rules, written so that no match is tried twice over (possessive
 #: where the next character decides, and begun only where a run begins or a match ended).
@@ -44,28 +49,33 @@ BASE = {
 }
 #: What may be personal data beyond the base rules.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:\[at\]|\(at\)|\{at\}) ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot |\.)[A-Za-z0-9-]{1,63}+){1,4}+",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}([ -.])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}\.[0-9]{4}\.[0-9]{4}\.[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){3,5}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
 }
 #: A text without this holds no match of the kind (base, wide).
 NEEDS = {
-    "email": ("@", r"[\[({]at[\])}]"),
+    "email": ("@", r"[\[({]at[\])}]| at [A-Za-z0-9-]+(?:\.| dot )"),
     "ip": (r"[0-9]\.[0-9]", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-    "card": ("[0-9](?:[ -]?[0-9]){15}", "[0-9]{4}[ -.][0-9]{4}[ -.]"),
-    "phone": (r"\+[0-9]", "[0-9]{3}[ .-][0-9]{4}"),
+    "card": ("[0-9](?:[ -]?[0-9]){15}", r"[0-9]{4}\.[0-9]{4}\.|3[47][0-9]{2}[ -]?[0-9]{6}"),
+    "phone": (r"\+[0-9]", "00[1-9]|[0-9]{3}[ .-][0-9]{4}"),
 }
-#: Gazetteers and context words: fixed values.
-TOP_LEVEL = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca|ch|at|nl|be|pl|pt|br|mx|ar|jp|cn|in|au"
-CALLING = r"(?:\+|00)(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Gazetteers and context words: fixed values.  A two-letter domain counts as a country's.
+TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|name|pro|io|app|dev|cloud|online|site|shop|blog|email|tech|xyz|[a-z]{2}"
+NOT_DOMAIN = "htm|html|php|jpg|png|gif|pdf|txt|doc|zip|exe|py|js|css|matrix"
+CALLING = (
+    r"(?:\+|00)(?:1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])"
+)
+ISSUER = r"(?:4|5[0-9]|2[2-7]|3[4-8]|6)"
+RESERVED = r"^(?:0|10|127|22[4-9]|2[3-5][0-9])\.|^192\.168\.|^169\.254\.|^(?:0+:){7}"
 WORDS_BEFORE = {
-    "email": r"(?i)(?:e-?mail|contact|write to|reach me|correo|courriel|adresse)[^\n]{0,24}$",
-    "ip": r"(?i)(?:\bip|host|server|address|client|login from)[^\n]{0,24}$",
-    "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit|carte|tarjeta|karte)[^\n]{0,24}$",
-    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|dial|telefon|appel)[^\n]{0,24}$",
+    "email": r"(?i)(?:e-?mail|mail|contact|write|reach|address|correo|courriel|adresse|schreib|escrib)[^\n]{0,24}$",
+    "ip": r"(?i)(?:\bip|ipv[46]|host|server|address|client|login|logged|from|gateway|adresse)[^\n]{0,24}$",
+    "card": r"(?i)(?:card|visa|master|amex|credit|debit|payment|paid|carte|tarjeta|karte)[^\n]{0,24}$",
+    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|dial|ring|text|sms|telefon|appel|llam|anruf|handy)[^\n]{0,24}$",
 }
-OTHER_BEFORE = r"(?i)(?:isbn|issn|doi|order|invoice|version|serial|sku|part|build|ticket|ref|item)[^\n]{0,12}$"
+OTHER_BEFORE = r"(?i)(?:isbn|issn|doi|order|invoice|version|release|serial|sku|part|build|ticket|ref|item|model|case|batch|page|tracking|account no|pedido|commande|bestell|looked|meet|arrived|stay)[^\n]{0,14}$"
 
 
 SPAN, STRETCH = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>", 256
@@ -142,35 +152,53 @@ def valid(kind: str, hit: Column) -> Column:
 
 
 def gazetteer(kind: str, hit: Column) -> Column:
-    yes = {
-        "email": rf"(?i)(?:\.|dot[\])}}]) ?(?:{TOP_LEVEL})$",
-        "ip": r"^(?:[0-9.]+|(?:[0-9A-Fa-f]+:)+[0-9A-Fa-f]+)$",
-        "card": r"^[3-6]",
-        "phone": rf"^{CALLING}|^\(?[2-9][0-9]{{2}}\)?[ .-]+[2-9][0-9]{{2}}",
+    d = digits(hit)
+    area = r"^\(?[2-9][0-9]{2}\)?[ .-]+[2-9][0-9]{2}[ .-]"
+    known = {
+        "email": hit.rlike(rf"(?i)(?:\.|dot ?[\])}}]? ?)(?:{TOP_LEVEL})$"),
+        "ip": hit.contains(":") & hit.rlike(r"(?i)^(?:[23][0-9a-f]{3}|f[cde][0-9a-f]{2}):") | ~hit.contains(":"),
+        "card": d.rlike(f"^{ISSUER}") & luhn(d),
+        "phone": hit.rlike(rf"^{CALLING}") | hit.rlike(area),
+    }[kind]
+    strange = {
+        "email": hit.rlike(rf"(?i)(?:^[.])|(?:\.|dot ?[\])}}]? ?)(?:{NOT_DOMAIN})$"),
+        "ip": hit.rlike(RESERVED),
+        "card": ~(d.rlike(f"^{ISSUER}") & luhn(d)),
+        "phone": hit.rlike(r"^\(?[01][0-9]{2}\)?[ .-]|^[2-9][0-9]{2}[ .-][01][0-9]{2}[ .-]|^00"),
     }[kind]
-    no = {"email": r"^[.]", "ip": r"^(?:0\.|0+:)", "card": r"^[0-27-9]", "phone": r"^\(?[01][0-9]{2}\)?[ .-]"}[kind]
-    return F.when(hit.rlike(no), 0).when(hit.rlike(yes), 1).otherwise(-1)
+    return F.when(known, 1).when(strange, 0).otherwise(-1) if kind in ("card", "phone") else F.when(strange, 0).when(known, 1).otherwise(-1)
 
 
 VOTES = ("v_regex", "v_gazetteer", "v_context", "v_edges")
-FEATURES = ("kind", "form", "size", "v_gazetteer", "v_context", "v_edges")
+FEATURES = ("shape", "v_gazetteer", "v_context", "v_edges")
+#: What a candidate is: a match that fails its check, a base span, a wider form.
+FAILED, BASIC, WIDER = 0, 1, 2
+#: Chances of (yes, no) from a labeler on true and on false candidates to start with.
+BELIEF = {
+    "v_regex": ((0.70, 0.005), (0.02, 0.50)),
+    "v_gazetteer": ((0.70, 0.05), (0.35, 0.35)),
+    "v_context": ((0.30, 0.02), (0.06, 0.35)),
+    "v_edges": ((0.95, 0.05), (0.70, 0.30)),
+}
+#: The starting chances count as so many votes; bounds of what is estimated.
+AS_VOTES, PRIORS, FAILS = 20.0, (0.05, 0.95), 0.01
+GROUPS = range(2 * len(KINDS))
 
 
-def describe(kind: str, c: Column, base: bool) -> Column:
+def describe(kind: str, c: Column, form: int) -> Column:
     """A candidate with its votes (1 yes, 0 no, -1 nothing) and features."""
     before, after, hit = c["before"], c["after"], c["hit"]
     touched = before.rlike(r"[\p{L}\p{N}_/=]$") | after.rlike(r"^[\p{L}\p{N}_/=]")
-    context = F.when(before.rlike(WORDS_BEFORE[kind]), 1).when(before.rlike(OTHER_BEFORE), 0).otherwise(-1)
+    context = F.when(before.rlike(OTHER_BEFORE), 0).when(before.rlike(WORDS_BEFORE[kind]), 1).otherwise(-1)
     return F.struct(
         c["start"].alias("start"),
         c["end"].alias("end"),
-        F.lit(KINDS.index(kind)).alias("kind"),
-        F.lit(1 if base else -1).alias("v_regex"),
+        F.lit(2 * KINDS.index(kind) + (form == WIDER)).alias("group"),
+        F.lit({FAILED: 0, BASIC: 1, WIDER: -1}[form]).alias("v_regex"),
         gazetteer(kind, hit).alias("v_gazetteer"),
         context.alias("v_context"),
         F.when(touched, 0).otherwise(1).alias("v_edges"),
-        F.lit(int(base)).alias("form"),
-        F.least(F.length(digits(hit)), F.lit(20)).alias("size"),
+        F.lit(3 * KINDS.index(kind) + form).alias("shape"),
     )
 
 
@@ -180,7 +208,7 @@ def of_kind(f, kind: str, field: str | None, *more):
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and, for each kind, its base spans and its wider candidates."""
+    """id and, for each kind, base spans, matches that fail the base rule, and wider forms."""
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = out.select(
         "id",
@@ -189,47 +217,63 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     described = {}
     for k in KINDS:
-        good = F.filter(f"base_{k}", of_kind(valid, k, "hit"))
-        described[f"base_{k}"] = F.transform(good, of_kind(describe, k, None, True))
-        described[f"wide_{k}"] = F.transform(f"wide_{k}", of_kind(describe, k, None, False))
+        fails = F.filter(f"base_{k}", of_kind(lambda kind, hit: ~valid(kind, hit) & (F.length(digits(hit)) < 20), k, "hit"))
+        described[f"base_{k}"] = F.transform(F.filter(f"base_{k}", of_kind(valid, k, "hit")), of_kind(describe, k, None, BASIC))
+        described[f"fail_{k}"] = F.transform(fails, of_kind(describe, k, None, FAILED))
+        described[f"wide_{k}"] = F.transform(f"wide_{k}", of_kind(describe, k, None, WIDER))
     return out.select("id", *[v.alias(c) for c, v in described.items()])
 
 
 def patterns(found: DataFrame) -> DataFrame:
     """How often each combination of votes and features occurs; a bounded table."""
-    every = F.concat(*[F.col(f"{a}_{k}") for a in ("base", "wide") for k in KINDS])
-    keys = list(dict.fromkeys((*VOTES, *FEATURES)))
+    every = F.concat(*[F.col(f"{a}_{k}") for a in ("base", "fail", "wide") for k in KINDS])
+    keys = list(dict.fromkeys(("group", *VOTES, *FEATURES)))
     return found.select(F.explode(every).alias("c")).groupBy(*[F.col(f"c.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def posterior(prior: float, yes: list[float], no: list[float]) -> Column:
-    """Probability that a candidate is personal data, from its votes and the labelers'
-    rates of a yes on true and on false candidates."""
-    z = F.lit(math.log(prior / (1 - prior)))
-    for v, a, b in zip(VOTES, yes, no):
-        z = z + F.when(F.col(v) == 1, math.log(a / b)).when(F.col(v) == 0, math.log((1 - a) / (1 - b))).otherwise(0.0)
+def chances(yes: float, no: float) -> dict[int, float]:
+    return {1: yes, 0: no, -1: max(1e-3, 1 - yes - no)}
+
+
+def start() -> tuple[dict, dict]:
+    """(share of true candidates by group, {labeler: (chances if true, if false)})."""
+    return {g: 0.5 for g in GROUPS}, {v: (chances(*t), chances(*f)) for v, (t, f) in BELIEF.items()}
+
+
+def posterior(model: tuple[dict, dict]) -> Column:
+    """Probability that a candidate is personal data, from its group and the votes."""
+    priors, rates = model
+    z = F.lit(0.0)
+    for g, p in priors.items():
+        z = z + F.when(F.col("group") == g, math.log(p / (1 - p))).otherwise(0.0)
+    for v, (true, false) in rates.items():
+        for vote in true:
+            z = z + F.when(F.col(v) == vote, math.log(true[vote] / false[vote])).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
-def estimate(table: DataFrame, rounds: int = ROUNDS) -> Column:
+def estimate(table: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict]:
     """Expectation-maximisation over the pattern table."""
-    prior, yes, no = 0.5, [0.8] * len(VOTES), [0.3] * len(VOTES)
+    model, first = start(), start()[1]
     for _ in range(rounds):
-        p = table.withColumn("p", posterior(prior, yes, no)).withColumn("q", 1 - F.col("p"))
-        sums = [F.sum(F.col("n") * F.col("p")).alias("p"), F.sum("n").alias("n")]
-        for v in VOTES:
-            for side in ("p", "q"):
-                mass = F.col("n") * F.col(side)
-                sums.append(F.sum(F.when(F.col(v) == 1, mass).otherwise(0.0)).alias(f"{v}_{side}1"))
-                sums.append(F.sum(F.when(F.col(v) >= 0, mass).otherwise(0.0)).alias(f"{v}_{side}"))
+        p = table.withColumn("p", posterior(model))
+        mass = {0: F.col("n") * F.col("p"), 1: F.col("n") * (1 - F.col("p"))}
+        sums = [F.coalesce(F.sum(F.when(F.col("group") == g, m)), F.lit(0.0)).alias(f"g{g}_{k}") for g in GROUPS for k, m in mass.items()]
+        sums += [
+            F.coalesce(F.sum(F.when(F.col(v) == vote, m)), F.lit(0.0)).alias(f"{v}{vote}_{k}") for v in VOTES for vote in (1, 0, -1) for k, m in mass.items()
+        ]
         s = p.agg(*sums).first()
-        if not s["n"]:
-            break
-        prior = min(0.999, max(0.001, (s["p"] + 1) / (s["n"] + 2)))
-        # two votes of the starting rates keep a labeler's meaning where it has few votes
-        yes = [min(0.999, (s[f"{v}_p1"] + 1.6) / (s[f"{v}_p"] + 2)) for v in VOTES]
-        no = [max(0.001, (s[f"{v}_q1"] + 0.6) / (s[f"{v}_q"] + 2)) for v in VOTES]
-    return posterior(prior, yes, no)
+        priors = {g: min(PRIORS[1], max(PRIORS[0], (s[f"g{g}_0"] + 1) / (s[f"g{g}_0"] + s[f"g{g}_1"] + 2))) for g in GROUPS}
+        rates = {}
+        for v in VOTES:
+            sides = []
+            for k in (0, 1):
+                total = sum(s[f"{v}{vote}_{k}"] for vote in (1, 0, -1)) + AS_VOTES
+                sides.append({vote: max(1e-4, (s[f"{v}{vote}_{k}"] + AS_VOTES * first[v][k][vote]) / total) for vote in (1, 0, -1)})
+            rates[v] = tuple(sides)
+        rates["v_regex"][0][0] = min(FAILS, rates["v_regex"][0][0])
+        model = priors, rates
+    return model
 
 
 def train(table: DataFrame, p: Column):
@@ -242,11 +286,11 @@ def train(table: DataFrame, p: Column):
         .agg(F.sum(F.col("n") * F.col("p")).alias("t"), F.sum(F.col("n") * (1 - F.col("p"))).alias("u"))
         .collect()
     )
-    one = [r for r in sums if r["f"] == FEATURES[0]]
+    one = [r for r in sums if r["f"] == "v_edges"]
     t, u = sum(r["t"] for r in one), sum(r["u"] for r in one)
     weights: dict[str, dict[int, float]] = {f: {} for f in FEATURES}
     for r in sorted(sums):
-        weights[r["f"]][r["v"]] = math.log((r["t"] + 1) / (t + 20)) - math.log((r["u"] + 1) / (u + 20))
+        weights[r["f"]][r["v"]] = math.log((r["t"] + 1) / (t + 4)) - math.log((r["u"] + 1) / (u + 4))
     return math.log((t + 1) / (u + 1)), weights
 
 
@@ -264,31 +308,29 @@ def probability(model, c: Column) -> Column:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, and for each kind the arrays base_<kind> and
     all_<kind> of structs start, end, by start."""
-    found = candidates(docs, id_col, text_col)
+    found = C.stash(candidates(docs, id_col, text_col), "candidates")
     table = C.stash(patterns(found), "vote-patterns")
-    model = train(table, estimate(table))
+    model = train(table, posterior(estimate(table)))
+
+    def span(c: Column) -> Column:
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"))
+
+    def good(c: Column) -> Column:
+        return probability(model, c) >= ADD
+
     out = found.select(
-        "id",
-        *[F.transform(f"base_{k}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))).alias(f"base_{k}") for k in KINDS],
-        *[
-            F.transform(
-                F.filter(f"wide_{k}", lambda c: probability(model, c) >= ADD),
-                lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")),
-            ).alias(f"more_{k}")
-            for k in KINDS
-        ],
+        "id", *[F.transform(f"base_{k}", span).alias(f"base_{k}") for k in KINDS], *[F.transform(F.filter(f"{a}_{k}", good), span).alias(f"{a}_{k}") for a in ("wide", "fail") for k in KINDS]
     )
     taken = F.concat(*[F.col(f"base_{k}") for k in KINDS])
-    for k in KINDS:
-        free = F.filter(
-            f"more_{k}", lambda c: ~F.exists("taken", lambda t: (c["start"] < t["end"]) & (t["start"] < c["end"]))
-        )
-        out = out.withColumn("taken", taken).withColumn(f"more_{k}", free)
-        taken = F.concat("taken", f"more_{k}")
+    for a in ("wide", "fail"):
+        for k in KINDS:
+            free = F.filter(f"{a}_{k}", lambda c: ~F.exists("taken", lambda t: (c["start"] < t["end"]) & (t["start"] < c["end"])))
+            out = out.withColumn("taken", taken).withColumn(f"{a}_{k}", free)
+            taken = F.concat("taken", f"{a}_{k}")
     return out.select(
         F.col("id").alias(id_col),
         *[f"base_{k}" for k in KINDS],
-        *[F.array_sort(F.concat(f"base_{k}", f"more_{k}")).alias(f"all_{k}") for k in KINDS],
+        *[F.array_sort(F.concat(f"base_{k}", f"wide_{k}", f"fail_{k}")).alias(f"all_{k}") for k in KINDS],
     )
 
 

@@ -65,6 +65,8 @@ def test_rasters_lines_and_samples(spark, world, tmp_path):
     found = readers.transects_geojson(spark, str(lines))
     assert [r["transect_id"] for r in found.collect()] == [1, 2]
     got = G.sample_transects(found, meta, readers.raster_pixels(spark, str(folder), meta))
+    few = G.sample_transects(found, meta, readers.pixels_of(spark, str(folder), meta))
+    assert sorted(tuple(r) for r in few.collect()) == sorted(tuple(r) for r in got.collect())
     one = {r["distance"]: r for r in got.where("transect_id = 1").collect()}
     assert 5.0 not in one and one[4.0]["red"] == a[0, 5, 4]  # the nodata pixel is skipped
     two = {r["distance"]: r for r in got.where("transect_id = 2").collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import series as S
+from ..functions.tables import settle
 
 KEY = "transect_id"
 
@@ -90,15 +91,19 @@ def overlapping_tiles(lines: DataFrame, tiles: DataFrame, cell: float = 1000.0)
     return s.join(b, ["_cx", "_cy"]).where(_crosses()).select(KEY, "raster_id", "priority").distinct()
 
 
-def sample_points(points: DataFrame, tiles: DataFrame, pixels: DataFrame, cell: float = 1000.0) -> DataFrame:
+def sample_points(points: DataFrame, tiles: DataFrame, pixels, cell: float = 1000.0) -> DataFrame:
     """The nearest pixel of the first tile, by priority, that holds the point and none of
-    whose bands is nodata; points without any are left out."""
+    whose bands is nodata; points without any are left out.  ``pixels`` is a table, or a
+    function that finds the wanted ones of (raster_id, row, col)."""
     p = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     b = tile_bounds(tiles)
     b = _cells(b, F.col("left"), F.col("right"), F.col("bottom"), F.col("top"), cell)
     hit = p.join(b, ["_cx", "_cy"]).where("x between left and right and y between bottom and top")
     hit = hit.withColumns({"row": F.floor((F.col("top") - F.col("y")) / F.col("res")), "col": F.floor((F.col("x") - F.col("left")) / F.col("res"))})
     hit = hit.where("row >= 0 and row < height and col >= 0 and col < width")
+    if callable(pixels):
+        hit = settle(hit.select(KEY, "distance", "x", "y", "raster_id", "priority", "nodata", "row", "col"), "wanted")
+        pixels = pixels(hit)
     found = hit.join(pixels, ["raster_id", "row", "col"]).where(
         "nodata is null or (red <> nodata and green <> nodata and blue <> nodata and nir <> nodata)"
     )
@@ -106,7 +111,7 @@ def sample_points(points: DataFrame, tiles: DataFrame, pixels: DataFrame, cell:
     return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(KEY, "distance", "x", "y", "red", "green", "blue", "nir")
 
 
-def sample_transects(lines: DataFrame, tiles: DataFrame, pixels: DataFrame, direction: str | None = None, interval: float = 1.0) -> DataFrame:
+def sample_transects(lines: DataFrame, tiles: DataFrame, pixels, direction: str | None = None, interval: float = 1.0) -> DataFrame:
     """Samples along every line.  From east to west, distance counts from the far end of
     the line's full length."""
     got = sample_points(densify(lines, interval), tiles, pixels)

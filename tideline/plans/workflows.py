@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ DETECTED_TYPES = {
 def classify_samples(samples: DataFrame, config: Config = DEFAULT, monotonic: bool = False) -> DataFrame:
     """Sound transects with features, class and confidence."""
     sound, _ = X.valid_samples(samples)
+    sound = sound.drop("ord")
     classed = K.smooth_classes(K.classify(X.compute_features(sound, config), config))
     return K.monotonic_relaxed(classed) if monotonic else classed
 
@@ -39,7 +43,7 @@ def classify_samples(samples: DataFrame, config: Config = DEFAULT, monotonic: bo
 def analyze_all_transects(spark: SparkSession, rasters: str, transects: str, output: str, boundary_types: str = "shore_only", config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Tiles and lines to classified samples and boundaries, written under ``output``."""
     meta = readers.check_rasters(readers.raster_meta(spark, rasters))
-    samples = G.sample_transects(readers.transects_geojson(spark, transects), meta, readers.raster_pixels(spark, rasters, meta))
+    samples = G.sample_transects(readers.transects_geojson(spark, transects), meta, readers.pixels_of(spark, rasters, meta))
     classed = settle(classify_samples(samples, config), "classes")
     found = settle(B.find_transitions(classed, config), "boundaries")
     writers.points_csv(B.with_transition_flag(classed, found), f"{output}/points")
@@ -52,7 +56,7 @@ def analyze_all_transects(spark: SparkSession, rasters: str, transects: str, out
 def training_samples(spark: SparkSession, rasters: str, transects: str, output: str, k: int, seed: int) -> DataFrame:
     meta = readers.check_rasters(readers.raster_meta(spark, rasters))
     lines = G.random_transects(readers.transects_geojson(spark, transects), k, seed)
-    samples = G.sample_transects(lines, meta, readers.raster_pixels(spark, rasters, meta))
+    samples = G.sample_transects(lines, meta, readers.pixels_of(spark, rasters, meta))
     samples.withColumnRenamed("transect_id", "TransectID").write.mode("overwrite").csv(f"{output}/samples", header=True)
     return samples
 
@@ -82,15 +86,40 @@ def run_all_validations(samples: DataFrame, zones: DataFrame, output: str, toler
     return tables
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, which may not have it installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tideline-"), "tideline"), "zip", root, "tideline")
+    spark.sparkContext.addPyFile(path)
+
+
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description="Analyse transects over raster tiles.")
-    p.add_argument("--rasters", required=True)
-    p.add_argument("--transects", required=True)
+    p = argparse.ArgumentParser(description="Analyse transects over raster tiles, draw training samples, or validate against manual zones.")
+    p.add_argument("--mode", default="analyze", choices=["analyze", "train", "validate"])
+    p.add_argument("--rasters", help="folder of tiles (analyze, train)")
+    p.add_argument("--transects", help="GeoJSON of lines (analyze, train)")
+    p.add_argument("--samples", help="CSV of samples (validate)")
+    p.add_argument("--zones", help="text file of manual zones (validate)")
     p.add_argument("--output", required=True)
     p.add_argument("--boundary-types", default="shore_only", choices=["all", "shore_only", "waterline"])
+    p.add_argument("--num-transects", type=int, default=10)
+    p.add_argument("--seed", type=int, default=321197)
+    p.add_argument("--tolerance", type=float, default=5.0)
+    p.add_argument("--kind", choices=sorted(MANUAL_TYPES))
     a = p.parse_args(argv)
+    needs = ("samples", "zones") if a.mode == "validate" else ("rasters", "transects")
+    if missing := [f"--{n}" for n in needs if not getattr(a, n)]:
+        p.error(f"{a.mode} needs {' and '.join(missing)}")
     spark = SparkSession.builder.appName("tideline").getOrCreate()
-    analyze_all_transects(spark, a.rasters, a.transects, a.output, a.boundary_types)
+    ship(spark)
+    if a.mode == "analyze":
+        analyze_all_transects(spark, a.rasters, a.transects, a.output, a.boundary_types)
+    elif a.mode == "train":
+        training_samples(spark, a.rasters, a.transects, a.output, a.num_transects, a.seed)
+    else:
+        tables = run_all_validations(readers.samples_csv(spark, a.samples, numbered=True), readers.manual_zones(spark, a.zones), a.output, a.tolerance, a.kind)
+        small = {n: tables[n] for n in ("metrics", "boundary_type_confusion_matrix", "error_distribution", "feature_discriminability")}
+        spark.createDataFrame([(writers.markdown("Validation", small),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/report")
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +16,10 @@ from pyspark.sql.window import Window
 SAMPLES = "TransectID long, distance double, red int, green int, blue int, nir int"
 
 
-def samples_csv(spark: SparkSession, path) -> DataFrame:
-    return spark.read.csv(path, schema=SAMPLES, header=True).withColumnRenamed("TransectID", "transect_id")
+def samples_csv(spark: SparkSession, path, numbered: bool = False) -> DataFrame:
+    """Samples; with ``numbered`` also ord, which ascends with the lines of a file."""
+    out = spark.read.csv(path, schema=SAMPLES, header=True).withColumnRenamed("TransectID", "transect_id")
+    return out.withColumn("ord", F.monotonically_increasing_id()) if numbered else out
 
 
 def samples_by_priority(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -135,12 +138,14 @@ def log_summary(parsed: DataFrame) -> DataFrame:
     )
 
 
-def lines_with(lines: DataFrame, words: list[str], column: str = "value", top: int = 20) -> DataFrame:
-    """The first ``top`` lines that hold any of the words, in any case."""
+def lines_with(lines: DataFrame, words: list[str], column: str = "value", top: int | None = None, order: str | None = None) -> DataFrame:
+    """Lines that hold any of the words, in any case; with ``top``, so many first ones by
+    ``order`` (or by the line itself)."""
     v, hit = F.lower(F.col(column)), F.lit(False)
     for w in words:
         hit = hit | v.contains(w.lower())
-    return lines.where(hit).limit(top)
+    found = lines.where(hit)
+    return found if top is None else found.orderBy(order or column).limit(top)
 
 
 # ----------------------------------------------------------------------- rasters
@@ -172,6 +177,8 @@ def decode_tiff(raw: bytes) -> tuple[dict, np.ndarray]:
     bits, fmt = t.get(258, (8,))[0], t.get(339, (1,))[0]
     kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[fmt] + str(bits // 8))
     packed = t.get(259, (1,))[0]
+    if t.get(317, (1,))[0] != 1:
+        raise ValueError(f"predictor {t[317][0]} is not supported")
     if packed not in (1, 8, 32946):
         raise ValueError(f"compression {packed} is not supported")
     strips = [raw[a : a + n] for a, n in zip(t[273], t[279])]
@@ -227,3 +234,30 @@ def raster_pixels(spark: SparkSession, folder: str, meta: DataFrame) -> DataFram
                     yield pd.DataFrame({"raster_id": np.int32(rid), "row": (r + a).ravel().astype(np.int64), "col": c.ravel().astype(np.int64)} | {b: part[k].ravel() for k, b in enumerate(("red", "green", "blue", "nir"))})
 
     return files.mapInPandas(run, "raster_id int, row long, col long, red int, green int, blue int, nir int")
+
+
+def pixels_of(spark: SparkSession, folder: str, meta: DataFrame):
+    """A function from wanted (raster_id, row, col) to those rows with their four bands.  A
+    tile meets the samples that fall on it and gives their pixels alone; tiles without any
+    are not decoded."""
+    bands = ("red", "green", "blue", "nir")
+
+    def run(key, files, wanted):
+        r, c = wanted["row"].to_numpy(), wanted["col"].to_numpy()
+        if not files.num_rows or not len(r):
+            values = [np.zeros(0, np.int32)] * 4
+            wanted = wanted.slice(0, 0)
+        else:
+            _, x = decode_tiff(files["content"][0].as_py())
+            values = [x[k, r, c].astype(np.int32) for k in range(4)]
+        return pa.table({n: wanted[n] for n in ("raster_id", "row", "col")} | {b: pa.array(v, pa.int32()) for b, v in zip(bands, values)})
+
+    def pick(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("raster_id").cast("int"), F.col("row").cast("long"), F.col("col").cast("long")).distinct()
+        tiles = meta.select("path", F.col("raster_id").cast("int").alias("tile"))
+        used = tiles.join(wanted, F.col("tile") == F.col("raster_id"), "left_semi")
+        files = spark.read.format("binaryFile").load(folder).join(used, "path").select("tile", "content")
+        out = f"raster_id int, row long, col long, {', '.join(f'{b} int' for b in bands)}"
+        return files.groupBy("tile").cogroup(wanted.groupBy("raster_id")).applyInArrow(run, out)
+
+    return pick

@@ -338,7 +338,8 @@ def test_vectors_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_vectors(vectors(spark, [])).count() == 0
 
 
-def test_filter_recall():
+@pytest.mark.parametrize("words", [128, 512, 4096])
+def test_filter_recall(words):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((800, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -346,8 +347,19 @@ def test_filter_recall():
     n -= (n * x).sum(1, keepdims=True) * x
     n /= np.linalg.norm(n, axis=1, keepdims=True)
     y = 0.93 * x + (1 - 0.93**2) ** 0.5 * n
-    a, b = (set(zip(*(v.tolist() for v in embedding_dedup.decode(z)))) for z in (x, y))
+    a, b = (set(zip(*(v.tolist() for v in embedding_dedup.decode(z, words)))) for z in (x, y))
     assert len({r for r, _ in a & b}) / 800 >= 0.98
+    assert len(a) / 800 < 12 * words.bit_length()
+
+
+def test_filters_follow_the_table(spark, monkeypatch):
+    assert [embedding_dedup.code_size(n) for n in (0, 65_536, 65_537, 10**9, 10**12)] == [128, 128, 256, 16384, 16384]
+    rows = [(k, np.random.default_rng(k % 40).standard_normal(16).tolist(), 0) for k in range(120)]
+    got = []
+    for words in (128, 1024):
+        monkeypatch.setattr(embedding_dedup, "code_size", lambda n, words=words: words)
+        got.append(sorted(map(tuple, embedding_dedup.near_vectors(vectors(spark, rows)).collect())))
+    assert got[0] == got[1] and got[0][0][1] == 2
 
 
 # -------------------------------------------------------------------- SimHash

@@ -220,3 +220,38 @@ def test_falling_distances_are_set_aside(spark):
     df = spark.createDataFrame([(t, d, o, 1, 2, 3, 4) for t, d, o in rows], "transect_id long, distance double, ord long, red int, green int, blue int, nir int")
     sound, bad = X.valid_samples(df)
     assert {r["transect_id"] for r in sound.collect()} == {2} and [r["n_falling"] for r in bad.collect()] == [1]
+
+
+def boundary_frames(spark, nir, at):
+    rows = [(1, float(k), 100, 100, 100, int(v)) for k, v in enumerate(nir)]
+    points = spark.createDataFrame(rows, "transect_id long, distance double, red int, green int, blue int, nir int")
+    return points, spark.createDataFrame([(1, 1, "A_to_B", float(x)) for x in at], "transect_id long, seq int, manual_type string, position double")
+
+
+def test_transition_of_a_step(spark):
+    nir = [200] * 10 + [150, 100, 50] + [50] * 8
+    got = T.transition_characteristics(*boundary_frames(spark, nir, [11])).collect()[0]
+    smooth = np.concatenate([np.polyval(np.polyfit(range(5), nir[1:6], 2), [0, 1]), np.convolve(nir[1:], np.array([-3, 12, 17, 12, -3]) / 35, "valid"), np.polyval(np.polyfit(range(5), nir[-5:], 2), [3, 4])])
+    d1 = np.gradient(smooth)
+    assert got["nir_before"] == pytest.approx(np.mean(nir[1:11])) and got["nir_after"] == pytest.approx(np.mean(nir[11:]))
+    assert got["nir_d1_min"] == pytest.approx(d1.min()) and got["nir_d2_at_boundary"] == pytest.approx(np.gradient(d1)[10])
+    assert got["width"] == 2.0 and got["longest_run"] == (d1 < -3).sum()
+    light = (np.array(nir, float) + 300) / 4
+    assert got["variability_ratio"] == pytest.approx(np.std(light[11:]) / np.std(light[1:11]))
+
+
+def test_transition_that_rises_has_thresholds_below(spark):
+    got = T.transition_characteristics(*boundary_frames(spark, [50] * 10 + [200] * 10, [10])).collect()[0]
+    assert got["nir_drop"] == -150 and got["width"] is None  # nir never falls below where it began
+    assert got["variability_ratio"] is None
+
+
+def test_transition_needs_samples_on_both_sides(spark):
+    assert T.transition_characteristics(*boundary_frames(spark, range(30), [0])).count() == 0
+    assert T.transition_characteristics(*boundary_frames(spark, range(4), [2])).count() == 0
+
+
+def test_type_accuracy(spark):
+    matches = spark.createDataFrame([("TP", "a", "a"), ("TP", "a", "b"), ("TP", "b", None), ("FN", "c", None)], "label string, manual_type string, detected_type string")
+    got = {r["manual_type"]: (r["total"], r["correct"], r["accuracy"]) for r in M.type_accuracy(matches).collect()}
+    assert got == {"a": (2, 1, 0.5), "b": (1, 0, 0.0)}

@@ -6,8 +6,9 @@ import struct
 import numpy as np
 import pytest
 
+from tideline.operators import matching as M
 from tideline.plans import workflows
-from tideline.sources import readers
+from tideline.sources import readers, writers
 
 
 def tiff(path, pixels, left, top, res=1.0, epsg=32629, nodata=None):
@@ -74,6 +75,18 @@ def test_rasters_lines_and_samples(spark, world, tmp_path):
     classed, kept = workflows.analyze_all_transects(spark, str(folder), str(lines), str(tmp_path / "out"), "all")
     assert classed.select("transect_id").distinct().count() == 2
     assert spark.read.csv(str(tmp_path / "out/points"), header=True).count() == classed.count()
+    total = spark.read.json(str(tmp_path / "out/summary_overall")).collect()[0]
+    assert (total["transects"], total["points"], sum(total["class_distribution"].asDict().values())) == (2, classed.count(), classed.count())
+
+
+def test_training_workflow(spark, world, tmp_path):
+    folder, lines, *_ = world
+    samples = workflows.training_samples(spark, str(folder), str(lines), str(tmp_path / "t"), 1, 5)
+    assert samples.select("transect_id").distinct().count() == 1
+    meta = spark.read.json(str(tmp_path / "t/metadata")).collect()[0]
+    assert (meta["transects_available"], meta["samples_processed"], meta["random_seed"]) == (2, 1, 5)
+    one = spark.read.json(str(tmp_path / "t/transects")).collect()
+    assert len(one) == 1 and one[0]["points"] == spark.read.csv(str(tmp_path / "t/points"), header=True).count()
 
 
 def test_manual_zone_lines(spark):
@@ -89,11 +102,40 @@ def test_log_lines_belong_to_the_last_transect(spark, tmp_path):
         "[1/2] Processing transect 7\nRejected at 45.0m: NIR drop too small\nDetected 3 zone boundaries\nFiltered 5 -> 2 transitions\n"
         "Selected shell line at 61.0m conf=0.81 mode=strict\n[2/2] Processing transect 9\nRejected at 12.0m: brightness too low\n"
     )
+    report = workflows.run_log_analysis(spark, str(tmp_path / "run.log"), str(tmp_path / "report"))
+    assert {(r["section"], r["name"]): r["value"] for r in report.collect()}["overall", "detected_pct"] == 50
+    assert spark.read.csv(str(tmp_path / "report/rejections"), header=True).count() == 2
     got = {r["transect_id"]: r for r in readers.log_summary(readers.read_log(spark, str(tmp_path / "run.log"))).collect()}
     assert (got[7]["selected_at"], got[7]["mode"], got[7]["filtered"], got[7]["boundaries"], got[7]["rejected_nir_drop"]) == (61.0, "strict", 3, 3, 1)
     assert got[9]["selected_at"] is None and got[9]["rejected_brightness"] == 1
 
 
+def test_log_report_and_text(spark, tmp_path):
+    found = spark.createDataFrame(
+        [(7, 61.0, 0.8, "strict", 3, 3, 1, 1), (8, 50.0, 0.6, "fallback", 4, 1, 2, 0), (9, None, None, None, 1, None, 0, 0)],
+        "transect_id long, selected_at double, confidence double, mode string, boundaries int, filtered long, rejections long, rejected_distance long",
+    )
+    report = readers.log_report(found)
+    got = {(r["section"], r["name"]): r["value"] for r in report.collect()}
+    assert got["overall", "detected"] == 2 and got["overall", "detected_pct"] == pytest.approx(200 / 3)
+    assert got["confidence", "mean"] == pytest.approx(0.7) and got["attrition", "attrition_pct"] == pytest.approx(75)
+    assert got["mode_pct", "strict"] == 50 and got["modes", "fallback"] == 1
+    assert got["rejections", "total"] == 3 and got["rejections", "per_transect"] == 1 and got["rejections", "distance"] == 1
+    writers.text_report("Log", report, str(tmp_path / "log"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert "ATTRITION" in lines and any(x.startswith("attrition_pct") and x.endswith("75.000") for x in lines)
+    empty = readers.log_report(found.limit(0))
+    assert {(r["section"], r["name"]): r["value"] for r in empty.collect()}["overall", "detected_pct"] is None
+
+
+def test_shell_line_report(spark, tmp_path):
+    verdicts = spark.createDataFrame([(1, 60.0, 61.0, 1.0, 0.8, "CORRECT"), (2, 60.0, None, None, None, "FALSE_NEGATIVE")], "transect_id long, manual_location double, detected_location double, error_m double, confidence double, result string")
+    writers.shell_line_report(verdicts, M.shell_line_metrics(verdicts), str(tmp_path))
+    assert spark.read.csv(str(tmp_path / "results"), header=True).count() == 2
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert any(x.startswith("FALSE_NEGATIVE") and x.endswith("1.000") for x in lines) and any(x.startswith("recall") and x.endswith("0.500") for x in lines)
+
+
 def test_csv_priority_and_json(spark, tmp_path):
     head = "TransectID,distance,red,green,blue,nir\n"
     (tmp_path / "a.csv").write_text(head + "1,0.0,1,2,3,4\n")
@@ -112,3 +154,7 @@ def test_validation_workflow(spark, tmp_path):
     m = tables["transition_matches"]
     assert m.where("label <> 'FN'").count() + 0 == m.where("label in ('TP', 'FP')").count()
     assert spark.read.csv(str(tmp_path / "v/threshold_sensitivity"), header=True).count() == 30
+    assert spark.read.csv(str(tmp_path / "v/shell_line/results"), header=True).count() == M.first_dry_wet(fixture.manual_zones(spark, sf)).count()
+    analysed = workflows.run_feature_analysis(fixture.spectral_points(spark, sf), fixture.manual_zones(spark, sf), str(tmp_path / "f"))
+    assert analysed["section_profiles"].count() == 10 * analysed["section_derivatives"].count()
+    assert spark.read.csv(str(tmp_path / "f/class_zone_statistics"), header=True).where("feature = 'variability'").count() > 0

@@ -231,6 +231,12 @@ def confusion(matches: DataFrame) -> DataFrame:
     return grid.join(counts, ["manual_type", "detected_type"], "left").fillna(0, ["n"])
 
 
+def type_accuracy(matches: DataFrame) -> DataFrame:
+    """Per manual type: its TPs, those whose detected type has the same name, and the share."""
+    tp = matches.where("label = 'TP'").groupBy("manual_type").agg(F.count(F.lit(1)).alias("total"), count_if(F.col("manual_type") == F.col("detected_type")).alias("correct"))
+    return tp.withColumn("accuracy", F.col("correct") / F.col("total"))
+
+
 def error_distribution(matches: DataFrame) -> DataFrame:
     e = F.col("distance_error")
     return matches.where("label = 'TP'").agg(

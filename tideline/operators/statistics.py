@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import series as S
 from .matching import KEY, boundary_windows, count_if, zone_slices
 
+EPS = 1e-10
 PAIRS = (("dry_wet", "BEACH_DRY", "BEACH_WET"), ("wet_water", "BEACH_WET", "WATER"), ("veg_dry", "VEGETATED_DUNES", "BEACH_DRY"))
 #: The features of the class tables.
 CLASS_FEATURES = "red green blue nir brightness ndvi ndwi nir_ratio blue_red_ratio red_green_ratio variability".split()
@@ -208,25 +209,78 @@ def snr(points: DataFrame, zones: DataFrame, least: int = 5) -> DataFrame:
     return s.where(F.col("n") >= least).select(KEY, "zone_order", "zone_class", "band", F.when(F.col("s") > 0, 20 * F.log10(F.col("m") / F.col("s"))).otherwise(F.lit(float("inf"))).alias("snr_db"))
 
 
+SECTION_BANDS = ("red", "green", "blue", "nir", "brightness")
+SECTION_RATIOS = ("ndvi", "ndwi", "nir_ratio", "rg_ratio", "blue_red_ratio")
+
+
+def profile_columns() -> dict[str, Column]:
+    """Brightness of all four bands and the indices of the offline profiles."""
+    r, g, b, n = (F.col(c).cast("double") for c in ("red", "green", "blue", "nir"))
+    light = (r + g + b + n) / 4
+    return {
+        "brightness": light, "ndvi": (n - r) / (n + r + EPS), "ndwi": (g - n) / (g + n + EPS), "nir_ratio": n / (light + EPS),
+        "rg_ratio": r / (g + EPS), "blue_red_ratio": b / (r + EPS),
+    }
+
+
 def section_profiles(points: DataFrame, zones: DataFrame, inset: float = 5.0) -> DataFrame:
-    """Zone x band: mean, spread, quartiles, shape; sections are cut in from the zone edges.
-    Skewness and excess kurtosis are the population ones and need more than three samples."""
-    rows = zone_slices(points, zones, inset).withColumn("brightness", (F.col("red") + F.col("green") + F.col("blue") + F.col("nir")) / 4)
+    """Zone x band or index: mean, spread, quartiles; sections are cut in from the zone edges.
+    Bands and brightness also have a variation coefficient and, where more than three samples
+    vary, the population's skewness and excess kurtosis."""
+    rows = zone_slices(points, zones, inset).withColumns(profile_columns())
     v = F.col("value")
-    s = stack(rows, [KEY, "zone_order", "zone_class"], ["red", "green", "blue", "nir", "brightness"]).groupBy(KEY, "zone_order", "zone_class", F.col("feature").alias("band")).agg(
+    s = stack(rows, [KEY, "zone_order", "zone_class"], [*SECTION_BANDS, *SECTION_RATIOS]).groupBy(KEY, "zone_order", "zone_class", F.col("feature").alias("band")).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"),
         F.skewness(v).alias("_skew"), F.kurtosis(v).alias("_kurt"),
     )
-    many = (F.col("n") > 3) & (F.col("std") > 0)
+    is_band = F.col("band").isin(*SECTION_BANDS)
+    many = is_band & (F.col("n") > 3) & (F.col("std") > 0)
     return s.withColumns(
         {
-            "iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min"), "cv": F.when(F.col("mean") != 0, F.col("std") / F.col("mean")),
+            "iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min"), "cv": F.when(is_band, F.col("std") / (F.col("mean") + EPS)),
             "skewness": F.when(many, F.col("_skew")), "kurtosis": F.when(many, F.col("_kurt")),
         }
     ).drop("_skew", "_kurt")
 
 
+def section_derivatives(points: DataFrame, zones: DataFrame, inset: float = 5.0) -> DataFrame:
+    """Per section: samples, length, variability (more than five samples) and, for five or
+    more, the derivatives of nir and brightness smoothed within the section."""
+    one = [KEY, "zone_order", "zone_class"]
+    w = Window.partitionBy(*one).orderBy("distance")
+    rows = S.indexed(zone_slices(points, zones, inset).withColumns(profile_columns()), w)
+    rows = rows.withColumns({"_n": S.savitzky_golay(F.col("nir").cast("double"), w), "_b": S.savitzky_golay("brightness", w)})
+    rows = rows.withColumns({"_n1": S.gradient("_n", w), "_b1": S.gradient("_b", w)}).withColumn("_n2", S.gradient("_n1", w))
+    return rows.groupBy(*one).agg(
+        F.count(F.lit(1)).alias("n"), (F.max("distance") - F.min("distance")).alias("length_m"),
+        F.when(F.count(F.lit(1)) > 5, F.stddev_pop("brightness")).alias("variability"),
+        F.avg("_n1").alias("nir_d1_mean"), F.stddev_samp("_n1").alias("nir_d1_std"), F.min("_n1").alias("nir_d1_min"), F.max("_n1").alias("nir_d1_max"),
+        F.avg("_n2").alias("nir_d2_mean"), F.stddev_samp("_n2").alias("nir_d2_std"),
+        F.avg("_b1").alias("brightness_d1_mean"), F.stddev_samp("_b1").alias("brightness_d1_std"),
+    )
+
+
+def class_zone_statistics(points: DataFrame, zones: DataFrame, inset: float = 5.0) -> DataFrame:
+    """Per class: its samples pooled over all sections, with population std, and as feature
+    ``variability`` the sample std of brightness of each section of more than five samples.
+    Indices are 0 where their denominator is not positive."""
+    r, g, b, n = (F.col(c).cast("double") for c in ("red", "green", "blue", "nir"))
+    light = (r + g + b + n) / 4
+
+    def safe(x: Column, y: Column) -> Column:
+        return F.when(y > 0, x / y).otherwise(0.0)
+
+    rows = zone_slices(points, zones, inset).withColumns(
+        {"brightness": light, "ndvi": safe(n - r, n + r), "ndwi": safe(g - n, g + n), "nir_ratio": safe(n, light), "blue_red_ratio": safe(b, r)}
+    )
+    v = F.col("value")
+    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    pooled = stack(rows, ["zone_class"], ["red", "green", "blue", "nir", "brightness", "ndvi", "ndwi", "nir_ratio", "blue_red_ratio"]).groupBy("zone_class", "feature").agg(*aggs)
+    each = rows.groupBy("zone_class", KEY, "zone_order").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("brightness").alias("value")).where("_n > 5")
+    return pooled.unionByName(each.groupBy("zone_class", F.lit("variability").alias("feature")).agg(*aggs))
+
+
 def pearson(a: Column, b: Column) -> Column:
     """Correlation over the rows that have both; null where one of them doesn't vary."""
     a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
@@ -235,7 +289,7 @@ def pearson(a: Column, b: Column) -> Column:
 
 def section_correlations(points: DataFrame, zones: DataFrame, inset: float = 5.0) -> DataFrame:
     rows = zone_slices(points, zones, inset)
-    pairs = (("red", "green"), ("red", "nir"), ("green", "blue"), ("blue", "nir"))
+    pairs = (("red", "green"), ("red", "nir"), ("green", "nir"), ("blue", "nir"))
     out = rows.groupBy(KEY, "zone_order", "zone_class").agg(F.count(F.lit(1)).alias("n"), *[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"corr_{a}_{b}") for a, b in pairs])
     return out.where("n > 3")
 
@@ -305,56 +359,68 @@ def boundary_changes(features: DataFrame, manual: DataFrame, half: float = 10.0)
     return out.withColumns(change | pct)
 
 
-def transition_characteristics(features: DataFrame, manual: DataFrame, half: float = 10.0) -> DataFrame:
-    """How a boundary looks: steepest fall and where, 20-80 % width, asymmetry, how far the
-    bands' steepest points lie apart, variability ratio, longest run below -3.  Derivatives
-    are taken on the smoothed slice around the boundary, edges included."""
-    rows = boundary_windows(features.select(KEY, "distance", "red", "green", "blue", "nir", "variability"), manual, "position", half)
+SIDES = {"nir": "nir_drop", "brightness": "brightness_drop", "nir_ratio": "nir_ratio_change", "rg_ratio": "rg_ratio_change"}
+
+
+def transition_characteristics(points: DataFrame, manual: DataFrame, half: float = 10.0) -> DataFrame:
+    """How a boundary looks: means on both sides and their difference, steepest falls and
+    where, 20-80 % width of the nir fall, asymmetry, how far the bands' steepest points lie
+    apart, texture ratio, second derivative, longest run below -3, red/green pattern.
+
+    Derivatives are taken on the smoothed slice around the boundary, edges included, and
+    rounded to nine places, so that the first of equal ones is found.  A slice needs five
+    samples and one on each side, or its boundary is left out."""
+    bands = ("red", "green", "blue", "nir")
     one = [KEY, "seq"]
     w = Window.partitionBy(*one).orderBy("distance")
-    rows = S.indexed(rows, w)
-    for b in ("red", "green", "blue", "nir"):
-        rows = rows.withColumn(f"s_{b}", S.savitzky_golay(F.col(b).cast("double"), w))
-    rows = rows.withColumns({f"d_{b}": S.gradient(f"s_{b}", w) for b in ("red", "green", "blue", "nir")})
-    rows = rows.withColumn("d2", S.gradient("d_nir", w))
-    steep = F.coalesce(F.col("d_nir") < -3, F.lit(False))
-    rows = rows.withColumn("_s", steep).withColumn("_c", S.changed("_s", w)).withColumn("_r", S.run_number("_c", w))
-    longest = rows.where("_s").groupBy(*one, "_r").count().groupBy(*one).agg(F.max("count").alias("longest_run"))
+    rows = boundary_windows(points.select(KEY, "distance", *bands), manual, "position", half)
+    rows = S.indexed(rows.withColumns(profile_columns()), w).where("n >= 5")
+    sloped = (*bands, "brightness", "rg_ratio")
+    rows = rows.withColumns({f"s_{b}": S.savitzky_golay(F.col(b).cast("double"), w) for b in sloped})
+    rows = rows.withColumns({f"e_{b}": S.gradient(f"s_{b}", w) for b in sloped})
+    rows = rows.withColumn("d2", S.gradient("e_nir", w)).withColumns({f"d_{b}": F.round(f"e_{b}", 9) for b in sloped})
     before, after = F.col("offset") < 0, F.col("offset") >= 0
-    place = {b: F.min_by("distance", F.struct(f"d_{b}", "distance")).alias(f"at_{b}") for b in ("red", "green", "blue", "nir")}
-    out = rows.groupBy(*one, "manual_type", "position").agg(
-        F.avg(F.when(before, F.col("nir"))).alias("nir_before"), F.avg(F.when(after, F.col("nir"))).alias("nir_after"),
-        F.min("d_nir").alias("nir_d1_min"), *place.values(), F.max(F.abs("d2")).alias("nir_d2_max_abs"),
-        F.min_by("d_nir", F.struct(F.abs("offset"), "distance")).alias("nir_d1_at_boundary"),
-        F.try_divide(F.avg(F.when(after, F.col("variability"))), F.avg(F.when(before, F.col("variability")))).alias("variability_ratio"),
-        F.min_by("i", F.struct("d_nir", "distance")).alias("p"), F.max("n").alias("n"),
-    )
-    drop = F.col("nir_before") - F.col("nir_after")
-    out = out.withColumn("nir_drop", drop)
-    # second look at the slices: where nir first falls under 80 and 20 % of the drop, and both shoulders
-    again = rows.join(out.select(*one, "nir_before", "nir_drop", "p"), one)
-    high, low = F.col("nir_before") - 0.2 * F.col("nir_drop"), F.col("nir_before") - 0.8 * F.col("nir_drop")
-    k = F.col("i") - F.col("p")
-    more = again.groupBy(*one).agg(
-        F.min(F.when(F.col("nir") < high, F.col("distance"))).alias("_d20"), F.min(F.when(F.col("nir") < low, F.col("distance"))).alias("_d80"),
-        F.avg(F.when(k.between(-3, -1), F.abs("d_nir"))).alias("_left"), F.avg(F.when(k.between(1, 3), F.abs("d_nir"))).alias("_right"),
+    rows = rows.withColumn("_s", F.coalesce(F.col("d_nir") < -3, F.lit(False))).withColumn("_c", S.changed("_s", w)).withColumn("_r", S.run_number("_c", w))
+
+    def steepness(b: str, place: str) -> Column:  # the first of the steepest falls; unknown slopes are none
+        return F.when(F.col(f"d_{b}").isNotNull(), F.struct(f"d_{b}", place))
+
+    # what the second look needs of the whole slice: the mean before, the fall, the steepest place
+    whole = Window.partitionBy(*one)
+    rows = rows.withColumns(
+        {
+            "_before": F.avg(F.when(before, F.col("nir"))).over(whole), "_after": F.avg(F.when(after, F.col("nir"))).over(whole),
+            "p": F.min(steepness("nir", "i")).over(whole)["i"], "_run": F.when(F.col("_s"), F.count(F.lit(1)).over(Window.partitionBy(*one, "_r"))),
+        }
     )
-    at = [F.col(f"at_{b}") for b in ("red", "green", "blue", "nir")]
+    total = F.abs(F.col("_before") - F.col("_after"))
+    k, nearest = F.col("i") - F.col("p"), F.struct(F.abs("offset"), "distance")
+
+    def first_under(part: float) -> Column:
+        return F.min(F.when(F.col("nir") < F.round(F.col("_before") - part * total, 9), F.col("distance")))
+
+    sides = {f"{c}_{side}": F.avg(F.when(at, F.col(c).cast("double"))) for c in SIDES for side, at in (("before", before), ("after", after))}
+    places = {f"at_{b}": F.min(steepness(b, "distance"))["distance"] for b in (*bands, "brightness")}
+    aggs = sides | places | {
+        "nir_d1_min": F.min("d_nir"), "brightness_d1_min": F.min("d_brightness"), "rg_ratio_d1_min": F.min("d_rg_ratio"),
+        "brightness_std_before": F.stddev_pop(F.when(before, F.col("brightness"))), "brightness_std_after": F.stddev_pop(F.when(after, F.col("brightness"))),
+        "nir_d2_max_abs": F.max(F.abs("d2")), "nir_d2_at_boundary": F.min_by("d2", nearest), "rg_ratio_at_boundary": F.min_by("rg_ratio", nearest),
+        "longest_run": F.coalesce(F.max("_run"), F.lit(0)),
+        "_width": first_under(0.8) - first_under(0.2), "_p": F.first("p"), "_n": F.first("n"),
+        "_left": F.avg(F.when(k.between(-3, -1), F.abs("d_nir"))), "_right": F.avg(F.when(k.between(1, 3), F.abs("d_nir"))),
+    }
+    out = rows.groupBy(*one, "manual_type", "position").agg(*[v.alias(c) for c, v in aggs.items()]).where("nir_before is not null and nir_after is not null")
+    at = [F.col(f"at_{b}") for b in bands]
     mean = sum(at[1:], at[0]) / 4
-    spread = F.sqrt(sum(((a - mean) * (a - mean) for a in at[1:]), (at[0] - mean) * (at[0] - mean)) / 4)
-    return (
-        out.join(more, one)
-        .join(longest, one, "left")
-        .withColumns(
-            {
-                "width": F.when(F.abs("nir_drop") > 5, F.col("_d80") - F.col("_d20")),
-                "asymmetry": F.when((F.col("p") > 2) & (F.col("p") < F.col("n") - 2) & (F.col("_right") > 0), F.col("_left") / F.col("_right")),
-                "band_synchrony": spread,
-                "longest_run": F.coalesce("longest_run", F.lit(0)),
-            }
-        )
-        .drop("_d20", "_d80", "_left", "_right", "p")
-    )
+    inner = (F.col("_p") > 2) & (F.col("_p") < F.col("_n") - 2) & (F.col("_right") > 0)
+    return out.withColumns(
+        {name: F.col(f"{c}_before") - F.col(f"{c}_after") for c, name in SIDES.items()}
+        | {
+            "width": F.when(F.abs(F.col("nir_before") - F.col("nir_after")) > 5, F.col("_width")), "asymmetry": F.when(inner, F.col("_left") / F.col("_right")),
+            "band_synchrony": F.sqrt(sum(((a - mean) * (a - mean) for a in at[1:]), (at[0] - mean) * (at[0] - mean)) / 4),
+            "variability_ratio": F.when(F.col("brightness_std_before") > 0, F.col("brightness_std_after") / F.col("brightness_std_before")),
+        }
+    ).drop("_width", "_p", "_n", "_left", "_right")
 
 
 def transition_summary(characteristics: DataFrame, features: list[str]) -> DataFrame:

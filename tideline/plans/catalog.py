@@ -543,6 +543,15 @@ def _(s, d):
     return M.confusion(matches(s, d))
 
 
+@query(
+    "type_accuracy",
+    out(twins.matched(), "SELECT manual_type, count(*) AS total, count(*) FILTER (manual_type = detected_type) AS correct, count(*) FILTER (manual_type = detected_type) / count(*) AS accuracy FROM matches WHERE label = 'TP' GROUP BY ALL",
+        "manual_type, total, correct", "accuracy"),
+)
+def _(s, d):
+    return M.type_accuracy(matches(s, d))
+
+
 @query(
     "error_distribution",
     out(
@@ -730,9 +739,12 @@ def _(s, d):
     return T.snr(points(s, d), fixture.manual_zones(s, d))
 
 
+_INDICES = """(nir::DOUBLE - red) / (nir + red + 1e-10) AS ndvi, (green::DOUBLE - nir) / (green + nir + 1e-10) AS ndwi, nir / (brightness + 1e-10) AS nir_ratio,
+red / (green + 1e-10) AS rg_ratio, blue / (red + 1e-10) AS blue_red_ratio"""
+_IS_BAND = "band IN ('red', 'green', 'blue', 'nir', 'brightness')"
 _SECTION = twins.base(
-    fixture.ZONES_SQL, _slice("points", "sl0", 5), "sl AS (SELECT *, (red::DOUBLE + green + blue + nir) / 4 AS brightness FROM sl0)",
-    "bl AS (" + " UNION ALL ".join(f"SELECT transect_id, zone_order, zone_class, '{b}' AS band, {b}::DOUBLE AS v FROM sl" for b in (*X.BANDS, "brightness")) + ")",
+    fixture.ZONES_SQL, _slice("points", "sl0", 5), f"sl AS (SELECT *, {_INDICES} FROM (SELECT *, (red::DOUBLE + green + blue + nir) / 4 AS brightness FROM sl0))",
+    "bl AS (" + " UNION ALL ".join(f"SELECT transect_id, zone_order, zone_class, '{b}' AS band, {b}::DOUBLE AS v FROM sl" for b in (*T.SECTION_BANDS, *T.SECTION_RATIOS)) + ")",
     "mo AS (SELECT transect_id, zone_order, band, avg(v) AS m FROM bl GROUP BY ALL)",
     """prof AS (SELECT bl.transect_id, bl.zone_order, zone_class, bl.band, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS lo, max(v) AS hi, median(v) AS median,
   quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, avg((v - m) ** 3) / nullif(avg((v - m) ** 2), 0) ** 1.5 AS sk, avg((v - m) ** 4) / nullif(avg((v - m) ** 2), 0) ** 2 - 3 AS ku
@@ -747,7 +759,7 @@ def profiles(s, d):
 @query(
     "section_profiles",
     out(
-        _SECTION, "SELECT *, q75 - q25 AS iqr, hi - lo AS range, CASE WHEN mean <> 0 THEN std / mean END AS cv, CASE WHEN n > 3 AND std > 0 THEN sk END AS skewness, CASE WHEN n > 3 AND std > 0 THEN ku END AS kurtosis FROM prof",
+        _SECTION, "SELECT *, q75 - q25 AS iqr, hi - lo AS range, " + f"CASE WHEN {_IS_BAND} THEN std / (mean + 1e-10) END AS cv, CASE WHEN {_IS_BAND} AND n > 3 AND std > 0 THEN sk END AS skewness, CASE WHEN {_IS_BAND} AND n > 3 AND std > 0 THEN ku END AS kurtosis FROM prof",
         "transect_id, zone_order, zone_class, band, n", "mean std lo hi median q25 q75 iqr range cv skewness kurtosis",
     ),
 )
@@ -766,11 +778,49 @@ def _(s, d):
     return T.profile_summary(profiles(s, d))
 
 
+_SD = "PARTITION BY transect_id, zone_order ORDER BY distance"
+
+
+@query(
+    "section_derivatives",
+    out(
+        twins.base(
+            fixture.ZONES_SQL, _slice("points", "sl0", 5), "sl AS (SELECT *, (red::DOUBLE + green + blue + nir) / 4 AS brightness FROM sl0)", twins.indexed("sl", "si", _SD, "transect_id, zone_order"),
+            f"ss AS (SELECT *, {_sg('nir::DOUBLE', _SD)} AS sn, {_sg('brightness', _SD)} AS sb FROM si)",
+            f"s1 AS (SELECT *, {twins.grad('sn', w=_SD)} AS n1, {twins.grad('sb', w=_SD)} AS b1 FROM ss)", f"s2 AS (SELECT *, {twins.grad('n1', w=_SD)} AS n2 FROM s1)",
+        ),
+        """SELECT transect_id, zone_order, zone_class, count(*) AS n, max(distance) - min(distance) AS length_m, CASE WHEN count(*) > 5 THEN stddev_pop(brightness) END AS variability,
+avg(n1) AS nir_d1_mean, stddev_samp(n1) AS nir_d1_std, min(n1) AS nir_d1_min, max(n1) AS nir_d1_max, avg(n2) AS nir_d2_mean, stddev_samp(n2) AS nir_d2_std,
+avg(b1) AS brightness_d1_mean, stddev_samp(b1) AS brightness_d1_std FROM s2 GROUP BY ALL""",
+        "transect_id, zone_order, zone_class, n", "length_m variability nir_d1_mean nir_d1_std nir_d1_min nir_d1_max nir_d2_mean nir_d2_std brightness_d1_mean brightness_d1_std",
+    ),
+)
+def _(s, d):
+    return T.section_derivatives(points(s, d), fixture.manual_zones(s, d))
+
+
+@query(
+    "class_zone_statistics",
+    out(
+        twins.base(
+            fixture.ZONES_SQL, _slice("points", "sl0", 5), "sl1 AS (SELECT *, (red::DOUBLE + green + blue + nir) / 4 AS brightness FROM sl0)",
+            """sl AS (SELECT *, CASE WHEN nir + red > 0 THEN (nir::DOUBLE - red) / (nir + red) ELSE 0 END AS ndvi, CASE WHEN green + nir > 0 THEN (green::DOUBLE - nir) / (green + nir) ELSE 0 END AS ndwi,
+CASE WHEN brightness > 0 THEN nir / brightness ELSE 0 END AS nir_ratio, CASE WHEN red > 0 THEN blue::DOUBLE / red ELSE 0 END AS blue_red_ratio FROM sl1)""",
+            "bl AS (" + " UNION ALL ".join(f"SELECT zone_class, '{c}' AS feature, {c}::DOUBLE AS v FROM sl" for c in "red green blue nir brightness ndvi ndwi nir_ratio blue_red_ratio".split())
+            + " UNION ALL SELECT zone_class, 'variability', stddev_samp(brightness) FROM sl GROUP BY zone_class, transect_id, zone_order HAVING count(*) > 5)",
+        ),
+        "SELECT zone_class, feature, count(v) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS lo, max(v) AS hi FROM bl GROUP BY ALL", "zone_class, feature, n", "mean std lo hi",
+    ),
+)
+def _(s, d):
+    return T.class_zone_statistics(points(s, d), fixture.manual_zones(s, d)).withColumnsRenamed({"min": "lo", "max": "hi"})
+
+
 @query(
     "section_correlations",
     out(
-        _SECTION, "SELECT transect_id, zone_order, zone_class, count(*) AS n, " + ", ".join(f"corr({a}::DOUBLE, {b}::DOUBLE) AS corr_{a}_{b}" for a, b in (("red", "green"), ("red", "nir"), ("green", "blue"), ("blue", "nir")))
-        + " FROM sl GROUP BY ALL HAVING count(*) > 3", "transect_id, zone_order, zone_class, n", "corr_red_green corr_red_nir corr_green_blue corr_blue_nir",
+        _SECTION, "SELECT transect_id, zone_order, zone_class, count(*) AS n, " + ", ".join(f"corr({a}::DOUBLE, {b}::DOUBLE) AS corr_{a}_{b}" for a, b in (("red", "green"), ("red", "nir"), ("green", "nir"), ("blue", "nir")))
+        + " FROM sl GROUP BY ALL HAVING count(*) > 3", "transect_id, zone_order, zone_class, n", "corr_red_green corr_red_nir corr_green_nir corr_blue_nir",
     ),
 )
 def _(s, d):
@@ -808,14 +858,54 @@ def _(s, d):
     return T.boundary_changes(nums(s, d), manual(s, d))
 
 
-@query("transition_characteristics")
+_TW = "PARTITION BY transect_id, seq ORDER BY distance"
+_TR = (*X.BANDS, "brightness", "rg_ratio")
+_TRANSITION = twins.base(
+    fixture.ZONES_SQL, twins.MANUAL_SQL,
+    "ta AS (SELECT p.*, m.seq, m.manual_type, m.position, p.distance - m.position AS off, (red::DOUBLE + green + blue + nir) / 4 AS brightness FROM points p JOIN manual m ON m.transect_id = p.transect_id AND abs(p.distance - m.position) <= 10)",
+    f"tb AS (SELECT *, {_INDICES} FROM ta)", twins.indexed("tb", "tc0", _TW, "transect_id, seq"), "tc AS (SELECT * FROM tc0 WHERE n >= 5)",
+    f"td AS (SELECT *, {', '.join(f'{_sg(f'{b}::DOUBLE', _TW)} AS s_{b}' for b in _TR)} FROM tc)",
+    f"te AS (SELECT *, {', '.join(f'{twins.grad(f's_{b}', w=_TW)} AS e_{b}' for b in _TR)} FROM td)",
+    f"tf AS (SELECT *, {twins.grad('e_nir', w=_TW)} AS d2, {', '.join(f'round(e_{b}, 9) AS d_{b}' for b in _TR)} FROM te)",
+    # the group of a run of steep samples: its number minus the number of steep samples so far
+    f"tg AS (SELECT *, coalesce(d_nir < -3, false) AS steep, i - sum(coalesce(d_nir < -3, false)::INT) OVER ({_TW} ROWS UNBOUNDED PRECEDING) AS isle FROM tf)",
+    "tr AS (SELECT transect_id, seq, max(k) AS longest_run FROM (SELECT transect_id, seq, isle, count(*) AS k FROM tg WHERE steep GROUP BY ALL) GROUP BY ALL)",
+    "tm AS (SELECT transect_id, seq, manual_type, position, max(n) AS n, " + ", ".join(f"avg({c}::DOUBLE) FILTER (off < 0) AS {c}_before, avg({c}::DOUBLE) FILTER (off >= 0) AS {c}_after" for c in T.SIDES)
+    + ", " + ", ".join(f"(array_agg(distance ORDER BY d_{b}, distance))[1] AS at_{b}" for b in (*X.BANDS, "brightness"))
+    + """, (array_agg(i ORDER BY d_nir, distance))[1] AS p, min(d_nir) AS nir_d1_min, min(d_brightness) AS brightness_d1_min, min(d_rg_ratio) AS rg_ratio_d1_min,
+  stddev_pop(brightness) FILTER (off < 0) AS brightness_std_before, stddev_pop(brightness) FILTER (off >= 0) AS brightness_std_after, max(abs(d2)) AS nir_d2_max_abs,
+  (array_agg(d2 ORDER BY abs(off), distance))[1] AS nir_d2_at_boundary, (array_agg(rg_ratio ORDER BY abs(off), distance))[1] AS rg_ratio_at_boundary FROM tg GROUP BY ALL)""",
+    """tn AS (SELECT g.transect_id, g.seq, min(g.distance) FILTER (nir < round(nir_before - 0.2::DOUBLE * abs(nir_before - nir_after), 9)) AS a20,
+  min(g.distance) FILTER (nir < round(nir_before - 0.8::DOUBLE * abs(nir_before - nir_after), 9)) AS a80, avg(abs(d_nir)) FILTER (i - p BETWEEN -3 AND -1) AS lft, avg(abs(d_nir)) FILTER (i - p BETWEEN 1 AND 3) AS rgt
+  FROM tg g JOIN tm USING (transect_id, seq) GROUP BY ALL)""",
+    "tt AS (SELECT tm.*, " + ", ".join(f"{c}_before - {c}_after AS {name}" for c, name in T.SIDES.items())
+    + """, CASE WHEN abs(nir_before - nir_after) > 5 THEN a80 - a20 END AS width, CASE WHEN p > 2 AND p < n - 2 AND rgt > 0 THEN lft / rgt END AS asymmetry,
+  (SELECT stddev_pop(x) FROM (SELECT unnest([at_red, at_green, at_blue, at_nir]) AS x)) AS band_synchrony, coalesce(longest_run, 0) AS longest_run,
+  CASE WHEN brightness_std_before > 0 THEN brightness_std_after / brightness_std_before END AS variability_ratio
+  FROM tm JOIN tn USING (transect_id, seq) LEFT JOIN tr USING (transect_id, seq) WHERE nir_before IS NOT NULL AND nir_after IS NOT NULL)""",
+)
+_TRANSITION_COLUMNS = [f"{c}_{x}" for c in T.SIDES for x in ("before", "after")] + [*T.SIDES.values()] + [f"at_{b}" for b in (*X.BANDS, "brightness")] + (
+    "nir_d1_min brightness_d1_min rg_ratio_d1_min brightness_std_before brightness_std_after nir_d2_max_abs nir_d2_at_boundary rg_ratio_at_boundary width asymmetry band_synchrony variability_ratio"
+).split()
+
+
+@query("transition_characteristics", out(_TRANSITION, "SELECT * FROM tt", "transect_id, seq, manual_type, longest_run", " ".join(["position", *_TRANSITION_COLUMNS])))
 def _(s, d):
-    return T.transition_characteristics(settle(nums(s, d), "features"), manual(s, d))
+    return T.transition_characteristics(points(s, d), manual(s, d))
+
+
+_TS = "nir_drop nir_d1_min width asymmetry band_synchrony variability_ratio longest_run brightness_drop nir_ratio_change rg_ratio_change nir_d2_max_abs rg_ratio_at_boundary rg_ratio_d1_min".split()
 
 
-@query("transition_summary")
+@query(
+    "transition_summary",
+    out(
+        _TRANSITION, "SELECT manual_type, feature, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, max(v) AS hi, count(v) AS n FROM ("
+        + " UNION ALL ".join(f"SELECT manual_type, '{c}' AS feature, {c}::DOUBLE AS v FROM tt" for c in _TS) + ") GROUP BY ALL", "manual_type, feature, n", "mean std lo hi",
+    ),
+)
 def _(s, d):
-    return T.transition_summary(T.transition_characteristics(settle(nums(s, d), "features"), manual(s, d)), ["nir_drop", "nir_d1_min", "width", "asymmetry", "band_synchrony", "variability_ratio", "longest_run"])
+    return T.transition_summary(T.transition_characteristics(points(s, d), manual(s, d)), _TS).withColumnsRenamed({"min": "lo", "max": "hi"})
 
 
 _MS = (1, 3, 5, 7, 9, 11)

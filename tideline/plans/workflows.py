@@ -53,14 +53,57 @@ def analyze_all_transects(spark: SparkSession, rasters: str, transects: str, out
     return classed, kept
 
 
-def training_samples(spark: SparkSession, rasters: str, transects: str, output: str, k: int, seed: int) -> DataFrame:
+def training_samples(
+    spark: SparkSession, rasters: str, transects: str, output: str, k: int, seed: int, boundary_types: str = "shore_only", config: Config = DEFAULT
+) -> DataFrame:
+    """Samples of ``k`` random lines with class and boundaries, for labelling by hand; what was
+    asked for and a JSON line a transect stand beside them."""
     meta = readers.check_rasters(readers.raster_meta(spark, rasters))
-    lines = G.random_transects(readers.transects_geojson(spark, transects), k, seed)
-    samples = G.sample_transects(lines, meta, readers.pixels_of(spark, rasters, meta))
+    every = readers.transects_geojson(spark, transects)
+    lines = G.random_transects(every, k, seed)
+    samples = settle(G.sample_transects(lines, meta, readers.pixels_of(spark, rasters, meta)), "samples")
+    classed = settle(classify_samples(samples, config), "classes")
+    kept = B.filter_by_type(settle(B.find_transitions(classed, config), "boundaries"), boundary_types)
     samples.withColumnRenamed("transect_id", "TransectID").write.mode("overwrite").csv(f"{output}/samples", header=True)
+    writers.points_csv(B.with_transition_flag(classed, kept), f"{output}/points")
+    kept.drop("band_magnitudes").write.mode("overwrite").parquet(f"{output}/boundaries")
+    writers.summary_json(classed, kept, f"{output}/transects")
+    asked = {"random_seed": seed, "samples_requested": k, "raster_dir": rasters, "transect_file": transects, "boundary_types": boundary_types}
+    counts = every.agg(F.count(F.lit(1)).alias("transects_available")).join(classed.agg(F.countDistinct("transect_id").alias("samples_processed")))  # single rows
+    counts.withColumns({c: F.lit(v) for c, v in asked.items()}).coalesce(1).write.mode("overwrite").json(f"{output}/metadata")
     return samples
 
 
+def run_feature_analysis(samples: DataFrame, zones: DataFrame, output: str) -> dict[str, DataFrame]:
+    """Profiles of the labelled sections and characteristics of the labelled boundaries."""
+    profiles = settle(T.section_profiles(samples, zones), "profiles")
+    around = settle(T.transition_characteristics(samples, M.manual_boundaries(zones)), "around")
+    numbers = [c for c, t in around.dtypes if t in ("double", "bigint") and c not in ("transect_id", "position")]
+    tables = {
+        "section_profiles": profiles,
+        "section_derivatives": T.section_derivatives(samples, zones),
+        "section_correlations": T.section_correlations(samples, zones),
+        "class_spectral_profiles": T.profile_summary(profiles),
+        "class_zone_statistics": T.class_zone_statistics(samples, zones),
+        "transition_characteristics": around,
+        "transition_summary": T.transition_summary(around, numbers),
+    }
+    for name, t in tables.items():
+        writers.table_csv(t, f"{output}/{name}")
+    return tables
+
+
+def run_log_analysis(spark: SparkSession, logs: str, output: str) -> DataFrame:
+    """What the logs say of each transect, their rejections, and a report of rates."""
+    parsed = settle(readers.read_log(spark, logs), "log")
+    found = readers.log_summary(parsed)
+    writers.table_csv(found, f"{output}/transects")
+    writers.table_csv(parsed.where("rejected_at is not null").select("file", "line_no", "transect_id", "rejected_at", "reason"), f"{output}/rejections")
+    report = readers.log_report(found)
+    writers.text_report("Test log summary", report, f"{output}/report")
+    return report
+
+
 def run_all_validations(samples: DataFrame, zones: DataFrame, output: str, tolerance: float = 5.0, kind: str | None = None, config: Config = DEFAULT) -> dict[str, DataFrame]:
     """Match detections to labels and write every validation table and a report."""
     classed = settle(classify_samples(samples, config), "classes")
@@ -77,12 +120,16 @@ def run_all_validations(samples: DataFrame, zones: DataFrame, output: str, toler
         "within_zone_statistics": T.zone_derivatives(classed, zones),
         "threshold_sensitivity": M.sweep(classed, manual),
         "boundary_type_confusion_matrix": M.confusion(matches),
+        "boundary_type_accuracy": M.type_accuracy(matches),
         "error_distribution": M.error_distribution(matches),
         "feature_statistics_by_class": T.class_statistics(labelled),
         "feature_discriminability": T.discriminability(labelled),
     }
     for name, t in tables.items():
         writers.table_csv(t, f"{output}/{name}")
+    shore = found.where(F.col("detection_method").startswith("derivative_magnitude"))
+    verdicts = settle(M.categories(shore, M.first_dry_wet(zones), tolerance, 2 * tolerance), "verdicts")
+    writers.shell_line_report(verdicts, M.shell_line_metrics(verdicts), f"{output}/shell_line")
     return tables
 
 
@@ -94,12 +141,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description="Analyse transects over raster tiles, draw training samples, or validate against manual zones.")
-    p.add_argument("--mode", default="analyze", choices=["analyze", "train", "validate"])
+    p = argparse.ArgumentParser(description="Analyse transects over raster tiles, draw training samples, validate against manual zones, profile the zones, or read logs.")
+    p.add_argument("--mode", default="analyze", choices=["analyze", "train", "validate", "profile", "logs"])
     p.add_argument("--rasters", help="folder of tiles (analyze, train)")
     p.add_argument("--transects", help="GeoJSON of lines (analyze, train)")
-    p.add_argument("--samples", help="CSV of samples (validate)")
-    p.add_argument("--zones", help="text file of manual zones (validate)")
+    p.add_argument("--samples", help="CSV of samples (validate, profile)")
+    p.add_argument("--zones", help="text file of manual zones (validate, profile)")
+    p.add_argument("--logs", help="log files (logs)")
     p.add_argument("--output", required=True)
     p.add_argument("--boundary-types", default="shore_only", choices=["all", "shore_only", "waterline"])
     p.add_argument("--num-transects", type=int, default=10)
@@ -107,7 +155,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--tolerance", type=float, default=5.0)
     p.add_argument("--kind", choices=sorted(MANUAL_TYPES))
     a = p.parse_args(argv)
-    needs = ("samples", "zones") if a.mode == "validate" else ("rasters", "transects")
+    needs = {"validate": ("samples", "zones"), "profile": ("samples", "zones"), "logs": ("logs",)}.get(a.mode, ("rasters", "transects"))
     if missing := [f"--{n}" for n in needs if not getattr(a, n)]:
         p.error(f"{a.mode} needs {' and '.join(missing)}")
     spark = SparkSession.builder.appName("tideline").getOrCreate()
@@ -115,7 +163,11 @@ def main(argv: list[str] | None = None) -> None:
     if a.mode == "analyze":
         analyze_all_transects(spark, a.rasters, a.transects, a.output, a.boundary_types)
     elif a.mode == "train":
-        training_samples(spark, a.rasters, a.transects, a.output, a.num_transects, a.seed)
+        training_samples(spark, a.rasters, a.transects, a.output, a.num_transects, a.seed, a.boundary_types)
+    elif a.mode == "profile":
+        run_feature_analysis(readers.samples_csv(spark, a.samples), readers.manual_zones(spark, a.zones), a.output)
+    elif a.mode == "logs":
+        run_log_analysis(spark, a.logs, a.output)
     else:
         tables = run_all_validations(readers.samples_csv(spark, a.samples, numbered=True), readers.manual_zones(spark, a.zones), a.output, a.tolerance, a.kind)
         small = {n: tables[n] for n in ("metrics", "boundary_type_confusion_matrix", "error_distribution", "feature_discriminability")}

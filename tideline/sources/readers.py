@@ -138,6 +138,28 @@ def log_summary(parsed: DataFrame) -> DataFrame:
     )
 
 
+def log_report(found: DataFrame) -> DataFrame:
+    """Rows (section, name, value) over the transects of ``log_summary``: detection rate,
+    share of each mode, confidence, attrition of boundaries, rejections by reason."""
+    got = F.col("selected_at").isNotNull()
+    conf = F.when(got, F.col("confidence"))
+    total, detected, met = F.count(F.lit(1)), F.count("selected_at"), F.coalesce(F.sum("boundaries"), F.lit(0))
+    reasons = [c for c in found.columns if c.startswith("rejected_")]
+    figures = {
+        "overall": {"transects": total, "detected": detected, "failed": total - detected, "detected_pct": F.try_divide(100 * detected, total)},
+        "confidence": {"mean": F.avg(conf), "median": F.percentile(conf, 0.5), "std": F.stddev_samp(conf), "min": F.min(conf), "max": F.max(conf)},
+        "attrition": {"boundaries": met, "filtered": F.coalesce(F.sum("filtered"), F.lit(0)), "final": detected, "attrition_pct": F.try_divide(100 * (met - detected), met)},
+        "rejections": {"total": F.sum("rejections"), "per_transect": F.avg("rejections")} | {c[9:]: F.sum(c) for c in reasons},
+    }
+    cells = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), v.cast("double").alias("value")) for s, part in figures.items() for n, v in part.items()])
+    rows = found.agg(cells.alias("_cells")).select(F.explode("_cells").alias("_c")).select("_c.*")
+    modes = found.where(got & F.col("mode").isNotNull()).groupBy("mode").agg(F.count(F.lit(1)).alias("_n"))
+    shares = modes.join(F.broadcast(found.agg(detected.alias("_all"))))  # one row
+    count = shares.select(F.lit("modes").alias("section"), F.col("mode").alias("name"), F.col("_n").cast("double").alias("value"))
+    share = shares.select(F.lit("mode_pct").alias("section"), F.col("mode").alias("name"), (100 * F.col("_n") / F.col("_all")).alias("value"))
+    return rows.unionByName(count).unionByName(share)
+
+
 def lines_with(lines: DataFrame, words: list[str], column: str = "value", top: int | None = None, order: str | None = None) -> DataFrame:
     """Lines that hold any of the words, in any case; with ``top``, so many first ones by
     ``order`` (or by the line itself)."""

@@ -25,9 +25,21 @@ def summary(classed: DataFrame, found: DataFrame) -> DataFrame:
     return dist.join(span, "transect_id").join(edges, "transect_id", "left").fillna(0, ["transitions"])
 
 
+def overall(classed: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: transects, points, boundaries and the points of each class."""
+    by_class = classed.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"))
+    dist = by_class.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicted_class", "n")))).alias("class_distribution"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
+    one = classed.agg(F.countDistinct("transect_id").alias("transects")).join(dist)  # single rows
+    return one.join(found.agg(F.count(F.lit(1)).alias("transitions")))
+
+
 def summary_json(classed: DataFrame, found: DataFrame, path: str) -> None:
-    """One JSON line a transect, so that no document grows with the data."""
-    summary(classed, found).write.mode("overwrite").json(path)
+    """One JSON line a transect with its boundaries, so that no document grows with the data,
+    and the totals in a document of their own under ``<path>_overall``."""
+    edge = F.struct("distance", F.col("boundary_type").alias("type"), "confidence")
+    edges = found.groupBy("transect_id").agg(F.array_sort(F.collect_list(edge)).alias("boundaries"))
+    summary(classed, found).join(edges, "transect_id", "left").write.mode("overwrite").json(path)
+    overall(classed, found).coalesce(1).write.mode("overwrite").json(f"{path}_overall")
 
 
 def class_spans(segments: DataFrame) -> DataFrame:
@@ -51,3 +63,23 @@ def markdown(title: str, tables: dict[str, DataFrame], most: int = 50) -> str:
         if len(rows) > most:
             parts.append(f"\nFirst {most} rows.")
     return "\n".join(parts) + "\n"
+
+
+def text_report(title: str, figures: DataFrame, path: str) -> None:
+    """Rows (section, name, value) as a text file, sections one after the other; there are a
+    few dozen figures, whatever the data."""
+    lines, section = ["=" * 80, title, "=" * 80], None
+    for r in figures.orderBy("section", "name").collect():
+        if r["section"] != section:
+            section = r["section"]
+            lines += ["", section.upper(), "-" * 80]
+        lines.append(f"{r['name']:24s}{'' if r['value'] is None else format(r['value'], '.3f')}")
+    figures.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def shell_line_report(verdicts: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Results of all transects as CSV, rates and counts of verdicts as a text file."""
+    table_csv(verdicts, f"{path}/results")
+    cells = F.array(*[F.struct(F.lit("metrics").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in metrics.columns])
+    counts = verdicts.groupBy("result").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("verdicts").alias("section"), F.col("result").alias("name"), "value")
+    text_report("Shell line validation", metrics.select(F.explode(cells).alias("_c")).select("_c.*").unionByName(counts), f"{path}/report")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _FALLBACK: dict[str, str] = {}
 
@@ -97,6 +99,21 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
 
 
+def running(df: DataFrame, order: list[Column], values: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with the sums of ``values`` over all rows up to this one: ranges of the order
+    are summed each for itself, then one row a range."""
+    values = {k: v.cast("long") for k, v in values.items()}
+    parts = df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    parts = stash(parts, name)  # both uses see the same ranges
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_range").agg(*[F.sum(v).alias(k) for k, v in values.items()])
+    starts = sums.select("_range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in values])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumns({k: F.sum(v).over(within) for k, v in values.items()})
+    out = out.join(F.broadcast(starts), "_range")  # one row a range
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop("_range", *[f"_{k}" for k in values])
+
+
 # ---------------------------------------------------------------- text as bytes
 
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -133,10 +150,11 @@ def row_chunks(offsets: np.ndarray, most: int = 1 << 20):
         first = last
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word."""
+def find_words(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the index of its first word.
+    ``separates`` says of each byte whether it stands between words."""
     inside = np.empty(len(data) + 1, dtype=bool)
-    inside[:-1] = ~IS_SEP[data]
+    inside[:-1] = ~separates[data]
     inside[-1] = False
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -250,3 +268,39 @@ def same_words(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     return mix(hash_ranges(data, starts, ends, base) + (ends - starts).astype(np.uint64) * np.uint64(base))
+
+
+# ---------------------------------------------------------------- CRC-32
+
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, (CRC >> 1) ^ np.uint32(0xEDB88320), CRC >> 1).astype(np.uint32)
+#: Ranges over so many bytes are left to zlib, one by one.
+LONG_RANGE = 64
+
+
+def crc_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """CRC-32 of data[start:end] for every range, going on from the values ``before``."""
+    crc = np.zeros(len(starts), np.uint32) if before is None else before.copy()
+    size = ends - starts
+    for k in np.flatnonzero(size > LONG_RANGE):
+        crc[k] = zlib.crc32(data[starts[k] : ends[k]], int(crc[k]))
+    order = np.argsort(size, kind="stable")
+    order = order[: np.searchsorted(size[order], LONG_RANGE, "right")]
+    ordered, at = size[order], starts[order]
+    state = ~crc[order]
+    for k in range(int(ordered[-1]) if len(ordered) else 0):  # the k-th byte of all that have one
+        a = int(np.searchsorted(ordered, k, "right"))
+        x = state[a:]
+        state[a:] = CRC[(x ^ data[at[a:] + k]) & 0xFF] ^ (x >> 8)
+    crc[order] = ~state
+    return crc
+
+
+#: DuckDB SQL of the table of all bytes' remainders, and of a text's CRC-32 with it.
+CRC_TABLE_SQL = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
+
+
+def crc32_sql(text: str, table: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({data}, lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"

@@ -4,8 +4,9 @@ Documents of equal text are one atomic group.  Groups stand in the order of thei
 identifier, and each shard takes a stretch of them.  The capacity is the smallest one under
 which ``shards`` stretches hold everything, so the largest shard is as small as it can be;
 a binary search finds it, and a capacity is checked greedily: each shard takes groups as
-long as they fit.  The cuts then stay under that capacity and, within it, follow what is
-left to be shared out, so that one large group does not leave other shards empty.
+long as they fit.  The cuts then stay under that capacity and, within it, give each shard
+its even share of what is left, where groups heavier than an even share count as one, so
+that a large group does not leave the other shards empty or uneven.
 
 The greedy check needs the running sums of the groups, of which there may be as many as
 documents.  They are summed by ranges (``common.running``) and written; what the search reads is a
@@ -39,12 +40,42 @@ CELLS = 1 << 15
 ROWS_PER_FILE = 1 << 20
 
 
+class Heavy:
+    """Groups that weigh more than an even share, fewer than ``shards``: for the even cuts
+    each counts as no more than an even share of the rest."""
+
+    def __init__(self, groups: list[tuple[int, int]], total: int, shards: int):
+        """``groups``: running sum and weight, ascending."""
+        self.groups = groups
+        self.counts = max((total - sum(w for _, w in groups)) // max(shards - len(groups), 1), 1)
+
+    def level(self, x: int) -> int:
+        gone = 0
+        for stop, w in self.groups:
+            if x >= stop:
+                gone += w - self.counts
+            elif x > stop - w:  # inside
+                return stop - w - gone + (x - stop + w) * self.counts // w
+        return x - gone
+
+    def real(self, y: int) -> int:
+        gone = 0
+        for stop, w in self.groups:
+            start = stop - w - gone
+            if y < start:
+                break
+            if y < start + self.counts:
+                return stop - w
+            gone += w - self.counts
+        return y + gone
+
+
 class Grid:
     """Some of the running sums, ascending from 0, and for each whether more lie between it
     and the one before."""
 
-    def __init__(self, sums: list[int], more: list[bool]):
-        self.sums, self.more, self.total = sums, more, sums[-1]
+    def __init__(self, sums: list[int], more: list[bool], heavy: Heavy):
+        self.sums, self.more, self.heavy, self.total = sums, more, heavy, sums[-1]
 
     def down(self, x: int, divisible: bool = False) -> int:
         """The last cut up to x; with ``divisible`` the inside of a cell can be cut anywhere."""
@@ -80,12 +111,15 @@ class Grid:
                 low = middle + 1
         return low
 
-    def even(self, least: list[int], shards: int, divisible: bool = False) -> list[int]:
-        """Cuts that give each shard its share of what is left, but not less than ``least``."""
-        out = [0]
+    def even(self, capacity: int, least: list[int], shards: int, low: bool = False, high: bool = False) -> list[int]:
+        """Cuts that give each shard its share of what is left, but a group at least, not less
+        than ``least`` and not more than ``capacity``; with ``low`` or ``high`` bounds of them."""
+        out, end = [0], self.heavy.level(self.total)
         for k in range(1, shards + 1):
-            share = (self.total - out[-1]) // (shards - k + 1)
-            out.append(max(self.down(out[-1] + share, divisible), least[k]))
+            at = self.heavy.level(out[-1])
+            share = self.heavy.real(at + (end - at) // (shards - k + 1))
+            wanted = max(self.down(share, high), self.up(min(out[-1] + 1, self.total), low), least[k])
+            out.append(min(wanted, self.down(min(out[-1] + capacity, self.total), high)))
         return out
 
     def unknown(self, shards: int) -> list[tuple[int, int]]:
@@ -95,7 +129,7 @@ class Grid:
         spans = [
             *zip(self.forward(low, shards), self.forward(high, shards, True)),
             *zip(first, last),
-            *zip(self.even(first, shards), self.even(last, shards, True)),
+            *zip(self.even(low, first, shards, low=True), self.even(high, last, shards, high=True)),
         ]
         cells = set()
         for a, b in spans:
@@ -111,7 +145,7 @@ class Grid:
             del known[b]
         known |= dict(zip(sums, more))
         order = sorted(known)
-        return Grid(order, [known[x] for x in order])
+        return Grid(order, [known[x] for x in order], self.heavy)
 
 
 def sums_in(groups: DataFrame, spans: list[tuple[int, int]], cells: int) -> tuple[list[int], list[bool]]:
@@ -135,14 +169,15 @@ def sums_in(groups: DataFrame, spans: list[tuple[int, int]], cells: int) -> tupl
     return sums, more
 
 
-def cut(groups: DataFrame, total: int, shards: int, cells: int = CELLS) -> list[int]:
+def cut(groups: DataFrame, total: int, heavy: Heavy, shards: int, cells: int = CELLS) -> list[int]:
     """The running sums at which the shards end, from that of the first shard on."""
     cells = max(cells, 16 * shards * shards)
-    grid, unknown = Grid([0, total], [False, True]), [(0, total)]
+    grid, unknown = Grid([0, total], [False, True], heavy), [(0, total)]
     while unknown:
         grid = grid.refined(unknown, *sums_in(groups, unknown, cells))
         unknown = grid.unknown(shards)
-    return grid.even(grid.backward(grid.capacity(shards), shards), shards)[1:]
+    capacity = grid.capacity(shards)
+    return grid.even(capacity, grid.backward(capacity, shards), shards)[1:]
 
 
 def assign(
@@ -162,7 +197,8 @@ def assign(
     groups = rows.groupBy("digest").agg(F.min("id").alias("first"), F.sum("size").alias("weight"), F.count(F.lit(1)).alias("copies"))
     groups = C.stash(C.running(groups, [F.col("first").asc_nulls_last(), F.col("digest")], {"stop": F.col("weight")}, "groups"), "group-sums")
     total = groups.agg(F.coalesce(F.max("stop"), F.lit(0))).first()[0]
-    ends = cut(groups, total, shards, cells) if total else []
+    most = groups.where(F.col("weight") > total // shards).select("stop", "weight").orderBy("stop").collect()  # fewer than shards
+    ends = cut(groups, total, Heavy([tuple(r) for r in most], total, shards), shards, cells) if total else []
     shard = sum(((F.col("stop") > e).cast("int") for e in ends[:-1]), F.lit(0))
     placed = join_heavy(rows, groups.select("digest", "copies", shard.alias("shard")), "digest", "copies").drop("digest", "copies")
     order = [F.col("shard"), F.col("id").asc_nulls_last(), F.col("file"), F.col("row")]
@@ -204,9 +240,15 @@ d AS (
 ), g AS (
   SELECT digest, min(doc_id) AS first, sum(size) AS weight FROM rows GROUP BY digest
 ), p AS (
-  SELECT digest, (sum(weight) OVER (ORDER BY first NULLS LAST, digest ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM g
+  SELECT digest, weight::BIGINT AS weight, (sum(weight) OVER (ORDER BY first NULLS LAST, digest ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM g
+), h AS (
+  SELECT greatest(coalesce(sum(weight) FILTER (weight <= total // {SHARDS}), 0) // greatest({SHARDS} - count(*) FILTER (weight > total // {SHARDS}), 1), 1)::BIGINT AS counts,
+         any_value(total) AS total
+  FROM p, (SELECT max(stop) AS total FROM p)
+), level AS (
+  SELECT stop, (sum(CASE WHEN weight > total // {SHARDS} THEN counts ELSE weight END) OVER (ORDER BY stop))::BIGINT AS lev FROM p, h
 ), s AS MATERIALIZED (
-  SELECT list_prepend(0, list(stop ORDER BY stop)) AS stops, max(stop) AS total FROM p
+  SELECT list_prepend(0, list(stop ORDER BY stop)) AS stops, list_prepend(0, list(lev ORDER BY stop)) AS levels, max(stop) AS total, max(lev) AS top FROM level
 ), search AS (
   SELECT (total + {SHARDS} - 1) // {SHARDS} AS low, total AS high, 0::BIGINT AS pos, 0 AS used FROM s
   UNION ALL
@@ -222,12 +264,16 @@ d AS (
   UNION ALL
   SELECT k - 1, list_min(list_filter(stops, lambda x: x >= pos - c)) FROM backward, s, capacity WHERE k > 0
 ), least AS MATERIALIZED (
-  SELECT list(pos ORDER BY k) AS least FROM backward
+  SELECT list(len(list_filter(stops, lambda x: x <= pos)) ORDER BY k) AS least FROM backward, s
 ), even AS (
-  SELECT 0 AS k, 0::BIGINT AS pos
+  SELECT 0 AS k, 1::BIGINT AS i, 0::BIGINT AS pos
   UNION ALL
-  SELECT k + 1, greatest(list_max(list_filter(stops, lambda x: x <= pos + (total - pos) // ({SHARDS} - k))), least[k + 2])
-  FROM even, s, least WHERE k < {SHARDS}
+  SELECT k + 1, nxt, stops[nxt] FROM (
+    SELECT k, stops, least(
+        greatest(len(list_filter(levels, lambda x: x <= levels[i] + (top - levels[i]) // ({SHARDS} - k))), least(i + 1, len(stops)), least[k + 2]),
+        len(list_filter(stops, lambda x: x <= pos + c))) AS nxt
+    FROM even, s, least, capacity WHERE k < {SHARDS}
+  )
 ), placed AS (
   SELECT p.digest, (SELECT count(*) FROM even WHERE k BETWEEN 1 AND {SHARDS - 1} AND even.pos < p.stop)::INT AS shard FROM p
 )

@@ -157,7 +157,7 @@ def sums_in(groups: DataFrame, spans: list[tuple[int, int]], cells: int) -> tupl
     for a, b in spans[1:]:  # neighbours become one
         joined[-1:] = [(joined[-1][0], b)] if joined[-1][1] == a else [joined[-1], (a, b)]
     bounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in joined])
-    inside = F.filter(bounds, lambda s: (stop > s["a"]) & (stop <= s["b"]))[0]
+    inside = F.get(F.filter(bounds, lambda s: (stop > s["a"]) & (stop <= s["b"])), F.lit(0))
     near = groups.where(stop.between(joined[0][0] + 1, joined[-1][1])).select("stop", inside["a"].alias("a")).where("a is not null")
     found = near.groupBy("a", F.floor((stop - F.col("a") - 1) / width).alias("cell")).agg(
         F.min("stop").alias("low"), F.max("stop").alias("high"), F.count(F.lit(1)).alias("n")
@@ -169,9 +169,9 @@ def sums_in(groups: DataFrame, spans: list[tuple[int, int]], cells: int) -> tupl
     return sums, more
 
 
-def cut(groups: DataFrame, total: int, heavy: Heavy, shards: int, cells: int = CELLS) -> list[int]:
+def cut(groups: DataFrame, total: int, heavy: Heavy, shards: int, cells: int | None = None) -> list[int]:
     """The running sums at which the shards end, from that of the first shard on."""
-    cells = max(cells, 16 * shards * shards)
+    cells = cells or max(CELLS, 16 * shards * shards)
     grid, unknown = Grid([0, total], [False, True], heavy), [(0, total)]
     while unknown:
         grid = grid.refined(unknown, *sums_in(groups, unknown, cells))
@@ -181,7 +181,7 @@ def cut(groups: DataFrame, total: int, heavy: Heavy, shards: int, cells: int = C
 
 
 def assign(
-    docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, cells: int = CELLS
+    docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, cells: int | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, crc, shard, slot, file and row (as
     ``common.located`` gives them)."""

@@ -1,5 +1,5 @@
-"""Readers.  All parse with column expressions but the raster decoder, which turns one
-file at a time into rows."""
+"""Readers.  All parse with column expressions but those of rasters, which decode a block
+at a time (``tiff``)."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tiff import BANDS_OUT, Tiff, TiffSource, by_ranges, held, opened
+
 SAMPLES = "TransectID long, distance double, red int, green int, blue int, nir int"
 
 
@@ -172,67 +173,50 @@ def lines_with(lines: DataFrame, words: list[str], column: str = "value", top: i
 
 # ----------------------------------------------------------------------- rasters
 
-#: Fixed values of the TIFF format: field type -> (bytes, struct code).
-_FIELD = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
-
-
-def _tags(raw: bytes) -> tuple[str, dict]:
-    order = "<" if raw[:2] == b"II" else ">"
-    (at,) = struct.unpack(order + "I", raw[4:8])
-    (count,) = struct.unpack(order + "H", raw[at : at + 2])
-    tags = {}
-    for k in range(count):
-        code, kind, n = struct.unpack(order + "HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
-        size, letter = _FIELD.get(kind, (1, "B"))
-        place = at + 10 + 12 * k
-        if size * n > 4:
-            (place,) = struct.unpack(order + "I", raw[place : place + 4])
-        data = raw[place : place + size * n]
-        tags[code] = data.split(b"\0")[0].decode("latin1") if kind == 2 else struct.unpack(order + letter * n, data)
-    return order, tags
-
-
-def decode_tiff(raw: bytes) -> tuple[dict, np.ndarray]:
-    """Metadata and (bands, height, width) of a baseline strip TIFF, plain or deflated."""
-    order, t = _tags(raw)
-    width, height, bands = t[256][0], t[257][0], t.get(277, (1,))[0]
-    bits, fmt = t.get(258, (8,))[0], t.get(339, (1,))[0]
-    kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[fmt] + str(bits // 8))
-    packed = t.get(259, (1,))[0]
-    if t.get(317, (1,))[0] != 1:
-        raise ValueError(f"predictor {t[317][0]} is not supported")
-    if packed not in (1, 8, 32946):
-        raise ValueError(f"compression {packed} is not supported")
-    strips = [raw[a : a + n] for a, n in zip(t[273], t[279])]
-    data = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-    x = np.frombuffer(data, kind)
-    pixels = x.reshape(bands, height, width) if t.get(284, (1,))[0] == 2 else x.reshape(height, width, bands).transpose(2, 0, 1)
-    scale, tie = t.get(33550, (1.0, 1.0, 0.0)), t.get(33922, (0.0,) * 6)
-    keys = t.get(34735, ())
-    crs = [keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k] in (2048, 3072) and keys[k + 1] == 0]
-    meta = {
-        "left": float(tie[3] - tie[0] * scale[0]), "top": float(tie[4] + tie[1] * scale[1]), "res": float(scale[0]), "width": int(width), "height": int(height),
-        "bands": int(bands), "dtype": kind.name, "crs": f"EPSG:{crs[-1]}" if crs else None, "nodata": float(t[42113]) if t.get(42113) else None,
-    }
-    return meta, pixels
 
+def _files(spark: SparkSession, folder: str, content: bool) -> DataFrame:
+    """The .tif and .tiff files of a folder, not of its subfolders; their bytes only if asked
+    for."""
+    files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.tiff?$"))
+    return files.select("path", *(["content"] if content else []))
 
-_META = "path string, left double, top double, res double, width int, height int, bands int, dtype string, crs string, nodata double"
 
+_META = (
+    "path string, left double, top double, res double, width int, height int, bands int, dtype string, crs string, nodata double, block_width int, block_height int, problem string"
+)
 
-def raster_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each .tif or .tiff of a folder, not of its subfolders."""
-    files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.tiff?$"))
+_meta = pa.schema([(n, {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[k]) for n, k in (f.split() for f in _META.split(", "))])
 
-    def run(batches):
-        for t in batches:
-            yield pd.DataFrame([{"path": p} | decode_tiff(c)[0] for p, c in zip(t["path"], t["content"])], columns=[f.split()[0] for f in _META.split(", ")])
 
-    out = files.select("path", "content").mapInPandas(run, _META)
+def raster_index(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each raster of a folder, from its header alone, read where the task runs;
+    ``problem`` says why one can't be read.  Where Python can't read the store in part,
+    whole files are."""
+    ranged = by_ranges(folder)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    found = Tiff(opened(path) if ranged else held(batch.column("content")[k].as_py())).meta()
+                except (ValueError, KeyError, IndexError, struct.error, OSError) as gone:
+                    found = {"problem": str(gone) or type(gone).__name__}
+                rows.append({"path": path} | found)
+            yield pa.RecordBatch.from_pylist(rows, schema=_meta)
+
+    out = _files(spark, folder, not ranged).mapInArrow(run, _META)
     rank = F.row_number().over(Window.orderBy("path")) - 1  # one row a file
     return out.withColumn("raster_id", rank.cast("int")).withColumn("priority", F.col("raster_id"))
 
 
+def raster_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """``raster_index`` where every file can be read; else an error."""
+    found = raster_index(spark, folder)
+    wrong = F.concat(F.col("path"), F.lit(": "), F.col("problem"))
+    return found.withColumn("bands", F.when(F.col("problem").isNull(), F.col("bands")).otherwise(F.raise_error(wrong).cast("int"))).drop("problem")
+
+
 def check_rasters(meta: DataFrame) -> DataFrame:
     """The index again, or an error: no file, no or different systems, not four bands."""
     s = meta.agg(F.count(F.lit(1)).alias("n"), F.count("crs").alias("known"), F.countDistinct("crs").alias("systems"), F.min("bands").alias("a"), F.max("bands").alias("b")).first()
@@ -243,43 +227,73 @@ def check_rasters(meta: DataFrame) -> DataFrame:
 
 
 def raster_pixels(spark: SparkSession, folder: str, meta: DataFrame) -> DataFrame:
-    """raster_id, row, col and four bands of all files: a task decodes one file at a time."""
-    files = spark.read.format("binaryFile").load(folder).join(meta.select("path", "raster_id"), "path").select("raster_id", "content")
-
-    def run(batches):
-        for t in batches:
-            for rid, raw in zip(t["raster_id"], t["content"]):
-                _, x = decode_tiff(raw)
-                for a in range(0, x.shape[1], 256):  # a stretch of rows at a time
-                    part = x[:, a : a + 256].astype(np.int32)
-                    r, c = np.indices(part.shape[1:])
-                    yield pd.DataFrame({"raster_id": np.int32(rid), "row": (r + a).ravel().astype(np.int64), "col": c.ravel().astype(np.int64)} | {b: part[k].ravel() for k, b in enumerate(("red", "green", "blue", "nir"))})
-
-    return files.mapInPandas(run, "raster_id int, row long, col long, red int, green int, blue int, nir int")
+    """raster_id, row, col and four bands of all pixels, by ranges of blocks."""
+    spark.dataSource.register(TiffSource)
+    found = spark.read.format(TiffSource.name()).load(folder)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    return found.join(meta.select(plain.alias("path"), "raster_id"), "path").select("raster_id", "row", "col", *BANDS_OUT)
+
+
+_WANTED = f"raster_id int, row long, col long, {', '.join(f'{b} int' for b in BANDS_OUT)}, problem string"
+
+
+_picked = pa.schema([("raster_id", pa.int32()), ("row", pa.int64()), ("col", pa.int64()), *((b, pa.int32()) for b in BANDS_OUT), ("problem", pa.string())])
+
+
+def _picker(source):
+    """Wanted pixels, sorted by raster and block, to their bands: each block is read once.
+    Pixels of a block that can't be read have no bands but a problem."""
+
+    def read(batches):
+        path = t = block = x = wrong = None
+        for batch in batches:
+            at = batch.to_pandas()
+            out = np.zeros((4, len(at)), np.int32)
+            problem = np.full(len(at), None, object)
+            names, blocks = at["path"].to_numpy(), at["block"].to_numpy()
+            rows, columns = at["row"].to_numpy(), at["col"].to_numpy()
+            new = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]) | (blocks[1:] != blocks[:-1])) + 1, [len(at)]]) if len(at) else [0]
+            for a, b in zip(new[:-1], new[1:]):
+                if (names[a], blocks[a]) != (path, block):
+                    try:
+                        if names[a] != path or t is None:
+                            t = None  # while it is not opened
+                            t = Tiff(source(names[a]))
+                        x, wrong = t.block(int(blocks[a])), None
+                    except (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError) as gone:
+                        x, wrong = None, f"{names[a]}: {str(gone) or type(gone).__name__}"
+                    path, block = names[a], blocks[a]
+                if x is None:
+                    problem[a:b] = wrong
+                else:
+                    out[:, a:b] = x[:4, rows[a:b] % t.block_height, columns[a:b] % t.block_width]
+            lost = pa.array(problem, pa.string())
+            bands = [pa.array(v, pa.int32(), mask=np.array([p is not None for p in problem], bool)) for v in out]
+            yield pa.RecordBatch.from_arrays([batch.column("raster_id"), batch.column("row"), batch.column("col"), *bands, lost], schema=_picked)
+
+    return read
 
 
 def pixels_of(spark: SparkSession, folder: str, meta: DataFrame):
-    """A function from wanted (raster_id, row, col) to those rows with their four bands.  A
-    tile meets the samples that fall on it and gives their pixels alone; tiles without any
-    are not decoded."""
-    bands = ("red", "green", "blue", "nir")
-
-    def run(key, files, wanted):
-        r, c = wanted["row"].to_numpy(), wanted["col"].to_numpy()
-        if not files.num_rows or not len(r):
-            values = [np.zeros(0, np.int32)] * 4
-            wanted = wanted.slice(0, 0)
-        else:
-            _, x = decode_tiff(files["content"][0].as_py())
-            values = [x[k, r, c].astype(np.int32) for k in range(4)]
-        return pa.table({n: wanted[n] for n in ("raster_id", "row", "col")} | {b: pa.array(v, pa.int32()) for b, v in zip(bands, values)})
+    """A function from wanted (raster_id, row, col) to those rows with their four bands and,
+    where a block can't be read, the problem instead.  Only the blocks that samples fall on
+    are read; blocks are dealt to tasks, so a large raster is not one task."""
+    ranged = by_ranges(folder)
+
+    def whole(wanted: pa.Table, files: pa.Table) -> pa.Table:
+        """One file's bytes and the pixels wanted of it."""
+        source = {p: held(c.as_py()) for p, c in zip(files["path"].to_pylist(), files["content"])}
+        return pa.Table.from_batches(list(_picker(source.get)(wanted.sort_by("block").combine_chunks().to_batches())) if wanted.num_rows and source else [], _picked)
 
     def pick(wanted: DataFrame) -> DataFrame:
         wanted = wanted.select(F.col("raster_id").cast("int"), F.col("row").cast("long"), F.col("col").cast("long")).distinct()
-        tiles = meta.select("path", F.col("raster_id").cast("int").alias("tile"))
-        used = tiles.join(wanted, F.col("tile") == F.col("raster_id"), "left_semi")
-        files = spark.read.format("binaryFile").load(folder).join(used, "path").select("tile", "content")
-        out = f"raster_id int, row long, col long, {', '.join(f'{b} int' for b in bands)}"
-        return files.groupBy("tile").cogroup(wanted.groupBy("raster_id")).applyInArrow(run, out)
+        across = F.ceil(F.col("width") / F.col("block_width"))
+        tiles = meta.select("path", F.col("raster_id").cast("int"), "block_width", "block_height", across.alias("across"))
+        block = F.floor(F.col("row") / F.col("block_height")) * F.col("across") + F.floor(F.col("col") / F.col("block_width"))
+        at = wanted.join(tiles, "raster_id").select("raster_id", "row", "col", "path", block.alias("block"))
+        if not ranged:
+            return at.groupBy("path").cogroup(_files(spark, folder, True).groupBy("path")).applyInArrow(whole, _WANTED)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return at.repartition(n, "path", "block").sortWithinPartitions("path", "block").mapInArrow(_picker(opened), _WANTED)
 
     return pick

@@ -135,7 +135,7 @@ def test_utm_reference_point(spark):
     assert r["x"] == pytest.approx(500000.0, abs=1e-6)
     assert r["y"] == pytest.approx(5316300.0, abs=500)
     with pytest.raises(ValueError):
-        G.reproject(spark.createDataFrame([], "transect_id long, points array<struct<x:double,y:double>>"), "EPSG:6343", "EPSG:4326")
+        G.reproject(spark.createDataFrame([], "transect_id long, points array<struct<x:double,y:double>>"), "EPSG:31370", "EPSG:4326")
 
 
 def test_line_ends_and_directions(spark):

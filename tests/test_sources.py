@@ -53,7 +53,7 @@ def world(tmp_path):
         for t, c in ((2, [[1.5, 10.5], [30.2, 10.5]]), (1, [[0.5, 14.5], [18.5, 14.5]]))
     ]
     lines = tmp_path / "lines.json"
-    lines.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    lines.write_text(json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::32629"}}, "features": features}))
     return folder, lines, a, b
 
 

@@ -7,7 +7,6 @@ are equi-joins on coarse grid cells, so neither side has to be small.
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import series as S
 from ..functions.tables import settle
+from . import projections as P
 
 KEY = "transect_id"
 
@@ -45,18 +45,20 @@ def segments(lines: DataFrame) -> DataFrame:
 
 
 def densify(lines: DataFrame, interval: float = 1.0) -> DataFrame:
-    """Points at 0, interval, 2 interval ... and at the end of each line: k, distance, x, y.
-    Every segment makes its own points, so no line is gathered."""
-    s = segments(lines)
+    """Points at 0, interval, 2 interval ... and at the end of each line: distance, x, y, and
+    ord, which ascends along the line.  Every segment makes its own points, so no line is
+    gathered."""
+    s = segments(lines).where("length > 0")
     total = s.groupBy(KEY).agg(F.max("stop").alias("total"), F.max("seg").alias("last_seg"))
-    s = s.join(total, KEY).where("length > 0")
+    s = s.join(total, KEY)
     first, after = F.ceil(F.col("start") / interval), F.ceil(F.col("stop") / interval)
     own = F.when(after > first, F.transform(F.sequence(first, after - 1), lambda k: k * F.lit(float(interval)))).otherwise(F.array().cast("array<double>"))
     ends = F.when(F.col("seg") == F.col("last_seg"), F.array("total")).otherwise(F.array().cast("array<double>"))
-    rows = s.withColumn("distance", F.explode(F.concat(own, ends)))
+    rows = s.select("*", F.posexplode(F.concat(own, ends)).alias("_k", "distance"))
     t = (F.col("distance") - F.col("start")) / F.col("length")
     return rows.select(
-        KEY, "distance", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y")
+        KEY, "distance", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"),
+        (F.shiftleft(F.col("seg").cast("long"), 32) + F.col("_k")).alias("ord"),
     ).dropDuplicates([KEY, "distance"])
 
 
@@ -91,36 +93,58 @@ def overlapping_tiles(lines: DataFrame, tiles: DataFrame, cell: float = 1000.0)
     return s.join(b, ["_cx", "_cy"]).where(_crosses()).select(KEY, "raster_id", "priority").distinct()
 
 
-def sample_points(points: DataFrame, tiles: DataFrame, pixels, cell: float = 1000.0) -> DataFrame:
-    """The nearest pixel of the first tile, by priority, that holds the point and none of
-    whose bands is nodata; points without any are left out.  ``pixels`` is a table, or a
-    function that finds the wanted ones of (raster_id, row, col)."""
+def _sampled(points: DataFrame, tiles: DataFrame, pixels, cell: float) -> tuple[DataFrame, DataFrame | None]:
+    """Samples of points, and the pixels that could not be read, if ``pixels`` says so."""
     p = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     b = tile_bounds(tiles)
     b = _cells(b, F.col("left"), F.col("right"), F.col("bottom"), F.col("top"), cell)
     hit = p.join(b, ["_cx", "_cy"]).where("x between left and right and y between bottom and top")
     hit = hit.withColumns({"row": F.floor((F.col("top") - F.col("y")) / F.col("res")), "col": F.floor((F.col("x") - F.col("left")) / F.col("res"))})
     hit = hit.where("row >= 0 and row < height and col >= 0 and col < width")
+    unread = None
     if callable(pixels):
-        hit = settle(hit.select(KEY, "distance", "x", "y", "raster_id", "priority", "nodata", "row", "col"), "wanted")
-        pixels = pixels(hit)
+        hit = settle(hit.select(*points.columns, "raster_id", "priority", "nodata", "row", "col"), "wanted")
+        pixels = settle(pixels(hit), "pixels")
+        if "problem" in pixels.columns:
+            unread = hit.join(pixels.where("problem is not null"), ["raster_id", "row", "col"])
+            pixels = pixels.where("problem is null").drop("problem")
     found = hit.join(pixels, ["raster_id", "row", "col"]).where(
         "nodata is null or (red <> nodata and green <> nodata and blue <> nodata and nir <> nodata)"
     )
     first = Window.partitionBy(KEY, "distance").orderBy("priority", "raster_id")
-    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(KEY, "distance", "x", "y", "red", "green", "blue", "nir")
+    found = found.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return found.select(*points.columns, "red", "green", "blue", "nir"), unread
 
 
-def sample_transects(lines: DataFrame, tiles: DataFrame, pixels, direction: str | None = None, interval: float = 1.0) -> DataFrame:
-    """Samples along every line.  From east to west, distance counts from the far end of
-    the line's full length."""
-    got = sample_points(densify(lines, interval), tiles, pixels)
+def sample_points(points: DataFrame, tiles: DataFrame, pixels, cell: float = 1000.0) -> DataFrame:
+    """The nearest pixel of the first tile, by priority, that holds the point and none of
+    whose bands is nodata; points without any are left out.  ``pixels`` is a table, or a
+    function that finds the wanted ones of (raster_id, row, col)."""
+    return _sampled(points, tiles, pixels, cell)[0]
+
+
+def sample_lines(
+    lines: DataFrame, tiles: DataFrame, pixels, direction: str | None = None, interval: float = 1.0, cell: float = 1000.0
+) -> tuple[DataFrame, DataFrame]:
+    """Samples along every line, with ord, which ascends with their distance; and the
+    problems (transect_id, reason) of blocks that can't be read and of lines without any
+    sample.  From east to west, distance counts from the far end of the line's full length."""
+    got, unread = _sampled(densify(lines, interval), tiles, pixels, cell)
     if direction is None:
         direction = (global_direction(lines).first() or {"direction": "west_to_east"})["direction"]
     if direction == "east_to_west":
         total = segments(lines).groupBy(KEY).agg(F.max("stop").alias("_total"))
-        got = got.join(total, KEY).withColumn("distance", F.col("_total") - F.col("distance")).drop("_total")
-    return got.select(KEY, "distance", "red", "green", "blue", "nir")
+        got = got.join(total, KEY).withColumns({"distance": F.col("_total") - F.col("distance"), "ord": -F.col("ord")}).drop("_total")
+    got = got.select(KEY, "distance", "red", "green", "blue", "nir", "ord")
+    problems = lines.select(KEY).join(got.select(KEY).distinct(), KEY, "left_anti").select(KEY, F.lit("no pixel under the line").alias("reason"))
+    if unread is not None:
+        problems = problems.unionByName(unread.groupBy(KEY, F.col("problem").alias("reason")).count().select(KEY, F.concat("reason", F.lit(" ("), "count", F.lit(" samples)")).alias("reason")))
+    return got, problems
+
+
+def sample_transects(lines: DataFrame, tiles: DataFrame, pixels, direction: str | None = None, interval: float = 1.0) -> DataFrame:
+    """The samples of ``sample_lines``."""
+    return sample_lines(lines, tiles, pixels, direction, interval)[0]
 
 
 def random_transects(lines: DataFrame, k: int, seed: int) -> DataFrame:
@@ -142,39 +166,8 @@ def evenly_spaced(results: DataFrame, k: int = 5) -> DataFrame:
 
 
 def to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
-    """WGS84 degrees to UTM metres by the Krueger series (to n^4), as column arithmetic."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (
-        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
-        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
-        61 * n**3 / 240 - 103 * n**4 / 140,
-        49561 * n**4 / 161280,
-    )
-    e = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon) - math.radians(zone * 6 - 183)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, c in enumerate(alpha, 1):
-        x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + 0.9996 * big * x, (0 if north else 10_000_000) + 0.9996 * big * y
-
-
-def reproject(lines: DataFrame, source: str, target: str) -> DataFrame:
-    """Identity between equal systems, WGS84 to its UTM zones; anything else is refused."""
-    if not source or not target:
-        raise ValueError("a coordinate system is missing")
-    if source == target:
-        return lines
-    kind, code = target.split(":")[0], target.split(":")[-1]
-    if source != "EPSG:4326" or kind != "EPSG" or code[:3] not in ("326", "327") or len(code) != 5:
-        raise ValueError(f"no way from {source} to {target}")
-
-    def move(p: Column) -> Column:
-        x, y = to_utm(p["x"], p["y"], int(code[3:]), code[:3] == "326")
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return lines.withColumn("points", F.transform("points", move))
+    """WGS 84 degrees to UTM metres."""
+    return P.TransverseMercator(zone * 6 - 183.0, north=0.0 if north else 10_000_000.0, on=P.WGS84).forward(lon, lat)
+
+
+reproject = P.reproject

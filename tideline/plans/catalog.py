@@ -971,9 +971,50 @@ def _(s, d):
     return G.directions(fixture.lines(s, d))
 
 
+@query(
+    "line_reprojection",
+    "WITH "
+    + fixture.LINES_SQL
+    + """, earth AS (
+  SELECT 6378137.0::DOUBLE AS a, n, sqrt(f * (2 - f)) AS e, 0.9996::DOUBLE * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS radius, sqrt(g * (2 - g)) AS ge
+  FROM (SELECT f / (2 - f) AS n, f, g FROM (SELECT 1 / 298.257223563::DOUBLE AS f, 1 / 298.257222101::DOUBLE AS g))
+), utm AS (
+  SELECT transect_id, k, (y + 4000000) / radius AS xi, x / radius AS eta FROM vertex, earth
+), flat AS (
+  SELECT transect_id, k, n, e,
+    xi - (n/2 - 2*n**2/3 + 37*n**3/96 - n**4/360) * sin(2*xi) * cosh(2*eta) - (n**2/48 + n**3/15 - 437*n**4/1440) * sin(4*xi) * cosh(4*eta)
+       - (17*n**3/480 - 37*n**4/840) * sin(6*xi) * cosh(6*eta) - 4397*n**4/161280 * sin(8*xi) * cosh(8*eta) AS p,
+    eta - (n/2 - 2*n**2/3 + 37*n**3/96 - n**4/360) * cos(2*xi) * sinh(2*eta) - (n**2/48 + n**3/15 - 437*n**4/1440) * cos(4*xi) * sinh(4*eta)
+       - (17*n**3/480 - 37*n**4/840) * cos(6*xi) * sinh(6*eta) - 4397*n**4/161280 * cos(8*xi) * sinh(8*eta) AS q
+  FROM utm, earth
+), degrees AS (
+  SELECT transect_id, k, atan2(sinh(q), cos(p)) + radians(-9.0) AS lam,
+    chi + (2*n - 2*n**2/3 - 2*n**3 + 116*n**4/45) * sin(2*chi) + (7*n**2/3 - 8*n**3/5 - 227*n**4/45) * sin(4*chi)
+        + (56*n**3/15 - 136*n**4/35) * sin(6*chi) + 4279*n**4/630 * sin(8*chi) AS phi
+  FROM (SELECT *, asin(sin(p) / cosh(q)) AS chi FROM flat)
+), cone AS (
+  SELECT *, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS c FROM (
+    SELECT a, ge, cos(radians(49)) / sqrt(1 - (ge * sin(radians(49))) ** 2) AS m1, cos(radians(44)) / sqrt(1 - (ge * sin(radians(44))) ** 2) AS m2,
+      tan(pi()/4 - radians(49)/2) / ((1 - ge * sin(radians(49))) / (1 + ge * sin(radians(49)))) ** (ge/2) AS t1,
+      tan(pi()/4 - radians(44)/2) / ((1 - ge * sin(radians(44))) / (1 + ge * sin(radians(44)))) ** (ge/2) AS t2,
+      tan(pi()/4 - radians(46.5)/2) / ((1 - ge * sin(radians(46.5))) / (1 + ge * sin(radians(46.5)))) ** (ge/2) AS t0
+    FROM earth)
+), laid AS (
+  SELECT transect_id, k, c, lam, a * m1 / (c * t1 ** c) * (tan(pi()/4 - phi/2) / ((1 - ge * sin(phi)) / (1 + ge * sin(phi))) ** (ge/2)) ** c AS r, a * m1 / (c * t1 ** c) * t0 ** c AS r0
+  FROM degrees, cone
+)
+SELECT transect_id, k, round(700000 + r * sin(c * (lam - radians(3))), 3) AS x, round(6600000 + r0 - r * cos(c * (lam - radians(3))), 3) AS y FROM laid
+""",
+)
+def line_reprojection(s, d):
+    utm = fixture.lines(s, d).withColumn("points", F.transform("points", lambda p: F.struct((p["x"] + 500_000).alias("x"), (p["y"] + 4_000_000).alias("y"))))
+    moved = G.reproject(utm, "EPSG:32629", "urn:ogc:def:crs:EPSG::2154")
+    return moved.select(KEY, F.posexplode("points").alias("k", "p")).select(KEY, "k", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
 @query("line_points", out(_LINES, "SELECT * FROM dense", "transect_id", "distance x y"))
 def _(s, d):
-    return G.densify(fixture.lines(s, d))
+    return G.densify(fixture.lines(s, d)).drop("ord")
 
 
 @query(
@@ -1002,7 +1043,7 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    return G.sample_transects(fixture.lines(s, d), fixture.tiles(s, d), fixture.pixels(s, d), "west_to_east").drop("x", "y")
+    return G.sample_transects(fixture.lines(s, d), fixture.tiles(s, d), fixture.pixels(s, d), "west_to_east").drop("ord")
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.projections import epsg
 from .tiff import BANDS_OUT, Tiff, TiffSource, by_ranges, held, opened
 
 SAMPLES = "TransectID long, distance double, red int, green int, blue int, nir int"
@@ -72,16 +73,38 @@ def manual_zones(spark: SparkSession, path) -> DataFrame:
     return parse_zones(spark.read.text(path))
 
 
-def transects_geojson(spark: SparkSession, path) -> DataFrame:
-    """transect_id and points of a FeatureCollection of LineStrings; other geometries and
-    features without TransectID are an error when read."""
+def transect_features(spark: SparkSession, path) -> DataFrame:
+    """transect_id, points and problem of every feature of a FeatureCollection: a problem is
+    a geometry other than a LineString, an id that is missing or given twice, a line of less
+    than two points or with a point that is no pair of numbers."""
     schema = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<TransectID:long>>>"
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    wrong = (F.col("f.geometry.type") != "LineString") | F.col("f.properties.TransectID").isNull()
-    xy = F.from_json("f.geometry.coordinates", "array<array<double>>")
-    points = F.transform(xy, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    checked = F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("every feature needs a LineString and a TransectID"))).otherwise(points)
-    return f.select(F.col("f.properties.TransectID").alias("transect_id"), checked.alias("points")).orderBy("transect_id")
+    f = f.select(F.col("f.properties.TransectID").alias("transect_id"), F.col("f.geometry.type").alias("type"), F.from_json("f.geometry.coordinates", "array<array<double>>").alias("xy"))
+    bad = F.exists("xy", lambda p: p.isNull() | (F.size(p) < 2) | F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull())
+    twice = F.count(F.lit(1)).over(Window.partitionBy("transect_id")) > 1
+    reasons = {
+        "no TransectID": F.col("transect_id").isNull(), "a TransectID that stands twice": twice, "not a LineString": ~F.coalesce(F.col("type") == "LineString", F.lit(False)),
+        "less than two points": F.coalesce(F.size("xy") < 2, F.lit(True)), "a point that is no pair of numbers": F.coalesce(bad, F.lit(True)),
+    }
+    problem = F.coalesce(*[F.when(c, F.lit(r)) for r, c in reasons.items()])
+    points = F.transform("xy", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return f.withColumn("problem", problem).select("transect_id", F.when(F.col("problem").isNull(), points).alias("points"), "problem")
+
+
+def transects_geojson(spark: SparkSession, path) -> DataFrame:
+    """transect_id and points of a FeatureCollection of LineStrings; a feature with a problem
+    is an error when read."""
+    f = transect_features(spark, path)
+    checked = F.when(F.col("problem").isNull(), F.col("points")).otherwise(F.raise_error(F.concat(F.lit("every feature needs a LineString and a TransectID: "), "problem")))
+    return f.select("transect_id", checked.alias("points")).orderBy("transect_id")
+
+
+def geojson_crs(spark: SparkSession, path) -> str:
+    """The coordinate system that a GeoJSON names; without one it is in WGS 84 degrees."""
+    stated = spark.read.schema("crs struct<type:string,properties:struct<name:string>>").option("multiLine", True).json(path)
+    found = stated.where("crs.properties.name is not null").first()
+    code = epsg(found["crs"]["properties"]["name"]) if found else 4326
+    return f"EPSG:{code}" if code else found["crs"]["properties"]["name"]
 
 
 def detections_json(spark: SparkSession, path) -> DataFrame:

@@ -6,6 +6,7 @@ exchange and one sort.  Positions come as ``i`` (from 0) and ``n`` (points in th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -113,6 +114,51 @@ def savitzky_golay(f, w: WindowSpec) -> Column:
     return out.otherwise(inner)
 
 
+def repeated(f: Column, k: int, w: WindowSpec) -> Column:
+    """The value k places on, or the end value beyond an end.  Needs i and n."""
+    if not k:
+        return f
+    over = whole(w)
+    if k < 0:
+        return F.when(F.col("i") < -k, F.first(f).over(over)).otherwise(F.lag(f, -k).over(w))
+    return F.when(F.col("i") + k >= F.col("n"), F.last(f).over(over)).otherwise(F.lead(f, k).over(w))
+
+
+def kernel(f: Column, weights: list[float], w: WindowSpec) -> Column:
+    """The sum of an odd number of neighbours by ``weights``, end values repeated."""
+    half = len(weights) // 2
+    return sum((repeated(f, k - half, w) * float(c) for k, c in enumerate(weights)), F.lit(0.0))
+
+
+def median(f: Column, size: int, w: WindowSpec) -> Column:
+    """The running median of an odd number of neighbours, end values repeated."""
+    half = size // 2
+    return F.array_sort(F.array(*[repeated(f, k, w) for k in range(-half, half + 1)]))[half]
+
+
+def smoothed(f, w: WindowSpec, method: str, size: int = 3, sigma: float = 1.0, order: int = 2) -> Column:
+    """Smoothing by name: ``uniform``, ``median`` or ``savgol`` (of degree ``order``) over an
+    odd ``size``, or ``gaussian`` with ``sigma`` (cut at four of them); end values are
+    repeated.  Needs i and n."""
+    f = F.col(f) if isinstance(f, str) else f
+    if method == "gaussian":
+        half = int(4 * sigma + 0.5)
+        weights = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+        return kernel(f, weights / weights.sum(), w)
+    if size < 1 or size % 2 == 0:
+        raise ValueError("the size of a smoothing is odd")
+    if method == "uniform":
+        return kernel(f, [1 / size] * size, w)
+    if method == "median":
+        return median(f, size, w)
+    if method == "savgol":
+        if order >= size:
+            raise ValueError("a polynomial needs more points than its degree")
+        at = np.vander(np.arange(size) - size // 2, order + 1, increasing=True)
+        return kernel(f, np.linalg.pinv(at)[0], w)
+    raise ValueError(f"no smoothing is called {method}")
+
+
 def running_total(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows up to this one by ``key`` (distinct), without
     sorting the table in one task: ranges of the key are summed each for itself, and only

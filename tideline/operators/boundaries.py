@@ -6,7 +6,6 @@ they add no exchange.  All return one schema; what a detector does not know is n
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,41 +164,41 @@ def best_dry_wet(strict: DataFrame, relaxed: DataFrame, config: Config = DEFAULT
     )
 
 
+def _merged(ranked: DataFrame, keys: list[str], given: list[str], order: list[str], config: Config) -> DataFrame:
+    """A fold over a group's detections in ``order``: an anchor's detections of its method
+    within ``merge_distance``, from the anchor on, give way to the most confident of them
+    (the first of equals), and the anchor moves on by as many rows."""
+    row = F.struct(F.struct(*order).alias("at"), "distance", "detection_method", "confidence", F.struct(*given).alias("row"))
+    by_order = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    series = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(row), by_order).alias("series"))
+
+    def step(state: Column, _: Column) -> Column:
+        k = state["k"]
+        at = F.get("series", k)
+        group = F.filter(
+            F.transform("series", lambda x, j: F.struct(j.alias("j"), x["distance"].alias("d"), x["detection_method"].alias("m"), x["confidence"].alias("c"))),
+            lambda x: (x["j"] >= k) & (x["d"] - at["distance"] < config.merge_distance) & (x["m"] == at["detection_method"]),
+        )
+        best = F.array_max(F.transform(group, lambda x: F.struct(x["c"].alias("c"), (-x["j"]).alias("j"))))
+        moved = F.struct((k + F.size(group)).alias("k"), F.concat(state["kept"], F.array(-best["j"])).alias("kept"))
+        return F.when(k < F.size("series"), moved).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("kept"))
+    walked = series.withColumn("kept", F.aggregate(F.sequence(F.lit(1), F.size("series")), start, step)["kept"])
+    return walked.select(F.explode(F.transform("kept", lambda k: F.get("series", k)["row"])).alias("r")).select("r.*")
+
+
 def merge_nearby(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Detections of one method less than ``merge_distance`` from an anchor give way to the
     most confident.  The anchor then moves on by as many rows as were merged, whatever
     methods lie between: kept as the pipeline's results depend on it."""
-
-    def scan(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["distance", "_rank"], kind="stable")
-        d, m, c = t["distance"].tolist(), t["detection_method"].tolist(), t["confidence"].tolist()
-        keep, k = [], 0
-        while k < len(d):
-            group = [j for j in range(k, len(d)) if d[j] - d[k] < config.merge_distance and m[j] == m[k]]
-            keep.append(max(group, key=lambda j: (c[j], -j)))
-            k += len(group)
-        return t.iloc[keep]
-
     rank = F.when(F.col("detection_method") == "inflection_point", 0).when(F.col("detection_method") == "rgb_foam_peak", 1).otherwise(2)
-    ranked = found.withColumn("_rank", rank)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
-    return ranked.groupBy(KEY).applyInPandas(scan, fields).drop("_rank")
+    return _merged(found.withColumn("_rank", rank), [KEY], found.columns, ["distance", "_rank", "index"], config)
 
 
 def merge_by_method(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The clean variant: per transect and method, greedily from the first detection."""
-
-    def scan(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable").reset_index(drop=True)
-        keep, k = [], 0
-        while k < len(t):
-            group = t[(t.index >= k) & (t["distance"] - t["distance"][k] < config.merge_distance)]
-            keep.append(group["confidence"].idxmax())
-            k += len(group)
-        return t.loc[keep]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return found.groupBy(KEY, "detection_method").applyInPandas(scan, fields)
+    return _merged(found, [KEY, "detection_method"], found.columns, ["distance", "index"], config)
 
 
 def is_beach_water(a: Column, b: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,27 +138,32 @@ def monotonic_strict(classed: DataFrame, config: Config = DEFAULT, key: str = "t
 
 def merge_short_segments(classed: DataFrame, config: Config = DEFAULT, rounds: int = 10, key: str = "transect_id") -> DataFrame:
     """Up to ``rounds`` times, the first short segment of a known class takes the class of
-    the next segment, of the one before, or UNKNOWN: whichever is known first."""
-
-    def scan(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable")
-        c, d = t["predicted_class"].tolist(), t["distance"].tolist()
-        for _ in range(rounds):
-            edge = [k for k in range(len(c)) if k == 0 or c[k] != c[k - 1]] + [len(c)]
-            zones = list(zip(edge[:-1], edge[1:]))
-            for z, (a, b) in enumerate(zones):
-                if c[a] != "UNKNOWN" and d[b - 1] - d[a] < config.min_span:
-                    after = c[zones[z + 1][0]] if z + 1 < len(zones) else "UNKNOWN"
-                    before = c[zones[z - 1][0]] if z else "UNKNOWN"
-                    new = after if after != "UNKNOWN" else before
-                    c[a:b] = [new] * (b - a)
-                    break
-            else:
-                break
-        return t.assign(predicted_class=c)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classed.schema)
-    return classed.groupBy(key).applyInPandas(scan, fields)
+    the next segment, of the one before, or UNKNOWN: whichever is known first.  A fold over
+    the segments of a transect; segments of one class that meet become one."""
+    numbered = with_runs(classed, key)
+    zone = F.struct(F.col("run").cast("long").alias("first"), F.col("run").cast("long").alias("last"), F.col("predicted_class").alias("c"), F.col("start").alias("a"), F.col("end").alias("b"))
+    zones = segments(classed, key).groupBy(key).agg(F.array_sort(F.collect_list(zone)).alias("zones"))
+
+    def joined(zones: Column) -> Column:
+        def step(done: Column, z: Column) -> Column:
+            last = F.try_element_at(done, F.lit(-1))
+            longer = F.struct(last["first"].alias("first"), z["last"].alias("last"), last["c"].alias("c"), last["a"].alias("a"), z["b"].alias("b"))
+            return F.when(last["c"] == z["c"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(z)))
+
+        return F.aggregate(zones, F.slice(zones, 1, 0), step)
+
+    def once(state: Column, _: Column) -> Column:
+        short = F.filter(F.transform(state, lambda z, k: F.when((z["c"] != "UNKNOWN") & (z["b"] - z["a"] < config.min_span), k)), lambda k: k.isNotNull())
+        at = F.get(short, F.lit(0))
+        after, before = F.get(state, at + 1)["c"], F.when(at > 0, F.get(state, at - 1)["c"])
+        new = F.coalesce(F.when(after != "UNKNOWN", after), before, F.lit("UNKNOWN"))
+        renamed = F.transform(state, lambda z, k: F.struct(z["first"].alias("first"), z["last"].alias("last"), F.when(k == at, new).otherwise(z["c"]).alias("c"), z["a"].alias("a"), z["b"].alias("b")))
+        return F.when(at.isNull(), state).otherwise(joined(renamed))
+
+    merged = zones.select(key, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("zones"), once)).alias("z"))
+    merged = merged.select(key, F.explode(F.sequence("z.first", "z.last")).alias("run"), F.col("z.c").alias("_class"))
+    out = numbered.withColumn("run", F.col("run").cast("long")).join(merged, [key, "run"])
+    return out.withColumn("predicted_class", F.col("_class")).select(*classed.columns)
 
 
 def vote_by_zone(classed: DataFrame, flag: str, key: str = "transect_id") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import series as S
+from ..functions.quantiles import with_quantiles
 from ..functions.tables import settle
 from .config import CLASS_ALIAS
 
@@ -170,6 +170,25 @@ def thresholds(n: int = 30, a: float = -2.0, b: float = -5.0) -> list[float]:
     return [a + (b - a) * k / (n - 1) for k in range(n)]
 
 
+def thinned(rows: DataFrame, levels: list[float], separation: float) -> DataFrame:
+    """(transect_id, threshold, distance) of the candidates g below each level that a greedy
+    scan keeps: one closer than ``separation`` to the last kept one replaces it if it is
+    stronger.  A fold over a transect's candidates by distance, for every level."""
+    series = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("distance", "g"))).alias("series"))
+    series = series.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+
+    def step(kept: Column, s: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        near = F.coalesce(s["distance"] - last["distance"] < separation, F.lit(False))
+        instead = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(s))
+        return F.when(~near, F.concat(kept, F.array(s))).when(F.abs(s["g"]) > F.abs(last["g"]), instead).otherwise(kept)
+
+    none = F.slice("series", 1, 0)
+    below = F.filter("series", lambda s: s["g"] < F.col("threshold"))
+    kept = series.select(KEY, "threshold", F.explode(F.aggregate(below, none, step)).alias("s"))
+    return kept.select(KEY, "threshold", F.col("s.distance").alias("distance"))
+
+
 def sweep(features: DataFrame, manual: DataFrame, levels: list[float] | None = None, separation: float = 15.0, tolerance: float = 10.0) -> DataFrame:
     """Precision and recall of the simple derivative detector at each threshold.
 
@@ -186,22 +205,7 @@ def sweep(features: DataFrame, manual: DataFrame, levels: list[float] | None = N
         .select(KEY, "distance", F.col("nir_d1_smooth").alias("g"))
     )
 
-    def thin(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable")
-        pairs, out = list(zip(t["distance"], t["g"])), []
-        for level in levels:
-            kept: list[tuple[float, float]] = []
-            for d, g in pairs:
-                if g < level:
-                    if kept and d - kept[-1][0] < separation:
-                        if abs(g) > abs(kept[-1][1]):
-                            kept[-1] = (d, g)
-                    else:
-                        kept.append((d, g))
-            out += [(t[KEY].iloc[0], level, d) for d, _ in kept]
-        return pd.DataFrame(out, columns=[KEY, "threshold", "distance"])
-
-    found = rows.groupBy(KEY).applyInPandas(thin, f"{KEY} long, threshold double, distance double")
+    found = thinned(rows, levels, separation)
     found = settle(found, "thinned")  # three branches read it
     pairs = near_pairs(found, manual.select(KEY, "seq", "position"), "distance", "position", tolerance)
     first = pairs.groupBy(KEY, "threshold", "distance").agg(F.min("seq").alias("seq"))
@@ -238,11 +242,12 @@ def type_accuracy(matches: DataFrame) -> DataFrame:
 
 
 def error_distribution(matches: DataFrame) -> DataFrame:
-    e = F.col("distance_error")
-    return matches.where("label = 'TP'").agg(
-        F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, 0.5).alias("median"), F.stddev_pop(e).alias("std"),
+    e, hits = F.col("distance_error"), matches.where("label = 'TP'").select("distance_error")
+    out = hits.agg(
+        F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.stddev_pop(e).alias("std"),
         (F.avg(e) > 1).alias("biased"), (100 * F.avg((e <= 5).cast("double"))).alias("pct_5"), (100 * F.avg((e <= 10).cast("double"))).alias("pct_10"),
     )
+    return with_quantiles(out, hits, [], "distance_error", {"median": 0.5}).select("mae", "rmse", "median", "std", "biased", "pct_5", "pct_10")
 
 
 def error_ecdf(matches: DataFrame) -> DataFrame:

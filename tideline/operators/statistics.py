@@ -6,6 +6,8 @@ features is one aggregation, summed on the map side.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,8 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import series as S
+from ..functions.quantiles import with_quantiles
+from ..functions.tables import settle
 from .matching import KEY, boundary_windows, count_if, zone_slices
 
 EPS = 1e-10
@@ -175,21 +179,25 @@ def zone_derivatives(features: DataFrame, zones: DataFrame, threshold: float = -
 
 def dominant_frequency(points: DataFrame, zones: DataFrame, zone_class: str = "WATER") -> DataFrame:
     """The strongest frequency of the linearly detrended nir in each zone of the class with
-    more than ten samples; a zone is one Arrow group."""
+    more than ten samples: the line by regression, then a discrete Fourier transform as sums
+    of cosines and sines; of equal powers the lower frequency."""
+    w = Window.partitionBy(KEY, "zone_order").orderBy("distance")
+    rows = zone_slices(points, zones.where(F.col("zone_class") == zone_class)).withColumn("k", (F.row_number().over(w) - 1).cast("double"))
+    x = F.col("nir").cast("double")
+    zone = rows.groupBy(KEY, "zone_order").agg(
+        F.regr_slope(x, F.col("k")).alias("slope"), F.regr_intercept(x, F.col("k")).alias("level"), F.count(F.lit(1)).alias("n"),
+        ((F.max("distance") - F.min("distance")) / (F.count(F.lit(1)) - 1)).alias("step"), F.collect_list(F.struct("k", x.alias("x"))).alias("series"),
+    ).where("n > 10")
+    left = F.transform("series", lambda s: F.struct(s["k"].alias("k"), (s["x"] - F.col("level") - F.col("slope") * s["k"]).alias("x")))
+
+    def power(j: Column) -> Column:
+        def part(wave) -> Column:
+            return F.aggregate("rest", F.lit(0.0), lambda total, s: total + s["x"] * wave(2 * math.pi * j * s["k"] / F.col("n")))
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable")
-        x, d = t["nir"].to_numpy(float), t["distance"].to_numpy(float)
-        best = np.nan
-        if len(x) > 10:
-            k = np.arange(len(x))
-            x = x - np.polyval(np.polyfit(k, x, 1), k)
-            power = np.abs(np.fft.fft(x))[1 : len(x) // 2]
-            best = (np.argmax(power) + 1) / (len(x) * np.diff(d).mean())
-        return pd.DataFrame({KEY: [t[KEY].iloc[0]], "zone_order": [t["zone_order"].iloc[0]], "dominant_frequency": [best]})
+        return F.struct((F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2)).alias("power"), (-j).alias("j"))
 
-    rows = zone_slices(points, zones.where(F.col("zone_class") == zone_class)).select(KEY, "zone_order", "distance", "nir")
-    return rows.groupBy(KEY, "zone_order").applyInPandas(run, f"{KEY} long, zone_order int, dominant_frequency double").where("not isnan(dominant_frequency)")
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int") - 1), power))
+    return zone.withColumn("rest", left).select(KEY, "zone_order", (-best["j"] / (F.col("n") * F.col("step"))).alias("dominant_frequency"))
 
 
 def hypotheses(zone_stats: DataFrame) -> DataFrame:
@@ -319,21 +327,22 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def five_numbers(labelled: DataFrame, features: list[str], by: str = "zone_class") -> DataFrame:
+    """Per feature and class: range, quartiles, mean, deviation, number."""
     v = F.col("value")
-    return stack(labelled, [F.col(by).alias("class")], features).groupBy("feature", "class").agg(
-        F.min(v).alias("min"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"),
-    )
+    rows = settle(stack(labelled, [F.col(by).alias("class")], features).select("feature", "class", "value"), "values")
+    out = rows.groupBy("feature", "class").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return with_quantiles(out, rows, ["feature", "class"], "value", quarters).select("feature", "class", "min", *quarters, "max", "mean", "std", "n")
 
 
 def threshold_coverage(df: DataFrame, levels: dict[str, float]) -> DataFrame:
     """Per column: five percentiles and the share of rows at or above its level.  Values are
     compared when rounded to nine places: a standard deviation's last bits say nothing."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.lit(float(x)).alias("level")) for c, x in levels.items()])
-    v = F.col("s.value")
-    return df.select(F.explode(cells).alias("s")).groupBy(F.col("s.feature").alias("feature"), F.col("s.level").alias("level")).agg(
-        *[F.percentile(v, p / 100).alias(f"p{p}") for p in (5, 25, 50, 75, 95)], (100 * F.avg((F.round(v, 9) >= F.col("s.level")).cast("double"))).alias("pct_covered")
-    )
+    rows = settle(df.select(F.explode(cells).alias("s")).select("s.*"), "values")
+    shares = rows.groupBy("feature", "level").agg((100 * F.avg((F.round("value", 9) >= F.col("level")).cast("double"))).alias("pct_covered"))
+    wanted = {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)}
+    return with_quantiles(shares, rows, ["feature", "level"], "value", wanted).select("feature", "level", *wanted, "pct_covered")
 
 
 def boundary_profile(points: DataFrame, manual: DataFrame, half: float = 10.0) -> DataFrame:
@@ -477,29 +486,28 @@ def smoothed_derivatives(points: DataFrame, column: str = "nir") -> DataFrame:
     return rows.withColumn("d2", S.gradient("d1", w)).select(KEY, "distance", "smooth", "d1", "d2")
 
 
-def smoothing_methods(points: DataFrame, manual: DataFrame, half: float = 20.0) -> DataFrame:
-    """Vegetation boundaries: the largest gradient after four kinds of smoothing.  Moving
-    mean, Gaussian and median keep the integer type of the band (cut to integers)."""
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("distance", kind="stable")
-        x, d = t["nir"].to_numpy(float), t["distance"].to_numpy(float)
-        pad = lambda k: np.pad(x, k, mode="edge")
-        out = {}
-        if len(x) >= 10:
-            g = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
-            fits = {
-                "uniform_3": np.trunc(np.convolve(pad(1), np.ones(3) / 3, "valid") + 1e-9),
-                "gaussian_2": np.trunc(np.convolve(pad(8), g / g.sum(), "valid") + 1e-9),
-                "savgol_5_2": np.convolve(pad(2), np.array([-3, 12, 17, 12, -3]) / 35, "valid"),
-                "median_5": np.median(np.lib.stride_tricks.sliding_window_view(pad(2), 5), axis=1),
-            }
-            out = {k: np.abs(np.gradient(v, d)).max() for k, v in fits.items()}
-        return pd.DataFrame([(t[KEY].iloc[0], t["seq"].iloc[0], k, v) for k, v in out.items()], columns=[KEY, "seq", "method", "max_abs_gradient"])
+#: Smoothings compared by default: name, then method, width and, where it has one, sigma.
+SMOOTHINGS = {
+    "uniform_3": {"method": "uniform", "size": 3}, "gaussian_2": {"method": "gaussian", "sigma": 2.0},
+    "savgol_5_2": {"method": "savgol", "size": 5, "order": 2}, "median_5": {"method": "median", "size": 5},
+}
+
 
+def smoothing_methods(points: DataFrame, manual: DataFrame, half: float = 20.0, methods: dict[str, dict] | None = None) -> DataFrame:
+    """Vegetation boundaries with ten samples around: the largest gradient after each kind of
+    smoothing (``series.smoothed`` with the arguments given).  Moving mean and Gaussian keep
+    the integer type of the band (cut to integers)."""
+    methods = methods or SMOOTHINGS
     veg = manual.where(F.col("manual_type").startswith("VEGETATED_DUNE"))
-    rows = boundary_windows(points, veg, "position", half).select(KEY, "seq", "distance", "nir")
-    return rows.groupBy(KEY, "seq").applyInPandas(run, f"{KEY} long, seq int, method string, max_abs_gradient double")
+    w = Window.partitionBy(KEY, "seq").orderBy("distance")
+    rows = S.indexed(boundary_windows(points, veg, "position", half).select(KEY, "seq", "distance", "nir"), w).where("n >= 10")
+    smooth = {name: S.smoothed(F.col("nir").cast("double"), w, **m) for name, m in methods.items()}
+    smooth = {name: F.floor(c + 1e-9).cast("double") if methods[name]["method"] in ("uniform", "gaussian") else c for name, c in smooth.items()}
+    rows = rows.withColumns({f"_{k}": c for k, c in smooth.items()})
+    rows = rows.withColumns({f"_{k}": F.abs(S.gradient(f"_{k}", w)) for k in smooth})
+    most = rows.groupBy(KEY, "seq").agg(*[F.max(f"_{k}").alias(k) for k in smooth])
+    cells = F.array(*[F.struct(F.lit(k).alias("method"), F.col(k).alias("max_abs_gradient")) for k in smooth])
+    return most.select(KEY, "seq", F.explode(cells).alias("m")).select(KEY, "seq", "m.*")
 
 
 def processing_stats(classed: DataFrame, found: DataFrame) -> DataFrame:

@@ -255,7 +255,23 @@ def _(s, d):
     return K.monotonic_strict(classes(s, d)).select(KEY, "distance", "predicted_class")
 
 
-@query("short_segment_merge")
+@query(
+    "short_segment_merge",
+    twins.recursive(twins.classed(
+        """step AS (
+  SELECT 0 AS round, transect_id, i, distance, predicted_class AS c FROM smooth
+  UNION ALL
+  SELECT round + 1, transect_id, i, distance, CASE WHEN run = short THEN coalesce(CASE WHEN after <> 'UNKNOWN' THEN after END, before, 'UNKNOWN') ELSE c END FROM (
+    SELECT *, min(CASE WHEN c <> 'UNKNOWN' AND span < 2.5 THEN run END) OVER (PARTITION BY transect_id) AS short,
+      first_value(c) OVER (PARTITION BY transect_id ORDER BY run RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS after,
+      first_value(c) OVER (PARTITION BY transect_id ORDER BY run RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS before
+    FROM (SELECT *, max(distance) OVER (PARTITION BY transect_id, run) - min(distance) OVER (PARTITION BY transect_id, run) AS span FROM (
+      SELECT *, sum(new) OVER (PARTITION BY transect_id ORDER BY i) AS run FROM (
+        SELECT *, coalesce(c <> lag(c) OVER (PARTITION BY transect_id ORDER BY i), false)::INT AS new FROM step WHERE round < 10))))
+)"""
+    ))
+    + "SELECT transect_id, distance, c AS predicted_class FROM step WHERE round = 10",
+)
 def _(s, d):
     return K.merge_short_segments(classes(s, d)).select(KEY, "distance", "predicted_class")
 
@@ -336,7 +352,7 @@ def _(s, d):
     return unmerged(s, d).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
 
 
-@query("boundaries")
+@query("boundaries", out(twins.merged(), "SELECT * FROM final", _DET + ", detection_mode, from_class, to_class, boundary_type", "confidence magnitude"))
 def _(s, d):
     return B.find_transitions(settle(classes(s, d), "classes")).select(KEY, "index", "distance", "detection_method", "detection_mode", "from_class", "to_class", "boundary_type", "confidence", "magnitude")
 
@@ -722,7 +738,19 @@ def _(s, d):
     return T.hypotheses(T.zone_derivatives(nums(s, d), fixture.manual_zones(s, d)))
 
 
-@query("dominant_frequency")
+@query(
+    "dominant_frequency",
+    out(
+        twins.base(
+            fixture.ZONES_SQL, _slice("points", "sl"),
+            "kx AS (SELECT transect_id, zone_order, distance, nir::DOUBLE AS x, row_number() OVER z - 1 AS k, count(*) OVER (PARTITION BY transect_id, zone_order) AS n FROM sl WHERE zone_class = 'WATER' WINDOW z AS (PARTITION BY transect_id, zone_order ORDER BY distance))",
+            "line AS (SELECT transect_id, zone_order, regr_slope(x, k) AS slope, regr_intercept(x, k) AS level, (max(distance) - min(distance)) / (count(*) - 1) AS step FROM kx WHERE n > 10 GROUP BY ALL)",
+            "bins AS (SELECT *, unnest(range(1, n // 2)) AS j FROM kx JOIN line USING (transect_id, zone_order))",
+            "power AS (SELECT transect_id, zone_order, j, n, step, sum((x - level - slope * k) * cos(2 * pi() * j * k / n)) ** 2 + sum((x - level - slope * k) * sin(2 * pi() * j * k / n)) ** 2 AS p FROM bins GROUP BY ALL)",
+        ),
+        "SELECT transect_id, zone_order, first(j / (n * step) ORDER BY p DESC, j) AS dominant_frequency FROM power GROUP BY ALL", "transect_id, zone_order", "dominant_frequency",
+    ),
+)
 def _(s, d):
     return T.dominant_frequency(points(s, d), fixture.manual_zones(s, d))
 
@@ -931,7 +959,34 @@ def _(s, d):
     return T.multiscale_profiles(points(s, d), M.detected_flags(manual(s, d), matches(s, d)))
 
 
-@query("smoothing_methods")
+def _kernel(weights: str, half: int) -> str:
+    """A sum of neighbours, end values repeated; weights in terms of k."""
+    return f"list_sum(list_transform(range({-half}, {half + 1}), lambda k: {weights} * x[greatest(1, least(n, i + k))]))"
+
+
+_SMOOTH = {
+    "uniform_3": f"floor({_kernel('1', 1)} / 3 + 1e-9)",
+    "gaussian_2": f"floor({_kernel('exp(-k * k / 8.0::DOUBLE)', 8)} / list_sum(list_transform(range(-8, 9), lambda k: exp(-k * k / 8.0::DOUBLE))) + 1e-9)",
+    "savgol_5_2": _kernel("[-3, 12, 17, 12, -3][k + 3] / 35.0::DOUBLE", 2),
+    "median_5": "list_median(list_transform(range(-2, 3), lambda k: x[greatest(1, least(n, i + k))]))",
+}
+
+
+@query(
+    "smoothing_methods",
+    out(
+        twins.base(
+            fixture.ZONES_SQL, twins.MANUAL_SQL,
+            "near AS (SELECT p.transect_id, seq, list(nir::DOUBLE ORDER BY distance) AS x, list(distance ORDER BY distance) AS d, count(*) AS n FROM points p JOIN manual m ON p.transect_id = m.transect_id AND abs(distance - position) <= 20 WHERE manual_type LIKE 'VEGETATED_DUNE%' GROUP BY ALL HAVING count(*) >= 10)",
+            "sm AS (" + " UNION ALL ".join(f"SELECT transect_id, seq, d, n, '{k}' AS method, list_transform(range(1, n + 1), lambda i: {v}) AS v FROM near" for k, v in _SMOOTH.items()) + ")",
+            "flat AS (SELECT transect_id, seq, method, unnest(v) AS v, unnest(d) AS d FROM sm)",
+            "side AS (SELECT *, lag(v) OVER o AS vm, lead(v) OVER o AS vp, d - lag(d) OVER o AS h0, lead(d) OVER o - d AS h1 FROM flat WINDOW o AS (PARTITION BY transect_id, seq, method ORDER BY d))",
+        ),
+        """SELECT transect_id, seq, method, max(abs(CASE WHEN h0 IS NULL THEN (vp - v) / h1 WHEN h1 IS NULL THEN (v - vm) / h0
+  ELSE (h0 * h0 * vp + (h1 * h1 - h0 * h0) * v - h1 * h1 * vm) / (h0 * h1 * (h0 + h1)) END)) AS max_abs_gradient FROM side GROUP BY ALL""",
+        "transect_id, seq, method", "max_abs_gradient",
+    ),
+)
 def _(s, d):
     return T.smoothing_methods(points(s, d), manual(s, d))
 

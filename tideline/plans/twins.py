@@ -263,6 +263,26 @@ def detected(*more: str, **levels) -> str:
     return classed(_detect(**levels) if levels else DETECT_SQL, *more)
 
 
+#: Detections of one method less than five metres from an anchor; the anchor moves on by
+#: as many rows as were merged.
+_MERGE = """found1 AS (
+  SELECT *, row_number() OVER (PARTITION BY transect_id ORDER BY distance, CASE detection_method WHEN 'inflection_point' THEN 0 WHEN 'rgb_foam_peak' THEN 1 ELSE 2 END, i) - 1 AS k FROM found0
+), jump AS (
+  SELECT a.transect_id, a.k, count(*) AS size, first(b.k ORDER BY b.confidence DESC, b.k) AS best FROM found1 a JOIN found1 b
+  ON a.transect_id = b.transect_id AND b.k >= a.k AND b.distance - a.distance < 5 AND a.detection_method = b.detection_method GROUP BY ALL
+), walk AS (
+  SELECT transect_id, k FROM found1 WHERE k = 0 UNION ALL SELECT w.transect_id, w.k + j.size FROM walk w JOIN jump j ON w.transect_id = j.transect_id AND w.k = j.k
+), found AS (
+  SELECT f.* EXCLUDE (k) FROM walk w JOIN jump j ON w.transect_id = j.transect_id AND w.k = j.k JOIN found1 f ON f.transect_id = j.transect_id AND f.k = j.best
+)"""
+
+
+def merged(*more: str) -> str:
+    """As ``detected``, with near detections merged before classes are looked up."""
+    detect = DETECT_SQL.replace("found AS (", "found0 AS (").replace("), known AS (", f"), {_MERGE}, known AS (")
+    return recursive(classed(detect, *more))
+
+
 def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 

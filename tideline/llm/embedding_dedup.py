@@ -20,8 +20,12 @@ counts and a spanning forest, never pairs.  Equal vectors of a label take part o
 with their number.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with
-a null id or label, link with nothing: n_links 0, component_id their own id.  Vectors of
-different length do not link.  Rows that repeat id and vector count as copies.
+a null label, link with nothing: n_links 0, component_id their own id.  Vectors of
+different length do not link.  Rows that repeat id and vector count as copies; rows that
+repeat an id under another label or with another vector are vectors of their own.  A row
+with a null id links like any other; component_id is the smallest id that is not null, or
+null.  Vectors of up to SHORT dimensions go to the boxes of a grid that can hold a link
+instead of to filters, which lose too many of their links; nothing is lost there.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected, forest, per_cells
+from .components import connected, forest, join_heavy, per_cells
 
 THRESHOLD = 0.93
 CODES, WORDS, PASSED, LEAST = 4, 128, 3.54, 3
@@ -43,6 +47,8 @@ CODES, WORDS, PASSED, LEAST = 4, 128, 3.54, 3
 #: a billion vectors on filters hold more vectors each, and are cut like any large one.
 MOST_WORDS = 1 << 14
 CELL = 2048
+#: Vectors of up to so many dimensions go to the boxes of a grid: caps part too many of them.
+SHORT = 8
 
 
 def code_size(n: int) -> int:
@@ -66,12 +72,29 @@ def codes(d: int, words: int):
     return out
 
 
-def decode(x: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def boxes(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box) for short vectors: all boxes of a grid that a vector comes within half the
+    greatest distance of linked vectors of.  Linked vectors share one: half-way between two
+    is near both."""
+    reach = np.sqrt(max(2 - 2 * threshold, 0.0)) * (1 + 1e-9)
+    width = max(1.0, reach)
+    row, name = np.arange(len(x)), np.zeros(len(x), np.int64)
+    low, high = (np.floor((x + s * reach / 2) / width).astype(np.int64) + 2 for s in (-1, 1))
+    for k in range(x.shape[1]):
+        two = np.flatnonzero(low[row, k] != high[row, k])
+        name, row = np.concatenate([name + (low[row, k] << 2 * k), name[two] + (high[row[two], k] << 2 * k)]), np.concatenate([row, row[two]])
+    order = np.lexsort((name, row))
+    return row[order], name[order]
+
+
+def decode(x: np.ndarray, words: int = WORDS, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all filters that the unit vectors ``x`` pass, by row and filter."""
-    if x.shape[1] < 2:
-        x = np.pad(x, ((0, 0), (0, 2 - x.shape[1])))
-    cap = NormalDist().inv_cdf(1 - PASSED / words**2) / np.sqrt(x.shape[1])
-    least, half, rows, names = LEAST + (words // WORDS).bit_length() - 1, x.shape[1] // 2, [], []
+    if x.shape[1] <= SHORT:
+        return boxes(x, threshold)
+    d = x.shape[1]
+    words = min(words, WORDS << max(0, (d - SHORT - 1) // 4))  # in few dimensions finer filters part linked vectors
+    cap = NormalDist().inv_cdf(1 - PASSED / words**2) / np.sqrt(d)
+    least, half, rows, names = LEAST + (words // WORDS).bit_length() - 1 + (3 if d <= 24 else 0), d // 2, [], []
     step = max(1, (1 << 21) // words)  # rows at a time, so that products stay small
     for k, (turn, left, right) in enumerate(codes(x.shape[1], words)):
         for start in range(0, len(x), step):
@@ -98,13 +121,13 @@ def _matrix(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filtered(words: int):
+def _filtered(words: int, threshold: float):
     def run(batches):
         for batch in batches:
             size = batch.column("d").to_numpy(zero_copy_only=False)
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
-                row, name = decode(_matrix(part.column("vec")), words)
+                row, name = decode(_matrix(part.column("vec")), words, threshold)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(name, pa.int32()))
                 out = part.append_column("filters", lists).take(pa.array(row))
@@ -116,7 +139,7 @@ def _filtered(words: int):
 def _compare(threshold: float):
     def run(t: pa.Table, cell: np.ndarray) -> pa.Table:
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-        rep, n, name = (t[c].to_numpy() for c in ("rep", "n", "filter"))
+        rep, n, name = (t[c].to_numpy() for c in ("node", "n", "filter"))
         chunk, ci, cj = (t[c].to_numpy() for c in ("chunk", "i", "j"))
         nodes, links, roots = [], [], []
         for a, b in zip(edge[:-1], edge[1:]):
@@ -168,44 +191,43 @@ def near_vectors(
     label_col: str = "label",
 ) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
+    label = F.col(label_col).cast("string")
+    name = F.sha2(F.concat_ws(":", F.length(label).cast("string"), label, F.col(vec_col).cast("string")), 256)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), label.alias("label"), name.alias("name"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce(
-        F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False)
-    )
+    usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
-    reps = C.stash(
-        good.groupBy("label", "vec").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors"
-    )
-    named = reps.select(F.xxhash64("label").alias("label"), F.size("vec").alias("d"), "rep", "n", "vec")
+    # equal vectors of a label are one node, with a number of its own: ids may repeat
+    first = F.min(F.struct("label", "vec"))
+    reps = good.groupBy("name").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), first.alias("f"))
+    reps = C.stash(reps.select("name", "least", "n", "f.label", "f.vec", F.monotonically_increasing_id().alias("node")), "vectors")
+    named = reps.select(F.md5("label").alias("label"), F.size("vec").alias("d"), "node", "n", "vec")
     kind = reps.schema["vec"].dataType.simpleString()
     filtered = named.mapInArrow(
-        _filtered(code_size(reps.count())), f"label long, d int, rep long, n long, vec {kind}, filters array<int>, filter int"
+        _filtered(code_size(reps.count()), threshold), f"label string, d int, node long, n long, vec {kind}, filters array<int>, filter int"
     )
     found = C.stash(
-        per_cells(filtered, ["label", "d", "filter"], "rep", CELL, _compare(threshold), "a long, links long, b long"),
+        per_cells(filtered, ["label", "d", "filter"], "node", CELL, _compare(threshold), "a long, links long, b long"),
         "near-vectors",
     )
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    roots = connected(found.select("a", "b"))
+    roots = C.stash(connected(found.select("a", "b")), "roots")
+    light = reps.select("name", "node", "least", "n")
+    of_node = roots.join(light, "node").groupBy("root").agg(F.min("least").alias("smallest"))
+    of_node = roots.join(of_node, "root").select("node", "smallest")
     classes = (
-        reps.join(links, F.col("rep") == F.col("a"), "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select(
-            "label",
-            "vec",
-            (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "rep").alias("component_id"),
-        )
+        light.join(links.withColumnRenamed("a", "node"), "node", "left")
+        .join(of_node, "node", "left")
+        .select("name", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     )
-    linked = good.join(classes, ["label", "vec"]).select("id", "n_links", "component_id")
-    alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+    linked = join_heavy(good.select("id", "name"), classes, "name", "n").select("id", "n_links", "component_id")
+    alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("id", id_col)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(C.table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 SQL = """

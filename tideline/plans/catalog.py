@@ -16,6 +16,7 @@ from ..operators import features as X
 from ..operators import geometry as G
 from ..operators import matching as M
 from ..operators import statistics as T
+from ..operators import synthetic as Y
 from ..operators.config import DEFAULT, THRESHOLD_SETS
 from ..sources import writers
 from . import fixture, twins
@@ -607,6 +608,47 @@ def _(s, d):
     return T.class_statistics(labelled(s, d)).withColumnsRenamed({"min": "lo", "max": "hi"})
 
 
+_MADE = (
+    "stats AS (SELECT CASE class WHEN 'VEGETATED_DUNES' THEN 'VEG_DUNES' ELSE class END AS class, feature, avg(value) AS mean, stddev_samp(value) AS std FROM long WHERE feature IN ('red', 'green', 'blue', 'nir') GROUP BY ALL)",
+    """drawn AS (
+  SELECT transect_id, zone_class, m, feature, mean + std * sqrt(-2 * ln((('0x' || substr(h, 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)) * cos(2 * pi() * ((('0x' || substr(h, 13, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)) AS v
+  FROM (SELECT transect_id, zone_class, m, feature, mean, std, md5('42:' || transect_id || ':' || feature || ':' || m) AS h
+    FROM (SELECT DISTINCT transect_id FROM points), (SELECT zone_class, unnest(range(a, b)) AS m FROM (VALUES ('VEG_DUNES', 0, 55), ('BEACH_DRY', 55, 105), ('BEACH_WET', 105, 120), ('WATER', 120, 300)) z(zone_class, a, b)) z
+    JOIN stats ON stats.class = z.zone_class)
+)""",
+    """even AS (
+  SELECT transect_id, zone_class, m, feature, least(greatest(sum(v) OVER (PARTITION BY transect_id, zone_class, feature ORDER BY m ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 0.0), 255.0) AS v FROM drawn
+)""",
+    """made AS (
+  SELECT transect_id, zone_class, m::DOUBLE AS distance, red, green, blue, nir - 20 * part AS nir, (red + green + blue + nir) / 4 - 15 * part AS brightness
+  FROM (SELECT *, CASE WHEN m >= 105 AND m < 115 THEN 0.5 * (1 + tanh((m - 105) / (4 / 2.5))) ELSE 0 END AS part FROM (
+    SELECT transect_id, zone_class, m, max(v) FILTER (feature = 'red') AS red, max(v) FILTER (feature = 'green') AS green, max(v) FILTER (feature = 'blue') AS blue, max(v) FILTER (feature = 'nir') AS nir FROM even GROUP BY ALL))
+)""",
+)
+
+
+def made(s, d):
+    stats = settle(T.class_statistics(labelled(s, d), list(X.BANDS)), "stats")
+    return Y.synthetic_spectra(points(s, d).select(KEY).distinct(), stats, shell=(20.0, 15.0, 4.0)), stats
+
+
+@query("synthetic_spectra", out(twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG, *_MADE), "SELECT * FROM made", "transect_id, distance, zone_class", "red green blue nir brightness"))
+def _(s, d):
+    return made(s, d)[0]
+
+
+@query(
+    "synthetic_comparison",
+    out(
+        twins.featured(fixture.ZONES_SQL, _IN_ZONE, _LONG, *_MADE, "ml AS (" + " UNION ALL ".join(f"SELECT zone_class, '{b}' AS band, {b} AS v FROM made" for b in X.BANDS) + ")"),
+        "SELECT zone_class, band, avg(v) AS made_mean, stddev_pop(v) AS made_std, any_value(mean) AS real_mean, any_value(std) AS real_std, (avg(v) - any_value(mean)) / nullif(any_value(std), 0) AS apart FROM ml JOIN stats ON class = zone_class AND feature = band GROUP BY ALL",
+        "zone_class, band", "made_mean made_std real_mean real_std apart",
+    ),
+)
+def _(s, d):
+    return Y.compare_spectra(*made(s, d))
+
+
 def _disc_sql() -> str:
     pick = ", ".join(f"max(CASE WHEN class = '{c}' THEN {x} END) AS {x}_{c}" for c in ("VEGETATED_DUNES", "BEACH_DRY", "BEACH_WET", "WATER") for x in ("n", "m", "v"))
     effects = ", ".join(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import settle
 from ..operators.projections import epsg
 from .tiff import BANDS_OUT, Tiff, TiffSource, by_ranges, held, opened
 
@@ -128,28 +129,40 @@ LOG = {
 
 
 def parse_log(lines: DataFrame, column: str = "value", order: str = "line_no") -> DataFrame:
-    """A row for each log line that says something, with the transect it belongs to: the
-    last one announced, carried forward over the file."""
+    """A row for each log line, with what it says and the transect it belongs to: the last
+    one announced, carried forward over the file.  Where lines have ``part`` (a stretch of the
+    file, ascending), stretches are gone over each for itself, and the last announcement of
+    each is handed on; so a long file is as many tasks as it has stretches."""
     v = F.col(column)
 
     def get(name: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(v, LOG[name], group), F.lit(""))
 
-    last = Window.partitionBy("file").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+    rows = rows if "part" in rows.columns else rows.withColumn("part", F.lit(0))
+    rows = rows.withColumn("_said", get("transect", 2).cast("long"))
+    ends = rows.where("_said is not null").groupBy("file", "part").agg(F.max_by("_said", order).alias("_last"))
+    parts = rows.groupBy("file", "part").count().join(ends, ["file", "part"], "left")
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    handed = parts.select("file", "part", F.last("_last", ignorenulls=True).over(before).alias("_handed"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_lines"))
+    last = Window.partitionBy("file", "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last("_said", ignorenulls=True).over(last)
     a, b = get("filtered", 1).cast("int"), get("filtered", 2).cast("int")
+    rows = rows.withColumns({"_own": own, "_place": F.count(F.lit(1)).over(last) - 1}).join(handed, ["file", "part"])
     return rows.select(
-        "file", F.col(order), F.last(get("transect", 2).cast("long"), ignorenulls=True).over(last).alias("transect_id"),
-        get("transect", 2).isNotNull().alias("starts"),
+        "file", (F.col("_lines") + F.col("_place")).alias(order), F.coalesce("_own", "_handed").alias("transect_id"), F.col("_said").isNotNull().alias("starts"),
         get("selected", 1).cast("double").alias("selected_at"), get("selected", 2).cast("double").alias("confidence"), get("mode", 1).alias("mode"),
         get("boundaries", 1).cast("int").alias("boundaries"), (a - b).alias("filtered"), get("rejected", 1).cast("double").alias("rejected_at"), get("rejected", 2).alias("reason"),
     )
 
 
 def read_log(spark: SparkSession, path) -> DataFrame:
-    """Lines in file order: the file's name and the position of the line in it."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("l"))
-    return parse_log(whole.select("file", F.posexplode("l").alias("line_no", "value")))
+    """Lines in file order: the file's name and the number of the line in it.  Files are read
+    in splits, each a stretch of lines, whose order is that of its rows."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line_no"), "value"
+    )
+    return parse_log(settle(lines, "log-lines"))
 
 
 def log_summary(parsed: DataFrame) -> DataFrame:

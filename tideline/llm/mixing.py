@@ -15,8 +15,9 @@ The earliest-deadline rule is run by ranges of slots: each range for itself, the
 blocks that wait at each range's start (at most one a source) from the sets so found, then
 each range again with those.  If X waits when a range of L slots starts, and D is what the
 range alone would send (an idle slot counts as the latest deadline of all), it sends the L
-earliest of D and X and hands on the rest, so the middle step is one merge a range.  The
-result is that of one run over all slots.
+earliest of D and X and hands on the rest.  Two ranges in a row act like one such range, so
+the middle step is a tree: FAN ranges are joined in a task, then FAN of those, and what
+waits is handed down again.  The result is that of one run over all slots.
 
 No document is dropped or repeated.  Ranks inside a source come from counts over (source,
 hash bucket), so a source with a third of all rows is many small windows, and each bucket
@@ -32,8 +33,7 @@ joined by key, as many as there are; the driver sees two counts.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,7 @@ from .components import heavy_keys
 BLOCK = 16
 ROWS_PER_BUCKET = 250_000
 SPAN = 8192  # slots of a range, at least
+FAN = 64  # ranges that one task joins
 EPS = 1e-6  # slots; more than the rounding errors of T, and windows only get narrower by it
 IDLE = (1 << 62, -1, -1)
 
@@ -106,27 +107,89 @@ def earliest_first(pdf: pd.DataFrame, start: int, stop: int) -> tuple[list[tuple
     return sent, ready
 
 
-def schedule(windows: DataFrame, sources: int, span: int = SPAN) -> DataFrame:
+def after(left: list[tuple], sent: list[tuple], waits: list[tuple]) -> list[tuple]:
+    """What waits after a stretch that alone sends ``sent`` (its latest ones are enough) and
+    leaves ``left``, if ``waits`` waited before it."""
+    return left + [x for x in heapq.nlargest(len(waits), waits + sent) if x != IDLE]
+
+
+def joined(parts: list[tuple[list, list]], keep: int) -> tuple[list[tuple], list[tuple]]:
+    """(left, the ``keep`` latest sent) of stretches one after the other, as of one stretch."""
+    left: list[tuple] = []
+    sent: list[tuple] = []
+    for own_left, own_sent in parts:
+        both = sorted(left + own_sent, reverse=True)
+        late, rest = both[: len(left)], both[len(left) :]
+        sent = heapq.nlargest(keep, sent + rest)
+        left = own_left + [x for x in late if x != IDLE]
+    return left, sent
+
+
+def _parts(pdf: pd.DataFrame) -> list[tuple[int, list, list]]:
+    """(node, left, sent) of all nodes, in order."""
+    rows = sorted(pdf[["node", "sent", "due", "sid", "k"]].itertuples(index=False, name=None))
+    out = []
+    for node, group in groupby(rows, key=lambda x: x[0]):
+        found: tuple[list, list] = [], []
+        for x in group:
+            found[bool(x[1])].append(x[2:])
+        out.append((node, *found))
+    return out
+
+
+def waiting_blocks(ends, nodes: int, sources: int, fan: int) -> DataFrame:
+    """(node, due, sid, k) of the blocks that wait at each range's start.  ``ends(keep)`` has
+    what each range alone leaves and the latest it sends.  Up a tree, ``fan`` stretches at a
+    time are joined into one; down again, each is told what waits before it: no task sees
+    more than ``fan`` stretches, and no stretch is more than a few blocks a source."""
+    depth = 0
+    while fan ** (depth + 1) < nodes:
+        depth += 1
+    # a stretch below hands up the latest blocks that those above may ask for
+    levels = [C.stash(ends((depth + 2) * sources), "range-ends")]
+    kinds = "node long, sent boolean, due long, sid long, k long"
+    for level in range(1, depth + 1):
+        keep = (depth + 2 - level) * sources
+
+        def up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            left, sent = joined([x[1:] for x in _parts(pdf)], keep)  # written below, while ``keep`` is this
+            rows = [(key[0], True, *x) for x in sent] + [(key[0], False, *x) for x in left]
+            return pd.DataFrame(rows, columns=["node", "sent", "due", "sid", "k"])
+
+        above = levels[-1].groupBy(F.floor(F.col("node") / fan).alias("up")).applyInPandas(up, kinds)
+        levels.append(C.stash(above, "range-ends"))
+
+    def down(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        waits, rows = list(before[["due", "sid", "k"]].itertuples(index=False, name=None)), []
+        for node, left, sent in _parts(pdf):
+            rows += [(node, *x) for x in waits]
+            waits = after(left, sent, waits)
+        return pd.DataFrame(rows, columns=["node", "due", "sid", "k"])
+
+    waits = None
+    for level in reversed(levels):
+        if waits is None:
+            waits = level.sparkSession.createDataFrame([], "node long, due long, sid long, k long")
+        under = level.groupBy(F.floor(F.col("node") / fan).alias("up"))
+        waits = under.cogroup(waits.groupBy("node")).applyInPandas(down, "node long, due long, sid long, k long")
+        waits = C.stash(waits, "waiting") if level is not levels[0] else waits
+    return waits
+
+
+def schedule(windows: DataFrame, sources: int, span: int = SPAN, fan: int | None = None) -> DataFrame:
     """(sid, k, slot) of every block: earliest deadline first, run by ranges of slots."""
     n = max(span, 8 * sources)
+    fan = fan or max(2, min(FAN, (1 << 18) // max(sources, 1)))  # with many sources, as large as a range is
     blocks = C.stash(windows.withColumn("range", F.floor(F.col("rel") / n)), "blocks")
+    nodes = blocks.agg(F.coalesce(F.max("range") + 1, F.lit(0))).first()[0]
+
+    def ends(keep: int) -> DataFrame:
+        def alone(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            sent, left = earliest_first(pdf, key[0] * n, (key[0] + 1) * n)
+            rows = [(key[0], True, *x) for x in heapq.nlargest(keep, sent)] + [(key[0], False, *x) for x in left]
+            return pd.DataFrame(rows, columns=["node", "sent", "due", "sid", "k"])
 
-    def alone(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sent, left = earliest_first(pdf, key[0] * n, (key[0] + 1) * n)
-        rows = [(key[0], True, *x) for x in heapq.nlargest(sources, sent)] + [(key[0], False, *x) for x in left]
-        return pd.DataFrame(rows, columns=["range", "sent", "due", "sid", "k"])
-
-    def hand_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[tuple] = []
-        rows = chain.from_iterable(b.itertuples(index=False, name=None) for b in batches)
-        for r, group in groupby(rows, key=lambda x: x[0]):
-            if waiting:
-                yield pd.DataFrame([(r, r * n, *x) for x in waiting], columns=["range", "rel", "due", "sid", "k"])
-            sent, left = [], []
-            for x in group:
-                (sent if x[1] else left).append(x[2:])
-            kept = heapq.nlargest(len(waiting), waiting + sent)
-            waiting = left + [x for x in kept if x != IDLE]
+        return blocks.groupBy("range").applyInPandas(alone, "node long, sent boolean, due long, sid long, k long")
 
     def placed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         start = key[0] * n
@@ -134,8 +197,7 @@ def schedule(windows: DataFrame, sources: int, span: int = SPAN) -> DataFrame:
         rows = [(x[1], x[2], start + t) for t, x in enumerate(sent) if x != IDLE]
         return pd.DataFrame(rows, columns=["sid", "k", "slot"])
 
-    ends = blocks.groupBy("range").applyInPandas(alone, "range long, sent boolean, due long, sid long, k long")
-    waiting = ends.repartition(1).sortWithinPartitions("range").mapInPandas(hand_on, "range long, rel long, due long, sid long, k long")
+    waiting = waiting_blocks(ends, nodes, sources, fan).select(F.col("node").alias("range"), (F.col("node") * n).alias("rel"), "due", "sid", "k")
     return blocks.unionByName(waiting).groupBy("range").applyInPandas(placed, "sid long, k long, slot long")
 
 

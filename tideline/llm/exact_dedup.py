@@ -59,7 +59,8 @@ def sha256(text: Column) -> Column:
 
 def absorb(root: str, schema, spark: SparkSession, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Run the arrivals under ``root`` that the state there has not seen yet through it; per
-    digest: keeper (id, locator), copies."""
+    digest among them: keeper (id, locator), copies.  Of the changes that the state wrote,
+    those of this run alone are read: each arrival changes its digest's."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True)
 
     def sums(rows: DataFrame) -> DataFrame:
@@ -67,6 +68,8 @@ def absorb(root: str, schema, spark: SparkSession, files_per_batch: int = FILES_
 
     state = sums(stream.parquet(f"{root}/arrivals"))
     sums(spark.createDataFrame([], schema)).write.mode("overwrite").parquet(f"{root}/changes/epoch=-1")
+    before_run = spark.read.parquet(f"{root}/changes").agg(F.max("epoch")).first()[0]
+    before_run = -1 if before_run is None else before_run
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/changes/epoch={epoch}")
@@ -92,6 +95,7 @@ def absorb(root: str, schema, spark: SparkSession, files_per_batch: int = FILES_
     # both values only ever grow, so the latest change of a digest is the largest
     return (
         spark.read.parquet(f"{root}/changes")
+        .where(F.col("epoch") > before_run)
         .groupBy("digest")
         .agg(F.max("keeper").alias("keeper"), F.max("copies").alias("copies"))
     )

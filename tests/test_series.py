@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import series as S
-from tideline.functions.peaks import find_peaks
+from tideline.functions.peaks import peaks
 
 
 def frame(spark, values, distances=None):
@@ -58,12 +58,56 @@ def test_gradient_of_a_line_is_constant(spark):
     assert np.allclose(got, 3)
 
 
-def test_peaks():
-    assert find_peaks([0, 5, 5, 5, 0], 1).tolist() == [2]
-    assert find_peaks([5, 4, 3, 4, 5], 1).tolist() == []
-    assert find_peaks([0, 9, 7, 8, 0], 2).tolist() == [1]
-    assert find_peaks([0, 9, 0, 0, 4, 4, 4, 4, 0], 3, 3.0).tolist() == [5]
-    assert find_peaks([1, 2], 0).tolist() == []
+def brute_peaks(x, prominence, width=None):
+    """Every run by scanning outwards from it."""
+    out, s = [], 0
+    while s < len(x):
+        e = s
+        while e + 1 < len(x) and x[e + 1] == x[s]:
+            e += 1
+        if 0 < s and e < len(x) - 1 and x[s - 1] < x[s] > x[e + 1]:
+            sides = []
+            for step, at in ((-1, s), (1, e)):
+                low, k = x[s], at
+                while 0 <= k < len(x) and x[k] <= x[s]:
+                    low, k = min(low, x[k]), k + step
+                sides.append(low)
+            prom, p = x[s] - max(sides), (s + e) // 2
+            if prom >= prominence:
+                h, ends = x[s] - prom / 2, []
+                for step in (-1, 1):
+                    k = p
+                    while x[k] > h:
+                        k += step
+                    ends.append(k - step * ((h - x[k]) / (x[k - step] - x[k]) if x[k] < h else 0.0))
+                if width is None or ends[1] - ends[0] >= width:
+                    out.append(p)
+        s = e + 1
+    return out
+
+
+def found_peaks(spark, series, prominence, width=None):
+    df = spark.createDataFrame([(k, [None if v is None else float(v) for v in x]) for k, x in enumerate(series)], "k long, x array<double>")
+    got = dict(tuple(r) for r in df.select("k", peaks(F.col("x"), prominence, width)).collect())
+    return [got[k] for k in range(len(series))]
+
+
+def test_peaks(spark):
+    assert found_peaks(spark, [[0, 5, 5, 5, 0], [5, 4, 3, 4, 5], [1, 2], [], [3], [2, 2, 2]], 1) == [[2], [], [], [], [], []]
+    assert found_peaks(spark, [[0, 9, 7, 8, 0]], 2) == [[1]]
+    assert found_peaks(spark, [[0, 9, 0, 0, 4, 4, 4, 4, 0]], 3, 3.0) == [[5]]
+    # a null is no peak and its neighbours border on nothing; beyond it the series goes on
+    assert found_peaks(spark, [[0, 5, None, 5, 0], [0, None, 1, 9, 1], [None, None]], 1) == [[], [3], []]
+
+
+@pytest.mark.parametrize("prominence,width", [(0.5, None), (3, None), (2, 2.5), (1, 3.0), (0, 1.0)])
+def test_peaks_brute_force(spark, prominence, width):
+    rng = np.random.default_rng(17)
+    series = [rng.integers(0, top, n).tolist() for n in (2, 5, 9, 40, 160) for top in (2, 4, 12, 250)]
+    series += [np.cumsum(rng.normal(0, 1, 150)).tolist() for _ in range(6)] + [list(range(60, 0, -1)), list(range(60))]
+    want = [brute_peaks([float(v) for v in x], prominence, width) for x in series]
+    assert found_peaks(spark, series, prominence, width) == want
+    assert any(want)
 
 
 def test_runs(spark):

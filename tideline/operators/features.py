@@ -1,19 +1,17 @@
 """Signal features of every sample: one exchange on the transect, then window layers.
 
 Each layer holds windows of the same partitioning and order, so Spark plans a single
-exchange and sort for all of them; only the two peak features leave the JVM, as Arrow
-batches of whole transects.
+exchange and sort for all of them; the two peak features are folds over a transect's
+values as arrays.  Nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as S
-from ..functions.peaks import find_peaks
+from ..functions.peaks import peaks
 from .config import DEFAULT, Config
 
 EPS = S.EPS
@@ -104,24 +102,22 @@ PEAKS = ("has_oscillations", "has_rgb_foam_peak")
 
 
 def peak_features(df: DataFrame, config: Config = DEFAULT, key: str = "transect_id") -> DataFrame:
-    """Adds has_oscillations and has_rgb_foam_peak; a transect is one Arrow group, of which
-    three columns are looked at and the others handed through."""
-
-    def mark(t: pa.Table) -> pa.Table:
-        t = t.sort_by("distance")
-        osc, foam = np.zeros(t.num_rows, bool), np.zeros(t.num_rows, bool)
-        for p in find_peaks(t["brightness"].to_numpy(), config.oscillation_prominence):
-            osc[max(0, p - 3) : p + 3] = True
-        foam[find_peaks(t["rgb7"].to_numpy(), config.foam_prominence, config.foam_width)] = True
-        return t.append_column(PEAKS[0], pa.array(osc)).append_column(PEAKS[1], pa.array(foam))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(key).applyInArrow(mark, f"{fields}, {PEAKS[0]} boolean, {PEAKS[1]} boolean")
+    """Adds has_oscillations and has_rgb_foam_peak.  A transect's rows are gathered in the
+    partitioning of the windows, its peaks are folds over two of their columns, and the rows
+    are laid out again."""
+    rest = [c for c in df.columns if c not in (key, "i")]
+    series = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", *rest))).alias("_s"))
+    osc = peaks(F.transform("_s", lambda s: s["brightness"]), config.oscillation_prominence)
+    foam = peaks(F.transform("_s", lambda s: s["rgb7"]), config.foam_prominence, config.foam_width)
+    near = F.flatten(F.transform(osc, lambda p: F.sequence(p - 3, p + 2)))
+    rows = series.select(key, "_s", near.alias("_osc"), foam.alias("_foam")).select(key, F.explode("_s").alias("_r"), "_osc", "_foam")
+    flags = [F.array_contains(a, F.col("_r.i").cast("int")).alias(c) for c, a in zip(PEAKS, ("_osc", "_foam"))]
+    return rows.select(*[key if c == key else F.col(f"_r.`{c}`") for c in df.columns], *flags)
 
 
 def compute_features(samples: DataFrame, config: Config = DEFAULT, peaks: bool = True) -> DataFrame:
     """The 31 features beside the input columns (and i, n).  Without ``peaks`` the two of
-    them are left out, and nothing leaves the JVM."""
+    them are left out, and no rows are gathered."""
     df = window_features(samples)
     names = FEATURES if peaks else [c for c in FEATURES if c not in PEAKS]
     kept = [*samples.columns, *[c for c in ("i", "n") if c not in samples.columns]]

@@ -2,13 +2,16 @@
 
 Base rules find e-mail addresses, IP addresses, payment cards and phone numbers; these
 spans always stay.  Candidates for more are matches of the base patterns that fail the
-rule's check, and wider patterns: spelled-out addresses, national and 00- phone formats,
-fifteen-digit and dotted cards, IPv6.  Four labelers vote yes, no or nothing on each
-candidate, base spans included:
+rule's check, and whatever is broadly of a kind's shape, true or not: words around an
+at-token and dots, spelled out or not; groups of 7 to 15 (phone) or 13 to 19 (card) digits
+with any separators; hexadecimal groups with colons.  Longer numbers are of no kind.
+Candidates that touch a base span are left out.  Five labelers vote yes, no or nothing on
+each candidate, base spans included:
 
 * regex: yes to a base span, no to a match that fails its check, nothing on other forms;
 * gazetteer: top-level domains, calling and area codes, issuer prefixes and check digits,
   reserved address ranges;
+* form: layouts usual for the kind, or usual for something else (dates, thousands, years);
 * context: words before it that announce the kind, or that announce something else;
 * edges: what touches it on both sides.
 
@@ -18,8 +21,9 @@ over that table estimates the share of true candidates of each kind among usual
 forms, and how often each labeler says yes, no or nothing to true and to false ones.  It
 starts from, and where votes are few stays near, ``BELIEF``; a failed check is never taken
 for something that often happens to true ones.  The posteriors then train the final span
-classifier, a naive Bayes over span features.  Candidates that it gives ``ADD`` or more,
-and that touch no span already taken, are added: wide forms first, then failed checks.
+classifier, a naive Bayes over span features.  Candidates that it gives ``ADD`` or more
+are added; where they overlap, the one that starts first, then the longer, then the first
+kind.  Spans of a text are sorted and swept, in little more than linear work.
 
 Offsets are code points, end exclusive.  Null text counts as empty and has no spans.
 Text of any length is read whole.  Repeated rows get equal results; a null id is carried
@@ -47,19 +51,28 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What may be personal data beyond the base rules.
+#: Spelled-out signs in the languages of the corpus; fixed values.
+AT, DOT = "at|arroba|arobase", "dot|punto|point|punkt"
+AT_SIGN = rf"(?: ?[\[({{<](?i:{AT}|@)[\])}}>] ?| (?i:{AT}) | ?@ ?)"
+DOT_SIGN = rf"(?: ?[\[({{<](?i:{DOT}|\.)[\])}}>] ?| (?i:{DOT}) )"
+#: What may be personal data beyond the base rules.  Again no stretch is tried twice over.
+NUMBER = r"(?<![0-9A-Za-z+.,:/=#_-])(?=(?:[0-9(][ ()./-]{0,3}){6}[0-9])\(?[0-9]++(?:(?: [/-] |\)[ /-]{0,2}|[ /-]?\(|[ ./-])[0-9]++)*+(?![0-9A-Za-z])"
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:\[at\]|\(at\)|\{at\}) ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot |\.)[A-Za-z0-9-]{1,63}+){1,4}+",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?:[0-9]{4}\.[0-9]{4}\.[0-9]{4}\.[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){3,5}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])(?<!{DOT_SIGN})[A-Za-z0-9._%+-]++(?:{DOT_SIGN}[A-Za-z0-9._%+-]++)*+{AT_SIGN}[A-Za-z0-9-]++(?:(?:{DOT_SIGN}|\.)[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}+)?(?:::?[0-9A-Fa-f]{1,4}+){2,}+(?:::)?(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}+::[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
+    "card": NUMBER,
+    "phone": NUMBER,
 }
+#: How many digits a wide number has, by kind.
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
+#: Numbers that are no wider form: a card of the base rule, checked there; a bare number.
+NOT_WIDE = {"card": r"^(?:[0-9][ -]?){15,18}[0-9]$", "phone": r"^[1-9][0-9]*$"}
 #: A text without this holds no match of the kind (base, wide).
 NEEDS = {
-    "email": ("@", r"[\[({]at[\])}]| at [A-Za-z0-9-]+(?:\.| dot )"),
-    "ip": (r"[0-9]\.[0-9]", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-    "card": ("[0-9](?:[ -]?[0-9]){15}", r"[0-9]{4}\.[0-9]{4}\.|3[47][0-9]{2}[ -]?[0-9]{6}"),
-    "phone": (r"\+[0-9]", "00[1-9]|[0-9]{3}[ .-][0-9]{4}"),
+    "email": ("@", rf"{AT_SIGN}[A-Za-z0-9-]+(?:{DOT_SIGN}|\.)[A-Za-z0-9-]"),
+    "ip": (r"[0-9]\.[0-9]", "[0-9A-Fa-f:]:[0-9A-Fa-f]{1,4}:|[0-9A-Fa-f]::[0-9A-Fa-f]"),
+    "card": ("[0-9](?:[ -]?[0-9]){15}", "[0-9][0-9 ()./-]{11,}[0-9]"),
+    "phone": (r"\+[0-9]", "[0-9][0-9 ()./-]{5,}[0-9]"),
 }
 #: Gazetteers and context words: fixed values.  A two-letter domain counts as a country's.
 TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|name|pro|io|app|dev|cloud|online|site|shop|blog|email|tech|xyz|[a-z]{2}"
@@ -67,7 +80,19 @@ NOT_DOMAIN = "htm|html|php|jpg|png|gif|pdf|txt|doc|zip|exe|py|js|css|matrix"
 CALLING = (
     r"(?:\+|00)(?:1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])"
 )
-ISSUER = r"(?:4|5[0-9]|2[2-7]|3[4-8]|6)"
+#: First digits by the number of digits, and layouts.
+ISSUER = r"^(?:3[47][0-9]{13}|3[068][0-9]{12}|4[0-9]{12}|(?:4|5[0-9]|2[2-7]|3[4-8]|6)[0-9]{14,17})$"
+CARD_FORM = r"^(?:[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}|[0-9]{4}([ ./-])[0-9]{6}\2[0-9]{4,5})$"
+AREA = r"^\(?[2-9][0-9]{2}\)?[ ./-]*[2-9][0-9]{2}[ ./-]?[0-9]{4}$"
+TRUNK = r"^\(?0[1-9]"
+PHONE_FORM = r"^(?:\+|00|\([0-9]{2,5}\)|0[0-9]{2,4}[ /-])"
+NOT_PHONE = (
+    r"^[0-3]?[0-9]([./ -])[01]?[0-9]\1(?:[0-9]{2}|[12][0-9]{3})$|^[12][0-9]{3}([./ -])[01]?[0-9]\2[0-3]?[0-9](?:$|[ ].*)|^(?:1[5-9]|20)[0-9]{2}(?: ?[/-] ?| )(?:1[5-9]|20)[0-9]{2}"
+    r"|^[1-9][0-9]{0,2}(?:[. ][0-9]{3})+$|^[0-9]+\.[0-9]+$|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|^97[89]"
+)
+IPV6 = r"(?i)^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$|^(?!.*::.*::)(?=(?:[^:]*:){2,7}[^:]*$)[0-9a-f:]*::[0-9a-f:]*$"
+#: Words that stand before "at" in plain prose.
+PROSE = r"(?i)^(?:look(?:s|ed|ing)?|meet|met|arriv(?:e|ed|es|ing)|stay(?:s|ed|ing)?|is|are|was|were|be|not|it|him|her|me|us|them|available|found|hosted|live|online|there|here|site|page|today|more|us) at "
 RESERVED = r"^(?:0|10|127|22[4-9]|2[3-5][0-9])\.|^192\.168\.|^169\.254\.|^(?:0+:){7}"
 WORDS_BEFORE = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|address|correo|courriel|adresse|schreib|escrib)[^\n]{0,24}$",
@@ -75,9 +100,10 @@ WORDS_BEFORE = {
     "card": r"(?i)(?:card|visa|master|amex|credit|debit|payment|paid|carte|tarjeta|karte)[^\n]{0,24}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|dial|ring|text|sms|telefon|appel|llam|anruf|handy)[^\n]{0,24}$",
 }
-OTHER_BEFORE = r"(?i)(?:isbn|issn|doi|order|invoice|version|release|serial|sku|part|build|ticket|ref|item|model|case|batch|page|tracking|account no|pedido|commande|bestell|looked|meet|arrived|stay)[^\n]{0,14}$"
+OTHER_BEFORE = r"(?i)(?:isbn|issn|doi|order|invoice|version|release|serial|sku|part|build|ticket|ref|item|model|case|batch|page|tracking|account no|pedido|commande|bestell|looked|meet|arrived|stay|date|dated|since|between|year|isin|vat|total|sum|price)[^\n]{0,14}$"
 
 
+SPOT = "array<struct<start:bigint,end:bigint,group:int,v_regex:int,v_gazetteer:int,v_form:int,v_context:int,v_edges:int,shape:int>>"
 SPAN, STRETCH = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>", 256
 
 
@@ -105,19 +131,65 @@ def find(text: Column, pattern: str, need: str) -> Column:
     )
 
     def all_of(v: Column) -> Column:
-        """Appends in stretches of ``STRETCH`` and joins those, so that a text with very many
-        matches costs little more than its length."""
+        return fold(v, F.lit(0), SPAN, step)
 
-        def stretch(state: Column, first: Column) -> Column:
-            begin = F.struct(state["at"].alias("at"), none.alias("found"))
-            part = F.aggregate(F.slice(v, first, F.lit(STRETCH)), begin, step)
-            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(state["parts"], F.array(p["found"])).alias("parts")))
+    return F.when(text.rlike(need), let(pairs, all_of)).otherwise(none)
 
-        empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
-        parts = F.aggregate(F.sequence(F.lit(1), F.size(v), F.lit(STRETCH)), empty, stretch, lambda s: F.flatten(s["parts"]))
-        return F.when(F.size(v) > 0, parts).otherwise(none)
 
-    return F.when(text.rlike(need), let(pairs, all_of)).otherwise(none)
+def fold(v: Column, begin: Column, kind: str, step) -> Column:
+    """What ``step(state, element)`` gathers in state ``found`` (of type ``kind``), carrying the
+    whole number ``at``.  It appends in stretches of ``STRETCH`` and joins those, so that an
+    array of very many elements costs little more than its length."""
+    none = F.array().cast(kind)
+
+    def stretch(state: Column, first: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), none.alias("found"))
+        part = F.aggregate(F.slice(v, first, F.lit(STRETCH)), start, step)
+        return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(state["parts"], F.array(p["found"])).alias("parts")))
+
+    empty = F.struct(begin.cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("parts"))
+    parts = F.aggregate(F.sequence(F.lit(1), F.size(v), F.lit(STRETCH)), empty, stretch, lambda s: F.flatten(s["parts"]))
+    return F.when(F.size(v) > 0, parts).otherwise(none)
+
+
+def sweep(v: Column, begin: int, passes, after) -> Column:
+    """The elements c with ``passes(at, c)``, where each makes ``at`` ``after(at, c)``."""
+
+    def step(state: Column, c: Column) -> Column:
+        ok, at, found = passes(state["at"], c), state["at"], state["found"]
+        return F.struct(F.when(ok, after(at, c)).otherwise(at).alias("at"), F.when(ok, F.concat(found, F.array(c))).otherwise(found).alias("found"))
+
+    return let(v, lambda w: fold(w, F.lit(begin), SPOT, step))
+
+
+def basic(c: Column) -> Column:
+    return c["v_regex"] == 1
+
+
+def in_line(spots: Column) -> Column:
+    """Sorted by start; base spans first, then the longer ones."""
+    keyed = F.transform(spots, lambda c: F.struct(c["start"].alias("at"), (~basic(c)).alias("more"), (-c["end"]).alias("far"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda x: x["c"])
+
+
+def clear_of_base(spots: Column) -> Column:
+    """The candidates among ``spots`` that overlap no base span, sorted."""
+
+    def before(at: Column, c: Column) -> Column:
+        return basic(c) | (c["end"] <= at)
+
+    def behind(at: Column, c: Column) -> Column:
+        return basic(c) | (c["start"] >= at)
+
+    # from the right: at is where the next base span starts; from the left: where the last one ended
+    left = sweep(F.reverse(in_line(spots)), (1 << 62), before, lambda at, c: F.when(basic(c), F.least(at, c["start"])).otherwise(at))
+    both = sweep(F.reverse(left), 0, behind, lambda at, c: F.when(basic(c), F.greatest(at, c["end"])).otherwise(at))
+    return F.filter(both, lambda c: ~basic(c))
+
+
+def apart(spots: Column) -> Column:
+    """From left to right, those that overlap none taken before."""
+    return sweep(in_line(spots), 0, lambda at, c: c["start"] >= at, lambda at, c: c["end"])
 
 
 def let(value: Column, body) -> Column:
@@ -153,30 +225,43 @@ def valid(kind: str, hit: Column) -> Column:
 
 def gazetteer(kind: str, hit: Column) -> Column:
     d = digits(hit)
-    area = r"^\(?[2-9][0-9]{2}\)?[ .-]+[2-9][0-9]{2}[ .-]"
+    card = F.when(d.rlike(ISSUER), luhn(d)).otherwise(False)
     known = {
-        "email": hit.rlike(rf"(?i)(?:\.|dot ?[\])}}]? ?)(?:{TOP_LEVEL})$"),
+        "email": hit.rlike(rf"(?i)(?:\.|(?:{DOT})[\])}}>]? ?)(?:{TOP_LEVEL})$"),
         "ip": hit.contains(":") & hit.rlike(r"(?i)^(?:[23][0-9a-f]{3}|f[cde][0-9a-f]{2}):") | ~hit.contains(":"),
-        "card": d.rlike(f"^{ISSUER}") & luhn(d),
-        "phone": hit.rlike(rf"^{CALLING}") | hit.rlike(area),
+        "card": card,
+        "phone": hit.rlike(rf"^{CALLING}") | hit.rlike(AREA) | hit.rlike(TRUNK) & F.length(d).between(9, 12),
     }[kind]
     strange = {
-        "email": hit.rlike(rf"(?i)(?:^[.])|(?:\.|dot ?[\])}}]? ?)(?:{NOT_DOMAIN})$"),
-        "ip": hit.rlike(RESERVED),
-        "card": ~(d.rlike(f"^{ISSUER}") & luhn(d)),
-        "phone": hit.rlike(r"^\(?[01][0-9]{2}\)?[ .-]|^[2-9][0-9]{2}[ .-][01][0-9]{2}[ .-]|^00"),
+        "email": hit.rlike(rf"(?i)^[.]|(?:\.|(?:{DOT})[\])}}>]? ?)(?:{NOT_DOMAIN}|[0-9-]+)$"),
+        "ip": hit.rlike(RESERVED) | hit.rlike(r"^[0-9]{1,2}:[0-9]{2}:[0-9]{2}$"),
+        "card": ~card,
+        "phone": hit.rlike(r"^\(?1[0-9]{2}\)?[ .-]|^[2-9][0-9]{2}[ .-][01][0-9]{2}[ .-][0-9]{4}$|^00"),
     }[kind]
     return F.when(known, 1).when(strange, 0).otherwise(-1) if kind in ("card", "phone") else F.when(strange, 0).when(known, 1).otherwise(-1)
 
 
-VOTES = ("v_regex", "v_gazetteer", "v_context", "v_edges")
-FEATURES = ("shape", "v_gazetteer", "v_context", "v_edges")
+def layout(kind: str, hit: Column) -> Column:
+    """Vote of the form alone."""
+    usual = {
+        "email": hit.rlike(rf"@|[\[({{<](?i:{AT})[\])}}>]|(?i:{DOT})[\])}}> ]| AT "),
+        "ip": ~hit.contains(":") | hit.rlike(IPV6),
+        "card": hit.rlike(CARD_FORM),
+        "phone": hit.rlike(PHONE_FORM),
+    }[kind]
+    unusual = {"email": hit.rlike(PROSE), "ip": ~hit.rlike(IPV6), "card": ~hit.rlike(rf"{CARD_FORM}|^[0-9]+$"), "phone": hit.rlike(NOT_PHONE)}[kind]
+    return F.when(unusual, 0).when(usual, 1).otherwise(-1) if kind != "ip" else F.when(usual, 1).otherwise(0)
+
+
+VOTES = ("v_regex", "v_gazetteer", "v_form", "v_context", "v_edges")
+FEATURES = ("shape", "v_gazetteer", "v_form", "v_context", "v_edges")
 #: What a candidate is: a match that fails its check, a base span, a wider form.
 FAILED, BASIC, WIDER = 0, 1, 2
 #: Chances of (yes, no) from a labeler on true and on false candidates to start with.
 BELIEF = {
     "v_regex": ((0.70, 0.005), (0.02, 0.50)),
     "v_gazetteer": ((0.70, 0.05), (0.35, 0.35)),
+    "v_form": ((0.70, 0.02), (0.15, 0.40)),
     "v_context": ((0.30, 0.02), (0.06, 0.35)),
     "v_edges": ((0.95, 0.05), (0.70, 0.30)),
 }
@@ -196,6 +281,7 @@ def describe(kind: str, c: Column, form: int) -> Column:
         F.lit(2 * KINDS.index(kind) + (form == WIDER)).alias("group"),
         F.lit({FAILED: 0, BASIC: 1, WIDER: -1}[form]).alias("v_regex"),
         gazetteer(kind, hit).alias("v_gazetteer"),
+        layout(kind, hit).alias("v_form"),
         context.alias("v_context"),
         F.when(touched, 0).otherwise(1).alias("v_edges"),
         F.lit(3 * KINDS.index(kind) + form).alias("shape"),
@@ -207,21 +293,42 @@ def of_kind(f, kind: str, field: str | None, *more):
     return lambda c: f(kind, c[field] if field else c, *more)
 
 
+def of_number(kind: str, hit: Column) -> Column:
+    return F.length(digits(hit)).between(*DIGITS[kind]) & ~hit.rlike(NOT_WIDE[kind])
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and, for each kind, base spans, matches that fail the base rule, and wider forms."""
+    """id and, for each kind, base spans, matches that fail the base rule, and wider forms;
+    of the last two those that overlap no base span."""
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    numbers = find(F.col("text"), NUMBER, NEEDS["phone"][1])
     out = out.select(
         "id",
         *[find(F.col("text"), BASE[k], NEEDS[k][0]).alias(f"base_{k}") for k in KINDS],
-        *[find(F.col("text"), WIDE[k], NEEDS[k][1]).alias(f"wide_{k}") for k in KINDS],
+        *[find(F.col("text"), WIDE[k], NEEDS[k][1]).alias(f"wide_{k}") for k in KINDS if k not in DIGITS],
+        numbers.alias("numbers"),
     )
     described = {}
     for k in KINDS:
         fails = F.filter(f"base_{k}", of_kind(lambda kind, hit: ~valid(kind, hit) & (F.length(digits(hit)) < 20), k, "hit"))
+        wide = F.filter("numbers", of_kind(of_number, k, "hit")) if k in DIGITS else F.col(f"wide_{k}")
         described[f"base_{k}"] = F.transform(F.filter(f"base_{k}", of_kind(valid, k, "hit")), of_kind(describe, k, None, BASIC))
         described[f"fail_{k}"] = F.transform(fails, of_kind(describe, k, None, FAILED))
-        described[f"wide_{k}"] = F.transform(f"wide_{k}", of_kind(describe, k, None, WIDER))
-    return out.select("id", *[v.alias(c) for c, v in described.items()])
+        described[f"wide_{k}"] = F.transform(wide, of_kind(describe, k, None, WIDER))
+    out = out.select("id", *[v.alias(c) for c, v in described.items()])
+    more = F.concat(*[F.col(f"{a}_{k}") for a in ("fail", "wide") for k in KINDS])
+    base = F.concat(*[F.col(f"base_{k}") for k in KINDS])
+    free = F.when((F.size(more) > 0) & (F.size(base) > 0), clear_of_base(F.concat(base, more))).otherwise(more)
+    out = out.select("id", *[f"base_{k}" for k in KINDS], free.alias("more"))
+
+    def of_shape(shape: int) -> Column:
+        return F.filter("more", lambda c: c["shape"] == shape)
+
+    return out.select(
+        "id",
+        *[f"base_{k}" for k in KINDS],
+        *[of_shape(3 * i + form).alias(f"{a}_{k}") for a, form in (("fail", FAILED), ("wide", WIDER)) for i, k in enumerate(KINDS)],
+    )
 
 
 def patterns(found: DataFrame) -> DataFrame:
@@ -318,19 +425,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def good(c: Column) -> Column:
         return probability(model, c) >= ADD
 
-    out = found.select(
-        "id", *[F.transform(f"base_{k}", span).alias(f"base_{k}") for k in KINDS], *[F.transform(F.filter(f"{a}_{k}", good), span).alias(f"{a}_{k}") for a in ("wide", "fail") for k in KINDS]
-    )
-    taken = F.concat(*[F.col(f"base_{k}") for k in KINDS])
-    for a in ("wide", "fail"):
-        for k in KINDS:
-            free = F.filter(f"{a}_{k}", lambda c: ~F.exists("taken", lambda t: (c["start"] < t["end"]) & (t["start"] < c["end"])))
-            out = out.withColumn("taken", taken).withColumn(f"{a}_{k}", free)
-            taken = F.concat("taken", f"{a}_{k}")
+    more = F.filter(F.concat(*[F.col(f"{a}_{k}") for a in ("fail", "wide") for k in KINDS]), good)
+    taken = F.when(F.size("more") > 0, apart(F.col("more"))).otherwise(F.col("more"))
+    out = found.select("id", *[f"base_{k}" for k in KINDS], more.alias("more")).withColumn("more", taken)
+
+    def of_this(kind: str, c: Column) -> Column:
+        return F.floor(c["shape"] / 3) == KINDS.index(kind)
+
     return out.select(
         F.col("id").alias(id_col),
-        *[f"base_{k}" for k in KINDS],
-        *[F.array_sort(F.concat(f"base_{k}", f"wide_{k}", f"fail_{k}")).alias(f"all_{k}") for k in KINDS],
+        *[F.transform(f"base_{k}", span).alias(f"base_{k}") for k in KINDS],
+        *[F.array_sort(F.transform(F.concat(f"base_{k}", F.filter("more", of_kind(of_this, k, None))), span)).alias(f"all_{k}") for k in KINDS],
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import series as S
-from ..functions.tables import settle
+from ..functions.tables import settle, spread
 from . import projections as P
 
 KEY = "transect_id"
@@ -48,9 +48,9 @@ def densify(lines: DataFrame, interval: float = 1.0) -> DataFrame:
     """Points at 0, interval, 2 interval ... and at the end of each line: distance, x, y, and
     ord, which ascends along the line.  Every segment makes its own points, so no line is
     gathered."""
-    s = segments(lines).where("length > 0")
-    total = s.groupBy(KEY).agg(F.max("stop").alias("total"), F.max("seg").alias("last_seg"))
-    s = s.join(total, KEY)
+    s = segments(spread(lines, "lines", KEY)).where("length > 0")
+    line = Window.partitionBy(KEY)
+    s = s.withColumns({"total": F.max("stop").over(line), "last_seg": F.max("seg").over(line)})
     first, after = F.ceil(F.col("start") / interval), F.ceil(F.col("stop") / interval)
     own = F.when(after > first, F.transform(F.sequence(first, after - 1), lambda k: k * F.lit(float(interval)))).otherwise(F.array().cast("array<double>"))
     ends = F.when(F.col("seg") == F.col("last_seg"), F.array("total")).otherwise(F.array().cast("array<double>"))
@@ -73,6 +73,12 @@ def _cells(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, cell:
     return df.withColumn("_cx", F.explode(span(x0, x1))).withColumn("_cy", F.explode(span(y0, y1)))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """Rows made by explode count as few in Spark's estimate: joined by sorting, whatever it
+    says, so that no table of tiles or pixels is sent whole through the driver."""
+    return df.hint("merge")
+
+
 def _crosses() -> Column:
     """Liang-Barsky: does the segment (x0, y0)-(x1, y1) meet the box?"""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -90,7 +96,7 @@ def overlapping_tiles(lines: DataFrame, tiles: DataFrame, cell: float = 1000.0)
     s = _cells(segments(lines), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell)
     b = tile_bounds(tiles)
     b = _cells(b, F.col("left"), F.col("right"), F.col("bottom"), F.col("top"), cell)
-    return s.join(b, ["_cx", "_cy"]).where(_crosses()).select(KEY, "raster_id", "priority").distinct()
+    return s.join(_sorted(b), ["_cx", "_cy"]).where(_crosses()).select(KEY, "raster_id", "priority").distinct()
 
 
 def _sampled(points: DataFrame, tiles: DataFrame, pixels, cell: float) -> tuple[DataFrame, DataFrame | None]:
@@ -98,7 +104,7 @@ def _sampled(points: DataFrame, tiles: DataFrame, pixels, cell: float) -> tuple[
     p = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     b = tile_bounds(tiles)
     b = _cells(b, F.col("left"), F.col("right"), F.col("bottom"), F.col("top"), cell)
-    hit = p.join(b, ["_cx", "_cy"]).where("x between left and right and y between bottom and top")
+    hit = p.join(_sorted(b), ["_cx", "_cy"]).where("x between left and right and y between bottom and top")
     hit = hit.withColumns({"row": F.floor((F.col("top") - F.col("y")) / F.col("res")), "col": F.floor((F.col("x") - F.col("left")) / F.col("res"))})
     hit = hit.where("row >= 0 and row < height and col >= 0 and col < width")
     unread = None
@@ -106,9 +112,9 @@ def _sampled(points: DataFrame, tiles: DataFrame, pixels, cell: float) -> tuple[
         hit = settle(hit.select(*points.columns, "raster_id", "priority", "nodata", "row", "col"), "wanted")
         pixels = settle(pixels(hit), "pixels")
         if "problem" in pixels.columns:
-            unread = hit.join(pixels.where("problem is not null"), ["raster_id", "row", "col"])
+            unread = hit.join(_sorted(pixels.where("problem is not null")), ["raster_id", "row", "col"])
             pixels = pixels.where("problem is null").drop("problem")
-    found = hit.join(pixels, ["raster_id", "row", "col"]).where(
+    found = hit.join(_sorted(pixels), ["raster_id", "row", "col"]).where(
         "nodata is null or (red <> nodata and green <> nodata and blue <> nodata and nir <> nodata)"
     )
     first = Window.partitionBy(KEY, "distance").orderBy("priority", "raster_id")
@@ -134,7 +140,7 @@ def sample_lines(
         direction = (global_direction(lines).first() or {"direction": "west_to_east"})["direction"]
     if direction == "east_to_west":
         total = segments(lines).groupBy(KEY).agg(F.max("stop").alias("_total"))
-        got = got.join(total, KEY).withColumns({"distance": F.col("_total") - F.col("distance"), "ord": -F.col("ord")}).drop("_total")
+        got = got.join(_sorted(total), KEY).withColumns({"distance": F.col("_total") - F.col("distance"), "ord": -F.col("ord")}).drop("_total")
     got = got.select(KEY, "distance", "red", "green", "blue", "nir", "ord")
     problems = lines.select(KEY).join(got.select(KEY).distinct(), KEY, "left_anti").select(KEY, F.lit("no pixel under the line").alias("reason"))
     if unread is not None:

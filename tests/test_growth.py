@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tideline.functions.tables import spread
 from tideline.operators import geometry as G
+from tideline.operators import synthetic as Y
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,10 @@ def test_few_bytes_are_dealt_to_many_tasks(spark):
     lines = ids.select("transect_id", F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 9D, 'y', 0D))").alias("points"))
     dense = G.densify(lines)
     assert dense.count() == 20_000 and fullest(dense) < 7_000
+
+
+def test_made_spectra_are_dealt_to_many_tasks(spark):
+    ids = spark.range(2000).select(F.col("id").alias("transect_id")).distinct()
+    stats = spark.createDataFrame([("WATER", b, 100.0, 5.0) for b in Y.BANDS], "class string, feature string, mean double, std double")
+    made = Y.synthetic_spectra(ids, stats)
+    assert made.count() == 2000 * 180 and fullest(made) < 700 * 180

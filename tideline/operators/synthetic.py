@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import spread
+
 BANDS = ("red", "green", "blue", "nir")
 #: Zones of a made-up transect: class, first metre, metre behind the last.
 ZONES = (("VEG_DUNES", 0, 55), ("BEACH_DRY", 55, 105), ("BEACH_WET", 105, 120), ("WATER", 120, 300))
@@ -50,6 +52,7 @@ def synthetic_spectra(ids: DataFrame, stats: DataFrame, seed: int = 42, zones=ZO
     mean within the zone (beyond its ends there is nothing) and kept between 0 and 255;
     ``shell`` (drop of nir, drop of brightness, width) is what goes off behind the shell line."""
     metres = F.array(*[F.struct(F.lit(c).alias("zone_class"), F.sequence(F.lit(a), F.lit(b - 1)).alias("at")) for c, a, b in zones])
+    ids = spread(ids.select("transect_id"), "ids", "transect_id")
     rows = ids.select("transect_id", F.explode(metres).alias("z")).select("transect_id", "z.zone_class", F.explode("z.at").alias("m"))
     rows = rows.join(F.broadcast(class_rows(stats)), "zone_class")  # a row a class
     rows = rows.select("transect_id", "zone_class", F.col("m").cast("double").alias("distance"), *[(F.col(f"{b}_mean") + F.col(f"{b}_std") * normal(seed, F.col("transect_id"), b, F.col("m"))).alias(b) for b in BANDS])

@@ -39,3 +39,8 @@ def test_made_spectra_are_dealt_to_many_tasks(spark):
     stats = spark.createDataFrame([("WATER", b, 100.0, 5.0) for b in Y.BANDS], "class string, feature string, mean double, std double")
     made = Y.synthetic_spectra(ids, stats)
     assert made.count() == 2000 * 180 and fullest(made) < 700 * 180
+
+
+def test_reprojection_works_on_lines_not_on_events(spark):
+    text = plan(entry.queries()["line_reprojection"](spark, SF))
+    assert "event_id" not in text and not any("Filter" in row and "COSH" in row for row in text.splitlines())

@@ -218,10 +218,10 @@ def reproject(lines: DataFrame, source: str, target: str) -> DataFrame:
         raise ValueError("a coordinate system is missing")
     if source == target or (epsg(source) is not None and epsg(source) == epsg(target)):
         return lines
-    system(source), system(target)
+    first, then = system(source), system(target)
 
-    def move(p: Column) -> Column:
-        x, y = transform(p["x"], p["y"], source, target)
-        return F.struct(x.alias("x"), y.alias("y"))
+    def moved(points: Column, by) -> Column:
+        return F.transform(points, lambda p: F.struct(*[v.alias(c) for c, v in zip("xy", by(p["x"], p["y"]))]))
 
-    return lines.withColumn("points", F.transform("points", move))
+    # one lambda over the other: degrees are worked out once, not wherever the second names them
+    return lines.withColumn("points", F.col("points") if first == then else moved(moved(F.col("points"), first.back), then.forward))

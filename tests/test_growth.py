@@ -44,3 +44,9 @@ def test_made_spectra_are_dealt_to_many_tasks(spark):
 def test_reprojection_works_on_lines_not_on_events(spark):
     text = plan(entry.queries()["line_reprojection"](spark, SF))
     assert "event_id" not in text and not any("Filter" in row and "COSH" in row for row in text.splitlines())
+
+
+def test_classes_are_worked_out_once(spark):
+    """What a query returns starts from written classes, not from events again."""
+    for name in ("run_summary", "processing_stats"):
+        assert "event_id" not in plan(entry.queries()[name](spark, SF))

@@ -50,3 +50,7 @@ def test_classes_are_worked_out_once(spark):
     """What a query returns starts from written classes, not from events again."""
     for name in ("run_summary", "processing_stats"):
         assert "event_id" not in plan(entry.queries()[name](spark, SF))
+
+
+def test_comparison_deals_transects_to_tasks(spark):
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()["synthetic_comparison"](spark, SF))

@@ -54,3 +54,9 @@ def test_classes_are_worked_out_once(spark):
 
 def test_comparison_deals_transects_to_tasks(spark):
     assert "REPARTITION_BY_NUM" in plan(entry.queries()["synthetic_comparison"](spark, SF))
+
+
+def test_samples_are_not_sent_whole_to_their_zones(spark):
+    """Neither side is, by any estimate, and the zones are what a task holds."""
+    text = plan(entry.queries()["points_in_zones"](spark, SF))
+    assert "Broadcast" not in text and "SortMergeJoin" not in text and "ShuffledHashJoin" in text and "BuildRight" in text

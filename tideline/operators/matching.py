@@ -137,11 +137,12 @@ def shell_line_metrics(verdicts: DataFrame) -> DataFrame:
 def points_in_zones(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Samples with the zone they lie in, both ends included; on a shared edge the first
     zone wins.  A transect's few zones come as one array, so every sample stays one row,
-    whatever its distance."""
+    whatever its distance.  Each task looks its transects up among their zones: by the size
+    of its file Spark would send either table whole, the samples too."""
     z = F.struct("zone_order", F.col("start").alias("zone_start"), F.col("end").alias("zone_end"), "zone_class")
     of = zones.groupBy(KEY).agg(F.array_sort(F.collect_list(z)).alias("_zones"))
     first = F.filter("_zones", lambda x: F.col("distance").between(x["zone_start"], x["zone_end"]))
-    return points.join(of, KEY).withColumn("_z", F.get(first, F.lit(0))).where("_z is not null").select(*points.columns, "_z.*")
+    return points.join(of.hint("shuffle_hash"), KEY).withColumn("_z", F.get(first, F.lit(0))).where("_z is not null").select(*points.columns, "_z.*")
 
 
 def zone_slices(points: DataFrame, zones: DataFrame, inset: float = 0.0) -> DataFrame:
